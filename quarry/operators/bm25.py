@@ -5,19 +5,28 @@ Plan of :func:`text_top_k`:
 
 1. ``hits``: query terms (broadcast when their size is within bounds) join
    the postings on ``(tbucket, term)``; ``sum(qtf * weight)`` per (query,
-   document). Only postings of query terms are touched, and the aggregation
-   shuffles on (query, document), so a query that hits a third of the corpus
-   is still spread over all tasks.
-2. Zero-score padding: every document of the corpus has a score, 0 when it
-   holds none of the terms. A query with fewer than k positive hits is
-   *short*; its missing places go to the zero-score documents with the
-   smallest keys. With ``m = k - positives`` and ``x`` hits of non-zero
-   score, those lie among the first ``m + x`` positions of the dense
-   document order, so exactly that range is generated (in chunks, spread
-   over tasks), hits are removed, and the rest scores 0. No cross join.
-3. ``row_number`` per query over ``(score key desc, doc_id asc)`` with
+   document). Only postings of query terms are read (dynamic partition
+   pruning on the term bucket), and since postings are bucketed by document
+   the sum is complete inside each task: no shuffle of (query, document)
+   pairs, however many documents a query hits.
+2. ``row_number`` per query over ``(score key desc, doc_id asc)`` with
    ``rank <= k``; Spark plans a partial per-task top-k before the shuffle
-   (``WindowGroupLimit``), so a hot query ships k rows per task.
+   (``WindowGroupLimit``), so even a query that hits a third of the corpus
+   ships k rows per task.
+3. Zero-score padding: every document has a score, 0 when it holds none of
+   the terms. A query with fewer than k positive hits is *short*; its free
+   places go to the zero-score documents with the smallest keys.
+   * No negative weight (``epsilon * avg_idf >= 0``, any corpus of realistic
+     size): all positive hits of a short query are in its top-k list, so the
+     top-k list is merged with the first k documents of the key order at
+     score 0, keeping the larger score per document (:func:`first_docs_pad`).
+     A positive hit outside the list cannot displace anything: the list then
+     holds k positive rows. The hits are evaluated once.
+   * Otherwise (tiny corpora whose mean IDF is negative): with
+     ``m = k - positives`` and ``x`` hits of non-zero score, the free places
+     lie among the first ``m + x`` positions; exactly that range is generated
+     in chunks spread over tasks and the hits are removed
+     (:func:`pad_candidates`). No cross join in either case.
 4. Scores are divided by the query's top score unless that is 0.
 """
 
@@ -39,8 +48,12 @@ def bm25_hits(index: Bm25Index, qterms: DataFrame,
     query term."""
     qt = (qterms.where(F.length("term") > 0)
           .withColumn("tbucket", term_bucket("term", index.stats.n_buckets)))
+    qt = qt.where(F.col("query_id").isNotNull())
     qt, _, _ = bounded_broadcast(qt, max_broadcast_rows)
-    joined = index.postings.join(qt, ["tbucket", "term"])
+    # Explicit null filters: every consumer of the hits (ranking, counts,
+    # anti join) then plans the identical subtree and the exchange is reused.
+    postings = index.postings.where(F.col("doc_id").isNotNull())
+    joined = postings.join(qt, ["tbucket", "term"])
     return (joined.groupBy("query_id", "doc_id")
             .agg(F.sum(F.col("qtf").cast("double") * F.col("weight")).alias("raw")))
 
@@ -73,6 +86,17 @@ def pad_candidates(index: Bm25Index, query_ids: DataFrame, hits: DataFrame, k: i
     return pads.select("query_id", "doc_id", F.lit(0.0).alias("raw"))
 
 
+def first_docs_pad(index: Bm25Index, query_ids: DataFrame, k: int) -> DataFrame:
+    """``(query_id, doc_id, raw = 0.0)`` for the first ``k`` documents in key
+    order, for every query (an equi-join on the position; the document side
+    is a pushed-down range filter of at most ``k`` rows)."""
+    first = index.docs.where(F.col("doc_ord") < k).select("doc_ord", "doc_id")
+    ords = query_ids.select("query_id", F.explode(
+        F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long"))).alias("doc_ord"))
+    return ords.join(F.broadcast(first), "doc_ord").select(
+        "query_id", "doc_id", F.lit(0.0).alias("raw"))
+
+
 def rank_top_k(scored: DataFrame, k: int, score: str = "raw") -> DataFrame:
     """G1 + H1: ``rank`` 1..k per query by (score key desc, doc_id asc)."""
     w = Window.partitionBy("query_id").orderBy(F.col("_key").desc(), F.col("doc_id").asc())
@@ -92,9 +116,16 @@ def text_top_k(index: Bm25Index, queries: DataFrame, qterms: DataFrame, k: int,
                pad: bool = True, max_broadcast_rows: int = BROADCAST_ROW_LIMIT) -> DataFrame:
     """J1 core: ``(query_id, rank, doc_id, raw, score)``, at most k rows per query."""
     hits = bm25_hits(index, qterms, max_broadcast_rows)
-    candidates = hits
-    if pad:
-        candidates = hits.unionByName(
-            pad_candidates(index, queries.select("query_id"), hits, k))
-    ranked = rank_top_k(candidates, k)
+    query_ids = queries.select("query_id")
+    if not pad:
+        ranked = rank_top_k(hits, k)
+    elif index.stats.epsilon * index.stats.avg_idf >= 0:
+        # No negative weight: merge each k-row list with the first k
+        # documents (score 0) and keep the larger score per document.
+        top = rank_top_k(hits, k).select("query_id", "doc_id", "raw")
+        merged = (top.unionByName(first_docs_pad(index, query_ids, k))
+                  .groupBy("query_id", "doc_id").agg(F.max("raw").alias("raw")))
+        ranked = rank_top_k(merged, k)
+    else:
+        ranked = rank_top_k(hits.unionByName(pad_candidates(index, query_ids, hits, k)), k)
     return normalize_by_top(ranked).select("query_id", "rank", "doc_id", "raw", "score")

@@ -6,13 +6,18 @@ Tables of an index:
 * ``docs(doc_id, doc_ord, dl)``: one row per document, empty ones included
   (they count in N); ``doc_ord`` is the 0-based position in key order.
 * ``terms(term, df, idf)``: document frequency and the floored IDF.
-* ``postings(tbucket, term, doc_id, tf, dl, weight)``: one row per (term,
+* ``postings(term, doc_id, tf, dl, weight, tbucket)``: one row per (term,
   document) with the document's full BM25 contribution per query occurrence,
-  ``weight = idf * tf (k1 + 1) / (tf + k1 (1 - b + b dl / avgdl))``. The
-  table is range-clustered by ``(tbucket, term, doc_id)`` and partitioned on
-  disk by ``tbucket = pmod(xxhash64(term), n_buckets)``, so a query batch joins
-  on ``(tbucket, term)`` and dynamic partition pruning skips buckets that hold
-  none of its terms.
+  ``weight = idf * tf (k1 + 1) / (tf + k1 (1 - b + b dl / avgdl))``.
+
+Layout of ``postings``: a catalog table over files under the index path,
+partitioned on disk by ``tbucket = pmod(xxhash64(term), n_term_buckets)`` and
+bucketed by ``doc_id``. Bucketing puts every posting of a document in one
+task, so the per-(query, document) score sum of a query batch is complete
+inside the task and needs no shuffle; only a per-task top-k per query is
+shuffled. The term partitions let dynamic partition pruning skip files of
+term buckets that hold none of the batch's terms. The number of term
+buckets grows with the corpus (one per 8M tokens, at most 256).
 
 IDF: ``idf0 = ln(N - df + 0.5) - ln(df + 0.5)``; negative values are
 replaced by ``epsilon * mean(idf0)`` over all terms.
@@ -20,6 +25,8 @@ replaced by ``epsilon * mean(idf0)`` over all terms.
 
 from __future__ import annotations
 
+import math
+import uuid
 from dataclasses import asdict, dataclass
 
 from pyspark import StorageLevel
@@ -30,7 +37,8 @@ from quarry.functions.text import split_tokens
 from quarry.params import BM25_B, BM25_EPSILON, BM25_K1
 from quarry.session import BROADCAST_ROW_LIMIT, scratch_path, write_parquet
 
-DEFAULT_BUCKETS = 64
+MAX_TERM_BUCKETS = 256
+TOKENS_PER_TERM_BUCKET = 8_000_000
 
 
 def term_bucket(term, n_buckets: int) -> Column:
@@ -114,7 +122,40 @@ class IndexStats:
     k1: float = BM25_K1
     b: float = BM25_B
     epsilon: float = BM25_EPSILON
-    n_buckets: int = DEFAULT_BUCKETS
+    n_buckets: int = 1
+    n_doc_buckets: int = 1
+
+
+def _table_name() -> str:
+    return "quarry_postings_" + uuid.uuid4().hex[:12]
+
+
+def write_postings(postings: DataFrame, location: str, n_doc_buckets: int) -> DataFrame:
+    """Write postings bucketed by ``doc_id``, partitioned by ``tbucket``.
+
+    The hash repartition by ``doc_id`` is the bucketing hash, so each task
+    holds exactly one bucket and writes one file per term bucket.
+    """
+    spark = postings.sparkSession
+    name = _table_name()
+    (postings.repartition(n_doc_buckets, "doc_id")
+     .write.mode("overwrite").format("parquet").option("path", location)
+     .partitionBy("tbucket").bucketBy(n_doc_buckets, "doc_id").sortBy("doc_id")
+     .saveAsTable(name))
+    return spark.table(name)
+
+
+def register_postings(spark: SparkSession, location: str, n_doc_buckets: int) -> DataFrame:
+    """Register written postings files as a bucketed, partitioned table."""
+    name = _table_name()
+    fields = spark.read.parquet(location).schema.fields
+    cols = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields
+                     if f.name != "tbucket")
+    spark.sql(f"CREATE TABLE {name} ({cols}, tbucket int) USING parquet "
+              f"PARTITIONED BY (tbucket) CLUSTERED BY (doc_id) SORTED BY (doc_id) "
+              f"INTO {n_doc_buckets} BUCKETS LOCATION '{location}'")
+    spark.sql(f"ALTER TABLE {name} RECOVER PARTITIONS")
+    return spark.table(name)
 
 
 @dataclass
@@ -132,16 +173,16 @@ class Bm25Index:
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> "Bm25Index":
-        row = spark.read.parquet(path + "/stats").first().asDict()
+        stats = IndexStats(**spark.read.parquet(path + "/stats").first().asDict())
         return cls(docs=spark.read.parquet(path + "/docs"),
                    terms=spark.read.parquet(path + "/terms"),
-                   postings=spark.read.parquet(path + "/postings"),
-                   stats=IndexStats(**row), path=path)
+                   postings=register_postings(spark, path + "/postings", stats.n_doc_buckets),
+                   stats=stats, path=path)
 
 
 def build_index(corpus: DataFrame, path: str | None = None, key: str = "doc_id",
                 text_col: str = "text_processed", k1: float = BM25_K1, b: float = BM25_B,
-                epsilon: float = BM25_EPSILON, n_buckets: int = DEFAULT_BUCKETS,
+                epsilon: float = BM25_EPSILON, n_buckets: int | None = None,
                 n_parts: int | None = None) -> Bm25Index:
     """Build and persist the BM25 tables of ``corpus`` (J5, second half).
 
@@ -149,7 +190,7 @@ def build_index(corpus: DataFrame, path: str | None = None, key: str = "doc_id",
     persisted, and document frequencies; (3) two scalar aggregates (N,
     avgdl; mean IDF) returned to the driver as numbers; (4) postings, joined
     to the IDF table (broadcast when the vocabulary is within bounds) and
-    written clustered by term.
+    written bucketed by document, partitioned by term bucket.
     """
     spark = corpus.sparkSession
     path = path or scratch_path(spark, "bm25-index")
@@ -172,18 +213,18 @@ def build_index(corpus: DataFrame, path: str | None = None, key: str = "doc_id",
         dfs.select("term", "df", floored_idf(idf0, avg_idf, epsilon).alias("idf")),
         path + "/terms")
     idf_side = F.broadcast(term_table) if n_terms <= BROADCAST_ROW_LIMIT else term_table
-    postings = (tf.join(idf_side.select("term", "idf"), "term")
-                .select(term_bucket("term", n_buckets).alias("tbucket"), "term", "doc_id",
-                        "tf", "dl",
-                        (bm25_weight("tf", "dl", "idf", avgdl, k1, b)
-                         if avgdl > 0 else F.lit(0.0)).alias("weight"))
-                .repartitionByRange(n_parts, "tbucket", "term", "doc_id")
-                .sortWithinPartitions("tbucket", "term", "doc_id"))
-    postings = write_parquet(postings, path + "/postings", partition_by=["tbucket"])
+    n_buckets = n_buckets or max(1, min(MAX_TERM_BUCKETS,
+                                        math.ceil(total / TOKENS_PER_TERM_BUCKET)))
+    weight = bm25_weight("tf", "dl", "idf", avgdl, k1, b) if avgdl > 0 else F.lit(0.0)
+    postings = tf.join(idf_side.select("term", "idf"), "term").select(
+        "term", "doc_id", "tf", "dl", weight.alias("weight"),
+        term_bucket("term", n_buckets).alias("tbucket"))
+    postings = write_postings(postings, path + "/postings", n_parts)
     tf.unpersist()
 
     stats = IndexStats(n_docs=n_docs, total_tokens=total, avgdl=avgdl, n_terms=n_terms,
-                       avg_idf=avg_idf, k1=k1, b=b, epsilon=epsilon, n_buckets=n_buckets)
+                       avg_idf=avg_idf, k1=k1, b=b, epsilon=epsilon, n_buckets=n_buckets,
+                       n_doc_buckets=n_parts)
     spark.createDataFrame([asdict(stats)]).coalesce(1).write.mode("overwrite").parquet(
         path + "/stats")
     return Bm25Index(docs=docs, terms=term_table, postings=postings, stats=stats, path=path)

@@ -24,13 +24,14 @@ DEFAULT_CONF = {
 BROADCAST_ROW_LIMIT = 2_000_000
 
 
-def local_session(cores: int = 8, shuffle_partitions: int | None = None,
+def local_session(cores: int | str = 8, shuffle_partitions: int | None = None,
                   app: str = "quarry", driver_memory: str = "8g") -> SparkSession:
     """A ``local[cores]`` session with AQE on and the UI off (tests, bench)."""
     builder = SparkSession.builder.master(f"local[{cores}]").appName(app)
     for key, value in DEFAULT_CONF.items():
         builder = builder.config(key, value)
-    builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions or cores))
+    builder = builder.config("spark.sql.shuffle.partitions",
+                             str(shuffle_partitions or (cores if isinstance(cores, int) else 8)))
     builder = builder.config("spark.driver.memory", driver_memory)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
