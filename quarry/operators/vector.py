@@ -168,7 +168,7 @@ def vector_hits(doc_vecs: DataFrame, query_vecs: DataFrame, k: int,
         F.explode(F.sequence(F.lit(0), F.lit(nd - 1))).alias("dchunk"))
     d_rep = docs.select(
         F.lit(1).alias("side"), F.col("doc_id").alias("id"), F.col("embedding").alias("vec"),
-        F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).cast("long").alias("qblock"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nq - 1).cast("long"))).alias("qblock"),
         F.pmod(F.xxhash64("doc_id"), F.lit(nd)).cast("int").alias("dchunk"))
     both = q_rep.unionByName(d_rep)
     return both.groupBy("qblock", "dchunk").applyInPandas(_group_scorer(k, dim), HIT_SCHEMA)
