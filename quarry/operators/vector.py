@@ -130,9 +130,11 @@ def _group_scorer(k: int, dim: int):
     return run
 
 
-def _dimension(vectors: DataFrame, col: str) -> int:
-    row = vectors.select(F.size(col).alias("d")).where(F.col("d") > 0).first()
-    return int(row["d"]) if row else 0
+def _shape(vectors: DataFrame, col: str) -> tuple[int, int]:
+    """``(rows with a vector, dimension)`` in one aggregate job."""
+    row = vectors.where(F.size(col) > 0).agg(
+        F.count(F.lit(1)).alias("n"), F.max(F.size(col)).alias("d")).first()
+    return int(row["n"]), int(row["d"] or 0)
 
 
 def vector_hits(doc_vecs: DataFrame, query_vecs: DataFrame, k: int,
@@ -140,17 +142,17 @@ def vector_hits(doc_vecs: DataFrame, query_vecs: DataFrame, k: int,
     """Per-task top-k candidates ``(query_id, doc_id, score)``.
 
     ``doc_vecs(doc_id, embedding)`` and ``query_vecs(query_id, embedding)``;
-    rows whose vector is null or of another dimension are ignored.
+    rows whose vector is null or of another dimension than the longest query
+    vector are ignored.
     """
     spark = doc_vecs.sparkSession
-    dim = _dimension(query_vecs, "embedding")
+    n_queries, dim = _shape(query_vecs, "embedding")
     if dim == 0:
         return spark.createDataFrame([], HIT_SCHEMA)
     docs = doc_vecs.where(F.size("embedding") == dim).select(
         F.col("doc_id").cast("long"), "embedding")
     queries = query_vecs.where(F.size("embedding") == dim).select(
         F.col("query_id").cast("long"), "embedding")
-    n_queries = queries.count()
     if n_queries * dim * 8 <= max_query_bytes:
         table = queries.toArrow()
         qids = table.column("query_id").to_numpy().astype(np.int64)
