@@ -123,9 +123,15 @@ def text_top_k(index: Bm25Index, queries: DataFrame, qterms: DataFrame, k: int,
         # No negative weight: merge each k-row list with the first k
         # documents (score 0) and keep the larger score per document.
         top = rank_top_k(hits, k).select("query_id", "doc_id", "raw")
+        # One exchange by query serves both windows: the per-(query,
+        # document) dedupe and the ranking (clustering on query_id satisfies
+        # both); every partition holds at most 2k rows per query.
         merged = (top.unionByName(first_docs_pad(index, query_ids, k))
-                  .groupBy("query_id", "doc_id").agg(F.max("raw").alias("raw")))
-        ranked = rank_top_k(merged, k)
+                  .repartition("query_id"))
+        per_doc = Window.partitionBy("query_id", "doc_id").orderBy(F.col("raw").desc())
+        deduped = (merged.withColumn("_n", F.row_number().over(per_doc))
+                   .where(F.col("_n") == 1).drop("_n"))
+        ranked = rank_top_k(deduped, k)
     else:
         ranked = rank_top_k(hits.unionByName(pad_candidates(index, query_ids, hits, k)), k)
     return normalize_by_top(ranked).select("query_id", "rank", "doc_id", "raw", "score")

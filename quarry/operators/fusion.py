@@ -25,25 +25,29 @@ from quarry.params import Weights
 TEXT_SRC, VECTOR_SRC = 0, 1
 
 
-def _tagged(ranked: DataFrame, src: int, weight: float) -> DataFrame:
-    best = (ranked.groupBy("query_id", "doc_id")
-            .agg(F.max("score").alias("score"), F.min("rank").alias("rank")))
-    return best.select("query_id", "doc_id", F.lit(src).alias("src"), "rank",
-                       (F.col("score") * F.lit(weight)).alias("ws"))
+def _tagged(ranked: DataFrame, src: int) -> DataFrame:
+    return ranked.select("query_id", "doc_id", F.lit(src).alias("src"), "rank", "score")
 
 
 def fuse(text: DataFrame, vector: DataFrame, weights: Weights) -> DataFrame:
-    """E5 + F1: ``(query_id, doc_id, fused, score_type, src, src_rank)``."""
-    both = _tagged(text, TEXT_SRC, weights.bm25).unionByName(
-        _tagged(vector, VECTOR_SRC, weights.vector))
+    """E5 + F1: ``(query_id, doc_id, fused, score_type, src, src_rank)``.
+
+    One aggregation over the union (a single shuffle): the best score of
+    each list per document, weighted and added (text first, as the
+    insertion order of the merge has it; a missing side adds nothing).
+    """
+    both = _tagged(text, TEXT_SRC).unionByName(_tagged(vector, VECTOR_SRC))
     grouped = both.groupBy("query_id", "doc_id").agg(
-        F.sum("ws").alias("fused"),
-        F.count(F.lit(1)).alias("n"),
+        F.max(F.when(F.col("src") == TEXT_SRC, F.col("score"))).alias("t"),
+        F.max(F.when(F.col("src") == VECTOR_SRC, F.col("score"))).alias("v"),
         F.min(F.struct("src", "rank")).alias("first"))
+    t = F.col("t") * F.lit(weights.bm25)
+    v = F.col("v") * F.lit(weights.vector)
+    fused = (F.when(F.col("t").isNull(), v).when(F.col("v").isNull(), t).otherwise(t + v))
     return grouped.select(
-        "query_id", "doc_id", "fused",
-        F.when(F.col("n") > 1, F.lit("hybrid"))
-        .when(F.col("first.src") == TEXT_SRC, F.lit("bm25"))
+        "query_id", "doc_id", fused.alias("fused"),
+        F.when(F.col("t").isNotNull() & F.col("v").isNotNull(), F.lit("hybrid"))
+        .when(F.col("t").isNotNull(), F.lit("bm25"))
         .otherwise(F.lit("vector")).alias("score_type"),
         F.col("first.src").alias("src"), F.col("first.rank").alias("src_rank"))
 
