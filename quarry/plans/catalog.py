@@ -18,12 +18,15 @@ from quarry.functions.vectors import l2_normalize
 from quarry.operators.analyze import DEFAULT_ANALYZER, query_terms
 from quarry.operators.bm25 import bm25_hits
 from quarry.operators.encoder import HashingEncoder, encode
+from quarry.operators.fusion import fuse
 from quarry.operators.evaluate import counts, first_query_examples, metrics_at_k, top_documents
 from quarry.operators.index import doc_terms, term_frequencies
 from quarry.plans.engine import engine_for
 from quarry.plans.evaluation import EXAMPLE_TOP_K, method_runs
 from quarry.plans.search import RESULT_COLUMNS
 from quarry.sources import tables
+from quarry.params import check_weights
+from quarry.sources.jsonl import classify_lines
 from quarry.sources.sinks import id_mapping
 
 SCORE_DIGITS = 6
@@ -142,6 +145,27 @@ def q_hybrid_search_w70_30(spark: SparkSession, d: str) -> DataFrame:
                                     weights={"bm25": 0.7, "vector": 0.3})
 
 
+def q_hybrid_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """E5 + F1: the fused candidate list (depth 2k per side) before the cut."""
+    eng = _engine(spark, d)
+    q, qv = _queries(spark, d), _qvecs(spark, d)
+    depth = 2 * HYBRID_K
+    fused = fuse(eng.text_ranked(q, depth), eng.vector_ranked(qv, depth),
+                 check_weights(None))
+    return _scored(fused.select("query_id", "doc_id", "fused", "score_type",
+                                "src", "src_rank"), "fused")
+
+
+def q_jsonl_scan(spark: SparkSession, d: str) -> DataFrame:
+    """A1 + B1 + B12 over JSON lines that Spark writes from ``documents``."""
+    raw = tables.raw_documents(spark, d)
+    lines = raw.select(F.to_json(F.struct("url", "date", "title", "summary", "text"))
+                       .alias("value"))
+    parsed = classify_lines(lines)
+    return parsed.where(F.col("reason").isNull()).select(
+        "url", "date", "title", "summary", "text")
+
+
 def q_hybrid_top1_by_depth(spark: SparkSession, d: str) -> DataFrame:
     """Rank 1 of a hybrid list depends on top_k (candidates at depth 2k)."""
     eng = _engine(spark, d)
@@ -212,7 +236,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "vector_search": q_vector_search,
     "hybrid_search": q_hybrid_search,
     "hybrid_search_w70_30": q_hybrid_search_w70_30,
+    "hybrid_candidates": q_hybrid_candidates,
     "hybrid_top1_by_depth": q_hybrid_top1_by_depth,
+    "jsonl_scan": q_jsonl_scan,
     "id_mapping": q_id_mapping,
     "eval_metrics_at_k": q_eval_metrics_at_k,
     "eval_top_document": q_eval_top_document,

@@ -242,6 +242,17 @@ SQL["hybrid_search_w70_30"] = with_results(
     f"{INDEX}, {BENCH_Q}, {VECTORS}, {hybrid_ctes('hw', HYBRID_K, 0.7, 0.3)}", "hw_top",
     ", t.score_type")
 
+SQL["hybrid_candidates"] = f"""WITH {INDEX}, {BENCH_Q}, {VECTORS},
+{hybrid_ctes('hc', HYBRID_K, 0.5, 0.5)}
+SELECT query_id, doc_id, round(fused, {SCORE_DIGITS}) AS fused, score_type,
+       CAST(src AS INTEGER) AS src, CAST(src_rank AS INTEGER) AS src_rank
+FROM hc_fused"""
+
+SQL["jsonl_scan"] = f"""WITH {RAW}
+SELECT url, date, coalesce(title, '') AS title, coalesce(summary, '') AS summary,
+       coalesce(text, '') AS text
+FROM raw"""
+
 SQL["hybrid_top1_by_depth"] = f"""WITH {INDEX}, {BENCH_Q}, {VECTORS},
 {hybrid_ctes('h1', 1, 0.5, 0.5)},
 {hybrid_ctes('h10', 10, 0.5, 0.5)}
