@@ -43,13 +43,21 @@ PAD_CHUNK = 65_536
 
 
 def bm25_hits(index: Bm25Index, qterms: DataFrame,
-              max_broadcast_rows: int = BROADCAST_ROW_LIMIT) -> DataFrame:
+              max_broadcast_rows: int = BROADCAST_ROW_LIMIT,
+              broadcast_terms: bool | None = None) -> DataFrame:
     """D5 + E1: ``(query_id, doc_id, raw)`` for documents holding at least one
-    query term."""
+    query term.
+
+    ``broadcast_terms``: the caller's size decision for the query terms; when
+    ``None`` their rows are counted here against ``max_broadcast_rows``.
+    """
     qt = (qterms.where(F.length("term") > 0)
           .withColumn("tbucket", term_bucket("term", index.stats.n_buckets)))
     qt = qt.where(F.col("query_id").isNotNull())
-    qt, _, _ = bounded_broadcast(qt, max_broadcast_rows)
+    if broadcast_terms is None:
+        qt, _, _ = bounded_broadcast(qt, max_broadcast_rows)
+    elif broadcast_terms:
+        qt = F.broadcast(qt)
     # Explicit null filters: every consumer of the hits (ranking, counts,
     # anti join) then plans the identical subtree and the exchange is reused.
     postings = index.postings.where(F.col("doc_id").isNotNull())
@@ -113,9 +121,10 @@ def normalize_by_top(ranked: DataFrame, raw: str = "raw", out: str = "score") ->
 
 
 def text_top_k(index: Bm25Index, queries: DataFrame, qterms: DataFrame, k: int,
-               pad: bool = True, max_broadcast_rows: int = BROADCAST_ROW_LIMIT) -> DataFrame:
+               pad: bool = True, max_broadcast_rows: int = BROADCAST_ROW_LIMIT,
+               broadcast_terms: bool | None = None) -> DataFrame:
     """J1 core: ``(query_id, rank, doc_id, raw, score)``, at most k rows per query."""
-    hits = bm25_hits(index, qterms, max_broadcast_rows)
+    hits = bm25_hits(index, qterms, max_broadcast_rows, broadcast_terms)
     query_ids = queries.select("query_id")
     if not pad:
         ranked = rank_top_k(hits, k)

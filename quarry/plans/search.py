@@ -20,6 +20,7 @@ from quarry.operators.fusion import fuse, fused_top_k
 from quarry.operators.index import Bm25Index
 from quarry.operators.payload import with_payload
 from quarry.operators.vector import MAX_QUERY_BYTES, vector_top_k
+from quarry.session import BROADCAST_ROW_LIMIT
 from quarry.params import (
     DEFAULT_DEPTH_FACTOR,
     check_method,
@@ -43,10 +44,25 @@ class SearchEngine:
     max_query_bytes: int = MAX_QUERY_BYTES
     encoder: object | None = field(default=None, repr=False)
 
+    # -- size checks -------------------------------------------------------
+    def query_bounds(self, queries: DataFrame) -> tuple[int, int]:
+        """``(queries, analysed tokens)`` in one aggregate job. The token
+        count bounds the query-term rows; queries x k bounds any result."""
+        sizes = queries.select(F.size(self.analyzer.query_tokens("query")).alias("n"))
+        row = sizes.agg(F.count(F.lit(1)).alias("q"),
+                        F.coalesce(F.sum("n"), F.lit(0)).alias("t")).first()
+        return int(row["q"]), int(row["t"])
+
+    def _small(self, rows: int) -> bool:
+        return rows <= BROADCAST_ROW_LIMIT
+
     # -- ranked lists without payload ------------------------------------
-    def text_ranked(self, queries: DataFrame, k: int, pad: bool = True) -> DataFrame:
+    def text_ranked(self, queries: DataFrame, k: int, pad: bool = True,
+                    bounds: tuple[int, int] | None = None) -> DataFrame:
+        _, tokens = bounds or self.query_bounds(queries)
         qterms = query_terms(queries, self.analyzer, self.lemmas)
-        return text_top_k(self.index, queries, qterms, k, pad=pad).select(
+        return text_top_k(self.index, queries, qterms, k, pad=pad,
+                          broadcast_terms=self._small(tokens)).select(
             "query_id", "rank", "doc_id", "score")
 
     def vector_ranked(self, query_vectors: DataFrame, k: int) -> DataFrame:
@@ -54,10 +70,12 @@ class SearchEngine:
 
     def hybrid_ranked(self, queries: DataFrame, query_vectors: DataFrame, k: int,
                       weights: dict | None = None,
-                      depth_factor: int = DEFAULT_DEPTH_FACTOR) -> DataFrame:
+                      depth_factor: int = DEFAULT_DEPTH_FACTOR,
+                      bounds: tuple[int, int] | None = None) -> DataFrame:
         w = check_weights(weights)
         depth = depth_factor * k
-        fused = fuse(self.text_ranked(queries, depth), self.vector_ranked(query_vectors, depth), w)
+        text = self.text_ranked(queries, depth, bounds=bounds)
+        fused = fuse(text, self.vector_ranked(query_vectors, depth), w)
         return fused_top_k(fused, k)
 
     def query_vectors_for(self, queries: DataFrame) -> DataFrame:
@@ -69,21 +87,31 @@ class SearchEngine:
     # -- user-level methods (J1-J4) ---------------------------------------
     def text(self, queries: DataFrame, top_k: int = 5) -> DataFrame:
         """J1."""
-        ranked = self.text_ranked(queries, check_top_k(top_k))
-        return with_payload(ranked, self.corpus, self.key).select(*RESULT_COLUMNS)
+        k = check_top_k(top_k)
+        bounds = self.query_bounds(queries)
+        ranked = self.text_ranked(queries, k, bounds=bounds)
+        return with_payload(ranked, self.corpus, self.key,
+                            small_results=self._small(bounds[0] * k)).select(*RESULT_COLUMNS)
 
     def vector(self, query_vectors: DataFrame, top_k: int = 5) -> DataFrame:
         """J2."""
-        ranked = self.vector_ranked(query_vectors, check_top_k(top_k))
-        return with_payload(ranked, self.corpus, self.key).select(*RESULT_COLUMNS)
+        k = check_top_k(top_k)
+        ranked = self.vector_ranked(query_vectors, k)
+        small = self._small(query_vectors.count() * k)
+        return with_payload(ranked, self.corpus, self.key,
+                            small_results=small).select(*RESULT_COLUMNS)
 
     def hybrid(self, queries: DataFrame, query_vectors: DataFrame | None = None,
                top_k: int = 5, weights: dict | None = None,
                depth_factor: int = DEFAULT_DEPTH_FACTOR) -> DataFrame:
         """J3."""
         qv = query_vectors if query_vectors is not None else self.query_vectors_for(queries)
-        ranked = self.hybrid_ranked(queries, qv, check_top_k(top_k), weights, depth_factor)
-        return with_payload(ranked, self.corpus, self.key).select(*RESULT_COLUMNS, "score_type")
+        k = check_top_k(top_k)
+        bounds = self.query_bounds(queries)
+        ranked = self.hybrid_ranked(queries, qv, k, weights, depth_factor, bounds)
+        return with_payload(ranked, self.corpus, self.key,
+                            small_results=self._small(bounds[0] * k)).select(
+            *RESULT_COLUMNS, "score_type")
 
     def search(self, queries: DataFrame, method: str = "hybrid", top_k: int = 5,
                weights: dict | None = None, query_vectors: DataFrame | None = None) -> DataFrame:
