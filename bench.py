@@ -21,6 +21,7 @@ sys.path.insert(0, ROOT)
 
 from pyspark.sql import functions as F  # noqa: E402
 
+from quarry.operators.analyze import query_terms  # noqa: E402
 from quarry.plans.engine import engine_for  # noqa: E402
 from quarry.plans.evaluation import method_runs  # noqa: E402
 from quarry.operators.evaluate import metrics_at_k  # noqa: E402
@@ -48,7 +49,8 @@ def main() -> None:
     eng = engine_for(spark, sf_dir)
     q = tables.benchmark_queries(spark, sf_dir)
     qv = tables.benchmark_query_vectors(spark, sf_dir)
-    n_queries = q.count()
+    n_queries, n_tokens = eng.query_bounds(q)
+    n_query_terms = query_terms(q, eng.analyzer).count()
 
     headline = {
         "text_search": lambda: eng.text(q, 10),
@@ -72,6 +74,8 @@ def main() -> None:
         "per_query_ms": {k: round(1000 * v / max(1, n_queries), 2) for k, v in times.items()},
         "build_seconds": round(build, 3),
         "n_queries": n_queries,
+        "avg_query_terms": round(n_query_terms / max(1, n_queries), 1),
+        "avg_query_tokens": round(n_tokens / max(1, n_queries), 1),
         "n_documents": eng.index.stats.n_docs,
         "sf": os.path.basename(sf_dir.rstrip("/")).replace("sf", ""),
         "cpus": cpus,

@@ -23,22 +23,43 @@ from quarry.operators.evaluate import (
     metrics_at_k,
     top_documents,
 )
-from quarry.params import METHODS
+from quarry.operators.fusion import fuse, fused_top_k
+from quarry.params import DEFAULT_DEPTH_FACTOR, METHODS, check_method, check_weights
 from quarry.plans.search import SearchEngine
+from quarry.session import checkpoint_dir
 
 EXAMPLE_TOP_K = 3
 
 
 def method_runs(engine: SearchEngine, queries: DataFrame, query_vectors: DataFrame, k: int,
-                methods: Sequence[str] = METHODS, weights: dict | None = None) -> DataFrame:
+                methods: Sequence[str] = METHODS, weights: dict | None = None,
+                depth_factor: int = DEFAULT_DEPTH_FACTOR) -> DataFrame:
     """``(method, query_id, rank, doc_id, score)`` for all methods.
 
-    Hybrid scores are the rounded (4 places) scores a caller sees.
+    A ranked list at depth d holds the list at any k <= d as its prefix (the
+    order is total and the text normaliser is the rank-1 score), so the text
+    and vector lists are computed once, at the hybrid candidate depth when
+    hybrid is asked for, and checkpointed (at most queries x depth rows each);
+    every method reads them. Hybrid scores are the rounded (4 places) scores
+    a caller sees.
     """
+    checkpoint_dir(queries.sparkSession)
+    depth = depth_factor * k if "hybrid" in methods else k
+    text = vector = None
+    if "text" in methods or "hybrid" in methods:
+        text = engine.text_ranked(queries, depth).checkpoint()
+    if "vector" in methods or "hybrid" in methods:
+        vector = engine.vector_ranked(query_vectors, depth).checkpoint()
     runs = None
     for m in methods:
-        r = engine.ranked(m, queries, query_vectors, k, weights).select(
-            F.lit(m).alias("method"), "query_id", "rank", "doc_id", "score")
+        check_method(m)
+        if m == "text":
+            r = text.where(F.col("rank") <= k)
+        elif m == "vector":
+            r = vector.where(F.col("rank") <= k)
+        else:
+            r = fused_top_k(fuse(text, vector, check_weights(weights)), k)
+        r = r.select(F.lit(m).alias("method"), "query_id", "rank", "doc_id", "score")
         runs = r if runs is None else runs.unionByName(r)
     return runs
 
