@@ -19,7 +19,6 @@ import time
 ROOT = os.path.dirname(os.path.abspath(__file__))
 sys.path.insert(0, ROOT)
 
-from pyspark.sql import functions as F  # noqa: E402
 
 from quarry.operators.analyze import query_terms  # noqa: E402
 from quarry.plans.engine import engine_for  # noqa: E402
