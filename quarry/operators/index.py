@@ -39,6 +39,7 @@ from quarry.session import BROADCAST_ROW_LIMIT, scratch_path, write_parquet
 
 MAX_TERM_BUCKETS = 256
 TOKENS_PER_TERM_BUCKET = 8_000_000
+TOKENS_PER_DOC_BUCKET = 4_000_000
 
 
 def term_bucket(term, n_buckets: int) -> Column:
@@ -130,19 +131,32 @@ def _table_name() -> str:
     return "quarry_postings_" + uuid.uuid4().hex[:12]
 
 
+def doc_bucket_count(spark: SparkSession, total_tokens: int) -> int:
+    """Buckets grow with the corpus (one per 4M tokens), at least the
+    cluster's parallelism, at most ``spark.sql.shuffle.partitions``."""
+    upper = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    lower = min(upper, spark.sparkContext.defaultParallelism)
+    return max(1, lower, min(upper, math.ceil(total_tokens / TOKENS_PER_DOC_BUCKET)))
+
+
 def write_postings(postings: DataFrame, location: str, n_doc_buckets: int) -> DataFrame:
     """Write postings bucketed by ``doc_id``, partitioned by ``tbucket``.
 
     The hash repartition by ``doc_id`` is the bucketing hash, so each task
-    holds exactly one bucket and writes one file per term bucket.
+    holds exactly one bucket and writes one file per term bucket. A catalog
+    that refuses tables gets plain Parquet partitioned by ``tbucket``
+    (scoring then shuffles the hits on (query, document)).
     """
     spark = postings.sparkSession
     name = _table_name()
-    (postings.repartition(n_doc_buckets, "doc_id")
-     .write.mode("overwrite").format("parquet").option("path", location)
-     .partitionBy("tbucket").bucketBy(n_doc_buckets, "doc_id").sortBy("doc_id")
-     .saveAsTable(name))
-    return spark.table(name)
+    clustered = postings.repartition(n_doc_buckets, "doc_id")
+    try:
+        (clustered.write.mode("overwrite").format("parquet").option("path", location)
+         .partitionBy("tbucket").bucketBy(n_doc_buckets, "doc_id").sortBy("doc_id")
+         .saveAsTable(name))
+        return spark.table(name)
+    except Exception:  # noqa: BLE001 - catalog without table support
+        return write_parquet(clustered, location, partition_by=["tbucket"])
 
 
 def register_postings(spark: SparkSession, location: str, n_doc_buckets: int) -> DataFrame:
@@ -194,7 +208,10 @@ def build_index(corpus: DataFrame, path: str | None = None, key: str = "doc_id",
     """
     spark = corpus.sparkSession
     path = path or scratch_path(spark, "bm25-index")
-    n_parts = n_parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if n_parts is None:
+        upper = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        n_parts = min(upper, max(spark.sparkContext.defaultParallelism,
+                                 corpus.rdd.getNumPartitions()))
 
     terms = doc_terms(corpus, key, text_col)
     docs = dense_order(doc_lengths(terms), "doc_id", path, n_parts)
@@ -219,12 +236,13 @@ def build_index(corpus: DataFrame, path: str | None = None, key: str = "doc_id",
     postings = tf.join(idf_side.select("term", "idf"), "term").select(
         "term", "doc_id", "tf", "dl", weight.alias("weight"),
         term_bucket("term", n_buckets).alias("tbucket"))
-    postings = write_postings(postings, path + "/postings", n_parts)
+    n_doc_buckets = doc_bucket_count(spark, total)
+    postings = write_postings(postings, path + "/postings", n_doc_buckets)
     tf.unpersist()
 
     stats = IndexStats(n_docs=n_docs, total_tokens=total, avgdl=avgdl, n_terms=n_terms,
                        avg_idf=avg_idf, k1=k1, b=b, epsilon=epsilon, n_buckets=n_buckets,
-                       n_doc_buckets=n_parts)
+                       n_doc_buckets=n_doc_buckets)
     spark.createDataFrame([asdict(stats)]).coalesce(1).write.mode("overwrite").parquet(
         path + "/stats")
     return Bm25Index(docs=docs, terms=term_table, postings=postings, stats=stats, path=path)
