@@ -21,7 +21,9 @@ _WORKER_ENCODERS: dict = {}
 
 
 def _encoder(factory):
-    key = id(factory), getattr(factory, "cache_key", None)
+    # Tasks unpickle their own copy of the factory: key on its declared
+    # identity so that one encoder serves every task of the worker.
+    key = getattr(factory, "cache_key", None) or id(factory)
     enc = _WORKER_ENCODERS.get(key)
     if enc is None:
         enc = factory()

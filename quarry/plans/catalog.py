@@ -215,8 +215,16 @@ def q_corpus_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_encode_documents(spark: SparkSession, d: str) -> DataFrame:
-    docs = tables.table(spark, d, "documents")
-    return encode(docs, HashingEncoder(64), text_col="text", key="doc_id")
+    """The encoder hook over the cleaned body of every document."""
+    corpus = _engine(spark, d).corpus
+    return encode(corpus.select("doc_id", "text"), HashingEncoder(64), text_col="text",
+                  key="doc_id")
+
+
+def q_vector_search_encoded(spark: SparkSession, d: str) -> DataFrame:
+    """C1 + C2 + J2: documents and queries embedded by the same encoder."""
+    eng = engine_for(spark, d, encoder=HashingEncoder(64))
+    return _scored(eng.search(_queries(spark, d), "vector", VECTOR_K))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -245,6 +253,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "eval_examples_top3": q_eval_examples_top3,
     "corpus_counts": q_corpus_counts,
     "encode_documents": q_encode_documents,
+    "vector_search_encoded": q_vector_search_encoded,
 }
 
 __all__ = ["QUERIES", "RESULT_COLUMNS"]

@@ -14,6 +14,7 @@ key.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from quarry.functions.text import join_tokens, split_tokens
 from quarry.operators.analyze import DEFAULT_ANALYZER, Analyzer, lemmatize_tokens, prepare_documents
@@ -23,7 +24,7 @@ from quarry.session import scratch_path, spread, write_parquet
 
 PROCESSED_COLUMNS = ("title_processed", "summary_processed", "text_processed")
 
-__all__ = ["build_corpus", "build_index", "build_vectors", "Bm25Index"]
+__all__ = ["build_corpus", "build_index", "build_vectors", "encode_corpus", "Bm25Index"]
 
 
 def build_corpus(raw: DataFrame, path: str | None = None, analyzer: Analyzer = DEFAULT_ANALYZER,
@@ -46,3 +47,15 @@ def build_vectors(embeddings: DataFrame, corpus: DataFrame, path: str | None = N
     spark = corpus.sparkSession
     return write_parquet(document_vectors(embeddings, corpus, key),
                          path or scratch_path(spark, "vectors"))
+
+
+def encode_corpus(corpus: DataFrame, encoder_factory, path: str | None = None,
+                  key: str = "doc_id") -> DataFrame:
+    """C1 inside J5: unit-length vectors of the basic-cleaned body ``text``
+    of the prepared corpus, by the caller's encoder, written as Parquet."""
+    from quarry.operators.encoder import encode
+
+    spark = corpus.sparkSession
+    vectors = encode(corpus.select(F.col(key).alias("doc_id"), "text"), encoder_factory,
+                     text_col="text", key="doc_id")
+    return write_parquet(vectors, path or scratch_path(spark, "vectors"))

@@ -7,7 +7,7 @@ from pyspark.sql import SparkSession
 
 from quarry.operators.analyze import DEFAULT_ANALYZER, Analyzer
 from quarry.operators.index import build_index
-from quarry.plans.corpus import build_corpus, build_vectors
+from quarry.plans.corpus import build_corpus, build_vectors, encode_corpus
 from quarry.plans.search import SearchEngine
 from quarry.session import scratch_path
 from quarry.sources import tables
@@ -16,12 +16,29 @@ _ENGINES: dict = {}
 
 
 def engine_for(spark: SparkSession, data_dir: str, analyzer: Analyzer = DEFAULT_ANALYZER,
-               path: str | None = None, cache: bool = True) -> SearchEngine:
+               path: str | None = None, cache: bool = True,
+               encoder=None) -> SearchEngine:
     """Corpus, index and vectors of ``data_dir``, written under ``path`` (by
-    default a new folder in the checkpoint directory)."""
-    key = (spark.sparkContext.applicationId, data_dir.rstrip("/"), analyzer)
+    default a new folder in the checkpoint directory).
+
+    Document vectors come from the ``embeddings`` table, or, when an encoder
+    factory is given, from encoding the cleaned body of every document (the
+    same encoder then embeds the queries).
+    """
+    key = (spark.sparkContext.applicationId, data_dir.rstrip("/"), analyzer,
+           getattr(encoder, "cache_key", id(encoder)) if encoder is not None else None)
     if cache and key in _ENGINES:
         return _ENGINES[key]
+    if encoder is not None:
+        # Same corpus and index; only the document vectors differ.
+        base_engine = engine_for(spark, data_dir, analyzer, path, cache)
+        vectors = encode_corpus(base_engine.corpus, encoder,
+                                scratch_path(spark, "encoded-vectors"))
+        engine = SearchEngine(corpus=base_engine.corpus, index=base_engine.index,
+                              doc_vectors=vectors, analyzer=analyzer, encoder=encoder)
+        if cache:
+            _ENGINES[key] = engine
+        return engine
     base = path or scratch_path(spark, "engine")
     corpus = build_corpus(tables.raw_documents(spark, data_dir), base + "/corpus", analyzer)
     index = build_index(corpus, base + "/index")

@@ -45,7 +45,8 @@ def test_entry_runs(spark):
 
 def test_every_sql_key_is_a_query():
     assert set(E.oracle_sql()) <= set(E.queries())
-    assert set(E.queries()) - set(E.oracle_sql()) == {"encode_documents"}
+    assert set(E.queries()) - set(E.oracle_sql()) == {"encode_documents",
+                                                      "vector_search_encoded"}
 
 
 @pytest.mark.parametrize("name", sorted(E.oracle_sql()))
@@ -61,5 +62,7 @@ def test_query_matches_oracle(spark, duck, name):
     assert canon(s_cols, s_rows) == canon(d_cols, d_rows)
 
 
-def test_rows_only_query(spark):
+def test_rows_only_queries(spark):
     assert E.queries()["encode_documents"](spark, SF_SMALL).count() == 200
+    out = E.queries()["vector_search_encoded"](spark, SF_SMALL)
+    assert out.count() == 40 * 10
