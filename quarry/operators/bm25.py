@@ -44,12 +44,15 @@ PAD_CHUNK = 65_536
 
 def bm25_hits(index: Bm25Index, qterms: DataFrame,
               max_broadcast_rows: int = BROADCAST_ROW_LIMIT,
-              broadcast_terms: bool | None = None) -> DataFrame:
+              broadcast_terms: bool | None = None,
+              literal_terms: list[str] | None = None) -> DataFrame:
     """D5 + E1: ``(query_id, doc_id, raw)`` for documents holding at least one
     query term.
 
     ``broadcast_terms``: the caller's size decision for the query terms; when
     ``None`` their rows are counted here against ``max_broadcast_rows``.
+    ``literal_terms``: for a small batch, its distinct terms, pushed into the
+    Parquet scan as ``term IN (...)`` (row groups of other terms are skipped).
     """
     qt = (qterms.where(F.length("term") > 0)
           .withColumn("tbucket", term_bucket("term", index.stats.n_buckets)))
@@ -61,6 +64,8 @@ def bm25_hits(index: Bm25Index, qterms: DataFrame,
     # Explicit null filters: every consumer of the hits (ranking, counts,
     # anti join) then plans the identical subtree and the exchange is reused.
     postings = index.postings.where(F.col("doc_id").isNotNull())
+    if literal_terms is not None:
+        postings = postings.where(F.col("term").isin(list(literal_terms)))
     joined = postings.join(qt, ["tbucket", "term"])
     return (joined.groupBy("query_id", "doc_id")
             .agg(F.sum(F.col("qtf").cast("double") * F.col("weight")).alias("raw")))
@@ -122,9 +127,10 @@ def normalize_by_top(ranked: DataFrame, raw: str = "raw", out: str = "score") ->
 
 def text_top_k(index: Bm25Index, queries: DataFrame, qterms: DataFrame, k: int,
                pad: bool = True, max_broadcast_rows: int = BROADCAST_ROW_LIMIT,
-               broadcast_terms: bool | None = None) -> DataFrame:
+               broadcast_terms: bool | None = None,
+               literal_terms: list[str] | None = None) -> DataFrame:
     """J1 core: ``(query_id, rank, doc_id, raw, score)``, at most k rows per query."""
-    hits = bm25_hits(index, qterms, max_broadcast_rows, broadcast_terms)
+    hits = bm25_hits(index, qterms, max_broadcast_rows, broadcast_terms, literal_terms)
     query_ids = queries.select("query_id")
     if not pad:
         ranked = rank_top_k(hits, k)

@@ -29,6 +29,9 @@ from quarry.params import (
 )
 
 RESULT_COLUMNS = ("query_id", "rank", "doc_id", "title", "summary", "url", "date", "score")
+# A batch with at most this many analysed tokens has its distinct terms
+# pushed into the postings scan as a literal filter (a bounded list).
+LITERAL_TERMS_LIMIT = 1024
 
 
 @dataclass
@@ -61,8 +64,12 @@ class SearchEngine:
                     bounds: tuple[int, int] | None = None) -> DataFrame:
         _, tokens = bounds or self.query_bounds(queries)
         qterms = query_terms(queries, self.analyzer, self.lemmas)
+        literal = None
+        if tokens <= LITERAL_TERMS_LIMIT:   # distinct terms <= tokens: bounded
+            literal = [r["term"] for r in qterms.select("term").distinct().collect()]
         return text_top_k(self.index, queries, qterms, k, pad=pad,
-                          broadcast_terms=self._small(tokens)).select(
+                          broadcast_terms=self._small(tokens),
+                          literal_terms=literal).select(
             "query_id", "rank", "doc_id", "score")
 
     def vector_ranked(self, query_vectors: DataFrame, k: int) -> DataFrame:

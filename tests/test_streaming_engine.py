@@ -81,3 +81,14 @@ def test_index_reload(spark, engine):
     again = Bm25Index.load(spark, engine.index.path)
     assert again.stats == engine.index.stats
     assert again.postings.count() == engine.index.postings.count()
+
+
+def test_small_batch_term_filter_gives_same_rows(spark, engine):
+    q = tables.benchmark_queries(spark, SF_SMALL)
+    one = q.where(F.col("query_id") == 3)
+    whole = {(r["rank"], r["doc_id"], r["score"]) for r in
+             engine.text(q, 10).where(F.col("query_id") == 3).collect()}
+    single = engine.text(one, 10)
+    assert {(r["rank"], r["doc_id"], r["score"]) for r in single.collect()} == whole
+    plan = single._jdf.queryExecution().executedPlan().toString()
+    assert "In(term" in plan or "term IN" in plan   # pushed into the postings scan
