@@ -1,5 +1,7 @@
 """JSON-lines scans (FIXTURES.md §3.1), query sources and sinks."""
 
+import json
+
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -76,3 +78,37 @@ def test_sinks_round_trip(spark, tmp_out):
     assert spark.read.parquet(tmp_out + "/emb").first()["embedding"] == pytest.approx([0.6, 0.8])
     write_tables({"m": docs.select(F.lit(1).alias("x"))}, tmp_out + "/eval")
     assert spark.read.parquet(tmp_out + "/eval/m").first()["x"] == 1
+
+
+def test_jsonl_corpus_to_search_end_to_end(spark, tmp_out):
+    """J5 then J1 on a JSON-lines corpus: tolerant scan, preparation, index,
+    text search, id mapping (a URL given twice keeps its last position)."""
+    from quarry.operators.analyze import Analyzer
+    from quarry.operators.index import build_index
+    from quarry.plans.corpus import build_corpus
+    from quarry.plans.search import SearchEngine
+
+    docs = [
+        {"url": "u/1", "date": "2020-01-01", "title": "Oil prices", "summary": "Oil",
+         "text": "Oil prices rose sharply."},
+        {"url": "u/2", "date": "2020-01-02", "title": "Gas", "summary": "Gas",
+         "text": "Gas demand fell; oil flat."},
+        {"url": "u/1", "date": "2020-01-03", "title": "Oil again", "summary": "Oil",
+         "text": "Oil, oil and more oil!"},
+    ]
+    path = tmp_out + "/corpus.jsonl"
+    write_lines(path, [json.dumps(d) for d in docs] + ["broken {"])
+    good, rejects = read_jsonl_tolerant(spark, path)
+    assert rejects.count() == 1
+    corpus = build_corpus(good, tmp_out + "/prepared", Analyzer(stopwords=("and",)))
+    row = corpus.where(F.col("date") == "2020-01-03").first()
+    assert row["id"] == "u/1" and row["text_processed"] == "oil , oil more oil !"
+    idx = build_index(corpus, tmp_out + "/index", n_parts=2)
+    eng = SearchEngine(corpus=corpus, index=idx, doc_vectors=None,
+                       analyzer=Analyzer(stopwords=("and",)))
+    q = spark.createDataFrame([(1, "oil")], "query_id long, query string")
+    top = eng.text(q, 3).orderBy("rank").collect()
+    assert [r["date"] for r in top] == ["2020-01-03", "2020-01-01", "2020-01-02"]
+    assert top[0]["score"] == 1.0
+    mapping = id_mapping(idx.docs.join(corpus.select("doc_id", "url"), "doc_id"))
+    assert {r["url"]: r["idx"] for r in mapping.collect()} == {"u/1": 2, "u/2": 1}
