@@ -161,9 +161,12 @@ def vector_hits(doc_vecs: DataFrame, query_vecs: DataFrame, k: int,
         bq = spark.sparkContext.broadcast((qids, qmat))
         return docs.mapInArrow(_broadcast_scorer(bq, k, dim), HIT_SCHEMA)
 
+    # Block sizes by memory: a query block and a document chunk each hold at
+    # most max_query_bytes of vectors (TopK bounds the score matrix itself).
+    # Rows shuffled: documents x nq + queries x nd, the block-matrix product.
     n_docs = docs.count()
     nq = max(1, math.ceil(n_queries * dim * 8 / max_query_bytes))
-    nd = max(1, math.ceil(n_docs / max(1, MAX_BLOCK_CELLS // max(1, math.ceil(n_queries / nq)))))
+    nd = max(1, math.ceil(n_docs * dim * 8 / max_query_bytes))
     q_rep = queries.select(
         F.lit(0).alias("side"), F.col("query_id").alias("id"), F.col("embedding").alias("vec"),
         F.pmod(F.xxhash64("query_id"), F.lit(nq)).alias("qblock"),

@@ -27,6 +27,7 @@ from quarry.plans.search import RESULT_COLUMNS
 from quarry.sources import tables
 from quarry.params import check_weights
 from quarry.sources.jsonl import classify_lines
+from quarry.session import spread
 from quarry.sources.sinks import id_mapping
 
 SCORE_DIGITS = 6
@@ -57,20 +58,25 @@ def q_prepare_documents(spark: SparkSession, d: str) -> DataFrame:
     return _engine(spark, d).corpus
 
 
+def _documents(spark: SparkSession, d: str) -> DataFrame:
+    """The documents table, spread by key when it comes in too few splits."""
+    return spread(tables.table(spark, d, "documents"), "doc_id")
+
+
 def q_basic_clean(spark: SparkSession, d: str) -> DataFrame:
-    docs = tables.table(spark, d, "documents")
+    docs = _documents(spark, d)
     return docs.select("doc_id", basic_clean("text").alias("clean_text"))
 
 
 def q_doc_tokens(spark: SparkSession, d: str) -> DataFrame:
-    docs = tables.table(spark, d, "documents")
+    docs = _documents(spark, d)
     toks = tokenize(basic_clean("text"))
     return docs.select("doc_id", F.size(toks).cast("long").alias("n_tokens"),
                        join_tokens(toks).alias("tokens"))
 
 
 def q_doc_terms(spark: SparkSession, d: str) -> DataFrame:
-    docs = tables.table(spark, d, "documents")
+    docs = _documents(spark, d)
     terms = DEFAULT_ANALYZER.document_tokens("text")
     return docs.select("doc_id", F.size(terms).cast("long").alias("n_terms"),
                        join_tokens(terms).alias("terms"))
