@@ -139,11 +139,13 @@ def doc_bucket_count(spark: SparkSession, total_tokens: int) -> int:
     return max(1, lower, min(upper, math.ceil(total_tokens / TOKENS_PER_DOC_BUCKET)))
 
 
-def write_postings(postings: DataFrame, location: str, n_doc_buckets: int) -> DataFrame:
+def write_postings(postings: DataFrame, location: str, n_doc_buckets: int,
+                   clustered: bool = False) -> DataFrame:
     """Write postings bucketed by ``doc_id``, partitioned by ``tbucket``.
 
-    The hash repartition by ``doc_id`` is the bucketing hash, so each task
-    holds exactly one bucket and writes one file per term bucket. Files are
+    The hash partitioning by ``doc_id`` (done here unless the input is
+    ``clustered`` that way already) is the bucketing hash, so each task holds
+    exactly one bucket and writes one file per term bucket. Files are
     sorted by ``term``: row-group statistics then let a pushed-down term
     filter of a small query batch skip most of each file. A catalog
     that refuses tables gets plain Parquet partitioned by ``tbucket``
@@ -151,14 +153,15 @@ def write_postings(postings: DataFrame, location: str, n_doc_buckets: int) -> Da
     """
     spark = postings.sparkSession
     name = _table_name()
-    clustered = postings.repartition(n_doc_buckets, "doc_id")
+    if not clustered:
+        postings = postings.repartition(n_doc_buckets, "doc_id")
     try:
-        (clustered.write.mode("overwrite").format("parquet").option("path", location)
+        (postings.write.mode("overwrite").format("parquet").option("path", location)
          .partitionBy("tbucket").bucketBy(n_doc_buckets, "doc_id").sortBy("term")
          .saveAsTable(name))
         return spark.table(name)
     except Exception:  # noqa: BLE001 - catalog without table support
-        return write_parquet(clustered, location, partition_by=["tbucket"])
+        return write_parquet(postings, location, partition_by=["tbucket"])
 
 
 def register_postings(spark: SparkSession, location: str, n_doc_buckets: int) -> DataFrame:
@@ -221,7 +224,12 @@ def build_index(corpus: DataFrame, path: str | None = None, key: str = "doc_id",
     n_docs, total = int(agg["n"]), int(agg["t"])
     avgdl = total / n_docs if n_docs else 0.0
 
-    tf = term_frequencies(terms).persist(StorageLevel.MEMORY_AND_DISK)
+    # One shuffle of the analysed text by document (the bucketing hash):
+    # the tf aggregation, the broadcast IDF join and the bucketed write all
+    # keep that partitioning, so (document, term) rows are never shuffled.
+    n_doc_buckets = doc_bucket_count(spark, total)
+    by_doc = terms.repartition(n_doc_buckets, "doc_id")
+    tf = term_frequencies(by_doc).persist(StorageLevel.MEMORY_AND_DISK)
     dfs = write_parquet(document_frequencies(tf), path + "/_df")
     idf0 = raw_idf("df", n_docs)
     agg = dfs.agg(F.count(F.lit(1)).alias("n"), F.avg(idf0).alias("a")).first()
@@ -231,15 +239,18 @@ def build_index(corpus: DataFrame, path: str | None = None, key: str = "doc_id",
     term_table = write_parquet(
         dfs.select("term", "df", floored_idf(idf0, avg_idf, epsilon).alias("idf")),
         path + "/terms")
-    idf_side = F.broadcast(term_table) if n_terms <= BROADCAST_ROW_LIMIT else term_table
+    small_vocabulary = n_terms <= BROADCAST_ROW_LIMIT
+    idf_side = F.broadcast(term_table) if small_vocabulary else term_table
     n_buckets = n_buckets or max(1, min(MAX_TERM_BUCKETS,
                                         math.ceil(total / TOKENS_PER_TERM_BUCKET)))
     weight = bm25_weight("tf", "dl", "idf", avgdl, k1, b) if avgdl > 0 else F.lit(0.0)
     postings = tf.join(idf_side.select("term", "idf"), "term").select(
         "term", "doc_id", "tf", "dl", weight.alias("weight"),
         term_bucket("term", n_buckets).alias("tbucket"))
-    n_doc_buckets = doc_bucket_count(spark, total)
-    postings = write_postings(postings, path + "/postings", n_doc_buckets)
+    # A broadcast join keeps the document partitioning; a shuffle join on
+    # term does not, and the write then re-clusters by document.
+    postings = write_postings(postings, path + "/postings", n_doc_buckets,
+                              clustered=small_vocabulary)
     tf.unpersist()
 
     stats = IndexStats(n_docs=n_docs, total_tokens=total, avgdl=avgdl, n_terms=n_terms,
