@@ -1,8 +1,17 @@
 """Late materialisation of result rows.
 
 Scoring runs on narrow tables (ids and numbers). Only the final top-k rows,
-whose count is at most ``queries x k``, are joined to the document payload;
-that small side is broadcast and the payload table is streamed past it.
+whose count is at most ``queries x k``, are joined to the document payload:
+
+* the payload table is a narrow copy of the corpus (key, title, summary,
+  url, date), range-partitioned and sorted by key when the index is built;
+* the result side is broadcast (its size is checked by the caller) and the
+  payload is streamed past it;
+* for a small result set (at most ``LOOKUP_ROWS_LIMIT`` rows) the results are
+  checkpointed, their distinct keys (a bounded list) are pushed into the
+  payload scan as ``doc_id IN (...)``, and file and row-group statistics skip
+  everything else: an interactive query reads a few row groups, not the
+  corpus.
 """
 
 from __future__ import annotations
@@ -10,12 +19,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.session import checkpoint_dir, write_parquet
+
 PAYLOAD_COLUMNS = ("title", "summary", "url", "date")
+LOOKUP_ROWS_LIMIT = 1024
+
+
+def build_payload(corpus: DataFrame, path: str, key: str = "doc_id",
+                  n_parts: int | None = None) -> DataFrame:
+    """The narrow payload table, range-partitioned and sorted by key."""
+    spark = corpus.sparkSession
+    if n_parts is None:
+        upper = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        n_parts = min(upper, max(spark.sparkContext.defaultParallelism,
+                                 corpus.rdd.getNumPartitions()))
+    narrow = corpus.select(F.col(key).alias("doc_id"), *PAYLOAD_COLUMNS)
+    return write_parquet(narrow.repartitionByRange(n_parts, "doc_id")
+                         .sortWithinPartitions("doc_id"), path)
+
 
+def with_payload(results: DataFrame, payload_table: DataFrame, key: str = "doc_id",
+                 small_results: bool = True, lookup: bool = False) -> DataFrame:
+    """Attach ``title, summary, url, date`` to result rows keyed by ``doc_id``.
 
-def with_payload(results: DataFrame, corpus: DataFrame, key: str = "doc_id",
-                 small_results: bool = True) -> DataFrame:
-    """Attach ``title, summary, url, date`` to result rows keyed by ``doc_id``."""
-    payload = corpus.select(F.col(key).alias("doc_id"), *PAYLOAD_COLUMNS)
+    ``lookup`` (only for at most ``LOOKUP_ROWS_LIMIT`` result rows): point
+    lookups through a pushed-down key filter instead of a payload scan.
+    """
+    payload = payload_table.select(F.col(key).alias("doc_id"), *PAYLOAD_COLUMNS)
+    if lookup:
+        checkpoint_dir(results.sparkSession)
+        results = results.checkpoint()
+        ids = [r["doc_id"] for r in results.select("doc_id").distinct()
+               .limit(LOOKUP_ROWS_LIMIT + 1).collect()]
+        if len(ids) <= LOOKUP_ROWS_LIMIT:
+            payload = payload.where(F.col("doc_id").isin(ids))
     side = F.broadcast(results) if small_results else results
     return payload.join(side, "doc_id")

@@ -7,6 +7,7 @@ from pyspark.sql import SparkSession
 
 from quarry.operators.analyze import DEFAULT_ANALYZER, Analyzer
 from quarry.operators.index import build_index
+from quarry.operators.payload import build_payload
 from quarry.plans.corpus import build_corpus, build_vectors, encode_corpus
 from quarry.plans.search import SearchEngine
 from quarry.session import scratch_path
@@ -35,7 +36,8 @@ def engine_for(spark: SparkSession, data_dir: str, analyzer: Analyzer = DEFAULT_
         vectors = encode_corpus(base_engine.corpus, encoder,
                                 scratch_path(spark, "encoded-vectors"))
         engine = SearchEngine(corpus=base_engine.corpus, index=base_engine.index,
-                              doc_vectors=vectors, analyzer=analyzer, encoder=encoder)
+                              doc_vectors=vectors, analyzer=analyzer, encoder=encoder,
+                              payload=base_engine.payload)
         if cache:
             _ENGINES[key] = engine
         return engine
@@ -43,7 +45,9 @@ def engine_for(spark: SparkSession, data_dir: str, analyzer: Analyzer = DEFAULT_
     corpus = build_corpus(tables.raw_documents(spark, data_dir), base + "/corpus", analyzer)
     index = build_index(corpus, base + "/index")
     vectors = build_vectors(tables.embeddings(spark, data_dir), corpus, base + "/vectors")
-    engine = SearchEngine(corpus=corpus, index=index, doc_vectors=vectors, analyzer=analyzer)
+    payload = build_payload(corpus, base + "/payload")
+    engine = SearchEngine(corpus=corpus, index=index, doc_vectors=vectors, analyzer=analyzer,
+                          payload=payload)
     if cache:
         _ENGINES[key] = engine
     return engine

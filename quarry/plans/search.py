@@ -18,7 +18,7 @@ from quarry.operators.analyze import DEFAULT_ANALYZER, Analyzer, query_terms
 from quarry.operators.bm25 import text_top_k
 from quarry.operators.fusion import fuse, fused_top_k
 from quarry.operators.index import Bm25Index
-from quarry.operators.payload import with_payload
+from quarry.operators.payload import LOOKUP_ROWS_LIMIT, with_payload
 from quarry.operators.vector import MAX_QUERY_BYTES, vector_top_k
 from quarry.session import BROADCAST_ROW_LIMIT
 from quarry.params import (
@@ -40,12 +40,20 @@ class SearchEngine:
 
     corpus: DataFrame
     index: Bm25Index
-    doc_vectors: DataFrame
+    doc_vectors: DataFrame | None
     analyzer: Analyzer = DEFAULT_ANALYZER
     lemmas: DataFrame | None = None
     key: str = "doc_id"
     max_query_bytes: int = MAX_QUERY_BYTES
     encoder: object | None = field(default=None, repr=False)
+    payload: DataFrame | None = None   # narrow, key-sorted (build_payload)
+
+    def _payload(self, ranked: DataFrame, rows: int, columns) -> DataFrame:
+        """Payload join of ranked rows; ``rows`` bounds their count."""
+        table = self.payload if self.payload is not None else self.corpus
+        key = "doc_id" if self.payload is not None else self.key
+        return with_payload(ranked, table, key, small_results=self._small(rows),
+                            lookup=rows <= LOOKUP_ROWS_LIMIT).select(*columns)
 
     # -- size checks -------------------------------------------------------
     def query_bounds(self, queries: DataFrame) -> tuple[int, int]:
@@ -97,16 +105,13 @@ class SearchEngine:
         k = check_top_k(top_k)
         bounds = self.query_bounds(queries)
         ranked = self.text_ranked(queries, k, bounds=bounds)
-        return with_payload(ranked, self.corpus, self.key,
-                            small_results=self._small(bounds[0] * k)).select(*RESULT_COLUMNS)
+        return self._payload(ranked, bounds[0] * k, RESULT_COLUMNS)
 
     def vector(self, query_vectors: DataFrame, top_k: int = 5) -> DataFrame:
         """J2."""
         k = check_top_k(top_k)
         ranked = self.vector_ranked(query_vectors, k)
-        small = self._small(query_vectors.count() * k)
-        return with_payload(ranked, self.corpus, self.key,
-                            small_results=small).select(*RESULT_COLUMNS)
+        return self._payload(ranked, query_vectors.count() * k, RESULT_COLUMNS)
 
     def hybrid(self, queries: DataFrame, query_vectors: DataFrame | None = None,
                top_k: int = 5, weights: dict | None = None,
@@ -116,9 +121,7 @@ class SearchEngine:
         k = check_top_k(top_k)
         bounds = self.query_bounds(queries)
         ranked = self.hybrid_ranked(queries, qv, k, weights, depth_factor, bounds)
-        return with_payload(ranked, self.corpus, self.key,
-                            small_results=self._small(bounds[0] * k)).select(
-            *RESULT_COLUMNS, "score_type")
+        return self._payload(ranked, bounds[0] * k, (*RESULT_COLUMNS, "score_type"))
 
     def search(self, queries: DataFrame, method: str = "hybrid", top_k: int = 5,
                weights: dict | None = None, query_vectors: DataFrame | None = None) -> DataFrame:

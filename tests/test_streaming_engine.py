@@ -90,5 +90,9 @@ def test_small_batch_term_filter_gives_same_rows(spark, engine):
              engine.text(q, 10).where(F.col("query_id") == 3).collect()}
     single = engine.text(one, 10)
     assert {(r["rank"], r["doc_id"], r["score"]) for r in single.collect()} == whole
+    ranked = engine.text_ranked(one, 10)
+    ranked.collect()
+    plan = ranked._jdf.queryExecution().executedPlan().toString()
+    assert "In(term" in plan or "term IN" in plan     # pushed into the postings scan
     plan = single._jdf.queryExecution().executedPlan().toString()
-    assert "In(term" in plan or "term IN" in plan   # pushed into the postings scan
+    assert "In(doc_id" in plan or "doc_id IN" in plan  # key lookup in the payload scan
