@@ -22,9 +22,17 @@ def main():
     eng = engine_for(spark, data_dir)
     q = tables.benchmark_queries(spark, data_dir)
     qv = tables.benchmark_query_vectors(spark, data_dir)
-    for name, df in [("text_search", eng.text(q, 10)),
-                     ("vector_search", eng.vector(qv, 10)),
-                     ("hybrid_search", eng.hybrid(q, qv, 5))]:
+    one = q.orderBy("query_id").limit(1)
+    many = q                                           # 3 copies: > 1,024 result rows
+    for c in (1, 2):
+        many = many.unionByName(q.selectExpr(f"query_id + {c} * 1000000 AS query_id",
+                                             "query", "description"))
+    for name, make in [("text_ranked", lambda: eng.text_ranked(q, 10)),
+                       ("vector_ranked", lambda: eng.vector_ranked(qv, 10)),
+                       ("hybrid_ranked", lambda: eng.hybrid_ranked(q, qv, 5)),
+                       ("text_search_large_batch", lambda: eng.text(many, 10)),
+                       ("text_search_single_query", lambda: eng.text(one, 10))]:
+        df = make()
         df.collect()
         print(f"===== {name} =====")
         df.explain()
