@@ -111,10 +111,18 @@ def prepare_documents(raw: DataFrame, analyzer: Analyzer = DEFAULT_ANALYZER,
 def query_terms(queries: DataFrame, analyzer: Analyzer = DEFAULT_ANALYZER,
                 lemmas: DataFrame | None = None) -> DataFrame:
     """``(query_id, term, qtf)``: analysed query terms with their repeat count
-    (a term given twice counts twice)."""
+    (a term given twice counts twice). ``query_id`` is unique per query.
+
+    Every query's terms are one row, so they are counted inside the row
+    (distinct terms, then occurrences of each): no shuffle.
+    """
     toks = queries.select("query_id", analyzer.query_tokens("query").alias("terms"))
     if lemmas is not None:
         toks = lemmatize_tokens(toks, "query_id", "terms", lemmas)
-    return (toks.select("query_id", F.explode("terms").alias("term"))
-            .groupBy("query_id", "term")
-            .agg(F.count(F.lit(1)).alias("qtf")))
+    terms = F.col("terms")
+    counted = F.transform(
+        F.array_distinct(terms),
+        lambda t: F.struct(t.alias("term"),
+                           F.size(F.filter(terms, lambda x: x == t)).cast("long").alias("qtf")))
+    return (toks.select("query_id", F.explode(counted).alias("p"))
+            .select("query_id", "p.term", "p.qtf"))
