@@ -130,7 +130,7 @@ def _group_scorer(k: int, dim: int):
     return run
 
 
-def _shape(vectors: DataFrame, col: str) -> tuple[int, int]:
+def query_shape(vectors: DataFrame, col: str = "embedding") -> tuple[int, int]:
     """``(rows with a vector, dimension)`` in one aggregate job."""
     row = vectors.where(F.size(col) > 0).agg(
         F.count(F.lit(1)).alias("n"), F.max(F.size(col)).alias("d")).first()
@@ -138,7 +138,8 @@ def _shape(vectors: DataFrame, col: str) -> tuple[int, int]:
 
 
 def vector_hits(doc_vecs: DataFrame, query_vecs: DataFrame, k: int,
-                max_query_bytes: int = MAX_QUERY_BYTES) -> DataFrame:
+                max_query_bytes: int = MAX_QUERY_BYTES,
+                shape: tuple[int, int] | None = None) -> DataFrame:
     """Per-task top-k candidates ``(query_id, doc_id, score)``.
 
     ``doc_vecs(doc_id, embedding)`` and ``query_vecs(query_id, embedding)``;
@@ -146,7 +147,7 @@ def vector_hits(doc_vecs: DataFrame, query_vecs: DataFrame, k: int,
     vector are ignored.
     """
     spark = doc_vecs.sparkSession
-    n_queries, dim = _shape(query_vecs, "embedding")
+    n_queries, dim = shape or query_shape(query_vecs)
     if dim == 0:
         return spark.createDataFrame([], HIT_SCHEMA)
     docs = doc_vecs.where(F.size("embedding") == dim).select(
@@ -180,9 +181,10 @@ def vector_hits(doc_vecs: DataFrame, query_vecs: DataFrame, k: int,
 
 
 def vector_top_k(doc_vecs: DataFrame, query_vecs: DataFrame, k: int,
-                 max_query_bytes: int = MAX_QUERY_BYTES) -> DataFrame:
+                 max_query_bytes: int = MAX_QUERY_BYTES,
+                 shape: tuple[int, int] | None = None) -> DataFrame:
     """J2 core: ``(query_id, rank, doc_id, score)``, raw inner products."""
-    hits = vector_hits(doc_vecs, query_vecs, k, max_query_bytes)
+    hits = vector_hits(doc_vecs, query_vecs, k, max_query_bytes, shape)
     w = Window.partitionBy("query_id").orderBy(F.col("_key").desc(), F.col("doc_id").asc())
     return (hits.withColumn("_key", rank_key("score"))
             .withColumn("rank", F.row_number().over(w))

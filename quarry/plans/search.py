@@ -19,7 +19,7 @@ from quarry.operators.bm25 import text_top_k
 from quarry.operators.fusion import fuse, fused_top_k
 from quarry.operators.index import Bm25Index
 from quarry.operators.payload import LOOKUP_ROWS_LIMIT, with_payload
-from quarry.operators.vector import MAX_QUERY_BYTES, vector_top_k
+from quarry.operators.vector import MAX_QUERY_BYTES, query_shape, vector_top_k
 from quarry.session import BROADCAST_ROW_LIMIT
 from quarry.params import (
     DEFAULT_DEPTH_FACTOR,
@@ -80,8 +80,9 @@ class SearchEngine:
                           literal_terms=literal).select(
             "query_id", "rank", "doc_id", "score")
 
-    def vector_ranked(self, query_vectors: DataFrame, k: int) -> DataFrame:
-        return vector_top_k(self.doc_vectors, query_vectors, k, self.max_query_bytes)
+    def vector_ranked(self, query_vectors: DataFrame, k: int,
+                      shape: tuple[int, int] | None = None) -> DataFrame:
+        return vector_top_k(self.doc_vectors, query_vectors, k, self.max_query_bytes, shape)
 
     def hybrid_ranked(self, queries: DataFrame, query_vectors: DataFrame, k: int,
                       weights: dict | None = None,
@@ -110,8 +111,9 @@ class SearchEngine:
     def vector(self, query_vectors: DataFrame, top_k: int = 5) -> DataFrame:
         """J2."""
         k = check_top_k(top_k)
-        ranked = self.vector_ranked(query_vectors, k)
-        return self._payload(ranked, query_vectors.count() * k, RESULT_COLUMNS)
+        shape = query_shape(query_vectors)
+        ranked = self.vector_ranked(query_vectors, k, shape)
+        return self._payload(ranked, shape[0] * k, RESULT_COLUMNS)
 
     def hybrid(self, queries: DataFrame, query_vectors: DataFrame | None = None,
                top_k: int = 5, weights: dict | None = None,
