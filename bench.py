@@ -2,7 +2,7 @@
 queries over the whole benchmark query table.
 
 Environment: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS
-(default 8), BENCH_REPEATS (default 3). Prints one JSON line. Each query
+(default 8), BENCH_REPEATS (default 5). Prints one JSON line. Each query
 gets one warm-up and BENCH_REPEATS timed runs; ``queries`` holds the best
 (minimum) run, the usual estimate on a shared host where other tenants only
 ever add time, and ``queries_median`` the medians. ``per_query_ms`` divides
@@ -43,7 +43,7 @@ def run(df) -> None:
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
-    repeats = int(os.environ.get("BENCH_REPEATS", "3"))
+    repeats = int(os.environ.get("BENCH_REPEATS", "5"))
     spark = local_session(cpus, shuffle_partitions=2 * cpus, driver_memory="16g")
 
     build = timed(lambda: engine_for(spark, sf_dir, cache=True))

@@ -29,7 +29,7 @@ from quarry.functions.text import (
     keep_letter_tokens,
     tokenize,
 )
-from quarry.session import BROADCAST_ROW_LIMIT, bounded_broadcast
+from quarry.session import BROADCAST_ROW_LIMIT, bounded_broadcast, ship_package
 
 
 @dataclass(frozen=True)
@@ -81,6 +81,7 @@ def lemma_table(vocabulary: DataFrame, lemmatizer: Callable[[str], str],
             forms = pdf[column].astype(str)
             yield pd.DataFrame({"form": forms, "lemma": [lemmatizer(f) for f in forms]})
 
+    ship_package(vocabulary.sparkSession)
     distinct = vocabulary.select(F.col(column)).where(F.col(column).isNotNull()).distinct()
     schema = T.StructType([T.StructField("form", T.StringType()),
                            T.StructField("lemma", T.StringType())])

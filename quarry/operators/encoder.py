@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.session import ship_package
+
 _WORKER_ENCODERS: dict = {}
 
 
@@ -40,6 +42,7 @@ def normalize_rows(mat: np.ndarray) -> np.ndarray:
 def encode(df: DataFrame, factory, text_col: str = "text", key: str = "doc_id",
            normalize: bool = True) -> DataFrame:
     """``(key, embedding array<float>)`` for every row of ``df``."""
+    ship_package(df.sparkSession)
     key_type = dict(df.dtypes)[key]
 
     def run(batches):

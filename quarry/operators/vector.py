@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.functions.text import RANK_SCALE, rank_key
+from quarry.session import ship_package
 
 MAX_QUERY_BYTES = 256 << 20
 # Bound on the score matrix materialised at once inside a task (cells).
@@ -147,6 +148,7 @@ def vector_hits(doc_vecs: DataFrame, query_vecs: DataFrame, k: int,
     vector are ignored.
     """
     spark = doc_vecs.sparkSession
+    ship_package(spark)
     n_queries, dim = shape or query_shape(query_vecs)
     if dim == 0:
         return spark.createDataFrame([], HIT_SCHEMA)
