@@ -8,10 +8,10 @@ whose count is at most ``queries x k``, are joined to the document payload:
 * the result side is broadcast (its size is checked by the caller) and the
   payload is streamed past it;
 * for a small result set (at most ``LOOKUP_ROWS_LIMIT`` rows) the results are
-  checkpointed, their distinct keys (a bounded list) are pushed into the
-  payload scan as ``doc_id IN (...)``, and file and row-group statistics skip
-  everything else: an interactive query reads a few row groups, not the
-  corpus.
+  written once under the checkpoint directory, their distinct keys (a
+  bounded list) are pushed into the payload scan as ``doc_id IN (...)``, and
+  file and row-group statistics skip everything else: an interactive query
+  reads a few row groups, not the corpus.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.session import checkpoint_dir, write_parquet
+from quarry.session import scratch_path, write_parquet
 
 PAYLOAD_COLUMNS = ("title", "summary", "url", "date")
 LOOKUP_ROWS_LIMIT = 1024
@@ -47,8 +47,8 @@ def with_payload(results: DataFrame, payload_table: DataFrame, key: str = "doc_i
     """
     payload = payload_table.select(F.col(key).alias("doc_id"), *PAYLOAD_COLUMNS)
     if lookup:
-        checkpoint_dir(results.sparkSession)
-        results = results.checkpoint()
+        spark = results.sparkSession
+        results = write_parquet(results, scratch_path(spark, "results"))
         ids = [r["doc_id"] for r in results.select("doc_id").distinct()
                .limit(LOOKUP_ROWS_LIMIT + 1).collect()]
         if len(ids) <= LOOKUP_ROWS_LIMIT:

@@ -26,7 +26,7 @@ from quarry.operators.evaluate import (
 from quarry.operators.fusion import fuse, fused_top_k
 from quarry.params import DEFAULT_DEPTH_FACTOR, METHODS, check_method, check_weights
 from quarry.plans.search import SearchEngine
-from quarry.session import checkpoint_dir
+from quarry.session import scratch_path, write_parquet
 
 EXAMPLE_TOP_K = 3
 
@@ -39,17 +39,22 @@ def method_runs(engine: SearchEngine, queries: DataFrame, query_vectors: DataFra
     A ranked list at depth d holds the list at any k <= d as its prefix (the
     order is total and the text normaliser is the rank-1 score), so the text
     and vector lists are computed once, at the hybrid candidate depth when
-    hybrid is asked for, and checkpointed (at most queries x depth rows each);
+    hybrid is asked for, and written as small tables (at most queries x depth
+    rows each);
     every method reads them. Hybrid scores are the rounded (4 places) scores
     a caller sees.
     """
-    checkpoint_dir(queries.sparkSession)
+    spark = queries.sparkSession
     depth = depth_factor * k if "hybrid" in methods else k
     text = vector = None
+    # Written once under the checkpoint directory (one computation each; a
+    # reliable checkpoint of an uncached plan would compute it twice).
     if "text" in methods or "hybrid" in methods:
-        text = engine.text_ranked(queries, depth).checkpoint()
+        text = write_parquet(engine.text_ranked(queries, depth),
+                             scratch_path(spark, "runs-text"))
     if "vector" in methods or "hybrid" in methods:
-        vector = engine.vector_ranked(query_vectors, depth).checkpoint()
+        vector = write_parquet(engine.vector_ranked(query_vectors, depth),
+                               scratch_path(spark, "runs-vector"))
     runs = None
     for m in methods:
         check_method(m)
