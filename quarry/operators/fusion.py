@@ -32,11 +32,15 @@ def _tagged(ranked: DataFrame, src: int) -> DataFrame:
 def fuse(text: DataFrame, vector: DataFrame, weights: Weights) -> DataFrame:
     """E5 + F1: ``(query_id, doc_id, fused, score_type, src, src_rank)``.
 
-    One aggregation over the union (a single shuffle): the best score of
+    One aggregation over the union (one shuffle, shared with the ranking
+    window): the best score of
     each list per document, weighted and added (text first, as the
     insertion order of the merge has it; a missing side adds nothing).
     """
-    both = _tagged(text, TEXT_SRC).unionByName(_tagged(vector, VECTOR_SRC))
+    # Clustered by query once: the (query, document) aggregation and the
+    # ranking window of fused_top_k both keep this partitioning.
+    both = (_tagged(text, TEXT_SRC).unionByName(_tagged(vector, VECTOR_SRC))
+            .repartition("query_id"))
     grouped = both.groupBy("query_id", "doc_id").agg(
         F.max(F.when(F.col("src") == TEXT_SRC, F.col("score"))).alias("t"),
         F.max(F.when(F.col("src") == VECTOR_SRC, F.col("score"))).alias("v"),
