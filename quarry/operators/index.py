@@ -17,7 +17,9 @@ task, so the per-(query, document) score sum of a query batch is complete
 inside the task and needs no shuffle; only a per-task top-k per query is
 shuffled. The term partitions let dynamic partition pruning skip files of
 term buckets that hold none of the batch's terms. The number of term
-buckets grows with the corpus (one per 8M tokens, at most 256).
+buckets is chosen so that each postings file (one per document bucket and
+term bucket) holds about 256 MB: enough buckets to prune, never a flood of
+small files (at most 64).
 
 IDF: ``idf0 = ln(N - df + 0.5) - ln(df + 0.5)``; negative values are
 replaced by ``epsilon * mean(idf0)`` over all terms.
@@ -37,8 +39,10 @@ from quarry.functions.text import split_tokens
 from quarry.params import BM25_B, BM25_EPSILON, BM25_K1
 from quarry.session import BROADCAST_ROW_LIMIT, scratch_path, write_parquet
 
-MAX_TERM_BUCKETS = 256
-TOKENS_PER_TERM_BUCKET = 8_000_000
+MAX_TERM_BUCKETS = 64
+# Rough size of one compressed posting row, and the postings file size aimed at.
+POSTING_BYTES_PER_TOKEN = 10
+TARGET_FILE_BYTES = 256 << 20
 TOKENS_PER_DOC_BUCKET = 4_000_000
 
 
@@ -139,6 +143,13 @@ def doc_bucket_count(spark: SparkSession, total_tokens: int) -> int:
     return max(1, lower, min(upper, math.ceil(total_tokens / TOKENS_PER_DOC_BUCKET)))
 
 
+def term_bucket_count(total_tokens: int, n_doc_buckets: int) -> int:
+    """Term buckets such that each (document bucket, term bucket) file holds
+    about ``TARGET_FILE_BYTES`` of postings; between 1 and 64."""
+    estimate = total_tokens * POSTING_BYTES_PER_TOKEN
+    return max(1, min(MAX_TERM_BUCKETS, estimate // (n_doc_buckets * TARGET_FILE_BYTES)))
+
+
 def write_postings(postings: DataFrame, location: str, n_doc_buckets: int,
                    clustered: bool = False) -> DataFrame:
     """Write postings bucketed by ``doc_id``, partitioned by ``tbucket``.
@@ -241,8 +252,7 @@ def build_index(corpus: DataFrame, path: str | None = None, key: str = "doc_id",
         path + "/terms")
     small_vocabulary = n_terms <= BROADCAST_ROW_LIMIT
     idf_side = F.broadcast(term_table) if small_vocabulary else term_table
-    n_buckets = n_buckets or max(1, min(MAX_TERM_BUCKETS,
-                                        math.ceil(total / TOKENS_PER_TERM_BUCKET)))
+    n_buckets = n_buckets or term_bucket_count(total, n_doc_buckets)
     weight = bm25_weight("tf", "dl", "idf", avgdl, k1, b) if avgdl > 0 else F.lit(0.0)
     postings = tf.join(idf_side.select("term", "idf"), "term").select(
         "term", "doc_id", "tf", "dl", weight.alias("weight"),

@@ -122,3 +122,24 @@ def test_direct_formula_on_random_corpus(spark, tmp_out):
     expected = sorted(scores.items(), key=lambda x: (-round(x[1], 9), x[0]))[:k]
     top = expected[0][1]
     check(rows, [(d, s, s / top if top != 0 else s) for d, s in expected])
+
+
+def test_term_buckets_do_not_change_results(spark, tmp_out):
+    """Several term partitions (pruned per batch) give the same lists as one."""
+    import random
+
+    rnd = random.Random(11)
+    vocab = [f"t{i}" for i in range(40)]
+    docs = {i: " ".join(rnd.choice(vocab) for _ in range(rnd.randint(0, 15)))
+            for i in range(1, 120)}
+    q = spark.createDataFrame([(1, "t1 t2 t3"), (2, "t39"), (3, "zz"), (4, "t5 t5 t7")],
+                              "query_id long, query string")
+    out = []
+    for buckets in (1, 4):
+        idx = build_index(corpus(spark, docs), path=f"{tmp_out}/idx{buckets}", n_parts=3,
+                          n_buckets=buckets)
+        assert idx.stats.n_buckets == buckets
+        rows = text_top_k(idx, q, query_terms(q, NO_STOP), 6).collect()
+        out.append(sorted((r["query_id"], r["rank"], r["doc_id"], round(r["raw"], 9))
+                          for r in rows))
+    assert out[0] == out[1]
