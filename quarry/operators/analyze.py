@@ -39,7 +39,12 @@ class Analyzer:
     stopwords: tuple[str, ...] = ALL_STOPWORDS
 
     def document_tokens(self, text) -> Column:
-        return drop_stopwords(tokenize(basic_clean(text)), self.stopwords)
+        return self.cleaned_tokens(basic_clean(text))
+
+    def cleaned_tokens(self, cleaned) -> Column:
+        """Document tokens of text that went through the basic clean already
+        (the clean is idempotent, so this equals ``document_tokens``)."""
+        return drop_stopwords(tokenize(cleaned), self.stopwords)
 
     def query_tokens(self, text) -> Column:
         return keep_letter_tokens(drop_stopwords(tokenize(as_text(text)), self.stopwords))
@@ -93,9 +98,11 @@ def prepare_documents(raw: DataFrame, analyzer: Analyzer = DEFAULT_ANALYZER,
     """Prepared corpus: key, id (= url), date, url, cleaned title / summary /
     text, and the analysed ``*_processed`` strings (tokens joined by a space).
 
-    The analysed fields start from the raw text (the analyzer cleans itself).
+    Each field is cleaned once; the analysis tokenises the cleaned column (a
+    second projection, which Spark keeps separate because the cleaned value
+    is used twice) instead of cleaning the raw text a second time.
     """
-    return raw.select(
+    cleaned = raw.select(
         F.col(key),
         as_text("url").alias("id"),
         as_text("date").alias("date"),
@@ -103,9 +110,12 @@ def prepare_documents(raw: DataFrame, analyzer: Analyzer = DEFAULT_ANALYZER,
         basic_clean("title").alias("title"),
         basic_clean("summary").alias("summary"),
         basic_clean("text").alias("text"),
-        join_tokens(analyzer.document_tokens("title")).alias("title_processed"),
-        join_tokens(analyzer.document_tokens("summary")).alias("summary_processed"),
-        join_tokens(analyzer.document_tokens("text")).alias("text_processed"),
+    )
+    return cleaned.select(
+        "*",
+        join_tokens(analyzer.cleaned_tokens("title")).alias("title_processed"),
+        join_tokens(analyzer.cleaned_tokens("summary")).alias("summary_processed"),
+        join_tokens(analyzer.cleaned_tokens("text")).alias("text_processed"),
     )
 
 
