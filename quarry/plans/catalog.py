@@ -69,17 +69,16 @@ def q_basic_clean(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_doc_tokens(spark: SparkSession, d: str) -> DataFrame:
-    docs = _documents(spark, d)
-    toks = tokenize(basic_clean("text"))
-    return docs.select("doc_id", F.size(toks).cast("long").alias("n_tokens"),
-                       join_tokens(toks).alias("tokens"))
+    toks = _documents(spark, d).select("doc_id", tokenize(basic_clean("text")).alias("t"))
+    return toks.select("doc_id", F.size("t").cast("long").alias("n_tokens"),
+                       join_tokens("t").alias("tokens"))
 
 
 def q_doc_terms(spark: SparkSession, d: str) -> DataFrame:
-    docs = _documents(spark, d)
-    terms = DEFAULT_ANALYZER.document_tokens("text")
-    return docs.select("doc_id", F.size(terms).cast("long").alias("n_terms"),
-                       join_tokens(terms).alias("terms"))
+    terms = _documents(spark, d).select(
+        "doc_id", DEFAULT_ANALYZER.document_tokens("text").alias("t"))
+    return terms.select("doc_id", F.size("t").cast("long").alias("n_terms"),
+                        join_tokens("t").alias("terms"))
 
 
 def q_query_terms(spark: SparkSession, d: str) -> DataFrame:
