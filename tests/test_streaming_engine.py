@@ -96,3 +96,14 @@ def test_small_batch_term_filter_gives_same_rows(spark, engine):
     assert "In(term" in plan or "term IN" in plan     # pushed into the postings scan
     plan = single._jdf.queryExecution().executedPlan().toString()
     assert "In(doc_id" in plan or "doc_id IN" in plan  # key lookup in the payload scan
+
+
+def test_nested_results_keep_rank_order(spark, engine):
+    from quarry.plans.search import nest_results
+
+    q = tables.benchmark_queries(spark, SF_SMALL).where(F.col("query_id") < 3)
+    nested = {r["query_id"]: r["results"] for r in nest_results(engine.text(q, 4)).collect()}
+    assert sorted(nested) == [0, 1, 2]
+    for items in nested.values():
+        assert [i["rank"] for i in items] == [1, 2, 3, 4]
+        assert items[0]["score"] == pytest.approx(1.0, abs=1e-12)
