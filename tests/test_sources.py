@@ -20,6 +20,7 @@ LINES = [
     '{"url": "u4", "date": "d", "title": "T", "summary": "S"',
     "7",
     '{"url": "u5", "url": "u6", "date": "d", "title": "T", "summary": "S", "text": "X"}',
+    '{"url": "u7", "date": "d", "title": "T", "summary": NaN, "text": "X"}',
 ]
 
 
@@ -38,7 +39,7 @@ def test_tolerant_scan(spark, tmp_out):
     assert g["u1"]["doc_id"] < g["u2"]["doc_id"]
     reasons = sorted(r["reason"] for r in rejects.collect())
     assert reasons == sorted(["missing field title", "malformed", "malformed", "malformed",
-                              "not an object", "malformed"])
+                              "not an object", "malformed", "malformed"])
 
 
 def test_strict_scan_fails_on_bad_line(spark, tmp_out):
