@@ -33,7 +33,7 @@ def main():
     for rep in reps:
         base = scratch_path(spark, f"scale-{rep}")
         copies = (raw.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(rep - 1))))
-                  .withColumn("doc_id", F.col("doc_id") + F.col("_copy") * 1_000_000_000)
+                  .withColumn("doc_id", F.col("doc_id") + F.col("_copy").cast("long") * 1_000_000_000)
                   .drop("_copy"))
         t0 = time.time()
         corpus = build_corpus(copies, base + "/corpus")
