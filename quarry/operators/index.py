@@ -19,7 +19,8 @@ shuffled. The term partitions let dynamic partition pruning skip files of
 term buckets that hold none of the batch's terms. The number of term
 buckets is chosen so that each postings file (one per document bucket and
 term bucket) holds about 256 MB: enough buckets to prune, never a flood of
-small files (at most 64).
+small files (at most 64). Within each file rows are sorted by term, so a
+pushed-down term filter skips row groups as well.
 
 IDF: ``idf0 = ln(N - df + 0.5) - ln(df + 0.5)``; negative values are
 replaced by ``epsilon * mean(idf0)`` over all terms.
