@@ -3,9 +3,15 @@
 from __future__ import annotations
 
 from quarry.llm.bpe import op1_bpe
+from quarry.llm.records import op4_token_records
+from quarry.llm.rules import OP10_SQL, op10_quality_rules
 
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op4_token_records": op4_token_records,
+    "op10_quality_rules": op10_quality_rules,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op10_quality_rules": OP10_SQL,
+}
