@@ -5,13 +5,18 @@ from __future__ import annotations
 from quarry.llm.bpe import op1_bpe
 from quarry.llm.records import op4_token_records
 from quarry.llm.rules import OP10_SQL, op10_quality_rules
+from quarry.llm.simhash import op6_simhash
+from quarry.llm.warc import OP9_SQL, op9_warc
 
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op4_token_records": op4_token_records,
+    "op6_simhash": op6_simhash,
+    "op9_warc": op9_warc,
     "op10_quality_rules": op10_quality_rules,
 }
 
 SQL: dict[str, str] = {
+    "op9_warc": OP9_SQL,
     "op10_quality_rules": OP10_SQL,
 }
