@@ -6,10 +6,12 @@ from quarry.llm.bpe import op1_bpe
 from quarry.llm.records import op4_token_records
 from quarry.llm.rules import OP10_SQL, op10_quality_rules
 from quarry.llm.simhash import op6_simhash
+from quarry.llm.substrings import op3_suffix_dedup
 from quarry.llm.warc import OP9_SQL, op9_warc
 
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_token_records": op4_token_records,
     "op6_simhash": op6_simhash,
     "op9_warc": op9_warc,
