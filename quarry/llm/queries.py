@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from quarry.llm.bpe import op1_bpe
+from quarry.llm.iblt import op2_fingerprints
 from quarry.llm.records import op4_token_records
 from quarry.llm.rules import OP10_SQL, op10_quality_rules
 from quarry.llm.simhash import op6_simhash
@@ -11,6 +12,7 @@ from quarry.llm.warc import OP9_SQL, op9_warc
 
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op2_fingerprints": op2_fingerprints,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_token_records": op4_token_records,
     "op6_simhash": op6_simhash,
