@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from quarry.llm.bpe import op1_bpe
 from quarry.llm.iblt import op2_fingerprints
+from quarry.llm.packing import op8_packing
 from quarry.llm.records import op4_token_records
 from quarry.llm.rules import OP10_SQL, op10_quality_rules
 from quarry.llm.simhash import op6_simhash
@@ -16,6 +17,7 @@ QUERIES = {
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_token_records": op4_token_records,
     "op6_simhash": op6_simhash,
+    "op8_packing": op8_packing,
     "op9_warc": op9_warc,
     "op10_quality_rules": op10_quality_rules,
 }
