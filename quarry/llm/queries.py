@@ -7,6 +7,7 @@ from quarry.llm.iblt import op2_fingerprints
 from quarry.llm.packing import op8_packing
 from quarry.llm.records import op4_token_records
 from quarry.llm.rules import OP10_SQL, op10_quality_rules
+from quarry.llm.secrets import op5_secrets
 from quarry.llm.simhash import op6_simhash
 from quarry.llm.substrings import op3_suffix_dedup
 from quarry.llm.warc import OP9_SQL, op9_warc
@@ -16,6 +17,7 @@ QUERIES = {
     "op2_fingerprints": op2_fingerprints,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_token_records": op4_token_records,
+    "op5_secrets": op5_secrets,
     "op6_simhash": op6_simhash,
     "op8_packing": op8_packing,
     "op9_warc": op9_warc,
