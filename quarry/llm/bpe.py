@@ -6,8 +6,8 @@ shuffle. See ``wordbpe`` for the method.
 
 Defined results: null or empty text gives no ids and the empty text; any
 length of text or word works (long words are not memoised); repeated rows are
-encoded alike; an empty table gives an empty table; all other columns stay,
-and an output name that is already taken raises ``ValueError``.
+encoded alike; an empty table gives an empty table; other columns stay, and
+one that has an output's name is replaced by it.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import documents, python_ready, whole_text
+from quarry.llm.common import cleared, documents, python_ready, whole_text
 from quarry.llm.wordbpe import WordBpe
 
 _LOADED: dict[bytes, WordBpe] = {}
@@ -49,17 +49,11 @@ def id_lists(blocks: list[bytes]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))
 
 
-def _free(df: DataFrame, *names: str) -> None:
-    taken = {c.lower() for c in df.columns} & {n.lower() for n in names}
-    if taken:
-        raise ValueError(f"output columns already exist: {sorted(taken)}")
-
-
 def encode(df: DataFrame, vocab_path: str, text: str = "text", ids: str = "ids",
            decoded: str | None = None) -> DataFrame:
     """``df`` with the ids of ``text``; with ``decoded``, also what they decode to."""
     spark = df.sparkSession
-    _free(df, ids, *([decoded] if decoded else []))
+    df = cleared(df, [ids, *([decoded] if decoded else [])], [text])
     python_ready(spark)
     vocab = share(spark, vocab_path)
     schema = df.select("*", F.lit(None).cast("array<int>").alias(ids)).schema
@@ -85,7 +79,7 @@ def encode(df: DataFrame, vocab_path: str, text: str = "text", ids: str = "ids",
 def decode(df: DataFrame, vocab_path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """``df`` with the text that ``ids`` decode to (null ids: empty text)."""
     spark = df.sparkSession
-    _free(df, text)
+    df = cleared(df, [text], [ids])
     python_ready(spark)
     vocab = share(spark, vocab_path)
     schema = df.select("*", F.lit("").alias(text)).schema

@@ -42,6 +42,12 @@ def whole_text(col: str | Column = "text") -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit("")).cast("string")
 
 
+def cleared(df: DataFrame, outputs, inputs=()) -> DataFrame:
+    """``df`` without columns that have an output's name: outputs replace them."""
+    names = {n.lower() for n in outputs} - {n.lower() for n in inputs}
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in names])
+
+
 def python_ready(spark: SparkSession) -> None:
     """Before Python runs in tasks: ship the package, bound Arrow batches."""
     ship_package(spark)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from quarry.llm.bpe import op1_bpe
+from quarry.llm.cotraining import op7_quality_classifier
 from quarry.llm.iblt import op2_fingerprints
 from quarry.llm.packing import op8_packing
 from quarry.llm.records import op4_token_records
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_token_records": op4_token_records,
     "op5_secrets": op5_secrets,
     "op6_simhash": op6_simhash,
+    "op7_quality_classifier": op7_quality_classifier,
     "op8_packing": op8_packing,
     "op9_warc": op9_warc,
     "op10_quality_rules": op10_quality_rules,

@@ -11,8 +11,8 @@ eight words are told apart by 64-bit hashes within one text.
 
 Defined results: null or empty text has no words and fails the base rule;
 ratios over no words or lines are 0; very long texts are measured whole;
-repeated rows get equal results; other columns of any name stay; a measure's
-name that is already taken raises ``ValueError``.
+repeated rows get equal results; other columns stay, and one that has an
+output's name is replaced by it.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import documents, whole_text
+from quarry.llm.common import cleared, documents, whole_text
 
 BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -131,9 +131,7 @@ def without(text: Column, characters: str) -> Column:
 def apply_rules(df: DataFrame, text: str = "text",
                 thresholds: tuple[Threshold, ...] = THRESHOLDS) -> DataFrame:
     """``df`` with all measures, ``base_failed`` and ``kept``."""
-    taken = {c.lower() for c in df.columns} & {*MEASURES, "_words", "_lines", "_text"}
-    if taken:
-        raise ValueError(f"output columns already exist: {sorted(taken)}")
+    df = cleared(df, [*MEASURES, "_words", "_lines", "_text", "_capitals", "_stops"], [text])
     t = F.col("_text")
     trimmed = F.btrim(t, F.lit(BLANKS))
     measured = df.withColumn("_text", whole_text(text)).select(

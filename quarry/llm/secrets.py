@@ -20,7 +20,7 @@ they follow from the lengths of the pieces between matches.
 Defined results: null or empty text has no spans; very long texts and runs are
 scanned whole; repeated rows get equal results; without any samples the models
 are uniform and add no span; an empty table gives an empty table; other
-columns stay, and an output name that is already taken raises ``ValueError``.
+columns stay, and one that has an output's name is replaced by it.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import documents, whole_text
+from quarry.llm.common import cleared, documents, whole_text
 from quarry.llm.rules import let
 
 # The base patterns and least lengths of the contract.
@@ -146,9 +146,7 @@ def random_spans(text: Column, base: Column, candidates: Column, model: list[flo
 def scan(df: DataFrame, model: list[float], text: str = "text") -> DataFrame:
     """``df`` with ``base`` and ``secrets``: sorted arrays of (start, kind, end)."""
     work = {f"_{n}": n for n in ("t", "assign", "values", "access", "hex", "candidates")}
-    taken = {c.lower() for c in df.columns} & {"base", "secrets", *work}
-    if taken:
-        raise ValueError(f"output columns already exist: {sorted(taken)}")
+    df = cleared(df, ["base", "secrets", *work], [text])
     t = F.col("_t")
 
     def every(pattern: str, group: int = 0) -> Column:

@@ -67,17 +67,20 @@ def fingerprint(text: str, shingle: int = SHINGLE_WORDS) -> int:
 
 def fingerprints(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
                  shingle: int = SHINGLE_WORDS) -> DataFrame:
-    """(doc_id, fp): the 64 bits as a signed long."""
+    """(doc_id, text_hash, fp): the 64 bits as a signed long."""
     python_ready(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(t, shingle) for t in batch.column(1).to_pylist()],
+            found = np.array([fingerprint(t, shingle) for t in batch.column(2).to_pylist()],
                              dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(found)], ["doc_id", "text_hash", "fp"])
 
-    rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), whole_text(text).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    whole = whole_text(text)
+    rows = df.select(F.col(doc_id).cast("long").alias("doc_id"),
+                     F.xxhash64(whole).alias("text_hash"), whole.alias("text"))
+    return rows.mapInArrow(run, "doc_id long, text_hash long, fp long")
 
 
 def block_masks(blocks: int, differ: int) -> list[int]:
@@ -182,7 +185,10 @@ def components(edges: DataFrame, name: str = "stars") -> DataFrame:
 
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
                     shingle: int = SHINGLE_WORDS, differ: int = MAX_BITS) -> DataFrame:
-    """(doc_id, fp, component_id) of every row."""
+    """(doc_id, text_hash, fp, root, component_id) of every row.
+
+    ``root`` is a fingerprint that names the component.
+    """
     prints = staged(fingerprints(df, doc_id, text, shingle), "fingerprints")
     classes = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
     stars = components(near_links(classes.select("fp"), differ))
@@ -190,8 +196,16 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
         "fp", "least", F.coalesce("root", "fp").alias("root"))
     rooted = staged(rooted, "rooted")
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = staged(rooted.join(ids, "root").select("fp", "component_id"), "named")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = staged(rooted.join(ids, "root").select("fp", "root", "component_id"), "named")
+    return prints.join(named, "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
+
+
+def keepers(found: DataFrame) -> DataFrame:
+    """(doc_id, text_hash) of one row per component of ``near_duplicates``: that
+    of the smallest id, a null one only where there is no other."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "text_hash"))
+    return found.groupBy("root").agg(first.alias("first")).select(
+        "first.doc_id", "first.text_hash")
 
 
 def hex64(fp: Column) -> Column:

@@ -30,7 +30,8 @@ execution may split. Texts are shuffled once, to meet their spans.
 Defined results: null or empty text has no bytes; texts of under 100 bytes
 keep all; rows of equal id and text count as one document and get the same
 result, rows of equal id and other text are ordered by a hash of the text, and
-null ids come first; an empty table gives an empty table.
+null ids come first; an empty table gives an empty table; other columns stay,
+and one that has an output's name is replaced by it.
 """
 
 from __future__ import annotations
@@ -44,7 +45,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import documents, python_ready, staged, whole_text
+from quarry.llm.common import cleared, documents, python_ready, staged, whole_text
 from quarry.llm.deepshallow import sort_with_prefixes
 
 WINDOW = 100            # bytes of a repeated string
@@ -380,11 +381,14 @@ def merged(spans: list[dict]) -> list[tuple[int, int]]:
 OUTPUT = {"kept": "binary", "removed": "array<struct<lo:bigint,hi:bigint>>"}
 
 
-def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``df`` with ``kept`` (the bytes left) and ``removed`` (maximal byte ranges)."""
-    taken = {c.lower() for c in df.columns} & {*OUTPUT, "_doc", "_th", "_spans"}
-    if taken:
-        raise ValueError(f"output columns already exist: {sorted(taken)}")
+def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
+                   as_text: bool = False) -> DataFrame:
+    """``df`` with ``kept`` (the bytes left) and ``removed`` (maximal byte ranges).
+
+    With ``as_text``, ``kept`` is a string; characters that lost some of their
+    bytes to a range are left out.
+    """
+    df = cleared(df, [*OUTPUT, "_doc", "_th", "_spans"], [doc_id, text])
     python_ready(df.sparkSession)
     texts = keyed(df, doc_id, text)
     spans = repeated_spans(texts).select(
@@ -395,7 +399,8 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     met = whole.join(spans, ["_doc", "_th"], "left").select(*df.columns, "_spans")
     at = df.columns.index(text)
     schema = met.drop("_spans").select(
-        "*", *[F.lit(None).cast(kind).alias(name) for name, kind in OUTPUT.items()]).schema
+        "*", F.lit(None).cast("string" if as_text else "binary").alias("kept"),
+        F.lit(None).cast(OUTPUT["removed"]).alias("removed")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
@@ -407,8 +412,12 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
                 cuts = [0, *(x for r in ranges for x in r), len(data)]
                 kept.append(b"".join(data[a:b] for a, b in zip(cuts[::2], cuts[1::2], strict=True)))
                 removed.append([{"lo": a, "hi": b} for a, b in ranges])
+            if as_text:
+                kept = pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string())
+            else:
+                kept = pa.array(kept, pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(kept, pa.binary()), pa.array(removed, kind)],
+                [*batch.columns[:-1], kept, pa.array(removed, kind)],
                 [*batch.schema.names[:-1], *OUTPUT])
 
     return met.mapInArrow(run, schema)
