@@ -21,7 +21,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import cleared, documents, python_ready, whole_text
+from quarry.llm.common import cleared, documents, map_batches, python_ready, whole_text
 from quarry.llm.wordbpe import WordBpe
 
 _LOADED: dict[bytes, WordBpe] = {}
@@ -73,7 +73,7 @@ def encode(df: DataFrame, vocab_path: str, text: str = "text", ids: str = "ids",
                 names.append(decoded)
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return df.mapInArrow(run, schema)
+    return map_batches(df, run, schema)
 
 
 def decode(df: DataFrame, vocab_path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -92,7 +92,7 @@ def decode(df: DataFrame, vocab_path: str, ids: str = "ids", text: str = "decode
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, text])
 
-    return df.mapInArrow(run, schema)
+    return map_batches(df, run, schema)
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

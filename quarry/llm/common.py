@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from quarry.session import scratch_path, ship_package
 
@@ -42,10 +43,28 @@ def whole_text(col: str | Column = "text") -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit("")).cast("string")
 
 
+def columns(df: DataFrame) -> list[Column]:
+    """All columns of ``df``, whatever characters their names have."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
+def map_batches(df: DataFrame, run, schema: StructType) -> DataFrame:
+    """``mapInArrow`` for any column names (it can't resolve names with dots)."""
+    inner = StructType([StructField(f"c{i}", f.dataType, True) for i, f in enumerate(schema)])
+
+    def renamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in run(batches):
+            yield pa.RecordBatch.from_arrays(batch.columns, inner.names)
+
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    return plain.mapInArrow(renamed, inner).toDF(*schema.names)
+
+
 def cleared(df: DataFrame, outputs, inputs=()) -> DataFrame:
     """``df`` without columns that have an output's name: outputs replace them."""
     names = {n.lower() for n in outputs} - {n.lower() for n in inputs}
-    return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in names])
+    return df.select(*[x for c, x in zip(df.columns, columns(df), strict=True)
+                       if c.lower() not in names])
 
 
 def python_ready(spark: SparkSession) -> None:

@@ -36,12 +36,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import cleared, documents, python_ready, table, whole_text
+from quarry.llm.common import cleared, documents, map_batches, python_ready, table, whole_text
 
 SAMPLE = 8000       # labelled rows used
 POOL = 8000         # unlabelled rows used
 WORDS = 256         # telling words
 MIN_SUPPORT = 5     # documents of the sample that have a telling word
+MIN_CHI = 15.0      # chi-square of a telling word at least (chance: 1 in 10,000)
 ROUNDS = 3
 PER_ROUND = 400     # pseudo-labels of each class from each view and round
 CONFIDENT = 0.95
@@ -225,8 +226,8 @@ def telling_words(rows: DataFrame, limit: int = WORDS) -> list[str]:
     share = good / n
     counts = judged.select(F.explode(words).alias("word"), "y").groupBy("word").agg(
         F.count(F.lit(1)).alias("n"), F.sum("y").alias("good")).where(F.col("n") >= MIN_SUPPORT)
-    chi = (F.col("good") - F.col("n") * share) ** 2 / F.col("n")
-    found = counts.select("word", chi.alias("chi")).orderBy(F.desc("chi"), "word").limit(limit)
+    chi = (F.col("good") - F.col("n") * share) ** 2 / (F.col("n") * share * (1 - share))
+    found = counts.select("word", chi.alias("chi")).where(F.col("chi") >= MIN_CHI).orderBy(F.desc("chi"), "word").limit(limit)
     return [r.word for r in found.collect()]
 
 
@@ -294,7 +295,7 @@ def score(df: DataFrame, model: Model | None) -> DataFrame:
                  pa.array(sigmoid(own.meta.log_odds(meta))), pa.array(good),
                  pa.array(good >= KEEP_FROM)], [*batch.schema.names, *added])
 
-    return df.mapInArrow(run, schema)
+    return map_batches(df, run, schema)
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import cleared, documents, whole_text
+from quarry.llm.common import cleared, columns, documents, whole_text
 
 BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -141,7 +141,7 @@ def apply_rules(df: DataFrame, text: str = "text",
         F.filter(F.split(t, "\n", -1), lambda x: F.btrim(x, F.lit(BLANKS)) != "").alias("_lines"))
     bare = F.char_length(without(t, BLANKS))
     measured = measured.select(
-        *df.columns,
+        *columns(df),
         F.size("_words").cast("long").alias("n_words"),
         bare.cast("long").alias("word_chars"),
         (F.char_length(t) - F.char_length(without(t, SYMBOLS))).cast("long").alias("n_symbols"),

@@ -45,7 +45,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import cleared, documents, python_ready, staged, whole_text
+from quarry.llm.common import cleared, columns, documents, map_batches, python_ready, staged, whole_text
 from quarry.llm.deepshallow import sort_with_prefixes
 
 WINDOW = 100            # bytes of a repeated string
@@ -396,7 +396,7 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
     whole = df.withColumns({
         "_doc": F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)),
         "_th": F.xxhash64(whole_text(text))})
-    met = whole.join(spans, ["_doc", "_th"], "left").select(*df.columns, "_spans")
+    met = whole.join(spans, ["_doc", "_th"], "left").select(*columns(df), "_spans")
     at = df.columns.index(text)
     schema = met.drop("_spans").select(
         "*", F.lit(None).cast("string" if as_text else "binary").alias("kept"),
@@ -420,7 +420,7 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 [*batch.columns[:-1], kept, pa.array(removed, kind)],
                 [*batch.schema.names[:-1], *OUTPUT])
 
-    return met.mapInArrow(run, schema)
+    return map_batches(met, run, schema)
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,0 +1,137 @@
+import hashlib
+import random
+import re
+import base64
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+import quarry.llm.rules as R
+import quarry.llm.secrets as S
+from tests.conftest import SF_SMALL
+from tests.llm.helpers import clashing, documents, odd_rows, texts
+
+ASSIGN = re.compile(
+    r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+
+
+def base(t):
+    out = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(t or "") if len(m[2]) >= 6]
+    out += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", t or "") if len(m[0]) >= 20]
+    out += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", t or "") if len(m[0]) >= 24]
+    return sorted(out)
+
+
+@pytest.fixture(scope="module")
+def model(spark):
+    return S.train(S.labelled_samples(spark.read.parquet(f"{SF_SMALL}/documents.parquet")))
+
+
+def test_base_spans(spark, model):
+    rng = random.Random(2)
+    parts = ["token", "Secret", "passwd", "api_key", "APIKEY", ":", "=", " = ", '"', "'", " ", "é😀",
+             "abcde", "abcdef", "AKIA", "ABCDEF0123456789", "0123456789abcdef", "ff", "\n", ".", "-"]
+    cases = ["".join(rng.choices(parts, k=rng.randint(0, 25))) for _ in range(400)]
+    cases += ["secret: token: abcdef", "token=token=token=tokens", None, "", "a" * 100_000]
+    df = spark.createDataFrame(list(enumerate(cases)), "i int, text string")
+    for r in S.scan(clashing(df, "base", "Secrets", "_t"), model).collect():
+        assert [tuple(x) for x in r.base] == base(cases[r.i]), cases[r.i]
+        assert {tuple(x) for x in r.base} <= {tuple(x) for x in r.secrets}
+
+
+def test_models_tell_held_out_strings_apart(spark, model):
+    rng = random.Random(9)
+    random_ones = [base64.b64encode(rng.randbytes(27)).decode() for _ in range(100)]
+    random_ones += ["".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", k=32)) for _ in range(50)]
+    words = re.findall("[a-z]{4,}", " ".join(
+        r.text for r in spark.read.parquet(f"{SF_SMALL}/documents.parquet").collect()))
+    plain = ["_".join(rng.sample(words, 4)) for _ in range(100)]
+    plain += ["".join(rng.choices("0123456789", k=24)) for _ in range(50)]
+    plain += ["https/www/example/com/path/to/page", "-" * 30, "a" * 40, "getUserAccountByName"]
+    df = spark.createDataFrame([(s, 1) for s in random_ones] + [(s, 0) for s in plain], "s string, y int")
+    rows = df.select("y", (S.score(F.col("s"), model) > S.THRESHOLD).cast("int").alias("p")).collect()
+    assert sum(r.y != r.p for r in rows) <= 3
+
+
+def test_redaction(spark, model):
+    cases = ['é token="abcdefg" and 0123456789abcdef01234567!', "token = 0123456789abcdef01234567", "none", "", None]
+    df = spark.createDataFrame(list(enumerate(cases)), "i int, text string")
+    got = {r.i: r.text for r in S.redact(df, model).collect()}
+    assert got == {0: 'é [SECRET]" and [SECRET]!', 1: "[SECRET]", 2: "none", 3: "", 4: ""}
+
+
+def test_scan_odd_and_empty(spark, model):
+    assert S.scan(documents(spark, odd_rows()), model).where("size(secrets) > 0").count() == 0
+    empty = documents(spark, [])
+    flat = S.train(S.labelled_samples(empty).where("false"))
+    assert S.scan(empty, flat).count() == 0 and set(flat) == {0.0}
+
+
+def test_scan_plan_is_native(spark, model):
+    plan = S.scan(documents(spark, odd_rows()), model)._jdf.queryExecution().toString()
+    assert not re.search("Python|Arrow|Pandas", plan)
+
+
+def test_op5_whole_table(spark):
+    docs = {d.doc_id: d.text for d in spark.read.parquet(f"{SF_SMALL}/documents.parquet").collect()}
+    rows = S.op5_secrets(spark, SF_SMALL).collect()
+    assert len(rows) == len(docs)
+    for r in rows:
+        want = base(docs[r.doc_id])
+        text = ",".join(f"{S.KINDS[k]}:{s}:{e}" for s, k, e in want)
+        assert r.base_sha256 == hashlib.sha256(text.encode()).hexdigest()
+        assert [r.n_assign, r.n_access, r.n_hex] == [sum(k == j for _, k, _ in want) for j in range(3)]
+        assert set(filter(None, text.split(","))) <= set(r.spans.split(","))
+
+
+def measures(t):
+    t = t or ""
+    words = re.findall(r"[^\x20\x09-\x0D]+", t)
+    grams = [" ".join(words[i:i + 8]) for i in range(len(words) - 7)]
+    covered = {j for i, g in enumerate(grams) if grams.count(g) > 1 for j in range(i, i + 8)}
+    lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    n = len(words)
+    return (n, sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)),
+            len(covered), n < 20 or 100 * len(covered) > 30 * n)
+
+
+def test_rules_against_brute_force(spark):
+    rng = random.Random(4)
+    cases = texts(6, 30) + ["a b c d e f g h " * 3, "x " * 50, "l 1\nl 1\n \n\nl 1", None, "", "\x85\xa0 #*$%&|<>"]
+    cases += [" ".join(rng.choices("abc", k=rng.randint(5, 90))) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(cases)), "i int, text string")
+    for r in R.apply_rules(clashing(df, "kept", "N_words")).collect():
+        got = (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed)
+        assert got == measures(cases[r.i]), cases[r.i]
+
+
+def test_rules_odd_rows_and_table(spark):
+    rows = {(r.doc_id, r.text): r for r in R.apply_rules(documents(spark, odd_rows())).collect()}
+    assert rows[1, None].base_failed and not rows[2, ""].kept
+    assert rows[5, "word " * 30_000].n_repeat_words == 30_000
+    assert R.apply_rules(documents(spark, [])).count() == 0
+    only = (R.Threshold("n_words", 5, 5),)
+    kept = R.apply_rules(documents(spark, odd_rows()), thresholds=only)
+    assert kept.where("kept").count() == 0 and kept.where("n_words = 5").count() == 3
+
+
+def test_rules_plan_is_native(spark):
+    plan = R.apply_rules(documents(spark, odd_rows()))._jdf.queryExecution().toString()
+    assert not re.search("Python|Arrow|Pandas|Exchange", plan)
+
+
+def test_op10_sql_agrees(spark):
+    got = R.op10_quality_rules(spark, SF_SMALL).toPandas().sort_values("doc_id")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF_SMALL}/documents.parquet'")
+    want = con.execute(R.OP10_SQL).df().sort_values("doc_id")
+    assert got.values.tolist() == want[list(got.columns)].values.tolist()
+
+
+def test_rules_keep_clean_documents(spark):
+    labels = spark.read.parquet(f"{SF_SMALL}/labels.parquet")
+    rows = R.op10_quality_rules(spark, SF_SMALL).join(labels, "doc_id")
+    clean = rows.where("quality = 1 AND toxic = 0 AND NOT base_failed")
+    assert clean.where("NOT kept").count() == 0
+    assert rows.where("quality = 0 AND kept").count() <= 0.1 * rows.where("quality = 0").count() + 1
