@@ -75,6 +75,12 @@ def main() -> None:
         times[name] = round(min(samples), 3)
         medians[name] = round(statistics.median(samples), 3)
 
+    # One short query per call, as a user at a prompt would run it.
+    words = spark.createDataFrame([(i, " ".join(r["query"].split()[:3])) for i, r in enumerate(
+        q.orderBy("query_id").limit(5).collect())], "query_id long, query string")
+    single = [timed(lambda i=i: run(eng.text(words.where(f"query_id = {i}"), 10)))
+              for i in range(5)]
+
     total = round(sum(times.values()), 3)
     out = {
         "metric": "search_batch_seconds",
@@ -83,6 +89,7 @@ def main() -> None:
         "queries": times,
         "queries_median": medians,
         "per_query_ms": {k: round(1000 * v / max(1, n_queries), 2) for k, v in times.items()},
+        "single_query_seconds_median": round(statistics.median(single), 3),
         "build_seconds": round(build, 3),
         "n_queries": n_queries,
         "avg_query_terms": round(n_query_terms / max(1, n_queries), 1),

@@ -24,8 +24,10 @@ EXTRA_WHITESPACE = (
 )
 # Characters kept by the basic clean besides letters, digits, "_" and spaces.
 KEPT_PUNCTUATION = ".,!?\\-'«»"
-# Word tokens, optionally joined by - ' or . ; else a single punctuation mark.
-TOKEN_PATTERN = r"[\p{L}\p{N}_]+(?:[-'.][\p{L}\p{N}_]+)*|[.,!?«»'-]"
+# Numbers with inner commas or points; word tokens, optionally joined by - ' or . ;
+# an ellipsis; else a single punctuation mark.
+TOKEN_PATTERN = (r"\p{N}+(?:[.,]\p{N}+)+|[\p{L}\p{N}_]+(?:[-'.][\p{L}\p{N}_]+)*"
+                 r"|\.\.\.|[.,!?«»'-]")
 LETTER_PATTERN = r"\p{L}"
 # --- end of fixed values ----------------------------------------------------
 

@@ -3,9 +3,9 @@ G2, H1).
 
 Plan of :func:`text_top_k`:
 
-1. ``hits``: query terms (broadcast when their size is within bounds) join
-   the postings on ``(tbucket, term)``; ``sum(qtf * weight)`` per (query,
-   document). Only postings of query terms are read (dynamic partition
+1. ``hits``: query terms get their IDF from the term table and (broadcast
+   when their size is within bounds) join the postings on ``(tbucket, term)``;
+   ``sum(qtf * idf * part)`` per (query, document). Only postings of query terms are read (dynamic partition
    pruning on the term bucket), and since postings are bucketed by document
    the sum is complete inside each task: no shuffle of (query, document)
    pairs, however many documents a query hits.
@@ -44,19 +44,17 @@ PAD_CHUNK = 65_536
 
 def bm25_hits(index: Bm25Index, qterms: DataFrame,
               max_broadcast_rows: int = BROADCAST_ROW_LIMIT,
-              broadcast_terms: bool | None = None,
-              literal_terms: list[str] | None = None) -> DataFrame:
+              broadcast_terms: bool | None = None) -> DataFrame:
     """D5 + E1: ``(query_id, doc_id, raw)`` for documents holding at least one
     query term.
 
     ``broadcast_terms``: the caller's size decision for the query terms; when
     ``None`` their rows are counted here against ``max_broadcast_rows``.
-    ``literal_terms``: for a small batch, its distinct terms, pushed into the
-    Parquet scan as ``term IN (...)`` (row groups of other terms are skipped).
     """
     qt = (qterms.where(F.length("term") > 0)
           .withColumn("tbucket", term_bucket("term", index.stats.n_buckets)))
-    qt = qt.where(F.col("query_id").isNotNull())
+    qt = qt.where(F.col("query_id").isNotNull()).join(
+        index.terms.select("term", "idf"), "term")
     if broadcast_terms is None:
         qt, _, _ = bounded_broadcast(qt, max_broadcast_rows)
     elif broadcast_terms:
@@ -64,11 +62,9 @@ def bm25_hits(index: Bm25Index, qterms: DataFrame,
     # Explicit null filters: every consumer of the hits (ranking, counts,
     # anti join) then plans the identical subtree and the exchange is reused.
     postings = index.postings.where(F.col("doc_id").isNotNull())
-    if literal_terms is not None:
-        postings = postings.where(F.col("term").isin(list(literal_terms)))
     joined = postings.join(qt, ["tbucket", "term"])
     return (joined.groupBy("query_id", "doc_id")
-            .agg(F.sum(F.col("qtf").cast("double") * F.col("weight")).alias("raw")))
+            .agg(F.sum(F.col("qtf").cast("double") * (F.col("idf") * F.col("part"))).alias("raw")))
 
 
 def pad_candidates(index: Bm25Index, query_ids: DataFrame, hits: DataFrame, k: int) -> DataFrame:
@@ -127,10 +123,9 @@ def normalize_by_top(ranked: DataFrame, raw: str = "raw", out: str = "score") ->
 
 def text_top_k(index: Bm25Index, queries: DataFrame, qterms: DataFrame, k: int,
                pad: bool = True, max_broadcast_rows: int = BROADCAST_ROW_LIMIT,
-               broadcast_terms: bool | None = None,
-               literal_terms: list[str] | None = None) -> DataFrame:
+               broadcast_terms: bool | None = None) -> DataFrame:
     """J1 core: ``(query_id, rank, doc_id, raw, score)``, at most k rows per query."""
-    hits = bm25_hits(index, qterms, max_broadcast_rows, broadcast_terms, literal_terms)
+    hits = bm25_hits(index, qterms, max_broadcast_rows, broadcast_terms)
     query_ids = queries.select("query_id")
     if not pad:
         ranked = rank_top_k(hits, k)

@@ -12,8 +12,11 @@ hashing of the analysed tokens) for environments without a model.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,10 +25,19 @@ from quarry.session import ship_package
 _WORKER_ENCODERS: dict = {}
 
 
-def _encoder(factory):
-    # Tasks unpickle their own copy of the factory: key on its declared
-    # identity so that one encoder serves every task of the worker.
-    key = getattr(factory, "cache_key", None) or id(factory)
+def encoder_key(factory):
+    """Identity of an encoder by content: its declared ``cache_key`` with its
+    class, or a digest of its pickled form (an object's address may be reused
+    by another one)."""
+    declared = getattr(factory, "cache_key", None)
+    if declared is not None:
+        return type(factory).__qualname__, declared
+    return hashlib.sha256(cloudpickle.dumps(factory)).hexdigest()
+
+
+def _encoder(factory, key):
+    # Tasks unpickle their own copy of the factory: one encoder per key
+    # serves every task of the worker.
     enc = _WORKER_ENCODERS.get(key)
     if enc is None:
         enc = factory()
@@ -44,9 +56,10 @@ def encode(df: DataFrame, factory, text_col: str = "text", key: str = "doc_id",
     """``(key, embedding array<float>)`` for every row of ``df``."""
     ship_package(df.sparkSession)
     key_type = dict(df.dtypes)[key]
+    identity = encoder_key(factory)
 
     def run(batches):
-        enc = _encoder(factory)
+        enc = _encoder(factory, identity)
         for pdf in batches:
             texts = pdf[text_col].fillna("").astype(str).tolist()
             mat = np.asarray(enc(texts), dtype=np.float32).reshape(len(texts), -1)
@@ -59,8 +72,10 @@ def encode(df: DataFrame, factory, text_col: str = "text", key: str = "doc_id",
 
 
 class HashingEncoder:
-    """Factory of a signed feature-hashing encoder over lower-cased word
-    tokens (xxhash of the token; sign from one bit)."""
+    """Factory of a signed feature-hashing encoder over lower-cased ASCII word
+    tokens: of a token's MD5, the first eight hex digits pick the component
+    and the ninth the sign. The whole batch is hashed once per distinct token
+    and summed by numpy."""
 
     def __init__(self, dim: int = 64):
         self.dim = dim
@@ -69,17 +84,20 @@ class HashingEncoder:
     def __call__(self):
         import re
 
-        import xxhash
-
-        word = re.compile(r"\w+")
+        word = re.compile(r"[a-z0-9]+")
         dim = self.dim
 
         def run(texts):
+            tokens = [word.findall(t.lower()) for t in texts]
+            known = {}
+            for t in {t for row in tokens for t in row}:
+                h = hashlib.md5(t.encode("ascii")).hexdigest()
+                known[t] = (int(h[:8], 16) % dim, 1.0 if int(h[8], 16) >= 8 else -1.0)
             out = np.zeros((len(texts), dim), dtype=np.float64)
-            for i, t in enumerate(texts):
-                for tok in word.findall(t.lower()):
-                    h = xxhash.xxh64_intdigest(tok)
-                    out[i, h % dim] += 1.0 if (h >> 63) & 1 else -1.0
+            for i, row in enumerate(tokens):
+                if row:
+                    at, sign = zip(*map(known.__getitem__, row))
+                    out[i] = np.bincount(at, weights=sign, minlength=dim)
             return out
 
         return run

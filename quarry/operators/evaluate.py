@@ -51,7 +51,7 @@ def top_documents(runs: DataFrame, corpus: DataFrame, key: str = "doc_id") -> Da
     (first 50 characters and ``...``)."""
     first = runs.where(F.col("rank") == 1).select("method", "query_id", "doc_id", "score")
     titles = corpus.select(F.col(key).alias("doc_id"), snippet("title", 50).alias("title"))
-    return titles.join(F.broadcast(first), "doc_id").select(
+    return titles.join(first, "doc_id").select(
         "method", "query_id", "doc_id", "score", "title")
 
 

@@ -6,9 +6,11 @@ Tables of an index:
 * ``docs(doc_id, doc_ord, dl)``: one row per document, empty ones included
   (they count in N); ``doc_ord`` is the 0-based position in key order.
 * ``terms(term, df, idf)``: document frequency and the floored IDF.
-* ``postings(term, doc_id, tf, dl, weight, tbucket)``: one row per (term,
-  document) with the document's full BM25 contribution per query occurrence,
-  ``weight = idf * tf (k1 + 1) / (tf + k1 (1 - b + b dl / avgdl))``.
+* ``postings(term, doc_id, tf, dl, part, tbucket)``: one row per (term,
+  document) with the document's own share of a BM25 contribution,
+  ``part = tf (k1 + 1) / (tf + k1 (1 - b + b dl / avgdl))``. The IDF is
+  attached to the query terms at search time, so the build needs no join on
+  terms.
 
 Layout of ``postings``: a catalog table over files under the index path,
 partitioned on disk by ``tbucket = pmod(xxhash64(term), n_term_buckets)`` and
@@ -19,8 +21,8 @@ shuffled. The term partitions let dynamic partition pruning skip files of
 term buckets that hold none of the batch's terms. The number of term
 buckets is chosen so that each postings file (one per document bucket and
 term bucket) holds about 256 MB: enough buckets to prune, never a flood of
-small files (at most 64). Within each file rows are sorted by term, so a
-pushed-down term filter skips row groups as well.
+small files. Document buckets follow from the token count alone. Within each
+file rows are sorted by term.
 
 IDF: ``idf0 = ln(N - df + 0.5) - ln(df + 0.5)``; negative values are
 replaced by ``epsilon * mean(idf0)`` over all terms.
@@ -32,15 +34,13 @@ import math
 import uuid
 from dataclasses import asdict, dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.text import split_tokens
 from quarry.params import BM25_B, BM25_EPSILON, BM25_K1
-from quarry.session import BROADCAST_ROW_LIMIT, scratch_path, write_parquet
+from quarry.session import scratch_path, write_parquet
 
-MAX_TERM_BUCKETS = 64
 # Rough size of one compressed posting row, and the postings file size aimed at.
 POSTING_BYTES_PER_TOKEN = 10
 TARGET_FILE_BYTES = 256 << 20
@@ -88,12 +88,12 @@ def floored_idf(idf0: Column, avg_idf: float, epsilon: float) -> Column:
     return F.when(idf0 < 0, F.lit(epsilon * avg_idf)).otherwise(idf0)
 
 
-def bm25_weight(tf, dl, idf, avgdl: float, k1: float, b: float) -> Column:
+def bm25_part(tf, dl, avgdl: float, k1: float, b: float) -> Column:
+    """The factor of a BM25 contribution that doesn't depend on the term's IDF."""
     tf_d = F.col(tf).cast("double") if isinstance(tf, str) else tf.cast("double")
     dl_d = F.col(dl).cast("double") if isinstance(dl, str) else dl.cast("double")
-    idf_c = F.col(idf) if isinstance(idf, str) else idf
     norm = F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * dl_d / F.lit(float(avgdl)))
-    return idf_c * (tf_d * F.lit(k1 + 1.0)) / (tf_d + norm)
+    return (tf_d * F.lit(k1 + 1.0)) / (tf_d + norm)
 
 
 def dense_order(docs: DataFrame, key: str, path: str, n_parts: int) -> DataFrame:
@@ -138,42 +138,32 @@ def _table_name() -> str:
 
 def doc_bucket_count(spark: SparkSession, total_tokens: int) -> int:
     """Buckets grow with the corpus (one per 4M tokens), at least the
-    cluster's parallelism, at most ``spark.sql.shuffle.partitions``."""
-    upper = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    lower = min(upper, spark.sparkContext.defaultParallelism)
-    return max(1, lower, min(upper, math.ceil(total_tokens / TOKENS_PER_DOC_BUCKET)))
+    cluster's parallelism."""
+    return max(1, spark.sparkContext.defaultParallelism,
+               math.ceil(total_tokens / TOKENS_PER_DOC_BUCKET))
 
 
 def term_bucket_count(total_tokens: int, n_doc_buckets: int) -> int:
     """Term buckets such that each (document bucket, term bucket) file holds
-    about ``TARGET_FILE_BYTES`` of postings; between 1 and 64."""
+    about ``TARGET_FILE_BYTES`` of postings, at least one. With document
+    buckets by tokens this is one; a caller that asks for fewer document
+    buckets gets more."""
     estimate = total_tokens * POSTING_BYTES_PER_TOKEN
-    return max(1, min(MAX_TERM_BUCKETS, estimate // (n_doc_buckets * TARGET_FILE_BYTES)))
+    return max(1, estimate // (n_doc_buckets * TARGET_FILE_BYTES))
 
 
-def write_postings(postings: DataFrame, location: str, n_doc_buckets: int,
-                   clustered: bool = False) -> DataFrame:
+def write_postings(postings: DataFrame, location: str, n_doc_buckets: int) -> DataFrame:
     """Write postings bucketed by ``doc_id``, partitioned by ``tbucket``.
 
-    The hash partitioning by ``doc_id`` (done here unless the input is
-    ``clustered`` that way already) is the bucketing hash, so each task holds
-    exactly one bucket and writes one file per term bucket. Files are
-    sorted by ``term``: row-group statistics then let a pushed-down term
-    filter of a small query batch skip most of each file. A catalog
-    that refuses tables gets plain Parquet partitioned by ``tbucket``
-    (scoring then shuffles the hits on (query, document)).
+    The input is hash-partitioned by ``doc_id`` into ``n_doc_buckets``, which
+    is the bucketing hash, so each task holds exactly one bucket and writes
+    one file per term bucket. A failed write raises.
     """
-    spark = postings.sparkSession
     name = _table_name()
-    if not clustered:
-        postings = postings.repartition(n_doc_buckets, "doc_id")
-    try:
-        (postings.write.mode("overwrite").format("parquet").option("path", location)
-         .partitionBy("tbucket").bucketBy(n_doc_buckets, "doc_id").sortBy("term")
-         .saveAsTable(name))
-        return spark.table(name)
-    except Exception:  # noqa: BLE001 - catalog without table support
-        return write_parquet(postings, location, partition_by=["tbucket"])
+    (postings.write.mode("overwrite").format("parquet").option("path", location)
+     .partitionBy("tbucket").bucketBy(n_doc_buckets, "doc_id").sortBy("term")
+     .saveAsTable(name))
+    return postings.sparkSession.table(name)
 
 
 def register_postings(spark: SparkSession, location: str, n_doc_buckets: int) -> DataFrame:
@@ -198,9 +188,8 @@ class Bm25Index:
     path: str
 
     def stats_frame(self) -> DataFrame:
-        """F8: one row of corpus statistics."""
-        spark = self.docs.sparkSession
-        return spark.createDataFrame([asdict(self.stats)])
+        """F8: one row of corpus statistics, as the build wrote them."""
+        return self.docs.sparkSession.read.parquet(self.path + "/stats")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> "Bm25Index":
@@ -217,52 +206,40 @@ def build_index(corpus: DataFrame, path: str | None = None, key: str = "doc_id",
                 n_parts: int | None = None) -> Bm25Index:
     """Build and persist the BM25 tables of ``corpus`` (J5, second half).
 
-    Jobs: (1) document lengths with dense order; (2) term frequencies,
-    persisted, and document frequencies; (3) two scalar aggregates (N,
-    avgdl; mean IDF) returned to the driver as numbers; (4) postings, joined
-    to the IDF table (broadcast when the vocabulary is within bounds) and
-    written bucketed by document, partitioned by term bucket.
+    Jobs: (1) document lengths, written once, and their dense order; (2) one
+    scalar aggregate (N, avgdl); (3) postings: one shuffle of the analysed
+    text by document, whose partitioning the aggregation and the bucketed
+    write keep; (4) document frequencies from the written postings, the mean
+    IDF, and the term table.
     """
     spark = corpus.sparkSession
     path = path or scratch_path(spark, "bm25-index")
-    if n_parts is None:
-        upper = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        n_parts = min(upper, max(spark.sparkContext.defaultParallelism,
-                                 corpus.rdd.getNumPartitions()))
+    n_parts = n_parts or max(spark.sparkContext.defaultParallelism,
+                             corpus.rdd.getNumPartitions())
 
     terms = doc_terms(corpus, key, text_col)
-    docs = dense_order(doc_lengths(terms), "doc_id", path, n_parts)
+    lengths = write_parquet(doc_lengths(terms), path + "/_lengths")
+    docs = dense_order(lengths, "doc_id", path, n_parts)
     agg = docs.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("t")).first()
     n_docs, total = int(agg["n"]), int(agg["t"])
     avgdl = total / n_docs if n_docs else 0.0
 
-    # One shuffle of the analysed text by document (the bucketing hash):
-    # the tf aggregation, the broadcast IDF join and the bucketed write all
-    # keep that partitioning, so (document, term) rows are never shuffled.
     n_doc_buckets = doc_bucket_count(spark, total)
+    n_buckets = n_buckets or term_bucket_count(total, n_doc_buckets)
+    part = bm25_part("tf", "dl", avgdl, k1, b) if avgdl > 0 else F.lit(0.0)
     by_doc = terms.repartition(n_doc_buckets, "doc_id")
-    tf = term_frequencies(by_doc).persist(StorageLevel.MEMORY_AND_DISK)
-    dfs = write_parquet(document_frequencies(tf), path + "/_df")
+    postings = write_postings(term_frequencies(by_doc).select(
+        "term", "doc_id", "tf", "dl", part.alias("part"),
+        term_bucket("term", n_buckets).alias("tbucket")), path + "/postings", n_doc_buckets)
+
+    dfs = write_parquet(document_frequencies(postings.select("term")), path + "/_df")
     idf0 = raw_idf("df", n_docs)
     agg = dfs.agg(F.count(F.lit(1)).alias("n"), F.avg(idf0).alias("a")).first()
     n_terms = int(agg["n"])
     avg_idf = float(agg["a"]) if agg["a"] is not None else 0.0
-
     term_table = write_parquet(
         dfs.select("term", "df", floored_idf(idf0, avg_idf, epsilon).alias("idf")),
         path + "/terms")
-    small_vocabulary = n_terms <= BROADCAST_ROW_LIMIT
-    idf_side = F.broadcast(term_table) if small_vocabulary else term_table
-    n_buckets = n_buckets or term_bucket_count(total, n_doc_buckets)
-    weight = bm25_weight("tf", "dl", "idf", avgdl, k1, b) if avgdl > 0 else F.lit(0.0)
-    postings = tf.join(idf_side.select("term", "idf"), "term").select(
-        "term", "doc_id", "tf", "dl", weight.alias("weight"),
-        term_bucket("term", n_buckets).alias("tbucket"))
-    # A broadcast join keeps the document partitioning; a shuffle join on
-    # term does not, and the write then re-clusters by document.
-    postings = write_postings(postings, path + "/postings", n_doc_buckets,
-                              clustered=small_vocabulary)
-    tf.unpersist()
 
     stats = IndexStats(n_docs=n_docs, total_tokens=total, avgdl=avgdl, n_terms=n_terms,
                        avg_idf=avg_idf, k1=k1, b=b, epsilon=epsilon, n_buckets=n_buckets,

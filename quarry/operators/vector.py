@@ -23,6 +23,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -89,9 +90,18 @@ class TopK:
         self.state = parts[0]
 
 
+def _checked(mat: np.ndarray) -> np.ndarray:
+    if not np.isfinite(mat).all():
+        raise ValueError("a vector has a component that is null, NaN or infinite")
+    return mat
+
+
 def _matrix(lists: pa.Array, dim: int) -> np.ndarray:
+    sizes = np.asarray(pc.list_value_length(lists))
+    if (sizes != dim).any():
+        raise ValueError(f"a vector has {sizes[sizes != dim][0]} components, expected {dim}")
     flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(-1, dim)
+    return _checked(flat.reshape(-1, dim))
 
 
 def _broadcast_scorer(bq, k: int, dim: int):
@@ -122,39 +132,52 @@ def _group_scorer(k: int, dim: int):
         if q.empty or d.empty:
             return pd.DataFrame({"query_id": [], "doc_id": [], "score": []})
         qids = q["id"].to_numpy(np.int64)
-        qmat = np.vstack(q["vec"].to_numpy()).astype(np.float64).reshape(-1, dim)
-        top = TopK(qmat, k)
+        top = TopK(_matrix(pa.array(q["vec"], pa.list_(pa.float64())), dim), k)
         top.add(d["id"].to_numpy(np.int64),
-                np.vstack(d["vec"].to_numpy()).astype(np.float64).reshape(-1, dim))
+                _matrix(pa.array(d["vec"], pa.list_(pa.float64())), dim))
         qcol, _, doc_ids, scores = top.state
         return pd.DataFrame({"query_id": qids[qcol], "doc_id": doc_ids, "score": scores})
     return run
 
 
 def query_shape(vectors: DataFrame, col: str = "embedding") -> tuple[int, int]:
-    """``(rows with a vector, dimension)`` in one aggregate job."""
+    """``(rows with a vector, dimension)`` in one aggregate job; vectors of
+    different lengths raise ``ValueError``."""
     row = vectors.where(F.size(col) > 0).agg(
-        F.count(F.lit(1)).alias("n"), F.max(F.size(col)).alias("d")).first()
+        F.count(F.lit(1)).alias("n"), F.min(F.size(col)).alias("least"),
+        F.max(F.size(col)).alias("d")).first()
+    if row["least"] != row["d"]:
+        raise ValueError(f"query vectors have {row['least']} to {row['d']} components")
     return int(row["n"]), int(row["d"] or 0)
 
 
+def document_dimension(vectors: DataFrame, col: str = "embedding") -> int:
+    """The length of the first document vector; tasks check all the others."""
+    row = vectors.where(F.size(col) > 0).select(F.size(col).alias("d")).first()
+    return int(row["d"]) if row else 0
+
+
 def vector_hits(doc_vecs: DataFrame, query_vecs: DataFrame, k: int,
                 max_query_bytes: int = MAX_QUERY_BYTES,
                 shape: tuple[int, int] | None = None) -> DataFrame:
     """Per-task top-k candidates ``(query_id, doc_id, score)``.
 
-    ``doc_vecs(doc_id, embedding)`` and ``query_vecs(query_id, embedding)``;
-    rows whose vector is null or of another dimension than the longest query
-    vector are ignored.
+    ``doc_vecs(doc_id, embedding)`` and ``query_vecs(query_id, embedding)``.
+    The document vectors set the dimension. Rows without a vector (null or
+    empty) are ignored; a vector of another length, or with a component that
+    isn't finite, raises ``ValueError``.
     """
     spark = doc_vecs.sparkSession
     ship_package(spark)
-    n_queries, dim = shape or query_shape(query_vecs)
-    if dim == 0:
+    n_queries, query_dim = shape or query_shape(query_vecs)
+    dim = document_dimension(doc_vecs)
+    if dim == 0 or n_queries == 0:
         return spark.createDataFrame([], HIT_SCHEMA)
-    docs = doc_vecs.where(F.size("embedding") == dim).select(
+    if query_dim != dim:
+        raise ValueError(f"query vectors have {query_dim} components, documents {dim}")
+    docs = doc_vecs.where(F.size("embedding") > 0).select(
         F.col("doc_id").cast("long"), "embedding")
-    queries = query_vecs.where(F.size("embedding") == dim).select(
+    queries = query_vecs.where(F.size("embedding") > 0).select(
         F.col("query_id").cast("long"), "embedding")
     if n_queries * dim * 8 <= max_query_bytes:
         table = queries.toArrow()

@@ -9,6 +9,7 @@ use the 1e-9 rank key.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +19,7 @@ from quarry.functions.vectors import l2_normalize
 from quarry.operators.analyze import DEFAULT_ANALYZER, query_terms
 from quarry.operators.bm25 import bm25_hits
 from quarry.operators.encoder import HashingEncoder, encode
-from quarry.operators.fusion import fuse
+from quarry.operators.fusion import fuse, url_aliases
 from quarry.operators.evaluate import counts, first_query_examples, metrics_at_k, top_documents
 from quarry.operators.index import doc_terms, term_frequencies
 from quarry.plans.engine import engine_for
@@ -35,6 +36,7 @@ STAT_DIGITS = 9
 TEXT_K = 10
 VECTOR_K = 10
 HYBRID_K = 5
+ENCODER_DIM = 64
 
 
 def _engine(spark, d):
@@ -96,11 +98,9 @@ def q_doc_length(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_corpus_stats(spark: SparkSession, d: str) -> DataFrame:
-    s = _engine(spark, d).index.stats
-    row = [(s.n_docs, s.total_tokens, round(s.avgdl, STAT_DIGITS), s.n_terms,
-            round(s.avg_idf, STAT_DIGITS))]
-    return spark.createDataFrame(
-        row, "n_docs long, total_tokens long, avgdl double, n_terms long, avg_idf double")
+    stats = _engine(spark, d).index.stats_frame()
+    return stats.select("n_docs", "total_tokens", F.round("avgdl", STAT_DIGITS).alias("avgdl"),
+                        "n_terms", F.round("avg_idf", STAT_DIGITS).alias("avg_idf"))
 
 
 def q_term_idf(spark: SparkSession, d: str) -> DataFrame:
@@ -150,6 +150,16 @@ def q_hybrid_search_w70_30(spark: SparkSession, d: str) -> DataFrame:
                                     weights={"bm25": 0.7, "vector": 0.3})
 
 
+def q_hybrid_search_shared_urls(spark: SparkSession, d: str) -> DataFrame:
+    """J3 where each two neighbouring documents have one URL."""
+    eng = _engine(spark, d)
+    shared = eng.corpus.select("doc_id", (F.col("doc_id") - F.col("doc_id") % 2)
+                               .cast("string").alias("url"))
+    eng = replace(eng, aliases=url_aliases(shared))
+    ranked = eng.hybrid_ranked(_queries(spark, d), _qvecs(spark, d), HYBRID_K)
+    return ranked.select("query_id", "rank", "doc_id", "score", "score_type")
+
+
 def q_hybrid_candidates(spark: SparkSession, d: str) -> DataFrame:
     """E5 + F1: the fused candidate list (depth 2k per side) before the cut."""
     eng = _engine(spark, d)
@@ -222,13 +232,15 @@ def q_corpus_counts(spark: SparkSession, d: str) -> DataFrame:
 def q_encode_documents(spark: SparkSession, d: str) -> DataFrame:
     """The encoder hook over the cleaned body of every document."""
     corpus = _engine(spark, d).corpus
-    return encode(corpus.select("doc_id", "text"), HashingEncoder(64), text_col="text",
-                  key="doc_id")
+    vectors = encode(corpus.select("doc_id", "text"), HashingEncoder(ENCODER_DIM),
+                     text_col="text", key="doc_id")
+    return vectors.select("doc_id", F.posexplode("embedding").alias("pos", "value")).withColumn(
+        "value", F.round(F.col("value").cast("double"), SCORE_DIGITS))
 
 
 def q_vector_search_encoded(spark: SparkSession, d: str) -> DataFrame:
     """C1 + C2 + J2: documents and queries embedded by the same encoder."""
-    eng = engine_for(spark, d, encoder=HashingEncoder(64))
+    eng = engine_for(spark, d, encoder=HashingEncoder(ENCODER_DIM))
     return _scored(eng.search(_queries(spark, d), "vector", VECTOR_K))
 
 
@@ -249,6 +261,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "vector_search": q_vector_search,
     "hybrid_search": q_hybrid_search,
     "hybrid_search_w70_30": q_hybrid_search_w70_30,
+    "hybrid_search_shared_urls": q_hybrid_search_shared_urls,
     "hybrid_candidates": q_hybrid_candidates,
     "hybrid_top1_by_depth": q_hybrid_top1_by_depth,
     "jsonl_scan": q_jsonl_scan,

@@ -7,10 +7,12 @@ from pyspark.sql import SparkSession
 
 from quarry.operators.analyze import DEFAULT_ANALYZER, Analyzer
 from quarry.operators.index import build_index
+from quarry.operators.encoder import encoder_key
+from quarry.operators.fusion import url_aliases
 from quarry.operators.payload import build_payload
 from quarry.plans.corpus import build_corpus, build_vectors, encode_corpus
 from quarry.plans.search import SearchEngine
-from quarry.session import scratch_path
+from quarry.session import scratch_path, write_parquet
 from quarry.sources import tables
 
 _ENGINES: dict = {}
@@ -27,7 +29,7 @@ def engine_for(spark: SparkSession, data_dir: str, analyzer: Analyzer = DEFAULT_
     same encoder then embeds the queries).
     """
     key = (spark.sparkContext.applicationId, data_dir.rstrip("/"), analyzer,
-           getattr(encoder, "cache_key", id(encoder)) if encoder is not None else None)
+           encoder_key(encoder) if encoder is not None else None)
     if cache and key in _ENGINES:
         return _ENGINES[key]
     if encoder is not None:
@@ -37,7 +39,7 @@ def engine_for(spark: SparkSession, data_dir: str, analyzer: Analyzer = DEFAULT_
                                 scratch_path(spark, "encoded-vectors"))
         engine = SearchEngine(corpus=base_engine.corpus, index=base_engine.index,
                               doc_vectors=vectors, analyzer=analyzer, encoder=encoder,
-                              payload=base_engine.payload)
+                              payload=base_engine.payload, aliases=base_engine.aliases)
         if cache:
             _ENGINES[key] = engine
         return engine
@@ -46,8 +48,9 @@ def engine_for(spark: SparkSession, data_dir: str, analyzer: Analyzer = DEFAULT_
     index = build_index(corpus, base + "/index")
     vectors = build_vectors(tables.embeddings(spark, data_dir), corpus, base + "/vectors")
     payload = build_payload(corpus, base + "/payload")
+    aliases = write_parquet(url_aliases(corpus), base + "/aliases")
     engine = SearchEngine(corpus=corpus, index=index, doc_vectors=vectors, analyzer=analyzer,
-                          payload=payload)
+                          payload=payload, aliases=aliases)
     if cache:
         _ENGINES[key] = engine
     return engine

@@ -18,7 +18,7 @@ from quarry.functions.text import (
     TOKEN_PATTERN,
 )
 from quarry.params import BM25_B, BM25_EPSILON, BM25_K1
-from quarry.plans.catalog import HYBRID_K, SCORE_DIGITS, STAT_DIGITS, TEXT_K, VECTOR_K
+from quarry.plans.catalog import ENCODER_DIM, HYBRID_K, SCORE_DIGITS, STAT_DIGITS, TEXT_K, VECTOR_K
 from quarry.sources.tables import FIXED_DATE, SUMMARY_CHARS, URL_PREFIX
 
 
@@ -296,3 +296,54 @@ WHERE r.query_id = (SELECT min(item_id) FROM benchmark) AND r.rank <= 3"""
 
 SQL["corpus_counts"] = """SELECT (SELECT count(*) FROM documents) AS n_documents,
        (SELECT count(*) FROM benchmark) AS n_queries"""
+
+SQL["hybrid_search_shared_urls"] = f"""WITH {INDEX}, {BENCH_Q}, {VECTORS},
+{hybrid_ctes('hu', HYBRID_K, 0.5, 0.5)},
+t AS (SELECT query_id, doc_id - doc_id % 2 AS m, max(score) AS score, min(rank) AS rank,
+             arg_min(doc_id, rank) AS doc_id FROM hu_t_top GROUP BY 1, 2),
+v AS (SELECT query_id, doc_id - doc_id % 2 AS m, max(score) AS score, min(rank) AS rank,
+             arg_min(doc_id, rank) AS doc_id FROM hu_v_top GROUP BY 1, 2),
+fused AS (
+  SELECT coalesce(t.query_id, v.query_id) AS query_id, coalesce(t.doc_id, v.doc_id) AS doc_id,
+         coalesce(t.score * 0.5, 0.0) + coalesce(v.score * 0.5, 0.0) AS fused,
+         CASE WHEN t.m IS NOT NULL AND v.m IS NOT NULL THEN 'hybrid'
+              WHEN t.m IS NOT NULL THEN 'bm25' ELSE 'vector' END AS score_type,
+         CASE WHEN t.m IS NOT NULL THEN 0 ELSE 1 END AS src, coalesce(t.rank, v.rank) AS src_rank
+  FROM t FULL OUTER JOIN v ON t.query_id = v.query_id AND t.m = v.m),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id
+                               ORDER BY {key('fused')} DESC, src, src_rank) AS rank FROM fused)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id, round(fused, 4) AS score, score_type
+FROM ranked WHERE rank <= {HYBRID_K}"""
+
+
+def encoded_cte(name: str, source: str, key_col: str, text: str) -> str:
+    """``name(key_col, embedding)``: signed feature hashing of the words'
+    MD5, scaled to unit length."""
+    return f"""{name}_words AS (
+  SELECT {key_col}, unnest(regexp_extract_all(lower({text}), '[a-z0-9]+')) AS w FROM {source}),
+{name}_sums AS (
+  SELECT {key_col}, CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) % {ENCODER_DIM} AS pos,
+         sum(CASE WHEN substr(md5(w), 9, 1) >= '8' THEN 1.0 ELSE -1.0 END)::DOUBLE AS x
+  FROM {name}_words GROUP BY 1, 2),
+{name}_grid AS (
+  SELECT s.{key_col}, g.pos, coalesce(x, 0.0) AS x
+  FROM (SELECT {key_col}, unnest(generate_series(0, {ENCODER_DIM - 1})) AS pos FROM {source}) g
+  JOIN {source} s USING ({key_col}) LEFT JOIN {name}_sums USING ({key_col}, pos)),
+{name}_unit AS (
+  SELECT {key_col}, pos, CAST(CASE WHEN n > 0 THEN x / n ELSE x END AS FLOAT) AS x
+  FROM (SELECT *, sqrt(sum(x * x) OVER (PARTITION BY {key_col})) AS n FROM {name}_grid)),
+{name} AS (SELECT {key_col}, list(x ORDER BY pos) AS embedding FROM {name}_unit GROUP BY 1)"""
+
+
+SQL["encode_documents"] = f"""WITH {RAW},
+body AS (SELECT doc_id, {clean('text')} AS body FROM raw),
+{encoded_cte('enc', 'body', 'doc_id', 'body')}
+SELECT doc_id, CAST(pos AS INTEGER) AS pos, round(CAST(x AS DOUBLE), {SCORE_DIGITS}) AS value
+FROM enc_unit"""
+
+SQL["vector_search_encoded"] = with_results(f"""{BENCH_Q},
+body AS (SELECT doc_id, {clean('text')} AS body FROM raw),
+{encoded_cte('dv', 'body', 'doc_id', 'body')},
+{encoded_cte('qv', 'bq', 'query_id', 'query')},
+{vector_topk_ctes('ve', VECTOR_K)}""", "ve_top")

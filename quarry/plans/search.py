@@ -18,7 +18,7 @@ from quarry.operators.analyze import DEFAULT_ANALYZER, Analyzer, query_terms
 from quarry.operators.bm25 import text_top_k
 from quarry.operators.fusion import fuse, fused_top_k
 from quarry.operators.index import Bm25Index
-from quarry.operators.payload import LOOKUP_ROWS_LIMIT, with_payload
+from quarry.operators.payload import bucket_count, with_payload
 from quarry.operators.vector import MAX_QUERY_BYTES, query_shape, vector_top_k
 from quarry.session import BROADCAST_ROW_LIMIT
 from quarry.params import (
@@ -29,9 +29,6 @@ from quarry.params import (
 )
 
 RESULT_COLUMNS = ("query_id", "rank", "doc_id", "title", "summary", "url", "date", "score")
-# A batch with at most this many analysed tokens has its distinct terms
-# pushed into the postings scan as a literal filter (a bounded list).
-LITERAL_TERMS_LIMIT = 1024
 
 
 @dataclass
@@ -46,14 +43,20 @@ class SearchEngine:
     key: str = "doc_id"
     max_query_bytes: int = MAX_QUERY_BYTES
     encoder: object | None = field(default=None, repr=False)
-    payload: DataFrame | None = None   # narrow, key-sorted (build_payload)
+    payload: DataFrame | None = None   # narrow, by key bucket (build_payload)
+    aliases: DataFrame | None = None   # (doc_id, merge_id) of shared URLs (url_aliases)
+    payload_buckets: int | None = None
+
+    def __post_init__(self) -> None:
+        if self.payload is not None and self.payload_buckets is None:
+            self.payload_buckets = bucket_count(self.payload)
 
     def _payload(self, ranked: DataFrame, rows: int, columns) -> DataFrame:
         """Payload join of ranked rows; ``rows`` bounds their count."""
         table = self.payload if self.payload is not None else self.corpus
         key = "doc_id" if self.payload is not None else self.key
         return with_payload(ranked, table, key, small_results=self._small(rows),
-                            lookup=rows <= LOOKUP_ROWS_LIMIT).select(*columns)
+                            n_buckets=self.payload_buckets).select(*columns)
 
     # -- size checks -------------------------------------------------------
     def query_bounds(self, queries: DataFrame) -> tuple[int, int]:
@@ -72,12 +75,8 @@ class SearchEngine:
                     bounds: tuple[int, int] | None = None) -> DataFrame:
         _, tokens = bounds or self.query_bounds(queries)
         qterms = query_terms(queries, self.analyzer, self.lemmas)
-        literal = None
-        if tokens <= LITERAL_TERMS_LIMIT:   # distinct terms <= tokens: bounded
-            literal = [r["term"] for r in qterms.select("term").distinct().collect()]
         return text_top_k(self.index, queries, qterms, k, pad=pad,
-                          broadcast_terms=self._small(tokens),
-                          literal_terms=literal).select(
+                          broadcast_terms=self._small(tokens)).select(
             "query_id", "rank", "doc_id", "score")
 
     def vector_ranked(self, query_vectors: DataFrame, k: int,
@@ -91,7 +90,7 @@ class SearchEngine:
         w = check_weights(weights)
         depth = depth_factor * k
         text = self.text_ranked(queries, depth, bounds=bounds)
-        fused = fuse(text, self.vector_ranked(query_vectors, depth), w)
+        fused = fuse(text, self.vector_ranked(query_vectors, depth), w, self.aliases)
         return fused_top_k(fused, k)
 
     def query_vectors_for(self, queries: DataFrame) -> DataFrame:
@@ -148,7 +147,15 @@ class SearchEngine:
             "query_id", "rank", "doc_id", "score")
 
 
-def nest_results(results: DataFrame) -> DataFrame:
-    """Optional nested form: one row per query with its ordered results."""
+def nest_results(results: DataFrame, queries: DataFrame | None = None) -> DataFrame:
+    """Optional nested form: one row per query with its ordered results.
+
+    With ``queries(query_id, ...)``, a query without hits has an empty list.
+    """
     item = F.struct("rank", "title", "summary", "url", "date", "score")
-    return results.groupBy("query_id").agg(F.array_sort(F.collect_list(item)).alias("results"))
+    nested = results.groupBy("query_id").agg(F.array_sort(F.collect_list(item)).alias("results"))
+    if queries is None:
+        return nested
+    empty = F.array().cast(nested.schema["results"].dataType)
+    return queries.select("query_id").join(nested, "query_id", "left").withColumn(
+        "results", F.coalesce("results", empty))

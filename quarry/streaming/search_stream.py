@@ -10,7 +10,6 @@ restarted query resume after the last committed batch.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from quarry.params import check_method, check_top_k
@@ -44,7 +43,8 @@ def start_search_stream(engine: SearchEngine, query_stream: DataFrame, output_pa
     def run(batch: DataFrame, batch_id: int) -> None:
         qv = vectors_for(batch) if vectors_for is not None and method != "text" else None
         out = search_batch(engine, batch, method, top_k, weights, qv)
-        out.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(output_path)
+        # A batch replayed after a failure replaces its own folder.
+        out.write.mode("overwrite").parquet(f"{output_path}/batch_id={batch_id}")
 
     writer = (query_stream.writeStream.foreachBatch(run)
               .option("checkpointLocation", checkpoint_location))

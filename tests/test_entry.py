@@ -9,6 +9,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from quarry.plans.catalog import QUERIES
+from quarry.plans.oracle import SQL
 from tests.conftest import SF_SMALL
 
 TABLES = ("documents embeddings pages benchmark labels").split()
@@ -45,11 +47,10 @@ def test_entry_runs(spark):
 
 def test_every_sql_key_is_a_query():
     assert set(E.oracle_sql()) <= set(E.queries())
-    assert set(E.queries()) - set(E.oracle_sql()) == {"encode_documents",
-                                                      "vector_search_encoded"}
+    assert set(SQL) == set(QUERIES) <= set(E.queries())
 
 
-@pytest.mark.parametrize("name", sorted(E.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query_matches_oracle(spark, duck, name):
     if not os.path.exists(SF_SMALL):
         pytest.skip("no test data")
@@ -60,9 +61,3 @@ def test_query_matches_oracle(spark, duck, name):
     d_rows = res.fetchall()
     assert sorted(s_cols) == sorted(d_cols)
     assert canon(s_cols, s_rows) == canon(d_cols, d_rows)
-
-
-def test_rows_only_queries(spark):
-    assert E.queries()["encode_documents"](spark, SF_SMALL).count() == 200
-    out = E.queries()["vector_search_encoded"](spark, SF_SMALL)
-    assert out.count() == 40 * 10

@@ -121,3 +121,58 @@ def test_encoder_hook_unit_rows(spark):
            encode(df, HashingEncoder(16)).collect()}
     assert np.linalg.norm(out[1]) == pytest.approx(1.0, abs=1e-6)
     assert np.linalg.norm(out[2]) == 0.0 and np.linalg.norm(out[3]) == 0.0
+
+
+VEC_SCHEMA = "doc_id long, embedding array<float>"
+QUERY_SCHEMA = "query_id long, embedding array<float>"
+
+
+@pytest.mark.parametrize("limit", [1 << 20, 8])
+@pytest.mark.parametrize("bad", [[float("nan"), 1.0], [float("inf"), 0.0], [1.0, None], [1.0]])
+def test_bad_document_vectors_raise(spark, bad, limit):
+    docs = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(20)] + [(99, bad)], VEC_SCHEMA)
+    queries = spark.createDataFrame([(1, [1.0, 0.5]), (2, [0.1, 0.5])], QUERY_SCHEMA)
+    with pytest.raises(Exception, match="component"):
+        vector_top_k(docs, queries, 5, max_query_bytes=limit).collect()
+
+
+def test_query_vectors_of_another_length_raise(spark):
+    docs = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(20)], VEC_SCHEMA)
+    for rows in ([(1, [1.0, 0.5]), (2, [1.0, 2.0, 3.0])], [(1, [1.0, 2.0, 3.0])]):
+        queries = spark.createDataFrame(rows, QUERY_SCHEMA)
+        with pytest.raises(ValueError, match="components"):
+            vector_top_k(docs, queries, 5)
+    none = spark.createDataFrame([(1, None), (2, [])], QUERY_SCHEMA)
+    assert vector_top_k(docs, none, 5).count() == 0
+
+
+def test_documents_of_one_url_are_one_row(spark):
+    from quarry.operators.fusion import url_aliases
+
+    corpus = spark.createDataFrame(
+        [(IDS[c], u) for c, u in zip("ABCDEFG", ["u1", "u1", "u2", "u3", None, "", "u3"])],
+        "doc_id long, url string")
+    aliases = url_aliases(corpus)
+    assert sorted(map(tuple, aliases.collect())) == [(IDS["B"], IDS["A"]), (IDS["G"], IDS["D"])]
+    f = fuse(ranked(spark, TEXT, 8), ranked(spark, VEC, 8), check_weights(None), aliases)
+    out = [(NAMES[r["doc_id"]], r["score"], r["score_type"])
+           for r in fused_top_k(f, 9).orderBy("rank").collect()]
+    assert out == [("D", 0.64, "hybrid"), ("A", 0.5, "bm25"), ("C", 0.4, "bm25"),
+                   ("E", 0.3, "vector"), ("F", 0.295, "vector")]
+
+
+def test_encoder_key_is_by_content():
+    from quarry.operators.encoder import encoder_key
+
+    keys = {encoder_key(lambda n=n: (lambda texts: np.full((len(texts), 2), n))) for n in range(50)}
+    assert len(keys) == 50
+    assert encoder_key(HashingEncoder(8)) == encoder_key(HashingEncoder(8)) != encoder_key(HashingEncoder(9))
+
+
+def test_numbers_and_ellipsis_are_one_token(spark):
+    from pyspark.sql import functions as F
+
+    from quarry.functions.text import tokenize
+
+    row = spark.range(1).select(tokenize(F.lit("10,5 x... v1.2 a, b 3,x")).alias("t")).first()
+    assert row["t"] == ["10,5", "x", "...", "v1.2", "a", ",", "b", "3", ",", "x"]

@@ -1,9 +1,9 @@
 """Sizing rules of the postings layout (document buckets, term buckets)."""
 
 from quarry.operators.index import (
-    MAX_TERM_BUCKETS,
     POSTING_BYTES_PER_TOKEN,
     TARGET_FILE_BYTES,
+    TOKENS_PER_DOC_BUCKET,
     doc_bucket_count,
     term_bucket_count,
 )
@@ -13,15 +13,12 @@ def test_term_buckets_target_file_size():
     assert term_bucket_count(3_424_166, 8) == 1                 # sf0.1: one bucket
     # 100 TB of text (about 2e13 tokens) over 20,000 document buckets:
     n = term_bucket_count(2 * 10**13, 20_000)
-    assert 1 < n <= MAX_TERM_BUCKETS
+    assert n > 1
     per_file = 2 * 10**13 * POSTING_BYTES_PER_TOKEN / (20_000 * n)
     assert per_file >= TARGET_FILE_BYTES                        # no flood of small files
-    assert term_bucket_count(10**18, 1) == MAX_TERM_BUCKETS
     assert term_bucket_count(0, 1) == 1
 
 
-def test_doc_buckets_between_parallelism_and_shuffle_partitions(spark):
-    upper = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    lower = min(upper, spark.sparkContext.defaultParallelism)
-    assert doc_bucket_count(spark, 0) == max(1, lower)
-    assert doc_bucket_count(spark, 10**15) == upper
+def test_doc_buckets_follow_tokens_not_session_settings(spark):
+    assert doc_bucket_count(spark, 0) == spark.sparkContext.defaultParallelism
+    assert doc_bucket_count(spark, 10**15) == 10**15 // TOKENS_PER_DOC_BUCKET

@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
@@ -45,7 +46,8 @@ def test_tolerant_scan(spark, tmp_out):
 def test_strict_scan_fails_on_bad_line(spark, tmp_out):
     path = tmp_out + "/raw.jsonl"
     write_lines(path, [GOOD, "not json"])
-    with pytest.raises((PySparkException, Exception)):
+    with pytest.raises((PySparkException, Py4JJavaError),
+                       match="MALFORMED_RECORD|Malformed records"):
         read_jsonl_strict(spark, path).collect()
     write_lines(path, [GOOD])
     assert read_jsonl_strict(spark, path).first()["url"] == "u1"
