@@ -53,26 +53,45 @@ class Analyzer:
 DEFAULT_ANALYZER = Analyzer()
 
 
-def lemmatize_tokens(df: DataFrame, key: str, tokens: str, lemmas: DataFrame,
-                     max_broadcast_rows: int = BROADCAST_ROW_LIMIT) -> DataFrame:
-    """Replace every token of ``df[tokens]`` by its lemma from ``lemmas(form, lemma)``.
-
-    Order and repeats are kept: tokens are exploded with their position,
-    joined to the lemma table (broadcast when its size is within bounds,
-    otherwise shuffled), and gathered back in position order per ``key``.
-    Rows whose array is empty are kept with an empty array.
+def lemmatize_columns(df: DataFrame, key: str, columns: list[str], lemmas: DataFrame,
+                      max_broadcast_rows: int = BROADCAST_ROW_LIMIT) -> DataFrame:
+    """Replace the tokens of several array columns by their lemmas from
+    ``lemmas(form, lemma)``.
+
+    Order and repeats are kept. Rows are partitioned by ``key`` once, the
+    tokens of all columns are exploded together with their column and
+    position, joined to the lemma table (broadcast when its size is within
+    bounds, which keeps the partitioning) and gathered once per ``key``.
+    Rows whose arrays are empty keep empty arrays.
     """
     table = lemmas.select(F.col("form"), F.col("lemma")).dropDuplicates(["form"])
     table, _, _ = bounded_broadcast(table, max_broadcast_rows)
-    exploded = df.select(key, F.posexplode_outer(tokens).alias("pos", "form"))
+    df = df.repartition(key)
+    none = F.array().cast("array<string>")
+
+    def marked(n: int, column: str) -> Column:
+        return F.transform(F.coalesce(F.col(column), none), lambda t, i: F.struct(
+            F.lit(n).alias("c"), i.alias("pos"), t.alias("form")))
+
+    def of(n: int) -> Column:
+        return F.transform(F.filter("_all", lambda x: x["c"] == n), lambda x: x["term"])
+
+    placed = F.concat(*[marked(n, c) for n, c in enumerate(columns)])
+    exploded = df.select(key, F.explode(placed).alias("t")).select(key, "t.*")
     mapped = exploded.join(table, "form", "left").select(
-        key, "pos", F.coalesce("lemma", "form").alias("term"))
+        key, "c", "pos", F.coalesce("lemma", "form").alias("term"))
     gathered = mapped.groupBy(key).agg(
-        F.array_sort(F.collect_list(F.when(F.col("term").isNotNull(), F.struct("pos", "term"))))
-        .alias("_pairs"))
-    out = gathered.select(key, F.transform("_pairs", lambda p: p["term"]).alias(tokens))
-    return df.drop(tokens).join(out, key, "left").withColumn(
-        tokens, F.coalesce(F.col(tokens), F.array().cast("array<string>")))
+        F.array_sort(F.collect_list(F.struct("c", "pos", "term"))).alias("_all"))
+    out = df.drop(*columns).join(gathered, key, "left")
+    for n, c in enumerate(columns):
+        out = out.withColumn(c, F.coalesce(of(n), none))
+    return out.drop("_all")
+
+
+def lemmatize_tokens(df: DataFrame, key: str, tokens: str, lemmas: DataFrame,
+                     max_broadcast_rows: int = BROADCAST_ROW_LIMIT) -> DataFrame:
+    """:func:`lemmatize_columns` of one column."""
+    return lemmatize_columns(df, key, [tokens], lemmas, max_broadcast_rows)
 
 
 def lemma_table(vocabulary: DataFrame, lemmatizer: Callable[[str], str],

@@ -14,7 +14,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.functions.text import basic_clean, join_tokens, tokenize
+from quarry.functions.text import basic_clean, join_tokens, split_tokens, tokenize
 from quarry.functions.vectors import l2_normalize
 from quarry.operators.analyze import DEFAULT_ANALYZER, query_terms
 from quarry.operators.bm25 import bm25_hits
@@ -37,6 +37,9 @@ TEXT_K = 10
 VECTOR_K = 10
 HYBRID_K = 5
 ENCODER_DIM = 64
+# A small lemma table over forms of the test corpus.
+LEMMAS = (("tion", "ti"), ("ing", "in"), ("ly", "li"), ("ble", "bl"), ("ou", "o"),
+          ("chen", "ch"), ("keit", "heit"), ("ment", "men"), ("ción", "cion"), ("aux", "au"))
 
 
 def _engine(spark, d):
@@ -87,6 +90,23 @@ def q_query_terms(spark: SparkSession, d: str) -> DataFrame:
     return query_terms(_queries(spark, d))
 
 
+def _lemma_engine(spark: SparkSession, d: str):
+    rows = ", ".join(f"('{f}', '{t}')" for f, t in LEMMAS)
+    return engine_for(spark, d, lemmas=spark.sql(f"SELECT * FROM VALUES {rows} AS t(form, lemma)"))
+
+
+def q_doc_terms_lemmas(spark: SparkSession, d: str) -> DataFrame:
+    """B6 + B9: analysed documents with lemmas."""
+    corpus = _lemma_engine(spark, d).corpus
+    return corpus.select("doc_id", F.size(split_tokens("text_processed")).cast("long")
+                         .alias("n_terms"), F.col("text_processed").alias("terms"))
+
+
+def q_text_search_lemmas(spark: SparkSession, d: str) -> DataFrame:
+    """B6 + B10 + J1: lemmas in documents and queries."""
+    return _scored(_lemma_engine(spark, d).text(_queries(spark, d), TEXT_K))
+
+
 # -- index statistics ---------------------------------------------------------
 def q_term_frequency(spark: SparkSession, d: str) -> DataFrame:
     corpus = _engine(spark, d).corpus
@@ -250,6 +270,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "doc_tokens": q_doc_tokens,
     "doc_terms": q_doc_terms,
     "query_terms": q_query_terms,
+    "doc_terms_lemmas": q_doc_terms_lemmas,
+    "text_search_lemmas": q_text_search_lemmas,
     "term_frequency": q_term_frequency,
     "doc_length": q_doc_length,
     "corpus_stats": q_corpus_stats,

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.text import join_tokens, split_tokens
-from quarry.operators.analyze import DEFAULT_ANALYZER, Analyzer, lemmatize_tokens, prepare_documents
+from quarry.operators.analyze import DEFAULT_ANALYZER, Analyzer, lemmatize_columns, prepare_documents
 from quarry.operators.index import Bm25Index, build_index
 from quarry.operators.vector import document_vectors
 from quarry.session import scratch_path, spread, write_parquet
@@ -33,11 +33,11 @@ def build_corpus(raw: DataFrame, path: str | None = None, analyzer: Analyzer = D
     spark = raw.sparkSession
     prepared = prepare_documents(spread(raw, key), analyzer, key)
     if lemmas is not None:
-        for c in PROCESSED_COLUMNS:
-            toks = prepared.select(key, split_tokens(c).alias("_tokens"))
-            lem = lemmatize_tokens(toks, key, "_tokens", lemmas)
-            prepared = prepared.drop(c).join(
-                lem.select(key, join_tokens("_tokens").alias(c)), key)
+        order = prepared.columns
+        arrays = prepared.withColumns({c: split_tokens(c) for c in PROCESSED_COLUMNS})
+        lemmatized = lemmatize_columns(arrays, key, list(PROCESSED_COLUMNS), lemmas)
+        prepared = lemmatized.withColumns(
+            {c: join_tokens(c) for c in PROCESSED_COLUMNS}).select(*order)
     return write_parquet(prepared, path or scratch_path(spark, "corpus"))
 
 

@@ -3,7 +3,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from quarry.operators.analyze import DEFAULT_ANALYZER, Analyzer
 from quarry.operators.index import build_index
@@ -20,37 +20,41 @@ _ENGINES: dict = {}
 
 def engine_for(spark: SparkSession, data_dir: str, analyzer: Analyzer = DEFAULT_ANALYZER,
                path: str | None = None, cache: bool = True,
-               encoder=None) -> SearchEngine:
+               encoder=None, lemmas: DataFrame | None = None) -> SearchEngine:
     """Corpus, index and vectors of ``data_dir``, written under ``path`` (by
     default a new folder in the checkpoint directory).
 
     Document vectors come from the ``embeddings`` table, or, when an encoder
     factory is given, from encoding the cleaned body of every document (the
-    same encoder then embeds the queries).
+    same encoder then embeds the queries). A ``lemmas(form, lemma)`` table is
+    applied to the documents here and to the queries of every search.
     """
     key = (spark.sparkContext.applicationId, data_dir.rstrip("/"), analyzer,
-           encoder_key(encoder) if encoder is not None else None)
+           encoder_key(encoder) if encoder is not None else None,
+           lemmas.semanticHash() if lemmas is not None else None)
     if cache and key in _ENGINES:
         return _ENGINES[key]
     if encoder is not None:
         # Same corpus and index; only the document vectors differ.
-        base_engine = engine_for(spark, data_dir, analyzer, path, cache)
+        base_engine = engine_for(spark, data_dir, analyzer, path, cache, lemmas=lemmas)
         vectors = encode_corpus(base_engine.corpus, encoder,
                                 scratch_path(spark, "encoded-vectors"))
         engine = SearchEngine(corpus=base_engine.corpus, index=base_engine.index,
                               doc_vectors=vectors, analyzer=analyzer, encoder=encoder,
-                              payload=base_engine.payload, aliases=base_engine.aliases)
+                              payload=base_engine.payload, aliases=base_engine.aliases,
+                              lemmas=lemmas)
         if cache:
             _ENGINES[key] = engine
         return engine
     base = path or scratch_path(spark, "engine")
-    corpus = build_corpus(tables.raw_documents(spark, data_dir), base + "/corpus", analyzer)
+    corpus = build_corpus(tables.raw_documents(spark, data_dir), base + "/corpus", analyzer,
+                          lemmas=lemmas)
     index = build_index(corpus, base + "/index")
     vectors = build_vectors(tables.embeddings(spark, data_dir), corpus, base + "/vectors")
     payload = build_payload(corpus, base + "/payload")
     aliases = write_parquet(url_aliases(corpus), base + "/aliases")
     engine = SearchEngine(corpus=corpus, index=index, doc_vectors=vectors, analyzer=analyzer,
-                          payload=payload, aliases=aliases)
+                          payload=payload, aliases=aliases, lemmas=lemmas)
     if cache:
         _ENGINES[key] = engine
     return engine

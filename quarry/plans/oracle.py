@@ -18,7 +18,7 @@ from quarry.functions.text import (
     TOKEN_PATTERN,
 )
 from quarry.params import BM25_B, BM25_EPSILON, BM25_K1
-from quarry.plans.catalog import ENCODER_DIM, HYBRID_K, SCORE_DIGITS, STAT_DIGITS, TEXT_K, VECTOR_K
+from quarry.plans.catalog import ENCODER_DIM, HYBRID_K, LEMMAS, SCORE_DIGITS, STAT_DIGITS, TEXT_K, VECTOR_K
 from quarry.sources.tables import FIXED_DATE, SUMMARY_CHARS, URL_PREFIX
 
 
@@ -347,3 +347,17 @@ body AS (SELECT doc_id, {clean('text')} AS body FROM raw),
 {encoded_cte('dv', 'body', 'doc_id', 'body')},
 {encoded_cte('qv', 'bq', 'query_id', 'query')},
 {vector_topk_ctes('ve', VECTOR_K)}""", "ve_top")
+
+
+def lemmatized(lst: str) -> str:
+    cases = " ".join(f"WHEN {lit(f)} THEN {lit(t)}" for f, t in LEMMAS)
+    return f"list_transform({lst}, lambda t: CASE t {cases} ELSE t END)"
+
+
+SQL["doc_terms_lemmas"] = f"""SELECT doc_id, CAST(len(t) AS BIGINT) AS n_terms,
+       array_to_string(t, ' ') AS terms
+FROM (SELECT doc_id, {lemmatized(doc_terms('text'))} AS t FROM documents)"""
+
+SQL["text_search_lemmas"] = SQL["text_search"].replace(
+    f"{doc_terms('text')} AS terms", f"{lemmatized(doc_terms('text'))} AS terms").replace(
+    f"unnest({query_terms_expr('query')})", f"unnest({lemmatized(query_terms_expr('query'))})")
