@@ -26,10 +26,11 @@ from quarry.plans.engine import engine_for
 from quarry.plans.evaluation import EXAMPLE_TOP_K, method_runs
 from quarry.plans.search import RESULT_COLUMNS
 from quarry.sources import tables
-from quarry.params import check_weights
-from quarry.sources.jsonl import classify_lines
-from quarry.session import spread
-from quarry.sources.sinks import id_mapping
+from quarry.params import METHODS, check_weights
+from quarry.sources.jsonl import classify_lines, read_jsonl_strict
+from quarry.session import scratch_path, spread
+from quarry.sources.queries import read_query_lines, reference_queries
+from quarry.sources.sinks import id_mapping, write_documents, write_embeddings, write_tables
 
 SCORE_DIGITS = 6
 STAT_DIGITS = 9
@@ -201,6 +202,77 @@ def q_jsonl_scan(spark: SparkSession, d: str) -> DataFrame:
         "url", "date", "title", "summary", "text")
 
 
+def q_jsonl_rejects(spark: SparkSession, d: str) -> DataFrame:
+    """A1 + B1 + B12 where every line but one in five is broken, lacks a field,
+    is no object, or has a null and a number for strings; what became of them."""
+    raw = tables.raw_documents(spark, d)
+    full = F.struct("url", "date", "title", "summary", "text")
+    kind = F.pmod("doc_id", F.lit(5))
+    whole = F.to_json(full)
+    line = (F.when(kind == 0, F.substring(whole, F.lit(1), F.length(whole) - 1))
+            .when(kind == 1, F.to_json(F.struct("url", "date", "title", "summary")))
+            .when(kind == 2, F.to_json(F.array("url")))
+            .when(kind == 3, F.to_json(
+                F.struct("url", "date", F.lit(None).cast("string").alias("title"),
+                         F.col("doc_id").alias("summary"), "text"), {"ignoreNullFields": "false"}))
+            .otherwise(whole))
+    parsed = classify_lines(raw.select(line.alias("value")))
+    return parsed.groupBy(F.coalesce("reason", F.lit("good")).alias("outcome")).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum(F.when(F.col("reason").isNull(), F.length("title")).otherwise(0)).alias("title_chars"),
+        F.sum(F.when(F.col("reason").isNull(), F.length("summary")).otherwise(0))
+        .alias("summary_chars"),
+        F.sum(F.when(F.col("reason").isNull(), F.length("text")).otherwise(0)).alias("text_chars"))
+
+
+def q_documents_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """A4 + A2: the prepared corpus as JSON lines, read back by the strict scan."""
+    path = scratch_path(spark, "documents-json")
+    write_documents(_engine(spark, d).corpus, path, "json")
+    return read_jsonl_strict(spark, path)
+
+
+def q_embeddings_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """A5 + A3."""
+    path = scratch_path(spark, "embeddings")
+    write_embeddings(tables.embeddings(spark, d), path)
+    return spark.read.parquet(path).select(
+        "doc_id", F.posexplode("embedding").alias("pos", "value")).withColumn(
+        "value", F.round(F.col("value").cast("double"), SCORE_DIGITS))
+
+
+def q_evaluation_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """The metrics table written and read back."""
+    path = scratch_path(spark, "evaluation")
+    write_tables({"metrics": q_eval_metrics_at_k(spark, d)}, path)
+    return spark.read.parquet(path + "/metrics")
+
+
+def q_query_lines(spark: SparkSession, d: str) -> DataFrame:
+    """The benchmark texts as a file of lines."""
+    path = scratch_path(spark, "query-lines")
+    tables.table(spark, d, "benchmark").select(F.concat(F.lit("  "), "text")).write.text(path)
+    lines = read_query_lines(spark, path)
+    return lines.groupBy("query", "description").agg(
+        F.countDistinct("query_id").alias("n_ids"))
+
+
+def q_text_search_reference(spark: SparkSession, d: str) -> DataFrame:
+    """A7 + J1: the fixed evaluation queries, with their descriptions."""
+    q = reference_queries(spark)
+    found = _engine(spark, d).text(q, HYBRID_K)
+    return _scored(found).join(q.select("query_id", "description"), "query_id").select(
+        "query_id", "description", "rank", "doc_id", "title", "score")
+
+
+def q_search_dispatch(spark: SparkSession, d: str) -> DataFrame:
+    """J4 for each of the three methods."""
+    eng, q, qv = _engine(spark, d), _queries(spark, d), _qvecs(spark, d)
+    out = [eng.search(q, m, HYBRID_K, query_vectors=qv).select(
+        F.lit(m).alias("method"), "query_id", "rank", "doc_id") for m in METHODS]
+    return out[0].union(out[1]).union(out[2])
+
+
 def q_hybrid_top1_by_depth(spark: SparkSession, d: str) -> DataFrame:
     """Rank 1 of a hybrid list depends on top_k (candidates at depth 2k)."""
     eng = _engine(spark, d)
@@ -287,6 +359,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "hybrid_candidates": q_hybrid_candidates,
     "hybrid_top1_by_depth": q_hybrid_top1_by_depth,
     "jsonl_scan": q_jsonl_scan,
+    "jsonl_rejects": q_jsonl_rejects,
+    "documents_round_trip": q_documents_round_trip,
+    "embeddings_round_trip": q_embeddings_round_trip,
+    "evaluation_round_trip": q_evaluation_round_trip,
+    "query_lines": q_query_lines,
+    "text_search_reference": q_text_search_reference,
+    "search_dispatch": q_search_dispatch,
     "id_mapping": q_id_mapping,
     "eval_metrics_at_k": q_eval_metrics_at_k,
     "eval_top_document": q_eval_top_document,

@@ -19,6 +19,7 @@ from quarry.functions.text import (
 )
 from quarry.params import BM25_B, BM25_EPSILON, BM25_K1
 from quarry.plans.catalog import ENCODER_DIM, HYBRID_K, LEMMAS, SCORE_DIGITS, STAT_DIGITS, TEXT_K, VECTOR_K
+from quarry.sources.queries import REFERENCE_QUERIES
 from quarry.sources.tables import FIXED_DATE, SUMMARY_CHARS, URL_PREFIX
 
 
@@ -361,3 +362,42 @@ FROM (SELECT doc_id, {lemmatized(doc_terms('text'))} AS t FROM documents)"""
 SQL["text_search_lemmas"] = SQL["text_search"].replace(
     f"{doc_terms('text')} AS terms", f"{lemmatized(doc_terms('text'))} AS terms").replace(
     f"unnest({query_terms_expr('query')})", f"unnest({lemmatized(query_terms_expr('query'))})")
+
+
+SQL["jsonl_rejects"] = f"""WITH {RAW}, kinds AS (
+  SELECT doc_id % 5 AS kind, title, CASE WHEN doc_id % 5 = 3 THEN '' ELSE summary END AS summary, text
+  FROM raw)
+SELECT CASE kind WHEN 0 THEN 'malformed' WHEN 1 THEN 'missing field text'
+            WHEN 2 THEN 'not an object' ELSE 'good' END AS outcome,
+       count(*) AS n,
+       CAST(sum(CASE WHEN kind = 4 THEN len(title) ELSE 0 END) AS BIGINT) AS title_chars,
+       CAST(sum(CASE WHEN kind = 4 THEN len(summary) ELSE 0 END) AS BIGINT) AS summary_chars,
+       CAST(sum(CASE WHEN kind IN (3, 4) THEN len(text) ELSE 0 END) AS BIGINT) AS text_chars
+FROM kinds GROUP BY 1"""
+
+SQL["documents_round_trip"] = f"""WITH {RAW}
+SELECT url, date, {clean('title')} AS title, {clean('summary')} AS summary, {clean('text')} AS text
+FROM raw"""
+
+SQL["embeddings_round_trip"] = f"""SELECT vec_id AS doc_id, CAST(pos - 1 AS INTEGER) AS pos,
+       round(CAST(value AS DOUBLE), {SCORE_DIGITS}) AS value
+FROM (SELECT vec_id, unnest(embedding) AS value,
+             unnest(generate_series(1, len(embedding))) AS pos FROM embeddings)"""
+
+SQL["evaluation_round_trip"] = SQL["eval_metrics_at_k"]
+
+SQL["query_lines"] = """SELECT query, '' AS description, count(*) AS n_ids
+FROM (SELECT trim(unnest(string_split(text, chr(10)))) AS query FROM benchmark)
+WHERE query <> '' GROUP BY 1, 2"""
+
+_REFERENCE = ", ".join(f"({i}, {lit(q)}, {lit(d)})" for i, (q, d) in enumerate(REFERENCE_QUERIES))
+
+SQL["text_search_reference"] = f"""WITH {RAW}, {PAYLOAD}, {INDEX},
+rq AS (SELECT * FROM (VALUES {_REFERENCE}) v(query_id, query, description)),
+{text_topk_ctes('tr', 'rq', HYBRID_K)}
+SELECT CAST(t.query_id AS BIGINT) AS query_id, rq.description, CAST(t.rank AS INTEGER) AS rank,
+       t.doc_id, p.title, round(t.score, {SCORE_DIGITS}) AS score
+FROM tr_top t JOIN rq USING (query_id) JOIN payload p USING (doc_id)"""
+
+SQL["search_dispatch"] = f"""WITH {runs_ctes(HYBRID_K)}
+SELECT method, query_id, CAST(rank AS INTEGER) AS rank, doc_id FROM runs"""

@@ -104,3 +104,12 @@ def test_nested_results_keep_rank_order(spark, engine):
     for items in nested.values():
         assert [i["rank"] for i in items] == [1, 2, 3, 4]
         assert items[0]["score"] == pytest.approx(1.0, abs=1e-12)
+
+
+def test_nested_results_have_an_entry_for_every_query(spark, engine):
+    from quarry.plans.search import nest_results
+
+    q = tables.benchmark_queries(spark, SF_SMALL).where(F.col("query_id") < 3)
+    some = engine.text(q.where(F.col("query_id") < 2), 2)
+    nested = {r["query_id"]: len(r["results"]) for r in nest_results(some, q).collect()}
+    assert nested == {0: 2, 1: 2, 2: 0}
