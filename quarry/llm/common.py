@@ -85,10 +85,17 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-    """The rows of Arrow batches as column lists, one dict per batch."""
-    for batch in batches:
-        yield {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
+def least_hashed(df: DataFrame, key: str, limit: int) -> DataFrame:
+    """The ``limit`` rows of ``df`` whose ``key`` has the least hashes.
+
+    Only hashes below four times the wanted share of the range are sorted, so
+    that the last task gets about ``4 * limit`` rows, however many tasks there
+    are (a top-k alone would send it ``limit`` rows from each).
+    """
+    share = min(1.0, 4 * limit / max(1, df.count()))
+    bound = min((1 << 63) - 1, int(share * (1 << 64)) - (1 << 63))
+    hashed = df.withColumn("_hash", F.xxhash64(key)).where(F.col("_hash") <= bound)
+    return hashed.orderBy("_hash", key).limit(limit).drop("_hash")
 
 
 def collapse_space(col: Column) -> Column:

@@ -36,7 +36,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import cleared, documents, map_batches, python_ready, table, whole_text
+from quarry.llm.common import (
+    cleared, documents, least_hashed, map_batches, python_ready, table, whole_text)
 
 SAMPLE = 8000       # labelled rows used
 POOL = 8000         # unlabelled rows used
@@ -207,11 +208,10 @@ def sample_rows(docs: DataFrame, labels: DataFrame, sample: int, pool: int) -> D
     judged = judged.groupBy("doc_id").agg(
         F.min(F.when((F.col("quality") == 1) & (F.col("toxic") == 0), 1.0).otherwise(0.0))
         .alias("y"))
-    order = [F.xxhash64("doc_id"), "doc_id"]
     ids = docs.select("doc_id").where("doc_id IS NOT NULL").distinct()
-    labelled = ids.join(judged, "doc_id").orderBy(*order).limit(sample)
-    others = (ids.join(judged, "doc_id", "left_anti").orderBy(*order).limit(pool)
-              .select("doc_id", F.lit(None).cast("double").alias("y")))
+    labelled = least_hashed(ids.join(judged, "doc_id"), "doc_id", sample)
+    others = least_hashed(ids.join(judged, "doc_id", "left_anti"), "doc_id", pool).select(
+        "doc_id", F.lit(None).cast("double").alias("y"))
     return labelled.union(others)
 
 

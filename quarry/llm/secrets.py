@@ -30,7 +30,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import cleared, documents, whole_text
+from quarry.llm.common import cleared, documents, least_hashed, whole_text
 from quarry.llm.rules import let
 
 # The base patterns and least lengths of the contract.
@@ -86,8 +86,8 @@ def pair_codes(string: Column) -> Column:
 def labelled_samples(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(string, label): 1 for random strings, 0 for ordinary identifiers."""
     spark = docs.sparkSession
-    some = docs.select(F.xxhash64(F.col(doc_id)).alias("h"), whole_text(text).alias("t"))
-    some = some.orderBy("h", "t").limit(SAMPLE_DOCS)
+    some = least_hashed(docs.select(F.col(doc_id).alias("id"), whole_text(text).alias("t")),
+                        "id", SAMPLE_DOCS)
     words = F.regexp_extract_all("t", F.lit(r"[A-Za-z]{2,}"), F.lit(0))
     joined = F.zip_with(
         "w", F.slice("w", F.lit(2), F.size("w")), lambda a, b: F.concat(
