@@ -18,6 +18,15 @@ from quarry.sources import tables
 _ENGINES: dict = {}
 
 
+def table_state(spark: SparkSession, path: str) -> tuple:
+    """Names, sizes and times of a table's files, so that a changed table
+    isn't served from an older engine."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)
+    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime())
+                        for f in files))
+
+
 def engine_for(spark: SparkSession, data_dir: str, analyzer: Analyzer = DEFAULT_ANALYZER,
                path: str | None = None, cache: bool = True,
                encoder=None, lemmas: DataFrame | None = None) -> SearchEngine:
@@ -29,7 +38,9 @@ def engine_for(spark: SparkSession, data_dir: str, analyzer: Analyzer = DEFAULT_
     same encoder then embeds the queries). A ``lemmas(form, lemma)`` table is
     applied to the documents here and to the queries of every search.
     """
-    key = (spark.sparkContext.applicationId, data_dir.rstrip("/"), analyzer,
+    base_dir = data_dir.rstrip("/")
+    key = (spark.sparkContext.applicationId, base_dir, path, analyzer,
+           *(table_state(spark, f"{base_dir}/{t}.parquet") for t in ("documents", "embeddings")),
            encoder_key(encoder) if encoder is not None else None,
            lemmas.semanticHash() if lemmas is not None else None)
     if cache and key in _ENGINES:
