@@ -3,10 +3,12 @@
 Writing. Every page becomes one record: a ``response`` with its payload, or a
 ``revisit`` that names the response of an equal payload (the smallest page id
 of the group). Groups are found by digest: (digest, smallest id, count) is
-aggregated with map-side combine, and only digests seen twice are joined back
-(a sort-merge join, whose hot digests adaptive execution splits). Spark's text
-writer commits the files; its line separator is the two line ends that close a
-WARC record, so the files are plain uncompressed WARC.
+aggregated with map-side combine, and the groups of two or more are written
+down. Joining them back moves no payload where that table is small enough for
+Spark to broadcast; else it is a sort-merge join, whose hot digests adaptive
+execution splits. Spark's text writer commits the files; its line separator is
+the two line ends that close a WARC record, so the files are plain
+uncompressed WARC.
 
 Index. Each archive file yields a locally sorted capture run of (URL key,
 timestamp, page id, file, offset, size). Runs are dealt out by range of URL
@@ -31,13 +33,13 @@ import math
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm.common import python_ready, staged, table, dealt
 from quarry.session import scratch_path
 
-SHARD_BYTES = 16 << 20   # payload bytes per archive file
+SHARD_BYTES = 16 << 20   # about so many bytes per archive file
 RUN_RANGE_ROWS = 100_000  # captures per range of the merged index
 MIN_REVISIT_BYTES = 0    # smaller payloads are always responses
 EPOCH = datetime.datetime(2020, 1, 1, tzinfo=datetime.timezone.utc)
@@ -48,7 +50,7 @@ LINE_END = "\r\n"
 CLOSE = LINE_END * 2
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
-CAPTURES = ("run int, url_key string, timestamp string, page_id long, record_type string, "
+CAPTURES = ("run string, url_key string, timestamp string, page_id long, record_type string, "
             "refers_to long, payload_digest string, payload_bytes long, url string, "
             "file string, offset long, size long")
 
@@ -174,8 +176,9 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = MIN_REVISIT_BYT
     groups = (digested.where(sizes >= min_bytes).groupBy("digest")
               .agg(first.alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
               .select("digest", "first"))
-    total = rows.agg(F.sum(sizes)).first()[0] or 0
-    shards = max(1, math.ceil(total / shard_bytes))
+    groups = staged(groups, "payload-groups")
+    mean = rows.agg(F.avg(sizes)).first()[0] or 0
+    records = max(1, int(shard_bytes / (mean + 500)))
     marked = digested.join(groups, "digest", "left").select(
         "page_id", "url", "payload", F.col("first.page_id").alias("refers_to"),
         F.col("first").isNotNull().alias("grouped"),
@@ -192,9 +195,9 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = MIN_REVISIT_BYT
             yield pa.RecordBatch.from_arrays([pa.array(written, pa.binary())], ["record"])
 
     (marked.select("page_id", "url", "payload", "refers_to", "revisit")
-     .repartition(shards).mapInArrow(run, "record binary")
+     .mapInArrow(run, "record binary")
      .select(F.col("record").cast("string").alias("value"))
-     .write.option("lineSep", CLOSE).option("compression", "none").text(f"{path}/warc"))
+     .write.option("maxRecordsPerFile", records).option("lineSep", CLOSE).option("compression", "none").text(f"{path}/warc"))
 
 
 def read_captures(spark: SparkSession, path: str) -> DataFrame:
@@ -230,8 +233,8 @@ def read_captures(spark: SparkSession, path: str) -> DataFrame:
 
     files = (spark.read.format("binaryFile").option("pathGlobFilter", "part-*")
              .load(f"{path}/warc")
-             .select(F.regexp_extract("path", r"/part-(\d+)[^/]*$", 1).cast("int").alias("run"),
-                     F.col("path").alias("file"), "content"))
+             .select(F.regexp_replace("path", r"^.*/part-(\d+)-[^/]*-(c\d+)[^/]*$", "$1-$2")
+                     .alias("run"), F.col("path").alias("file"), "content"))
     return files.mapInArrow(run, CAPTURES)
 
 
