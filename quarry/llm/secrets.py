@@ -4,7 +4,7 @@ Three patterns find the base spans (assigned values, access keys, hex keys).
 For other strings, two first-order Markov models over characters, one of
 random strings and one of ordinary identifiers, are compared by the mean log
 likelihood ratio per character; strings above ``THRESHOLD`` are spans of kind
-``random`` unless they touch a base span.
+``random`` unless base spans cover them whole.
 
 Training. The models are trained from labelled samples (string, label).
 ``labelled_samples`` makes them from the corpus itself: ordinary identifiers
@@ -132,13 +132,17 @@ def score(string: Column, model: list[float]) -> Column:
 
 
 def random_spans(text: Column, base: Column, candidates: Column, model: list[float]) -> Column:
-    """Spans of candidates that score high and touch no base span."""
+    """Spans of candidates that score high and aren't covered by (sorted) base spans."""
+    def covered(s: Column) -> Column:
+        reached = F.aggregate(base, s["start"], lambda at, b: F.when(
+            b["start"] <= at, F.greatest(at, b["end"])).otherwise(at))
+        return reached >= s["end"]
+
     def chosen(found: Column) -> Column:
         scored = F.transform(found, lambda c: score(c, model))
         placed = F.zip_with(spans(text, CANDIDATE, 3, found), scored,
                             lambda s, x: F.when(x > THRESHOLD, s))
-        return F.filter(placed, lambda s: s.isNotNull() & ~F.exists(
-            base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+        return F.filter(placed, lambda s: s.isNotNull() & ~covered(s))
 
     return F.when(F.size(candidates) > 0, let(candidates, chosen)).otherwise(none())
 
