@@ -6,13 +6,15 @@ random strings and one of ordinary identifiers, are compared by the mean log
 likelihood ratio per character; strings above ``THRESHOLD`` are spans of kind
 ``random`` unless base spans cover them whole.
 
-Training. The models are trained from labelled samples (string, label).
+Training. The models are trained from labelled strings (string, label, weight, n).
 ``labelled_samples`` makes them from the corpus itself: ordinary identifiers
-are the words, and pairs of words joined by ``_``, ``-``, ``/`` or nothing, of the
-``SAMPLE_DOCS`` documents with the least id hash (a bound on the sample),
-numbers, and runs of one character; random strings are base64 and hex digests. Character pairs are
-counted by Spark; only the table of pair counts (65 x 65 x 2 at most) reaches
-the driver, and its ratios go back as a literal array.
+are the words, and pairs of words joined by ``_``, ``-``, ``/`` or nothing, of
+all documents, numbers, and runs of one character; random strings are base64
+and hex digests. Words of a corpus of more than ``PER_DOCS`` documents weigh
+less, as if that many had been counted, so that the numbers, the runs and the
+smoothing keep their weight at any size. Character pairs are counted by Spark;
+only the table of pair counts (65 x 65 x 3 at most) reaches the driver, and its
+ratios go back as a literal array.
 
 Everything on the rows is built-in functions. Spans are code point offsets;
 they follow from the lengths of the pieces between matches.
@@ -30,7 +32,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import cleared, documents, least_hashed, whole_text
+from quarry.llm.common import cleared, documents, whole_text
 from quarry.llm.rules import let
 
 # The base patterns and least lengths of the contract.
@@ -44,7 +46,7 @@ KINDS = ("assign", "access", "hex", "random")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 THRESHOLD = 1.5        # mean log ratio per character pair
-SAMPLE_DOCS = 400      # documents that give ordinary identifiers
+PER_DOCS = 400         # documents that the counts of ordinary words are scaled to
 SAMPLE_RANDOM = 4000   # digests that give random strings and numbers
 SPAN = "struct<start:int,kind:int,end:int>"
 MARK = "[SECRET]"
@@ -83,18 +85,34 @@ def pair_codes(string: Column) -> Column:
         lambda a, b: a * width + b))
 
 
-def labelled_samples(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(string, label): 1 for random strings, 0 for ordinary identifiers."""
+def labelled_samples(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(string, label, weight, n): 1 for random strings, 0 for ordinary identifiers.
+
+    A word and its pair with the next one are given as parts that have the same
+    pairs of characters, ``n`` times each: the word, the junction, the second
+    word. So only distinct words with the initial of the next one are counted.
+    """
     spark = docs.sparkSession
-    some = least_hashed(docs.select(F.col(doc_id).alias("id"), whole_text(text).alias("t")),
-                        "id", SAMPLE_DOCS)
-    words = F.regexp_extract_all("t", F.lit(r"[A-Za-z]{2,}"), F.lit(0))
-    joined = F.zip_with(
-        "w", F.slice("w", F.lit(2), F.size("w")), lambda a, b: F.concat(
-            a, F.element_at(F.split(F.lit("_ - / "), " "), F.length(a) % 4 + 1),
-            F.initcap(F.coalesce(b, a))))
-    ordinary = some.select(words.alias("w")).where("size(w) > 0").select(
-        F.explode(F.concat("w", joined)).alias("string"))
+    weight = min(1.0, PER_DOCS / max(1, docs.count()))
+    # The outer form, as the other has the words extracted twice (inferred filter).
+    placed = docs.select(F.regexp_extract_all(
+        whole_text(text), F.lit(r"[A-Za-z]{2,}"), F.lit(0)).alias("w")).select(
+        "w", F.posexplode_outer("w").alias("at", "word"))
+    # The last word is joined to itself: how often a word is the second one.
+    second = (F.col("at") > 0).cast("int") + (F.col("at") == F.size("w") - 1).cast("int")
+    initial = F.upper(F.left(F.coalesce(F.get("w", F.col("at") + 1), "word"), F.lit(1)))
+    counted = placed.where("word IS NOT NULL").groupBy(
+        "word", initial.alias("initial"), second.alias("second")).agg(
+        F.count(F.lit(1)).alias("n"))
+    separator = F.element_at(F.split(F.lit("_ - / "), " "), F.length("word") % 4 + 1)
+
+    def part(string: Column, times: Column) -> Column:
+        return F.struct(string.alias("string"), (F.col("n") * times).alias("n"))
+
+    ordinary = counted.select(F.explode(F.array(
+        part(F.col("word"), F.lit(2)),
+        part(F.concat(F.right("word", F.lit(1)), separator, "initial"), F.lit(1)),
+        part(F.initcap("word"), F.col("second")))).alias("p")).select("p.string", "p.n")
     digest = F.sha2(F.col("id").cast("string"), 256)
     drawn = spark.range(SAMPLE_RANDOM)
     numbers = drawn.select(F.translate(F.substr(digest, F.lit(1), F.lit(24)), "abcdef", "012345"))
@@ -103,21 +121,27 @@ def labelled_samples(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     coded = F.base64(F.unhex(digest))
     random = drawn.select(coded).union(drawn.select(F.translate(coded, "+/", "-_"))).union(
         drawn.select(digest))
-    return (ordinary.union(numbers).union(runs).withColumn("label", F.lit(0))
-            .union(random.withColumn("label", F.lit(1))))
+    made = numbers.union(runs).withColumn("label", F.lit(0)).union(
+        random.withColumn("label", F.lit(1)))
+    return ordinary.select("string", F.lit(0).alias("label"), F.lit(weight).alias("weight"), "n").union(
+        made.select("*", F.lit(1.0), F.lit(1)))
 
 
 def train(samples: DataFrame) -> list[float]:
-    """Log ratio of each character pair: random strings against identifiers."""
+    """Log ratio of each character pair: random strings against identifiers.
+
+    ``samples`` has ``string``, ``label`` and, unless they are 1, ``weight`` and
+    the count ``n``."""
     width = len(ALPHABET) + 1
+    weight, n = (F.col(c) if c in samples.columns else F.lit(1).alias(c) for c in ("weight", "n"))
     counted = (samples.where("length(string) > 1")
-               .select("label", F.explode(pair_codes(F.col("string"))).alias("pair"))
-               .groupBy("label", "pair").count().collect())
-    counts = [[0] * width * width for _ in range(2)]
-    for label, pair, n in counted:
-        counts[label][pair] = n
+               .select("label", weight, n, F.explode(pair_codes(F.col("string"))).alias("pair"))
+               .groupBy("label", "weight", "pair").agg(F.sum("n")).collect())
+    counts = [[0.0] * width * width for _ in range(2)]
+    for label, weight, pair, n in sorted(counted):
+        counts[label][pair] += weight * n
 
-    def logs(table: list[int]) -> list[float]:
+    def logs(table: list[float]) -> list[float]:
         totals = [sum(table[a * width:(a + 1) * width]) for a in range(width)]
         return [math.log((n + 1) / (totals[i // width] + width)) for i, n in enumerate(table)]
 

@@ -54,6 +54,18 @@ def test_models_tell_held_out_strings_apart(spark, model):
     assert sum(r.y != r.p for r in rows) <= 3
 
 
+def test_model_learns_from_every_document(spark):
+    # Documents of a rare style, whose ids have the greatest hashes of all.
+    ids = [r.id for r in spark.range(1000).orderBy(F.xxhash64("id")).collect()]
+    rng = random.Random(6)
+    style = ["".join(rng.choices("zqxj", k=8)) for _ in range(200)]
+    rows = [(i, " ".join(style) if at >= 998 else "the user of an account " * 20) for at, i in enumerate(ids)]
+    model = S.train(S.labelled_samples(spark.createDataFrame(rows, "doc_id long, text string")))
+    cases = ["".join(rng.sample(style, 4)) for _ in range(20)] + ["the_user_of_an_account", "-" * 30, "7" * 24]
+    df = spark.createDataFrame([(c,) for c in cases], "s string")
+    assert df.where(S.score(F.col("s"), model) > S.THRESHOLD).count() == 0
+
+
 def test_redaction(spark, model):
     cases = ['é token="abcdefg" and 0123456789abcdef01234567!', "token = 0123456789abcdef01234567", "none", "", None]
     df = spark.createDataFrame(list(enumerate(cases)), "i int, text string")
