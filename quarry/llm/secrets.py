@@ -10,7 +10,7 @@ Training. The models are trained from labelled strings (string, label, weight, n
 ``labelled_samples`` makes them from the corpus itself: ordinary identifiers
 are the words, and pairs of words joined by ``_``, ``-``, ``/`` or nothing, of
 all documents, numbers, and runs of one character; random strings are base64
-and hex digests. Words of a corpus of more than ``PER_DOCS`` documents weigh
+and hex digests, in lower and upper case. Words of a corpus of more than ``PER_DOCS`` documents weigh
 less, as if that many had been counted, so that the numbers, the runs and the
 smoothing keep their weight at any size. Character pairs are counted by Spark;
 only the table of pair counts (65 x 65 x 3 at most) reaches the driver, and its
@@ -120,7 +120,7 @@ def labelled_samples(docs: DataFrame, text: str = "text") -> DataFrame:
         F.lit(ALPHABET), F.pmod("id", F.lit(len(ALPHABET))) + 1, F.lit(1)), F.lit(24)))
     coded = F.base64(F.unhex(digest))
     random = drawn.select(coded).union(drawn.select(F.translate(coded, "+/", "-_"))).union(
-        drawn.select(digest))
+        drawn.select(digest)).union(drawn.select(F.upper(digest)))
     made = numbers.union(runs).withColumn("label", F.lit(0)).union(
         random.withColumn("label", F.lit(1)))
     return ordinary.select("string", F.lit(0).alias("label"), F.lit(weight).alias("weight"), "n").union(

@@ -66,6 +66,13 @@ def test_model_learns_from_every_document(spark):
     assert df.where(S.score(F.col("s"), model) > S.THRESHOLD).count() == 0
 
 
+def test_upper_case_hex_keys(spark, model):
+    rng = random.Random(12)
+    cases = [rng.randbytes(n).hex().upper() for n in (16, 20, 32) for _ in range(200)]
+    df = spark.createDataFrame([(c,) for c in cases], "s string")
+    assert df.where(S.score(F.col("s"), model) > S.THRESHOLD).count() >= 0.98 * len(cases)
+
+
 def test_redaction(spark, model):
     cases = ['é token="abcdefg" and 0123456789abcdef01234567!', "token = 0123456789abcdef01234567", "none", "", None]
     df = spark.createDataFrame(list(enumerate(cases)), "i int, text string")
