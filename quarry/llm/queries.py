@@ -5,6 +5,7 @@ from __future__ import annotations
 from quarry.llm.bpe import op1_bpe
 from quarry.llm.cotraining import op7_quality_classifier
 from quarry.llm.iblt import op2_fingerprints
+from quarry.llm.leaks import OP13_SQL, op13_decontamination
 from quarry.llm.packing import op8_packing
 from quarry.llm.records import op4_token_records
 from quarry.llm.rules import OP10_SQL, op10_quality_rules
@@ -24,9 +25,11 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_warc": op9_warc,
     "op10_quality_rules": op10_quality_rules,
+    "op13_decontamination": op13_decontamination,
 }
 
 SQL: dict[str, str] = {
     "op9_warc": OP9_SQL,
     "op10_quality_rules": OP10_SQL,
+    "op13_decontamination": OP13_SQL,
 }
