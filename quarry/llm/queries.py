@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from quarry.llm.alignment import op11_alignment
 from quarry.llm.bpe import op1_bpe
+from quarry.llm.codes import OP12_SQL, op12_vector_codes
 from quarry.llm.cotraining import op7_quality_classifier
 from quarry.llm.iblt import op2_fingerprints
 from quarry.llm.leaks import OP13_SQL, op13_decontamination
@@ -25,11 +27,14 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_warc": op9_warc,
     "op10_quality_rules": op10_quality_rules,
+    "op11_alignment": op11_alignment,
+    "op12_vector_codes": op12_vector_codes,
     "op13_decontamination": op13_decontamination,
 }
 
 SQL: dict[str, str] = {
     "op9_warc": OP9_SQL,
     "op10_quality_rules": OP10_SQL,
+    "op12_vector_codes": OP12_SQL,
     "op13_decontamination": OP13_SQL,
 }
