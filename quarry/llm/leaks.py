@@ -5,7 +5,8 @@ are lowered. A window is ten consecutive words of a benchmark item; an item of
 fewer words (but not none) is one window. The distinct windows, keyed by a
 64-bit hash, are broadcast; every document lists the hashes of its own windows
 (one list per window length that occurs, ten lengths at most) and probes the
-set as the list is exploded, so window rows that meet nothing end inside the
+set as the list is exploded (hashes of windows are made from those of their
+halves, in a few passes over the words), so window rows that meet nothing end inside the
 scan's stage. A hash that meets is verified on the words themselves. Only hits
 and one row per document are shuffled.
 
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from quarry.llm.common import columns, dealt, documents, staged, table, whole_text
 
 WINDOW = 10
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+GAPS = "".join(chr(c) for c in range(0x80) if not chr(c).isalnum())
 # A word, and what lies between words, before A-Z are lowered.
 WORD_ANY = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*"
@@ -46,50 +47,84 @@ BLOCK_WINDOWS = 500_000
 
 def words(text: Column) -> Column:
     """Words of ``text``, A-Z lowered."""
-    return F.regexp_extract_all(F.translate(text, UPPER, LOWER), F.lit(WORD), 0)
+    line = F.trim(F.translate(text, UPPER + GAPS, LOWER + " " * len(GAPS)))
+    return F.when(line == "", F.array().cast("array<string>")).otherwise(F.split(line, " +"))
 
 
-def slices(listed: Column, n: Column, size: int) -> Column:
-    """(h, at, n) of each window of ``size`` words; none if there are fewer words."""
-    window = lambda i: F.struct(                                            # noqa: E731
-        F.xxhash64(F.slice(listed, i, F.lit(size))).alias("h"), (i - 1).alias("at"),
-        F.lit(size).alias("n"))
-    none = F.array().cast("array<struct<h:bigint,at:int,n:int>>")
-    return F.when(n >= size, F.transform(
-        F.sequence(F.lit(1), F.greatest(n - (size - 1), F.lit(1))), window)).otherwise(none)
+def with_powers(df: DataFrame, size: int) -> DataFrame:
+    """``df(ws, ...)`` with ``_p1``, ``_p2``, ``_p4``, ...: hashes of the words,
+    and of the windows of each power of two up to ``size`` by doubling."""
+    df = df.withColumn("_p1", F.transform("ws", lambda w: F.xxhash64(w)))
+    width = 1
+    while 2 * width <= size:
+        df = df.withColumn(f"_p{2 * width}", beside(
+            F.col(f"_p{width}"), F.col(f"_p{width}"), width,
+            F.greatest(F.size("ws") - (2 * width - 1), F.lit(0))))
+        width *= 2
+    return df
+
+
+def beside(a: Column, b: Column, apart: int, n: Column) -> Column:
+    """Hashes of the first ``n`` of ``a``, each with that of ``b`` ``apart`` on."""
+    return F.zip_with(F.slice(a, F.lit(1), n), F.slice(b, F.lit(1 + apart), n),
+                      lambda x, y: F.xxhash64(x, y))
+
+
+def window_hashes(size: int) -> Column:
+    """Hash of each window of ``size`` words, from the columns of ``with_powers``."""
+    n = F.greatest(F.size("ws") - (size - 1), F.lit(0))
+    width = 1 << (size.bit_length() - 1)
+    found, done = F.slice(f"_p{width}", F.lit(1), n), width
+    while done < size:
+        width = 1 << ((size - done).bit_length() - 1)
+        found, done = beside(found, F.col(f"_p{width}"), done, n), done + width
+    return found
 
 
 def item_windows(benchmark: DataFrame, item_id: str = "item_id", text: str = "text",
                  window: int = WINDOW) -> DataFrame:
-    """(h, words, items): every distinct window and the ids of its items."""
+    """(ws, items): every distinct window and the ids of its items."""
     listed = benchmark.select(F.col(item_id).cast("string").alias("item"),
                               words(whole_text(text)).alias("ws"))
     short = F.size("ws") < window
     whole = F.when(short, F.array("ws")).otherwise(F.transform(
         F.sequence(F.lit(1), F.greatest(F.size("ws") - (window - 1), F.lit(1))),
         lambda i: F.slice("ws", i, F.lit(window))))
-    single = listed.where(F.size("ws") > 0).select("item", F.explode(whole).alias("words"))
-    grouped = single.groupBy("words").agg(F.collect_set("item").alias("items"))
-    return grouped.select(F.xxhash64("words").alias("h"), "words", "items")
+    single = listed.where(F.size("ws") > 0).select("item", F.explode(whole).alias("w"))
+    return single.groupBy(F.col("w").alias("ws")).agg(F.collect_set("item").alias("items"))
 
 
 def probe(docs: DataFrame, windows: DataFrame, lengths: list[int]) -> DataFrame:
-    """Hits of ``docs(id, hash, ws)``, and one row with ``at`` -1 per document.
-
-    ``n`` of that row is the document's count of words.
-    """
-    n = F.size("ws")
-    head = F.array(F.struct(F.lit(None).cast("long").alias("h"), F.lit(-1).alias("at"),
-                            n.alias("n")))
-    listed = F.concat(head, *[slices(F.col("ws"), n, size) for size in lengths])
+    """Hits of ``docs(id, hash, ws)`` as (id, hash, at, n, items), and one row
+    with ``at`` -1 per document, whose ``n`` is its count of words."""
+    longest = max(lengths, default=1)
+    size = F.size("ws")
+    own = F.lit(None).cast("long")
+    for length in lengths:
+        own = F.when(size == length, F.element_at(window_hashes(length), 1)).otherwise(own)
+    known = with_powers(windows, longest).select(
+        own.alias("_h"), F.col("ws").alias("_words"), "items")
+
+    head = F.array(F.lit(None).cast("long"))
+    listed = F.concat(head, *[window_hashes(length) for length in lengths])
     # The outer form: nothing is inferred from it that would be computed twice.
-    each = docs.select("id", "hash", "ws", F.explode_outer(listed).alias("g"))
-    known = F.broadcast(windows.toDF("_h", "_words", "items"))
-    met = each.join(known, F.col("g.h") == F.col("_h"), "left")
+    each = with_powers(docs, longest).select(
+        "id", "hash", "ws", F.posexplode_outer(listed).alias("pos", "h"))
+    met = each.join(F.broadcast(known), F.col("h") == F.col("_h"), "left")
+    # ``pos`` runs through the head and the windows of each length in turn.
+    at, n, before = F.col("pos") - 1, F.lit(0), F.lit(0)
+    for length in lengths:
+        inside = F.col("pos") > before
+        at = F.when(inside, F.col("pos") - 1 - before).otherwise(at)
+        n = F.when(inside, F.lit(length)).otherwise(n)
+        before = before + F.greatest(size - (length - 1), F.lit(0))
     # Words are compared after the join, so that only the hash is its key.
-    start = F.greatest(F.col("g.at"), F.lit(0)) + 1
-    same = F.col("_h").isNotNull() & (F.slice("ws", start, F.col("g.n")) == F.col("_words"))
-    return met.where((F.col("g.at") < 0) | same).select("id", "hash", "g.at", "g.n", "items")
+    first = F.col("pos") == 0
+    same = F.col("_h").isNotNull() & (F.slice("ws", F.greatest(at, F.lit(0)) + 1, n)
+                                      == F.col("_words"))
+    return met.where(first | same).select(
+        "id", "hash", F.when(first, -1).otherwise(at).alias("at"),
+        F.when(first, size).otherwise(n).alias("n"), "items")
 
 
 def merged(places: Column) -> Column:
@@ -118,7 +153,7 @@ def find(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: st
     distinct pair of id and text; ``copies`` rows hold it. ``spans`` are word
     positions, ends exclusive; ``items`` are ids as strings, sorted."""
     windows = staged(item_windows(benchmark, item_id, item_text, window), "windows")
-    by_length = windows.groupBy(F.size("words").alias("size")).agg(
+    by_length = windows.groupBy(F.size("ws").alias("size")).agg(
         F.sum(F.greatest(F.size("items"), F.lit(1))).alias("n")).collect()   # <= ``window`` rows
     lengths = sorted(r["size"] for r in by_length)
     blocks = max(1, math.ceil(sum(r["n"] for r in by_length) / block_windows))
@@ -127,7 +162,7 @@ def find(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: st
                          words(whole).alias("ws"))
     found = None
     for block in range(blocks):
-        part = windows.where(F.pmod(F.xxhash64("h"), F.lit(blocks)) == block)
+        part = windows.where(F.pmod(F.xxhash64("ws"), F.lit(blocks)) == block)
         rows = probe(listed, part, lengths)
         if block:   # documents are counted in the first pass
             rows = rows.where("at >= 0")
