@@ -96,6 +96,18 @@ def test_against_the_libraries_and_every_pair(pair):
             assert found == sorted((*k, n) for k, n in Counter(links).items()), text
 
 
+def test_both_coders_of_a_agree(pair):
+    rng = random.Random(6)
+    stable = [chr(c) for c in (*range(0x250), *range(0x2010, 0x2028), *range(0x2030, 0x205F), 0x20AC)]
+    bits = ["'s", "'re", " ", "  ", "\n\n", "12", "<|endoftext|>", "the", "ing", "\x85", "\xa0"]
+    cases = ["".join(rng.choice(stable if rng.random() < 0.5 else bits)
+                     for _ in range(rng.randint(1, 25))) for _ in range(3000)]
+    cases += [f"a{c}b {c} 1{c}" for c in stable]
+    library = [e.ids for e in pair.a.encode_batch(cases, add_special_tokens=False)]
+    assert pair.ranked and [pair.ranked.encode_ordinary(c) for c in cases] == library
+    assert pair.encode_a(cases + ["漢 ʰ"])[:-1] == library
+
+
 def test_merge_of_random_ends():
     rng = np.random.default_rng(4)
     for _ in range(300):
