@@ -8,7 +8,8 @@ Two analyzers, as the ranked-retrieval design has them:
   -> lemma (no cleaning).
 
 Stop words are tested on the surface form, before lemmatisation. Lemmas come
-from an optional ``(form, lemma)`` table; without one the form is kept.
+from an optional ``(form, lemma)`` table or from a ``LemmaGuesser``, which also
+guesses those of forms it doesn't know; without either the form is kept.
 """
 
 from __future__ import annotations
@@ -29,7 +30,14 @@ from quarry.functions.text import (
     keep_letter_tokens,
     tokenize,
 )
-from quarry.session import BROADCAST_ROW_LIMIT, bounded_broadcast, ship_package
+from quarry.operators.lemmas import LemmaGuesser
+from quarry.session import (
+    BROADCAST_ROW_LIMIT,
+    bounded_broadcast,
+    scratch_path,
+    ship_package,
+    write_parquet,
+)
 
 
 @dataclass(frozen=True)
@@ -53,10 +61,12 @@ class Analyzer:
 DEFAULT_ANALYZER = Analyzer()
 
 
-def lemmatize_columns(df: DataFrame, key: str, columns: list[str], lemmas: DataFrame,
+def lemmatize_columns(df: DataFrame, key: str, columns: list[str],
+                      lemmas: DataFrame | LemmaGuesser,
                       max_broadcast_rows: int = BROADCAST_ROW_LIMIT) -> DataFrame:
     """Replace the tokens of several array columns by their lemmas from
-    ``lemmas(form, lemma)``.
+    ``lemmas(form, lemma)``, or from a ``LemmaGuesser``, which is asked for the
+    distinct tokens of ``df`` (a written table, as it is read twice).
 
     Order and repeats are kept. Rows are partitioned by ``key`` once, the
     tokens of all columns are exploded together with their column and
@@ -64,10 +74,14 @@ def lemmatize_columns(df: DataFrame, key: str, columns: list[str], lemmas: DataF
     bounds, which keeps the partitioning) and gathered once per ``key``.
     Rows whose arrays are empty keep empty arrays.
     """
+    none = F.array().cast("array<string>")
+    if isinstance(lemmas, LemmaGuesser):
+        tokens = F.concat(*[F.coalesce(F.col(c), none) for c in columns])
+        lemmas = write_parquet(lemmas.table_for(df.select(F.explode(tokens).alias("term"))),
+                               scratch_path(df.sparkSession, "lemma-table"))
     table = lemmas.select(F.col("form"), F.col("lemma")).dropDuplicates(["form"])
     table, _, _ = bounded_broadcast(table, max_broadcast_rows)
     df = df.repartition(key)
-    none = F.array().cast("array<string>")
 
     def marked(n: int, column: str) -> Column:
         return F.transform(F.coalesce(F.col(column), none), lambda t, i: F.struct(
@@ -88,7 +102,7 @@ def lemmatize_columns(df: DataFrame, key: str, columns: list[str], lemmas: DataF
     return out.drop("_all")
 
 
-def lemmatize_tokens(df: DataFrame, key: str, tokens: str, lemmas: DataFrame,
+def lemmatize_tokens(df: DataFrame, key: str, tokens: str, lemmas: DataFrame | LemmaGuesser,
                      max_broadcast_rows: int = BROADCAST_ROW_LIMIT) -> DataFrame:
     """:func:`lemmatize_columns` of one column."""
     return lemmatize_columns(df, key, [tokens], lemmas, max_broadcast_rows)
@@ -139,7 +153,7 @@ def prepare_documents(raw: DataFrame, analyzer: Analyzer = DEFAULT_ANALYZER,
 
 
 def query_terms(queries: DataFrame, analyzer: Analyzer = DEFAULT_ANALYZER,
-                lemmas: DataFrame | None = None) -> DataFrame:
+                lemmas: DataFrame | LemmaGuesser | None = None) -> DataFrame:
     """``(query_id, term, qtf)``: analysed query terms with their repeat count
     (a term given twice counts twice). ``query_id`` is unique per query.
 

@@ -14,6 +14,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.functions import inflections
 from quarry.functions.text import basic_clean, join_tokens, split_tokens, tokenize
 from quarry.functions.vectors import l2_normalize
 from quarry.operators.analyze import DEFAULT_ANALYZER, query_terms
@@ -22,7 +23,9 @@ from quarry.operators.encoder import HashingEncoder, encode
 from quarry.operators.fusion import fuse, url_aliases
 from quarry.operators.evaluate import counts, first_query_examples, metrics_at_k, top_documents
 from quarry.operators.index import doc_terms, term_frequencies
-from quarry.plans.engine import engine_for
+from quarry.operators.lemmas import LONGEST, LemmaGuesser
+from quarry.operators.sentences import SentenceModel, sentence_tokens
+from quarry.plans.engine import engine_for, table_state
 from quarry.plans.evaluation import EXAMPLE_TOP_K, method_runs
 from quarry.plans.search import RESULT_COLUMNS
 from quarry.sources import tables
@@ -108,6 +111,88 @@ def q_text_search_lemmas(spark: SparkSession, d: str) -> DataFrame:
     return _scored(_lemma_engine(spark, d).text(_queries(spark, d), TEXT_K))
 
 
+_GUESSERS: dict[str, LemmaGuesser] = {}
+
+
+def _guesser(spark: SparkSession) -> LemmaGuesser:
+    """Fitted once per application on the inflection table."""
+    app = spark.sparkContext.applicationId
+    if app not in _GUESSERS:
+        _GUESSERS[app] = LemmaGuesser.fit(spark.createDataFrame(
+            inflections.pairs(), "form string, lemma string"))
+    return _GUESSERS[app]
+
+
+def q_lemma_guesses(spark: SparkSession, d: str) -> DataFrame:
+    """Lemmas of the distinct terms of all documents, known or guessed."""
+    terms = _documents(spark, d).select(
+        F.explode(tokenize(basic_clean("text"))).alias("term"))
+    return _guesser(spark).table_for(terms)
+
+
+def q_lemma_endings(spark: SparkSession, d: str) -> DataFrame:
+    """The trie of endings, with the number of the documents' distinct
+    terms that end so."""
+    terms = _documents(spark, d).select(
+        F.explode(tokenize(basic_clean("text"))).alias("term")).distinct()
+    nodes = _guesser(spark).nodes
+    sizes = F.sequence(F.lit(1), F.least(F.char_length("term"), F.lit(LONGEST)))
+    met = terms.select(F.explode(F.transform(sizes, lambda n: F.right("term", n))).alias("ending"))
+    counted = met.groupBy("ending").agg(F.count(F.lit(1)).alias("n_terms"))
+    return nodes.join(counted, "ending", "left").select(
+        "ending", "cut", "addition", "votes", "forms",
+        F.coalesce("n_terms", F.lit(0)).cast("long").alias("n_terms"))
+
+
+def q_doc_terms_guessed(spark: SparkSession, d: str) -> DataFrame:
+    """B6 + B9: analysed documents with lemmas of all terms, unseen ones too."""
+    corpus = engine_for(spark, d, lemmas=_guesser(spark)).corpus
+    return corpus.select("doc_id", F.size(split_tokens("text_processed")).cast("long")
+                         .alias("n_terms"), F.col("text_processed").alias("terms"))
+
+
+def q_text_search_guessed(spark: SparkSession, d: str) -> DataFrame:
+    """B6 + B10 + J1 with guessed lemmas in documents and queries."""
+    return _scored(engine_for(spark, d, lemmas=_guesser(spark)).text(_queries(spark, d), TEXT_K))
+
+
+_SENTENCES: dict[tuple, SentenceModel] = {}
+
+
+def _sentences(spark: SparkSession, d: str) -> SentenceModel:
+    """The tables of all documents, once per application and table state."""
+    key = (spark.sparkContext.applicationId, d,
+           table_state(spark, f"{d.rstrip('/')}/documents.parquet"))
+    if key not in _SENTENCES:
+        _SENTENCES[key] = SentenceModel.fit(_documents(spark, d))
+    return _SENTENCES[key]
+
+
+def q_sentence_abbreviations(spark: SparkSession, d: str) -> DataFrame:
+    """Every type that occurs with a period, and its score."""
+    return _scored(_sentences(spark, d).abbreviations)
+
+
+def q_sentence_starters(spark: SparkSession, d: str) -> DataFrame:
+    """Every type after a clear sentence end, and its score."""
+    return _scored(_sentences(spark, d).starters)
+
+
+def q_sentence_collocations(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs across periods that may not end a sentence, and their score."""
+    return _scored(_sentences(spark, d).collocations)
+
+
+def q_doc_sentences(spark: SparkSession, d: str) -> DataFrame:
+    """Sentences and their tokens, of every document."""
+    found = sentence_tokens(_documents(spark, d), _sentences(spark, d))
+    lines = F.transform("sentences", lambda s: F.array_join(s, " "))
+    return found.select("doc_id", F.size("sentences").cast("long").alias("n_sentences"),
+                        F.aggregate("sentences", F.lit(0).cast("long"),
+                                    lambda n, s: n + F.size(s)).alias("n_tokens"),
+                        F.array_join(lines, " | ").alias("tokens"))
+
+
 # -- index statistics ---------------------------------------------------------
 def q_term_frequency(spark: SparkSession, d: str) -> DataFrame:
     corpus = _engine(spark, d).corpus
@@ -341,9 +426,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "basic_clean": q_basic_clean,
     "doc_tokens": q_doc_tokens,
     "doc_terms": q_doc_terms,
+    "sentence_abbreviations": q_sentence_abbreviations,
+    "sentence_starters": q_sentence_starters,
+    "sentence_collocations": q_sentence_collocations,
+    "doc_sentences": q_doc_sentences,
     "query_terms": q_query_terms,
     "doc_terms_lemmas": q_doc_terms_lemmas,
     "text_search_lemmas": q_text_search_lemmas,
+    "lemma_endings": q_lemma_endings,
+    "lemma_guesses": q_lemma_guesses,
+    "doc_terms_guessed": q_doc_terms_guessed,
+    "text_search_guessed": q_text_search_guessed,
     "term_frequency": q_term_frequency,
     "doc_length": q_doc_length,
     "corpus_stats": q_corpus_stats,

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from quarry.functions.text import join_tokens, split_tokens
 from quarry.operators.analyze import DEFAULT_ANALYZER, Analyzer, lemmatize_columns, prepare_documents
 from quarry.operators.index import Bm25Index, build_index
+from quarry.operators.lemmas import LemmaGuesser
 from quarry.operators.vector import document_vectors
 from quarry.session import scratch_path, spread, write_parquet
 
@@ -28,12 +29,14 @@ __all__ = ["build_corpus", "build_index", "build_vectors", "encode_corpus", "Bm2
 
 
 def build_corpus(raw: DataFrame, path: str | None = None, analyzer: Analyzer = DEFAULT_ANALYZER,
-                 key: str = "doc_id", lemmas: DataFrame | None = None) -> DataFrame:
+                 key: str = "doc_id", lemmas: DataFrame | LemmaGuesser | None = None) -> DataFrame:
     """Prepare and persist the corpus; returns the written table."""
     spark = raw.sparkSession
     prepared = prepare_documents(spread(raw, key), analyzer, key)
     if lemmas is not None:
         order = prepared.columns
+        if isinstance(lemmas, LemmaGuesser):   # analysed once, read for terms and lemmas
+            prepared = write_parquet(prepared, scratch_path(spark, "analysed"))
         arrays = prepared.withColumns({c: split_tokens(c) for c in PROCESSED_COLUMNS})
         lemmatized = lemmatize_columns(arrays, key, list(PROCESSED_COLUMNS), lemmas)
         prepared = lemmatized.withColumns(

@@ -9,6 +9,7 @@ from quarry.operators.analyze import DEFAULT_ANALYZER, Analyzer
 from quarry.operators.index import build_index
 from quarry.operators.encoder import encoder_key
 from quarry.operators.fusion import url_aliases
+from quarry.operators.lemmas import LemmaGuesser
 from quarry.operators.payload import build_payload
 from quarry.plans.corpus import build_corpus, build_vectors, encode_corpus
 from quarry.plans.search import SearchEngine
@@ -29,14 +30,15 @@ def table_state(spark: SparkSession, path: str) -> tuple:
 
 def engine_for(spark: SparkSession, data_dir: str, analyzer: Analyzer = DEFAULT_ANALYZER,
                path: str | None = None, cache: bool = True,
-               encoder=None, lemmas: DataFrame | None = None) -> SearchEngine:
+               encoder=None, lemmas: DataFrame | LemmaGuesser | None = None) -> SearchEngine:
     """Corpus, index and vectors of ``data_dir``, written under ``path`` (by
     default a new folder in the checkpoint directory).
 
     Document vectors come from the ``embeddings`` table, or, when an encoder
     factory is given, from encoding the cleaned body of every document (the
-    same encoder then embeds the queries). A ``lemmas(form, lemma)`` table is
-    applied to the documents here and to the queries of every search.
+    same encoder then embeds the queries). A ``lemmas(form, lemma)`` table or a
+    ``LemmaGuesser`` is applied to the documents here and to the queries of
+    every search.
     """
     base_dir = data_dir.rstrip("/")
     key = (spark.sparkContext.applicationId, base_dir, path, analyzer,

@@ -10,6 +10,7 @@ checked against the plain definition, not against the padding rule.
 
 from __future__ import annotations
 
+from quarry.functions import inflections
 from quarry.functions.stopwords import ALL_STOPWORDS
 from quarry.functions.text import (
     CLEAN_PATTERN,
@@ -17,6 +18,8 @@ from quarry.functions.text import (
     SPACE_RUN_PATTERN,
     TOKEN_PATTERN,
 )
+from quarry.operators import sentences
+from quarry.operators.lemmas import LONGEST, MIN_VOTES
 from quarry.params import BM25_B, BM25_EPSILON, BM25_K1
 from quarry.plans.catalog import ENCODER_DIM, HYBRID_K, LEMMAS, SCORE_DIGITS, STAT_DIGITS, TEXT_K, VECTOR_K
 from quarry.sources.queries import REFERENCE_QUERIES
@@ -71,7 +74,9 @@ PAYLOAD = f"""payload AS (
 
 K1, B, EPS = BM25_K1, BM25_B, BM25_EPSILON
 
-INDEX = f"""toks AS (SELECT doc_id, {doc_terms('text')} AS terms FROM documents),
+DOC_TERM_ROWS = f"SELECT doc_id, {doc_terms('text')} AS terms FROM documents"
+
+INDEX = f"""toks AS ({DOC_TERM_ROWS}),
 dl AS (SELECT doc_id, CAST(len(terms) AS BIGINT) AS dl FROM toks),
 stats AS (SELECT count(*) AS n, sum(dl) AS total, sum(dl) / count(*) AS avgdl FROM dl),
 tf AS (SELECT doc_id, term, count(*) AS tf
@@ -197,6 +202,113 @@ FROM (SELECT doc_id, {tokens(clean('text'))} AS t FROM documents)"""
 SQL["doc_terms"] = f"""SELECT doc_id, CAST(len(t) AS BIGINT) AS n_terms, array_to_string(t, ' ') AS terms
 FROM (SELECT doc_id, {doc_terms('text')} AS t FROM documents)"""
 
+# Sentences: types (ty), segments' ends (ce), the three score tables (ab, st, co)
+# and a decision per segment (de).
+
+
+def _type(w: str) -> str:
+    bare = f"regexp_replace({w}, {lit(sentences.CLOSING)}, '')"
+    core = (f"regexp_replace(regexp_replace({bare}, {lit(sentences.END_MARKS)}, ''), "
+            f"{lit(sentences.OPENING)}, '')")
+    return (f"CASE WHEN regexp_matches({core}, '^\\p{{N}}[\\p{{N}}.,]*$') THEN '##' "
+            f"ELSE lower({core}) END")
+
+
+def _kind(w: str) -> str:
+    bare = f"regexp_replace({w}, {lit(sentences.CLOSING)}, '')"
+    return (f"CASE WHEN regexp_matches({bare}, '[!?]$') THEN 'end' "
+            f"WHEN regexp_matches({bare}, '\\.\\.$') THEN 'ellipsis' "
+            f"WHEN regexp_matches({bare}, '\\.$') THEN 'period' ELSE 'plain' END")
+
+
+def _ll(k: str, n: str, p: str) -> str:
+    tiny = sentences.TINY
+    return (f"(CASE WHEN {k} > 0 THEN {k} * ln(greatest({p}, {tiny})) ELSE 0.0 END + "
+            f"CASE WHEN {n} > {k} THEN ({n} - {k}) * ln(greatest(1.0 - {p}, {tiny})) ELSE 0.0 END)")
+
+
+def _association(both: str, first: str, second: str, total: str) -> str:
+    rest, other = f"greatest({total} - {first}, 0)", f"greatest({second} - {both}, 0)"
+    p, p1 = f"({second} / {total})", f"({both} / {first})"
+    p2 = f"(CASE WHEN {rest} > 0 THEN {other} / greatest({rest}, 1) ELSE 0.0 END)"
+    return (f"(CASE WHEN {p1} > {p} THEN 2.0 ELSE -2.0 END * ({_ll(both, first, p1)} "
+            f"+ {_ll(other, rest, p2)} - {_ll(both, first, p)} - {_ll(other, rest, p)}))")
+
+
+SENTENCES = f"""cl AS MATERIALIZED (SELECT doc_id, {clean('text')} AS c FROM documents),
+ty AS MATERIALIZED (SELECT type, count(*) FILTER (WHERE dot) AS n_dot,
+  count(*) FILTER (WHERE NOT dot) AS n_plain
+  FROM (SELECT {_type('w')} AS type, {_kind('w')} = 'period' AS dot
+        FROM (SELECT unnest(string_split(c, ' ')) AS w FROM cl))
+  WHERE regexp_matches(type, '[\\p{{L}}#]') GROUP BY type),
+tot AS (SELECT CAST(sum(n_dot + n_plain) AS DOUBLE) AS n, CAST(sum(n_dot) AS DOUBLE) AS dots FROM ty),
+sg AS MATERIALIZED (SELECT doc_id, unnest(regexp_extract_all(c, {lit(sentences.SEGMENT)})) AS s,
+  unnest(generate_series(1, len(regexp_extract_all(c, {lit(sentences.SEGMENT)})))) AS i FROM cl),
+cw AS (SELECT doc_id, i, s, string_split(trim(s), ' ')[-1] AS word,
+  string_split(coalesce(lead(s) OVER (PARTITION BY doc_id ORDER BY i), ''), ' ')[1] AS nxt FROM sg),
+ce AS MATERIALIZED (SELECT doc_id, i, s, nxt, {_kind('word')} AS kind, {_type('word')} AS type,
+  {_type('nxt')} AS next_type, regexp_matches(nxt, {lit(sentences.CAPITAL)}) AS capital FROM cw),
+ab AS (SELECT type, n_dot, n_plain,
+  2.0 * ({_ll('n_dot', '(n_dot + n_plain)', str(sentences.KEEPS))}
+    - {_ll('n_dot', '(n_dot + n_plain)', '(dots / n)')})
+  * exp(-CAST(len(replace(type, '.', '')) AS DOUBLE))
+  * (len(type) - len(replace(type, '.', '')) + 1)
+  * pow(CAST(len(replace(type, '.', '')) AS DOUBLE), -CAST(n_plain AS DOUBLE)) AS score
+  FROM ty, tot WHERE n_dot > 0 AND regexp_matches(type, {lit(LETTER_PATTERN)})),
+sh AS (SELECT type FROM ab WHERE score >= {sentences.ABBREVIATION}),
+fa AS (SELECT next_type AS type, count(*) AS n_after FROM ce
+  WHERE regexp_matches(next_type, '[\\p{{L}}#]') AND (kind = 'end' OR (kind = 'period'
+    AND type <> '##' AND NOT regexp_matches(type, '^\\p{{L}}$')
+    AND type NOT IN (SELECT type FROM sh))) GROUP BY 1),
+st AS (SELECT type, n_after, n_dot + n_plain AS n,
+  {_association('n_after', 'br', '(n_dot + n_plain)', 'tot.n')} AS score
+  FROM fa JOIN ty USING (type), tot, (SELECT CAST(sum(n_after) AS DOUBLE) AS br FROM fa)),
+pa AS (SELECT type, next_type, count(*) AS n_both FROM ce
+  WHERE kind = 'period' AND regexp_matches(next_type, '[\\p{{L}}#]') AND (type = '##'
+    OR regexp_matches(type, '^\\p{{L}}$') OR type IN (SELECT type FROM sh)) GROUP BY 1, 2),
+co AS (SELECT pa.type, next_type, n_both,
+  {_association('n_both', '(a.n_dot + a.n_plain)', '(b.n_dot + b.n_plain)', 'tot.n')} AS score
+  FROM pa JOIN ty a ON a.type = pa.type JOIN ty b ON b.type = next_type, tot),
+de AS (SELECT doc_id, i, s, kind, ends, NOT ends AND kind = 'period' AND (weak OR type = '##') AS keeps
+  FROM (SELECT *, CASE WHEN kind = 'plain' THEN false WHEN nxt = '' THEN true WHEN kind = 'end' THEN true
+      WHEN kind = 'ellipsis' THEN capital WHEN weak THEN capital AND starts AND NOT paired
+      WHEN type = '##' THEN capital AND NOT paired ELSE true END AS ends
+    FROM (SELECT *, type IN (SELECT type FROM sh) OR regexp_matches(type, '^\\p{{L}}$') AS weak,
+        next_type IN (SELECT type FROM st WHERE score >= {sentences.STARTER}) AS starts,
+        EXISTS (SELECT 1 FROM co WHERE co.type = ce.type AND co.next_type = ce.next_type
+                AND co.score >= {sentences.COLLOCATION}) AS paired FROM ce)))"""
+
+SQL["sentence_abbreviations"] = f"""WITH {SENTENCES}
+SELECT type, n_dot, n_plain, round(score, {SCORE_DIGITS}) + 0.0 AS score FROM ab"""
+
+SQL["sentence_starters"] = f"""WITH {SENTENCES}
+SELECT type, n_after, n, round(score, {SCORE_DIGITS}) + 0.0 AS score FROM st"""
+
+SQL["sentence_collocations"] = f"""WITH {SENTENCES}
+SELECT type, next_type, n_both, round(score, {SCORE_DIGITS}) + 0.0 AS score FROM co"""
+
+# A segment's tokens; the period that a word keeps is taken off and put back.
+_BODY = r"regexp_replace(trim(s), '\.([»''\-]*)$', '\1')"
+_SPLIT = f"regexp_extract_all(lower(trim(s)), {lit(TOKEN_PATTERN)})"
+
+SQL["doc_sentences"] = f"""WITH {SENTENCES},
+tk AS (SELECT doc_id, i, ends, CASE WHEN keeps
+    THEN list_filter(list_concat(before[:-2], [before[-1] || '.'], after), lambda t: t <> '')
+    ELSE {_SPLIT} END AS t
+  FROM (SELECT *, regexp_extract_all(lower({_BODY.replace(chr(92) + '1', '')}), {lit(TOKEN_PATTERN)})
+      AS before,
+    regexp_extract_all(regexp_extract(trim(s), '\\.([»''\\-]*)$', 1), {lit(TOKEN_PATTERN)})
+      AS after FROM de)),
+nu AS (SELECT *, coalesce(sum(CAST(ends AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY i
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sentence FROM tk),
+se AS (SELECT doc_id, sentence, flatten(list(t ORDER BY i)) AS t FROM nu GROUP BY 1, 2),
+al AS (SELECT doc_id, count(*) AS n_sentences, sum(len(t)) AS n_tokens,
+  string_agg(array_to_string(t, ' '), ' | ' ORDER BY sentence) AS tokens
+  FROM se WHERE len(t) > 0 GROUP BY doc_id)
+SELECT doc_id, coalesce(n_sentences, 0) AS n_sentences,
+  CAST(coalesce(n_tokens, 0) AS BIGINT) AS n_tokens, coalesce(tokens, '') AS tokens
+FROM documents LEFT JOIN al USING (doc_id)"""
+
 SQL["query_terms"] = f"""WITH {BENCH_Q}, {qterms_cte('qt', 'bq')}
 SELECT query_id, term, qtf FROM qt"""
 
@@ -364,6 +476,83 @@ SQL["text_search_lemmas"] = SQL["text_search"].replace(
     f"unnest({query_terms_expr('query')})", f"unnest({lemmatized(query_terms_expr('query'))})")
 
 
+PAIRS = ", ".join(f"({lit(f)}, {lit(x)})" for f, x in inflections.pairs())
+
+# Trie of endings (en) and lemmas (le) of the distinct terms of ``lt(term)``.
+LEMMA_TRIE = f"""pr AS (SELECT DISTINCT form, lemma FROM (VALUES {PAIRS}) v(form, lemma)),
+ru AS (SELECT form, lemma, len(form) - same AS cut, substr(lemma, same + 1) AS addition FROM (
+  SELECT form, lemma, CAST(len(list_filter(generate_series(1, least(len(form), len(lemma))),
+    lambda i: form[:i] = lemma[:i])) AS INTEGER) AS same FROM pr)),
+ev AS (SELECT right(form, n) AS ending, cut, addition, count(*) AS votes FROM (
+  SELECT *, CAST(unnest(generate_series(greatest(cut, 1), least({LONGEST}, len(form) - 1)))
+    AS INTEGER) AS n FROM ru) GROUP BY ALL),
+en AS (SELECT ending, CAST(cut AS INTEGER) AS cut, addition, votes,
+  CAST(forms AS BIGINT) AS forms FROM (
+  SELECT *, sum(votes) OVER (PARTITION BY ending) AS forms,
+    row_number() OVER (PARTITION BY ending ORDER BY votes DESC, cut, addition) AS place FROM ev)
+  WHERE place = 1 AND forms >= {MIN_VOTES})"""
+
+LEMMA_TABLE = f"""{LEMMA_TRIE},
+kn AS (SELECT form, min(lemma) AS lemma FROM pr GROUP BY form),
+gu AS (SELECT lt.term AS form, max(struct_pack(n := len(ending), cut := cut, addition := addition))
+    AS b
+  FROM lt JOIN en ON len(ending) < len(lt.term) AND right(lt.term, len(ending)) = ending
+  WHERE regexp_matches(lt.term, {lit(LETTER_PATTERN)}) GROUP BY 1),
+le AS (SELECT lt.term AS form,
+  coalesce(kn.lemma, left(lt.term, len(lt.term) - b.cut) || b.addition, lt.term) AS lemma,
+  CASE WHEN kn.lemma IS NOT NULL THEN 'known' WHEN b IS NOT NULL THEN 'guessed' ELSE 'kept' END
+    AS source
+  FROM lt LEFT JOIN kn ON kn.form = lt.term LEFT JOIN gu ON gu.form = lt.term)"""
+
+DOC_TOKENS_CTE = (f"lt AS (SELECT DISTINCT unnest({tokens(clean('text'))}) AS term "
+                  f"FROM documents)")
+
+SQL["lemma_guesses"] = f"WITH {DOC_TOKENS_CTE}, {LEMMA_TABLE} SELECT form, lemma, source FROM le"
+
+SQL["lemma_endings"] = f"""WITH {DOC_TOKENS_CTE}, {LEMMA_TRIE},
+te AS (SELECT right(term, n) AS ending, count(*) AS n_terms FROM (
+  SELECT term, CAST(unnest(generate_series(1, least(len(term), {LONGEST}))) AS INTEGER) AS n
+  FROM lt) GROUP BY 1)
+SELECT ending, cut, addition, votes, forms, coalesce(n_terms, 0) AS n_terms
+FROM en LEFT JOIN te USING (ending)"""
+
+
+def with_guesses(source: str, key_col: str, terms: str, name: str) -> str:
+    """``name(key_col, terms)``: lists of terms by their lemmas, in order."""
+    return f"""{name}_flat AS (
+  SELECT {key_col}, unnest({terms}) AS term, unnest(generate_series(1, len({terms}))) AS pos
+  FROM {source}),
+{name}_made AS (
+  SELECT f.{key_col}, list(le.lemma ORDER BY f.pos) AS terms
+  FROM {name}_flat f JOIN le ON le.form = f.term GROUP BY 1),
+{name} AS (SELECT s.{key_col}, coalesce(m.terms, []) AS terms
+  FROM {source} s LEFT JOIN {name}_made m USING ({key_col}))"""
+
+
+GUESSED = f"""g_docs AS ({DOC_TERM_ROWS}),
+lt AS (SELECT DISTINCT unnest(terms) AS term FROM g_docs),
+{LEMMA_TABLE},
+{with_guesses('g_docs', 'doc_id', 'terms', 'toks')}"""
+
+SQL["doc_terms_guessed"] = f"""WITH {GUESSED}
+SELECT doc_id, CAST(len(terms) AS BIGINT) AS n_terms, array_to_string(terms, ' ') AS terms
+FROM toks"""
+
+_GUESSED_QUERIES = f"""g_docs AS ({DOC_TERM_ROWS}),
+g_queries AS (SELECT query_id, {query_terms_expr('query')} AS terms FROM bq),
+lt AS (SELECT DISTINCT term FROM (SELECT unnest(terms) AS term FROM g_docs
+  UNION ALL SELECT unnest(terms) FROM g_queries)),
+{LEMMA_TABLE},
+{with_guesses('g_docs', 'doc_id', 'terms', 'toks')},
+{with_guesses('g_queries', 'query_id', 'terms', 'g_qt')}"""
+
+SQL["text_search_guessed"] = with_results(
+    f"{BENCH_Q}, {_GUESSED_QUERIES}, {INDEX.split(chr(10), 1)[1]}, "
+    + text_topk_ctes('tg', 'bq', TEXT_K).replace(
+        f"SELECT query_id, unnest({query_terms_expr('query')}) AS term FROM bq",
+        "SELECT query_id, unnest(terms) AS term FROM g_qt"), "tg_top")
+
+
 SQL["jsonl_rejects"] = f"""WITH {RAW}, kinds AS (
   SELECT doc_id % 5 AS kind, title, CASE WHEN doc_id % 5 = 3 THEN '' ELSE summary END AS summary, text
   FROM raw)

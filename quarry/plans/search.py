@@ -18,6 +18,7 @@ from quarry.operators.analyze import DEFAULT_ANALYZER, Analyzer, query_terms
 from quarry.operators.bm25 import text_top_k
 from quarry.operators.fusion import fuse, fused_top_k
 from quarry.operators.index import Bm25Index
+from quarry.operators.lemmas import LemmaGuesser
 from quarry.operators.payload import bucket_count, with_payload
 from quarry.operators.vector import MAX_QUERY_BYTES, query_shape, vector_top_k
 from quarry.session import BROADCAST_ROW_LIMIT
@@ -39,7 +40,7 @@ class SearchEngine:
     index: Bm25Index
     doc_vectors: DataFrame | None
     analyzer: Analyzer = DEFAULT_ANALYZER
-    lemmas: DataFrame | None = None
+    lemmas: DataFrame | LemmaGuesser | None = None
     key: str = "doc_id"
     max_query_bytes: int = MAX_QUERY_BYTES
     encoder: object | None = field(default=None, repr=False)
