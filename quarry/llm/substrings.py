@@ -21,8 +21,13 @@ and about one place in 35 is an anchor.
    are equal if both sides agree far enough, and all but the earliest of equal
    windows are repeats.
 4. A gram with more than ``HOT`` classes (the edge of a passage in much of the
-   corpus) isn't sorted in one task: its windows are told apart by 128-bit
-   hashes, whose earliest member is found with map-side combine.
+   corpus) isn't sorted in one task. The range of its windows' distances to the
+   anchor is halved, and each half of a class becomes a row with the bytes of
+   its own windows. All windows of a half share the bytes around the anchor
+   that the half's range implies; those join the key. Rows of equal key and
+   bytes are one class again (inside a passage nearly all of them are), and
+   steps 2 to 4 repeat. A half of one window has one class for each key, so at
+   most seven halvings are made; only classes of still hot keys are halved.
 
 Joins that put the results back together are sort-merge joins that adaptive
 execution may split. Texts are shuffled once, to meet their spans.
@@ -42,15 +47,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm.common import cleared, columns, documents, map_batches, python_ready, staged, whole_text
 from quarry.llm.deepshallow import sort_with_prefixes
+from quarry.session import bounded_broadcast
 
 WINDOW = 100            # bytes of a repeated string
 GRAM = 32               # bytes of an anchor's gram (a power of two)
-HOT = 4096              # classes of a gram sorted in one task
+HOT = 4096              # classes of a key sorted in one task
 BLOCK_BYTES = 2 << 20   # bytes hashed at a time
 FILTER_BITS = 20        # log2 of the bits of a block of the Bloom filter
 FILTER_BLOCKS = 512     # blocks at most (64 MB)
@@ -279,7 +285,7 @@ def repeats(groups: list[list[tuple[int, int, bytes]]]) -> np.ndarray:
 
 
 def sorted_spans(classes: DataFrame) -> DataFrame:
-    """(doc, th, lo, hi) of repeats among the classes of each gram."""
+    """(doc, th, lo, hi) of repeats among the classes of each key."""
     def spans(groups: list, reps: list) -> pa.RecordBatch:
         again = repeats(groups)
         doc, th, place = (np.array([r[i] for r in reps], np.int64) for i in range(3))
@@ -296,75 +302,81 @@ def sorted_spans(classes: DataFrame) -> DataFrame:
              pa.array(place[m] - distance[first] + WINDOW)], ["doc", "th", "lo", "hi"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        groups, reps, gram, ready = [], [], None, 0
+        groups, reps, key, ready = [], [], None, 0
         for batch in batches:
-            for g, doc, th, place, least, most, context in zip(
+            for k, doc, th, place, least, most, context in zip(
                     *(c.to_pylist() for c in batch.columns), strict=True):
-                if g != gram:
+                if k != key:
                     if ready >= HOT:
                         yield spans(groups, reps)
                         groups, reps, ready = [], [], 0
                     groups.append([])
-                    gram = g
+                    key = k
                 groups[-1].append((least, most, context))
                 reps.append((doc, th, place))
                 ready += 1
         if groups:
             yield spans(groups, reps)
 
-    ordered = ["gram", "doc", "th", "place", "least"]
-    return (classes.select("gram", "first.doc", "first.th", "first.place", "first.least",
+    ordered = ["key", "doc", "th", "place", "least"]
+    return (classes.select("key", "first.doc", "first.th", "first.place", "first.least",
                            "first.most", "context")
-            .repartition(F.col("gram")).sortWithinPartitions(*ordered)
+            .repartition(F.col("key")).sortWithinPartitions(*ordered)
             .mapInArrow(run, "doc long, th long, lo long, hi long"))
 
 
-def hot_spans(classes: DataFrame) -> DataFrame:
-    """The same for grams with very many classes, window by window."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for doc, th, place, least, most, context in zip(
-                    *(c.to_pylist() for c in batch.columns), strict=True):
-                for distance in range(least, most + 1):
-                    start = most - distance
-                    digest = xxhash.xxh3_128_intdigest(context[start:start + WINDOW])
-                    rows.append((digest >> 64, digest & (1 << 64) - 1, doc, th, place - distance))
-            columns = list(zip(*rows, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.array(c, np.uint64).view(np.int64)) for c in columns[:2]]
-                + [pa.array(c, pa.int64()) for c in columns[2:]], ["w1", "w2", "doc", "th", "lo"])
+def halved(classes: DataFrame) -> DataFrame:
+    """The rows of both halves of each class's range of distances.
 
-    windows = classes.select("first.doc", "first.th", "first.place", "first.least", "first.most",
-                             "context").mapInArrow(
-        run, "w1 long, w2 long, doc long, th long, lo long")
-    me = F.struct("doc", "th", "lo")
-    firsts = windows.groupBy("w1", "w2").agg(
-        F.min(me).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    return windows.join(firsts, ["w1", "w2"]).where(me != F.col("first")).select(
-        "doc", "th", "lo", (F.col("lo") + WINDOW).alias("hi"))
+    The anchor is ``most`` bytes into a context.
+    """
+    def half(low: Column, high: Column) -> Column:
+        least = F.greatest(F.col("first.least"), low)
+        most = F.least(F.col("first.most"), high)
+        context = F.substring("context", F.col("first.most") - most + 1, most - least + WINDOW)
+        # From ``low`` bytes before the anchor to the end of a window at ``high``.
+        around = F.substring("context", F.col("first.most") - low + 1, low - high + WINDOW)
+        made = F.struct(F.xxhash64("key", low, around).alias("key"), low.alias("lo"),
+                        high.alias("hi"), F.xxhash64(context, least, most).alias("context_key"),
+                        least.alias("least"), most.alias("most"), context.alias("context"))
+        return F.when(least <= most, made)
+
+    middle = F.floor((F.col("lo") + F.col("hi")) / 2).cast("int")
+    both = F.array(half(F.col("lo"), middle), half(middle + 1, F.col("hi")))
+    each = classes.select("first.doc", "first.th", "first.place", F.explode(both).alias("h"))
+    return each.where(F.col("h").isNotNull()).select("doc", "th", "place", "h.*")
 
 
 def repeated_spans(texts: DataFrame) -> DataFrame:
     """(doc, th, spans): byte ranges to remove, not merged."""
     table = bloom_filter(staged(repeated_grams(texts), "grams"))
-    rows = staged(members(texts, table), "anchors")
+    rows = staged(members(texts, table), "anchors").select(
+        F.col("gram").alias("key"), F.lit(0).alias("lo"), F.lit(WINDOW - GRAM).alias("hi"),
+        "context_key", "doc", "th", "place", "least", "most", "context")
     place = F.struct("doc", "th", "place", "least", "most")
-    classes = staged(rows.groupBy("gram", "context_key").agg(
-        F.min(place).alias("first"), F.count(F.lit(1)).alias("n"),
-        F.max("context").alias("context")), "contexts")
-    whole = classes.where("n > 1").select("gram", "context_key", "first")
-    spans = rows.drop("context").join(whole, ["gram", "context_key"]).where(
-        place != F.col("first")).select(
-        "doc", "th", (F.col("place") - F.col("most")).cast("long").alias("lo"),
-        (F.col("place") - F.col("least") + WINDOW).cast("long").alias("hi"))
-    shared = staged(classes.groupBy("gram").agg(F.count(F.lit(1)).alias("classes"))
-                    .where("classes > 1"), "shared")
-    cold = classes.join(shared.where(F.col("classes") <= HOT), "gram")
-    spans = spans.union(sorted_spans(cold))
-    if not shared.where(F.col("classes") > HOT).isEmpty():
-        spans = spans.union(hot_spans(classes.join(shared.where(F.col("classes") > HOT), "gram")))
-    return staged(spans, "spans").groupBy("doc", "th").agg(
+    spans = []
+    while True:
+        classes = staged(rows.groupBy("key", "context_key").agg(
+            F.min(place).alias("first"), F.count(F.lit(1)).alias("n"),
+            F.max("context").alias("context"), F.max("lo").alias("lo"), F.max("hi").alias("hi")),
+            "contexts")
+        whole = classes.where("n > 1").select("key", "context_key", "first")
+        spans.append(rows.drop("context", "lo", "hi").join(whole, ["key", "context_key"]).where(
+            place != F.col("first")).select(
+            "doc", "th", (F.col("place") - F.col("most")).cast("long").alias("lo"),
+            (F.col("place") - F.col("least") + WINDOW).cast("long").alias("hi")))
+        shared = staged(classes.groupBy("key").agg(F.count(F.lit(1)).alias("classes"))
+                        .where("classes > 1"), "shared")
+        spans.append(sorted_spans(classes.join(shared.where(F.col("classes") <= HOT), "key")))
+        over = shared.where(F.col("classes") > HOT)
+        if over.isEmpty():
+            break
+        # Such keys are few: each stands for more than ``HOT`` classes.
+        rows = halved(classes.join(bounded_broadcast(over.select("key"))[0], "key"))
+    found = spans[0]
+    for more in spans[1:]:
+        found = found.union(more)
+    return staged(found, "spans").groupBy("doc", "th").agg(
         F.collect_set(F.struct("lo", "hi")).alias("spans"))
 
 
