@@ -50,7 +50,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import cleared, columns, documents, map_batches, python_ready, staged, whole_text
+from quarry.llm.common import (cleared, columns, discard, documents, map_batches,
+                               python_ready, staged, whole_text)
 from quarry.llm.deepshallow import sort_with_prefixes
 from quarry.session import bounded_broadcast
 
@@ -349,12 +350,13 @@ def halved(classes: DataFrame) -> DataFrame:
 
 def repeated_spans(texts: DataFrame) -> DataFrame:
     """(doc, th, spans): byte ranges to remove, not merged."""
-    table = bloom_filter(staged(repeated_grams(texts), "grams"))
-    rows = staged(members(texts, table), "anchors").select(
+    grams = staged(repeated_grams(texts), "grams")
+    anchored = staged(members(texts, bloom_filter(grams)), "anchors")
+    rows = anchored.select(
         F.col("gram").alias("key"), F.lit(0).alias("lo"), F.lit(WINDOW - GRAM).alias("hi"),
         "context_key", "doc", "th", "place", "least", "most", "context")
     place = F.struct("doc", "th", "place", "least", "most")
-    spans = []
+    spans, used = [], [grams, anchored]
     while True:
         classes = staged(rows.groupBy("key", "context_key").agg(
             F.min(place).alias("first"), F.count(F.lit(1)).alias("n"),
@@ -367,6 +369,7 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
             (F.col("place") - F.col("least") + WINDOW).cast("long").alias("hi")))
         shared = staged(classes.groupBy("key").agg(F.count(F.lit(1)).alias("classes"))
                         .where("classes > 1"), "shared")
+        used += [classes, shared]
         spans.append(sorted_spans(classes.join(shared.where(F.col("classes") <= HOT), "key")))
         over = shared.where(F.col("classes") > HOT)
         if over.isEmpty():
@@ -376,8 +379,9 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     found = spans[0]
     for more in spans[1:]:
         found = found.union(more)
-    return staged(found, "spans").groupBy("doc", "th").agg(
-        F.collect_set(F.struct("lo", "hi")).alias("spans"))
+    written = staged(found, "spans")
+    discard(*used)   # before the texts are shuffled; only the spans are read from here on
+    return written.groupBy("doc", "th").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
 
 
 def merged(spans: list[dict]) -> list[tuple[int, int]]:
