@@ -70,12 +70,12 @@ BY_LANGUAGE: dict[str, tuple[str, ...]] = {
 }
 
 
-def stopwords_for(languages=("ru", "en", "fr", "de", "es")) -> tuple[str, ...]:
+LANGUAGES = tuple(BY_LANGUAGE)
+
+
+def stopwords_for(languages=LANGUAGES) -> tuple[str, ...]:
     """Union of the lists of ``languages``, sorted, without duplicates."""
     words: set[str] = set()
     for lang in languages:
         words.update(BY_LANGUAGE[lang])
     return tuple(sorted(words))
-
-
-ALL_STOPWORDS: tuple[str, ...] = stopwords_for()

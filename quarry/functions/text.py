@@ -9,7 +9,7 @@ non-ASCII whitespace characters are literal characters, not escapes.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -62,12 +62,46 @@ def tokenize(c) -> Column:
     return F.regexp_extract_all(F.lower(_col(c)), F.lit(TOKEN_PATTERN), 0)
 
 
-def drop_stopwords(tokens, stopwords: Iterable[str]) -> Column:
-    """Remove stop words, keeping order and repeats (not ``array_except``)."""
-    words = list(stopwords)
-    if not words:
-        return _col(tokens)
-    return F.filter(_col(tokens), lambda t: ~t.isin(*words))
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` worked out once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def drop_stopwords(tokens, lang, by_language: Mapping[str, Iterable[str]]) -> Column:
+    """Remove the stop words of each row's language ``lang``, keeping order and
+    repeats (not ``array_except``). A language without a list drops nothing."""
+    def stop(t: Column, own: Column) -> Column:
+        found = F.lit(False)
+        for code, words in by_language.items():
+            found = F.when(own == code, t.isin(*words)).otherwise(found)
+        return found
+
+    return bind(_col(lang), lambda own: F.filter(_col(tokens), lambda t: ~stop(t, own)))
+
+
+def stop_language(tokens, by_language: Mapping[str, Iterable[str]]) -> Column:
+    """The language whose list holds most of the tokens (of equals the first).
+
+    Null if no list holds any, or if no token with a letter would be left: a
+    lone "war" may be a German stop word, but it's all there is.
+    """
+    def hits(own: Column, words: Iterable[str]) -> Column:
+        return F.size(F.filter(own, lambda t: t.isin(*words)))
+
+    def code_of(counts: Column) -> Column:
+        codes = F.array(*[F.lit(code) for code in by_language]).cast("array<string>")
+        best = F.element_at(codes, F.array_position(counts, F.array_max(counts)).cast("int"))
+        return F.when(F.array_max(counts) > 0, best)
+
+    def kept(own: Column, code: Column) -> Column:
+        left = keep_letter_tokens(drop_stopwords(own, code, by_language))
+        return F.when(F.size(left) > 0, code)
+
+    def decide(own: Column) -> Column:
+        counts = F.array(*[hits(own, words) for words in by_language.values()]).cast("array<int>")
+        return bind(bind(counts, code_of), lambda code: kept(own, code))
+
+    return bind(_col(tokens), decide)
 
 
 def keep_letter_tokens(tokens) -> Column:

@@ -7,7 +7,8 @@ Two analyzers, as the ranked-retrieval design has them:
 * queries: lower -> tokenise -> drop stop words and tokens without a letter
   -> lemma (no cleaning).
 
-Stop words are tested on the surface form, before lemmatisation. Lemmas come
+Stop words are tested on the surface form, before lemmatisation, and are those
+of the row's language alone ("war" stays in English). Lemmas come
 from an optional ``(form, lemma)`` table or from a ``LemmaGuesser``, which also
 guesses those of forms it doesn't know; without either the form is kept.
 """
@@ -21,13 +22,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.functions.stopwords import ALL_STOPWORDS
+from quarry.functions.stopwords import BY_LANGUAGE
 from quarry.functions.text import (
     as_text,
     basic_clean,
+    bind,
     drop_stopwords,
     join_tokens,
     keep_letter_tokens,
+    stop_language,
     tokenize,
 )
 from quarry.operators.lemmas import LemmaGuesser
@@ -42,20 +45,38 @@ from quarry.session import (
 
 @dataclass(frozen=True)
 class Analyzer:
-    """Text analysis settings shared by documents and queries."""
+    """Text analysis settings shared by documents and queries.
 
-    stopwords: tuple[str, ...] = ALL_STOPWORDS
+    ``lists`` are the stop words of each language. A row's are those of its
+    own language: ``lang`` where it is given and has a list, else the language
+    whose list holds most of the tokens (``functions.text.stop_language``).
+    """
+
+    lists: tuple[tuple[str, tuple[str, ...]], ...] = tuple(BY_LANGUAGE.items())
+
+    @property
+    def stopwords(self) -> dict[str, tuple[str, ...]]:
+        return dict(self.lists)
 
-    def document_tokens(self, text) -> Column:
-        return self.cleaned_tokens(basic_clean(text))
+    def language(self, tokens, lang=None) -> Column:
+        decided = stop_language(tokens, self.stopwords)
+        if lang is None:
+            return decided
+        lang = F.col(lang) if isinstance(lang, str) else lang
+        return F.coalesce(F.when(lang.isin(*self.stopwords), lang), decided)
 
-    def cleaned_tokens(self, cleaned) -> Column:
+    def document_tokens(self, text, lang=None) -> Column:
+        return self.cleaned_tokens(basic_clean(text), lang)
+
+    def cleaned_tokens(self, cleaned, lang=None) -> Column:
         """Document tokens of text that went through the basic clean already
         (the clean is idempotent, so this equals ``document_tokens``)."""
-        return drop_stopwords(tokenize(cleaned), self.stopwords)
+        return bind(tokenize(cleaned), lambda tokens: drop_stopwords(
+            tokens, self.language(tokens, lang), self.stopwords))
 
-    def query_tokens(self, text) -> Column:
-        return keep_letter_tokens(drop_stopwords(tokenize(as_text(text)), self.stopwords))
+    def query_tokens(self, text, lang=None) -> Column:
+        return keep_letter_tokens(bind(tokenize(as_text(text)), lambda tokens: drop_stopwords(
+            tokens, self.language(tokens, lang), self.stopwords)))
 
 
 DEFAULT_ANALYZER = Analyzer()
@@ -133,10 +154,13 @@ def prepare_documents(raw: DataFrame, analyzer: Analyzer = DEFAULT_ANALYZER,
 
     Each field is cleaned once; the analysis tokenises the cleaned column (a
     second projection, which Spark keeps separate because the cleaned value
-    is used twice) instead of cleaning the raw text a second time.
+    is used twice) instead of cleaning the raw text a second time. All fields
+    of a document have one language: its ``lang`` if there is such a column
+    and the analyzer knows it, else that of its body's tokens.
     """
+    lang = F.col("lang") if "lang" in raw.columns else F.lit(None).cast("string")
     cleaned = raw.select(
-        F.col(key),
+        F.col(key), lang.alias("_lang"),
         as_text("url").alias("id"),
         as_text("date").alias("date"),
         as_text("url").alias("url"),
@@ -144,23 +168,25 @@ def prepare_documents(raw: DataFrame, analyzer: Analyzer = DEFAULT_ANALYZER,
         basic_clean("summary").alias("summary"),
         basic_clean("text").alias("text"),
     )
-    return cleaned.select(
-        "*",
-        join_tokens(analyzer.cleaned_tokens("title")).alias("title_processed"),
-        join_tokens(analyzer.cleaned_tokens("summary")).alias("summary_processed"),
-        join_tokens(analyzer.cleaned_tokens("text")).alias("text_processed"),
-    )
+    own = cleaned.withColumn("_lang", analyzer.language(tokenize("text"), "_lang"))
+    fields = ("title", "summary", "text")
+    return own.select(
+        *[c for c in cleaned.columns if c != "_lang"],
+        *[join_tokens(drop_stopwords(tokenize(c), "_lang", analyzer.stopwords))
+          .alias(f"{c}_processed") for c in fields])
 
 
 def query_terms(queries: DataFrame, analyzer: Analyzer = DEFAULT_ANALYZER,
                 lemmas: DataFrame | LemmaGuesser | None = None) -> DataFrame:
     """``(query_id, term, qtf)``: analysed query terms with their repeat count
-    (a term given twice counts twice). ``query_id`` is unique per query.
+    (a term given twice counts twice). ``query_id`` is unique per query; a
+    column ``lang`` gives the languages of the queries.
 
     Every query's terms are one row, so they are counted inside the row
     (distinct terms, then occurrences of each): no shuffle.
     """
-    toks = queries.select("query_id", analyzer.query_tokens("query").alias("terms"))
+    lang = "lang" if "lang" in queries.columns else None
+    toks = queries.select("query_id", analyzer.query_tokens("query", lang).alias("terms"))
     if lemmas is not None:
         toks = lemmatize_tokens(toks, "query_id", "terms", lemmas)
     terms = F.col("terms")

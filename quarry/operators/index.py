@@ -45,6 +45,9 @@ from quarry.session import scratch_path, write_parquet
 POSTING_BYTES_PER_TOKEN = 10
 TARGET_FILE_BYTES = 256 << 20
 TOKENS_PER_DOC_BUCKET = 4_000_000
+# Spark refuses tables of more than spark.sql.sources.bucketing.maxBuckets
+# (100,000 by default); larger corpora get more term buckets instead.
+MAX_DOC_BUCKETS = 20_000
 
 
 def term_bucket(term, n_buckets: int) -> Column:
@@ -137,33 +140,37 @@ def _table_name() -> str:
 
 
 def doc_bucket_count(spark: SparkSession, total_tokens: int) -> int:
-    """Buckets grow with the corpus (one per 4M tokens), at least the
-    cluster's parallelism."""
-    return max(1, spark.sparkContext.defaultParallelism,
-               math.ceil(total_tokens / TOKENS_PER_DOC_BUCKET))
+    """Buckets grow with the corpus (one per 4M tokens, at least the cluster's
+    parallelism) up to ``MAX_DOC_BUCKETS``."""
+    return min(MAX_DOC_BUCKETS, max(1, spark.sparkContext.defaultParallelism,
+                                    math.ceil(total_tokens / TOKENS_PER_DOC_BUCKET)))
 
 
 def term_bucket_count(total_tokens: int, n_doc_buckets: int) -> int:
     """Term buckets such that each (document bucket, term bucket) file holds
     about ``TARGET_FILE_BYTES`` of postings, at least one. With document
-    buckets by tokens this is one; a caller that asks for fewer document
-    buckets gets more."""
+    buckets by tokens this is one, until those reach their bound."""
     estimate = total_tokens * POSTING_BYTES_PER_TOKEN
     return max(1, estimate // (n_doc_buckets * TARGET_FILE_BYTES))
 
 
-def write_postings(postings: DataFrame, location: str, n_doc_buckets: int) -> DataFrame:
-    """Write postings bucketed by ``doc_id``, partitioned by ``tbucket``.
+def write_bucketed(rows: DataFrame, location: str, n_buckets: int, column: str) -> DataFrame:
+    """Write rows bucketed by ``column``, partitioned by ``tbucket``.
 
-    The input is hash-partitioned by ``doc_id`` into ``n_doc_buckets``, which
-    is the bucketing hash, so each task holds exactly one bucket and writes
-    one file per term bucket. A failed write raises.
+    The input is hash-partitioned by ``column`` into ``n_buckets``, which is
+    the bucketing hash, so each task holds exactly one bucket and writes one
+    file per term bucket. A failed write raises.
     """
     name = _table_name()
-    (postings.write.mode("overwrite").format("parquet").option("path", location)
-     .partitionBy("tbucket").bucketBy(n_doc_buckets, "doc_id").sortBy("term")
+    (rows.write.mode("overwrite").format("parquet").option("path", location)
+     .partitionBy("tbucket").bucketBy(n_buckets, column).sortBy("term")
      .saveAsTable(name))
-    return postings.sparkSession.table(name)
+    return rows.sparkSession.table(name)
+
+
+def write_postings(postings: DataFrame, location: str, n_doc_buckets: int) -> DataFrame:
+    """Postings bucketed by ``doc_id``."""
+    return write_bucketed(postings, location, n_doc_buckets, "doc_id")
 
 
 def register_postings(spark: SparkSession, location: str, n_doc_buckets: int) -> DataFrame:

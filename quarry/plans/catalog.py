@@ -85,7 +85,7 @@ def q_doc_tokens(spark: SparkSession, d: str) -> DataFrame:
 
 def q_doc_terms(spark: SparkSession, d: str) -> DataFrame:
     terms = _documents(spark, d).select(
-        "doc_id", DEFAULT_ANALYZER.document_tokens("text").alias("t"))
+        "doc_id", DEFAULT_ANALYZER.document_tokens("text", "lang").alias("t"))
     return terms.select("doc_id", F.size("t").cast("long").alias("n_terms"),
                         join_tokens("t").alias("terms"))
 
@@ -224,6 +224,11 @@ def q_text_search(spark: SparkSession, d: str) -> DataFrame:
     return _scored(_engine(spark, d).text(_queries(spark, d), TEXT_K))
 
 
+def q_text_search_pruned(spark: SparkSession, d: str) -> DataFrame:
+    """J1 with block-max bounds and essential terms."""
+    return _scored(_engine(spark, d).text(_queries(spark, d), TEXT_K, pruned=True))
+
+
 def page_url_queries(spark: SparkSession, d: str) -> DataFrame:
     """URLs of ``pages`` as queries: few of their terms occur in the corpus,
     so most lists are short and end in zero-score padding."""
@@ -443,6 +448,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "term_idf": q_term_idf,
     "bm25_scores": q_bm25_scores,
     "text_search": q_text_search,
+    "text_search_pruned": q_text_search_pruned,
     "text_search_padded": q_text_search_padded,
     "l2_normalize": q_l2_normalize,
     "vector_search": q_vector_search,

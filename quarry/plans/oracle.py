@@ -11,7 +11,7 @@ checked against the plain definition, not against the padding rule.
 from __future__ import annotations
 
 from quarry.functions import inflections
-from quarry.functions.stopwords import ALL_STOPWORDS
+from quarry.functions.stopwords import BY_LANGUAGE
 from quarry.functions.text import (
     CLEAN_PATTERN,
     LETTER_PATTERN,
@@ -23,14 +23,15 @@ from quarry.operators.lemmas import LONGEST, MIN_VOTES
 from quarry.params import BM25_B, BM25_EPSILON, BM25_K1
 from quarry.plans.catalog import ENCODER_DIM, HYBRID_K, LEMMAS, SCORE_DIGITS, STAT_DIGITS, TEXT_K, VECTOR_K
 from quarry.sources.queries import REFERENCE_QUERIES
-from quarry.sources.tables import FIXED_DATE, SUMMARY_CHARS, URL_PREFIX
+from quarry.sources.tables import FIXED_DATE, URL_PREFIX
 
 
 def lit(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-STOP_LIST = "[" + ", ".join(lit(w) for w in ALL_STOPWORDS) + "]"
+LISTS = "[" + ", ".join(
+    "[" + ", ".join(lit(w) for w in words) + "]" for words in BY_LANGUAGE.values()) + "]"
 
 
 def clean(x: str) -> str:
@@ -42,30 +43,45 @@ def tokens(x: str) -> str:
     return f"regexp_extract_all(lower({x}), {lit(TOKEN_PATTERN)})"
 
 
-def no_stop(lst: str) -> str:
-    return f"list_filter({lst}, lambda t: NOT list_contains({STOP_LIST}, t))"
+def decided(t: str) -> str:
+    """The stop words of the language whose list holds most of the tokens ``t``."""
+    hits = f"list_transform({LISTS}, lambda l: len(list_filter({t}, lambda x: list_contains(l, x))))"
+    own = f"{LISTS}[list_position({hits}, list_max({hits}))]"
+    left = (f"len(list_filter({t}, lambda x: NOT list_contains({own}, x) "
+            f"AND regexp_matches(x, {lit(LETTER_PATTERN)})))")
+    return f"CASE WHEN list_max({hits}) > 0 AND {left} > 0 THEN {own} ELSE [] END"
 
 
 def doc_terms(x: str) -> str:
-    return no_stop(tokens(clean(x)))
+    """Terms of a column of ``docs``, whose ``words`` are its language's stop words."""
+    return f"list_filter({tokens(clean(x))}, lambda t: NOT list_contains(words, t))"
 
 
-def query_terms_expr(x: str) -> str:
-    guarded = f"coalesce({x}, '')"
-    return (f"list_filter({no_stop(tokens(guarded))}, "
-            f"lambda t: regexp_matches(t, {lit(LETTER_PATTERN)}))")
+def query_term_rows(source: str) -> str:
+    """``(query_id, terms)`` of ``source(query_id, query)``."""
+    return f"""SELECT query_id, list_filter(t, lambda x: NOT list_contains(words, x)
+    AND regexp_matches(x, {lit(LETTER_PATTERN)})) AS terms
+  FROM (SELECT query_id, t, {decided('t')} AS words
+        FROM (SELECT query_id, {tokens("coalesce(query, '')")} AS t FROM {source}))"""
 
 
 def key(x: str) -> str:
     return f"floor({x} * 1e9 + 0.5)"
 
 
+_STOPS = ", ".join(f"({lit(code)}, {LISTS}[{i}])" for i, code in enumerate(BY_LANGUAGE, 1))
+
+DOCS = f"""docs AS MATERIALIZED (
+  SELECT d.*, coalesce(sl.words, {decided(tokens(clean('text')))}) AS words
+  FROM documents d LEFT JOIN (VALUES {_STOPS}) sl(lang, words) ON sl.lang = d.lang)"""
+
 RAW = f"""raw AS (
   SELECT doc_id,
          {lit(URL_PREFIX)} || source || '/' || CAST(doc_id AS VARCHAR) AS url,
          {lit(FIXED_DATE)} AS date,
          split_part(text, chr(10), 1) AS title,
-         substring(text, 1, {SUMMARY_CHARS}) AS summary,
+         coalesce(list_filter(string_split(text, chr(10))[2:], lambda x: trim(x) <> '')[1],
+                  split_part(text, chr(10), 1)) AS summary,
          text
   FROM documents)"""
 
@@ -74,10 +90,10 @@ PAYLOAD = f"""payload AS (
 
 K1, B, EPS = BM25_K1, BM25_B, BM25_EPSILON
 
-DOC_TERM_ROWS = f"SELECT doc_id, {doc_terms('text')} AS terms FROM documents"
+DOC_TERM_ROWS = f"SELECT doc_id, {doc_terms('text')} AS terms FROM docs"
 
-INDEX = f"""toks AS ({DOC_TERM_ROWS}),
-dl AS (SELECT doc_id, CAST(len(terms) AS BIGINT) AS dl FROM toks),
+# BM25 tables from ``toks(doc_id, terms)``.
+STATS = f"""dl AS (SELECT doc_id, CAST(len(terms) AS BIGINT) AS dl FROM toks),
 stats AS (SELECT count(*) AS n, sum(dl) AS total, sum(dl) / count(*) AS avgdl FROM dl),
 tf AS (SELECT doc_id, term, count(*) AS tf
        FROM (SELECT doc_id, unnest(terms) AS term FROM toks) GROUP BY doc_id, term),
@@ -92,12 +108,14 @@ weights AS (
            AS weight
   FROM tf JOIN idf USING (term) JOIN dl USING (doc_id), stats)"""
 
+INDEX = f"""{DOCS}, toks AS ({DOC_TERM_ROWS}), {STATS}"""
+
 
 def qterms_cte(name: str, source: str) -> str:
     """``name(query_id, term, qtf)`` from ``source(query_id, query)``."""
     return f"""{name} AS (
   SELECT query_id, term, count(*) AS qtf
-  FROM (SELECT query_id, unnest({query_terms_expr('query')}) AS term FROM {source})
+  FROM (SELECT query_id, unnest(terms) AS term FROM ({query_term_rows(source)}))
   GROUP BY query_id, term)"""
 
 
@@ -186,7 +204,7 @@ runs AS (
 
 SQL: dict[str, str] = {}
 
-SQL["prepare_documents"] = f"""WITH {RAW}
+SQL["prepare_documents"] = f"""WITH {DOCS}, {RAW.replace("FROM documents", "FROM docs").replace("         text" + chr(10), "         text, words" + chr(10))}
 SELECT doc_id, coalesce(url, '') AS id, coalesce(date, '') AS date, coalesce(url, '') AS url,
        {clean('title')} AS title, {clean('summary')} AS summary, {clean('text')} AS text,
        array_to_string({doc_terms('title')}, ' ') AS title_processed,
@@ -199,8 +217,8 @@ SQL["basic_clean"] = f"SELECT doc_id, {clean('text')} AS clean_text FROM documen
 SQL["doc_tokens"] = f"""SELECT doc_id, CAST(len(t) AS BIGINT) AS n_tokens, array_to_string(t, ' ') AS tokens
 FROM (SELECT doc_id, {tokens(clean('text'))} AS t FROM documents)"""
 
-SQL["doc_terms"] = f"""SELECT doc_id, CAST(len(t) AS BIGINT) AS n_terms, array_to_string(t, ' ') AS terms
-FROM (SELECT doc_id, {doc_terms('text')} AS t FROM documents)"""
+SQL["doc_terms"] = f"""WITH {DOCS} SELECT doc_id, CAST(len(t) AS BIGINT) AS n_terms, array_to_string(t, ' ') AS terms
+FROM (SELECT doc_id, {doc_terms('text')} AS t FROM docs)"""
 
 # Sentences: types (ty), segments' ends (ce), the three score tables (ab, st, co)
 # and a decision per segment (de).
@@ -321,7 +339,14 @@ SELECT n AS n_docs, CAST(total AS BIGINT) AS total_tokens, round(avgdl, {STAT_DI
        (SELECT count(*) FROM df) AS n_terms, round((SELECT a FROM avgidf), {STAT_DIGITS}) AS avg_idf
 FROM stats"""
 
-SQL["term_idf"] = f"WITH {INDEX} SELECT term, df, round(idf, {STAT_DIGITS}) AS idf FROM idf"
+SQL["term_idf"] = f"""WITH {DOCS},
+ts AS MATERIALIZED (SELECT {doc_terms('text')} AS terms FROM docs),
+fs AS MATERIALIZED (SELECT term, count(*) AS df
+  FROM (SELECT unnest(list_distinct(terms)) AS term FROM ts) GROUP BY term),
+xs AS MATERIALIZED (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS x
+  FROM fs, (SELECT count(*) AS n FROM documents))
+SELECT term, df, round(CASE WHEN x < 0 THEN {EPS} * a ELSE x END, {STAT_DIGITS}) AS idf
+FROM xs, (SELECT avg(x) AS a FROM xs)"""
 
 SQL["bm25_scores"] = f"""WITH {INDEX}, {BENCH_Q}, {qterms_cte('qt', 'bq')}
 SELECT q.query_id, w.doc_id, round(sum(q.qtf * w.weight), {SCORE_DIGITS}) AS raw
@@ -330,6 +355,8 @@ FROM qt q JOIN weights w USING (term) GROUP BY q.query_id, w.doc_id"""
 SQL["text_search"] = with_results(
     f"{INDEX}, {BENCH_Q}, {text_topk_ctes('ts', 'bq', TEXT_K)}", "ts_top")
 
+SQL["text_search_pruned"] = SQL["text_search"]
+
 SQL["text_search_padded"] = with_results(
     f"{INDEX}, {PAGE_Q}, {text_topk_ctes('tp', 'pq', TEXT_K)}", "tp_top")
 
@@ -467,13 +494,13 @@ def lemmatized(lst: str) -> str:
     return f"list_transform({lst}, lambda t: CASE t {cases} ELSE t END)"
 
 
-SQL["doc_terms_lemmas"] = f"""SELECT doc_id, CAST(len(t) AS BIGINT) AS n_terms,
+SQL["doc_terms_lemmas"] = f"""WITH {DOCS} SELECT doc_id, CAST(len(t) AS BIGINT) AS n_terms,
        array_to_string(t, ' ') AS terms
-FROM (SELECT doc_id, {lemmatized(doc_terms('text'))} AS t FROM documents)"""
+FROM (SELECT doc_id, {lemmatized(doc_terms('text'))} AS t FROM docs)"""
 
 SQL["text_search_lemmas"] = SQL["text_search"].replace(
     f"{doc_terms('text')} AS terms", f"{lemmatized(doc_terms('text'))} AS terms").replace(
-    f"unnest({query_terms_expr('query')})", f"unnest({lemmatized(query_terms_expr('query'))})")
+    "SELECT query_id, unnest(terms) AS term", f"SELECT query_id, unnest({lemmatized('terms')}) AS term")
 
 
 PAIRS = ", ".join(f"({lit(f)}, {lit(x)})" for f, x in inflections.pairs())
@@ -529,7 +556,7 @@ def with_guesses(source: str, key_col: str, terms: str, name: str) -> str:
   FROM {source} s LEFT JOIN {name}_made m USING ({key_col}))"""
 
 
-GUESSED = f"""g_docs AS ({DOC_TERM_ROWS}),
+GUESSED = f"""{DOCS}, g_docs AS ({DOC_TERM_ROWS}),
 lt AS (SELECT DISTINCT unnest(terms) AS term FROM g_docs),
 {LEMMA_TABLE},
 {with_guesses('g_docs', 'doc_id', 'terms', 'toks')}"""
@@ -538,8 +565,8 @@ SQL["doc_terms_guessed"] = f"""WITH {GUESSED}
 SELECT doc_id, CAST(len(terms) AS BIGINT) AS n_terms, array_to_string(terms, ' ') AS terms
 FROM toks"""
 
-_GUESSED_QUERIES = f"""g_docs AS ({DOC_TERM_ROWS}),
-g_queries AS (SELECT query_id, {query_terms_expr('query')} AS terms FROM bq),
+_GUESSED_QUERIES = f"""{DOCS}, g_docs AS ({DOC_TERM_ROWS}),
+g_queries AS ({query_term_rows('bq')}),
 lt AS (SELECT DISTINCT term FROM (SELECT unnest(terms) AS term FROM g_docs
   UNION ALL SELECT unnest(terms) FROM g_queries)),
 {LEMMA_TABLE},
@@ -547,10 +574,8 @@ lt AS (SELECT DISTINCT term FROM (SELECT unnest(terms) AS term FROM g_docs
 {with_guesses('g_queries', 'query_id', 'terms', 'g_qt')}"""
 
 SQL["text_search_guessed"] = with_results(
-    f"{BENCH_Q}, {_GUESSED_QUERIES}, {INDEX.split(chr(10), 1)[1]}, "
-    + text_topk_ctes('tg', 'bq', TEXT_K).replace(
-        f"SELECT query_id, unnest({query_terms_expr('query')}) AS term FROM bq",
-        "SELECT query_id, unnest(terms) AS term FROM g_qt"), "tg_top")
+    f"{BENCH_Q}, {_GUESSED_QUERIES}, {STATS}, "
+    + text_topk_ctes('tg', 'bq', TEXT_K).replace(f"({query_term_rows('bq')})", "g_qt"), "tg_top")
 
 
 SQL["jsonl_rejects"] = f"""WITH {RAW}, kinds AS (

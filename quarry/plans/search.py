@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.operators.analyze import DEFAULT_ANALYZER, Analyzer, query_terms
+from quarry.operators.blockmax import Blocks, build_blocks, text_top_k_pruned
 from quarry.operators.bm25 import text_top_k
 from quarry.operators.fusion import fuse, fused_top_k
 from quarry.operators.index import Bm25Index
@@ -47,6 +48,7 @@ class SearchEngine:
     payload: DataFrame | None = None   # narrow, by key bucket (build_payload)
     aliases: DataFrame | None = None   # (doc_id, merge_id) of shared URLs (url_aliases)
     payload_buckets: int | None = None
+    blocks: Blocks | None = field(default=None, repr=False)   # built by the first pruned search
 
     def __post_init__(self) -> None:
         if self.payload is not None and self.payload_buckets is None:
@@ -80,6 +82,15 @@ class SearchEngine:
                           broadcast_terms=self._small(tokens)).select(
             "query_id", "rank", "doc_id", "score")
 
+    def text_ranked_pruned(self, queries: DataFrame, k: int, pad: bool = True) -> DataFrame:
+        """The rows of ``text_ranked`` with score bounds: fewer postings are
+        summed, in more jobs. For corpora where postings are the cost."""
+        if self.blocks is None:
+            self.blocks = build_blocks(self.index)
+        qterms = query_terms(queries, self.analyzer, self.lemmas)
+        return text_top_k_pruned(self.index, self.blocks, queries, qterms, k, pad).select(
+            "query_id", "rank", "doc_id", "score")
+
     def vector_ranked(self, query_vectors: DataFrame, k: int,
                       shape: tuple[int, int] | None = None) -> DataFrame:
         return vector_top_k(self.doc_vectors, query_vectors, k, self.max_query_bytes, shape)
@@ -101,11 +112,12 @@ class SearchEngine:
         return encode(queries, self.encoder, text_col="query", key="query_id")
 
     # -- user-level methods (J1-J4) ---------------------------------------
-    def text(self, queries: DataFrame, top_k: int = 5) -> DataFrame:
-        """J1."""
+    def text(self, queries: DataFrame, top_k: int = 5, pruned: bool = False) -> DataFrame:
+        """J1; with ``pruned`` by score bounds (the same rows)."""
         k = check_top_k(top_k)
         bounds = self.query_bounds(queries)
-        ranked = self.text_ranked(queries, k, bounds=bounds)
+        ranked = (self.text_ranked_pruned(queries, k) if pruned
+                  else self.text_ranked(queries, k, bounds=bounds))
         return self._payload(ranked, bounds[0] * k, RESULT_COLUMNS)
 
     def vector(self, query_vectors: DataFrame, top_k: int = 5) -> DataFrame:

@@ -3,8 +3,9 @@
 Mapping (fixed, shared with the SQL oracle):
 
 * key ``doc_id``; ``url = 'doc://' || source || '/' || doc_id``;
-* title = first line of ``text``; summary = first 200 characters of ``text``;
-  text = ``text``; date = ``'1970-01-01'`` (an opaque string);
+* title = first line of ``text``; summary = the first line after it that isn't
+  blank, whole (the title again where there is none); text = ``text``;
+  date = ``'1970-01-01'`` (an opaque string); lang = ``lang``;
 * document vectors: ``embeddings.vec_id = doc_id``, kept only when the
   document exists;
 * queries: ``benchmark(item_id, text)``; query vector: the embedding whose
@@ -19,7 +20,6 @@ from pyspark.sql import functions as F
 # --- fixed values -----------------------------------------------------------
 URL_PREFIX = "doc://"
 FIXED_DATE = "1970-01-01"
-SUMMARY_CHARS = 200
 # --- end of fixed values ----------------------------------------------------
 
 
@@ -29,16 +29,18 @@ def table(spark: SparkSession, data_dir: str, name: str) -> DataFrame:
 
 
 def raw_documents(spark: SparkSession, data_dir: str) -> DataFrame:
-    """``(doc_id, url, date, title, summary, text)`` from ``documents``."""
+    """``(doc_id, url, date, title, summary, text, lang)`` from ``documents``."""
     d = table(spark, data_dir, "documents")
+    lines = F.split("text", "\n")
+    after = F.filter(F.slice(lines, F.lit(2), F.size(lines)), lambda x: F.trim(x) != "")
     return d.select(
         "doc_id",
         F.concat(F.lit(URL_PREFIX), F.col("source"), F.lit("/"),
                  F.col("doc_id").cast("string")).alias("url"),
         F.lit(FIXED_DATE).alias("date"),
         F.substring_index(F.col("text"), "\n", 1).alias("title"),
-        F.substring(F.col("text"), 1, SUMMARY_CHARS).alias("summary"),
-        F.col("text"),
+        F.coalesce(F.get(after, F.lit(0)), F.get(lines, F.lit(0))).alias("summary"),
+        F.col("text"), F.col("lang"),
     )
 
 

@@ -1,6 +1,7 @@
 """Sizing rules of the postings layout (document buckets, term buckets)."""
 
 from quarry.operators.index import (
+    MAX_DOC_BUCKETS,
     POSTING_BYTES_PER_TOKEN,
     TARGET_FILE_BYTES,
     TOKENS_PER_DOC_BUCKET,
@@ -21,4 +22,11 @@ def test_term_buckets_target_file_size():
 
 def test_doc_buckets_follow_tokens_not_session_settings(spark):
     assert doc_bucket_count(spark, 0) == spark.sparkContext.defaultParallelism
-    assert doc_bucket_count(spark, 10**15) == 10**15 // TOKENS_PER_DOC_BUCKET
+    assert doc_bucket_count(spark, 10**10) == 10**10 // TOKENS_PER_DOC_BUCKET
+
+
+def test_doc_buckets_stay_below_sparks_bound(spark):
+    # 100 TB of text: Spark refuses more than 100,000 buckets.
+    n = doc_bucket_count(spark, 2 * 10**13)
+    assert n == MAX_DOC_BUCKETS < 100_000
+    assert term_bucket_count(2 * 10**13, n) > 10

@@ -7,24 +7,24 @@ def one(spark, expr, value, schema="x string"):
 
 
 def test_document_analyzer_keeps_punctuation_and_digits(spark):
-    a = Analyzer(stopwords=())
+    a = Analyzer(lists=())
     assert one(spark, a.document_tokens("x"), "Рост 2020!") == ["рост", "2020", "!"]
 
 
 def test_query_analyzer_drops_tokens_without_letters(spark):
-    a = Analyzer(stopwords=())
+    a = Analyzer(lists=())
     assert one(spark, a.query_tokens("x"), "Рост 2020!") == ["рост"]
 
 
 def test_document_clean_vs_query_no_clean(spark):
-    a = Analyzer(stopwords=())
+    a = Analyzer(lists=())
     assert one(spark, basic_clean("x"), "a@b#c") == "a b c"
     assert one(spark, a.document_tokens("x"), "a@b#c") == ["a", "b", "c"]
     assert one(spark, a.query_tokens("x"), "a@b#c") == ["a", "b", "c"]
 
 
 def test_stop_words_after_lower_case(spark):
-    a = Analyzer(stopwords=("the",))
+    a = Analyzer(lists=(("en", ("the",)),))
     assert one(spark, a.document_tokens("x"), "The cat") == ["cat"]
     assert one(spark, a.query_tokens("x"), "The cat") == ["cat"]
 
@@ -57,7 +57,7 @@ def test_snippet(spark):
 
 def test_repeated_query_terms_count(spark):
     q = spark.createDataFrame([(1, "e e f")], "query_id long, query string")
-    rows = {r["term"]: r["qtf"] for r in query_terms(q, Analyzer(stopwords=())).collect()}
+    rows = {r["term"]: r["qtf"] for r in query_terms(q, Analyzer(lists=())).collect()}
     assert rows == {"e": 2, "f": 1}
 
 
@@ -78,6 +78,26 @@ def test_lemma_hook_runs_on_distinct_terms(spark):
 
 def test_stop_word_filter_stays_in_jvm(spark):
     df = spark.createDataFrame([("a the b",)], "x string")
-    plan = df.select(Analyzer(stopwords=tuple("qwertyuiopasdf") + ("the",))
+    plan = df.select(Analyzer(lists=(("en", tuple("qwertyuiopasdf") + ("the",)),))
                      .document_tokens("x"))._jdf.queryExecution().optimizedPlan().toString()
     assert "INSET" in plan.upper()
+
+
+def test_stop_words_of_the_rows_language(spark):
+    rows = [(1, "the war of the hat", "en"), (2, "der Krieg war hat", "de"), (3, "war", None),
+            (4, "the son of a hat maker", None), (5, "der hat war", None), (6, "", None),
+            (7, "the war", "xx"), (8, "die Katze und the dog", None)]
+    df = spark.createDataFrame(rows, "id long, x string, lang string")
+    got = {r["id"]: r["t"] for r in df.select(
+        "id", Analyzer().document_tokens("x", "lang").alias("t")).collect()}
+    assert got == {1: ["war", "hat"], 2: ["krieg"], 3: ["war"], 4: ["son", "hat", "maker"],
+                   5: ["der", "hat", "war"], 6: [], 7: ["war"], 8: ["katze", "the", "dog"]}
+
+
+def test_query_language(spark):
+    q = spark.createDataFrame([(1, "war"), (2, "the son of a hat maker"), (3, None)],
+                              "query_id long, query string")
+    got = sorted((r["query_id"], r["term"]) for r in query_terms(q).collect())
+    assert got == [(1, "war"), (2, "hat"), (2, "maker"), (2, "son")]
+    given = spark.createDataFrame([(1, "war the", "de")], "query_id long, query string, lang string")
+    assert [r["term"] for r in query_terms(given).collect()] == ["the"]
