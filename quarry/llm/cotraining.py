@@ -2,18 +2,26 @@
 
 The text view sees a document's shape (lengths, symbols, capitals, repeats)
 and which of a few hundred telling words it has; the metadata view sees its
-source, language and size. Both are logistic regressions. In each round both
-learn from the labels plus pseudo-labels, then each labels the documents of an
-unlabelled pool that it is most sure of, for the other one to learn from.
-At the end each view's score is calibrated on held-out labels (Platt), and
-the calibrated log odds are added, less the prior's. A document is good if its
-label has quality 1 and toxic 0.
-
-Training uses bounded samples (parameters ``SAMPLE`` labelled and ``POOL``
-unlabelled rows, those with the least id hash): their features, never texts,
-reach the driver, which fits some hundred weights. Telling words are chosen by
-chi-square from word counts that Spark aggregates over the sample. The models
-are broadcast, and all documents are scored in one pass without a shuffle.
+source, language and size. Both are logistic regressions. In each round each
+view labels every unlabelled document that it is sure of, for the other one to
+learn from, beside the labels. At the end each view's score is calibrated on
+held-out labels (Platt), and the calibrated log odds are added, less the
+prior's. A document is good if its label has quality 1 and toxic 0.
+
+The labelled rows used are bounded (parameter ``SAMPLE``, those with the least
+id hash): their features, never texts, reach the driver, which fits some hundred
+weights. All other documents are unlabelled ones. Their features are written
+down once; a round is one pass over that table. A document's pseudo-label is
+the first confident one of the other view through all rounds so far, worked out
+anew from the views' history, so no state is kept by document. The tasks sum
+the gradients and curvatures of the pseudo-labelled documents at the learning
+view's weights, and the driver adds their second-order form to the labelled
+rows' likelihood. Pseudo-labels of a class together weigh at most ``INFLUENCE``
+of the labels' weight, so their number doesn't drown the labels.
+
+Telling words are chosen by chi-square from word counts that Spark aggregates
+over the labelled sample. The models are broadcast, and all documents are
+scored in one pass without a shuffle.
 
 Defined results: null or empty text has zero features and is scored like any
 other; null source or language is a value of its own; null labels are left
@@ -28,7 +36,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -37,16 +45,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm.common import (
-    cleared, documents, least_hashed, map_batches, python_ready, table, whole_text)
+    cleared, documents, least_hashed, map_batches, python_ready, staged, table, whole_text)
 
 SAMPLE = 8000       # labelled rows used
-POOL = 8000         # unlabelled rows used
 WORDS = 256         # telling words
 MIN_SUPPORT = 5     # documents of the sample that have a telling word
 MIN_CHI = 15.0      # chi-square of a telling word at least (chance: 1 in 10,000)
 ROUNDS = 3
-PER_ROUND = 400     # pseudo-labels of each class from each view and round
 CONFIDENT = 0.95
+INFLUENCE = 0.4     # weight of a class's pseudo-labels against its labels, at most
+PIECES = 16         # pieces in which the tasks' sums are added up
 HELD_OUT = 0.25     # share of the labelled rows that calibrate
 KEEP_FROM = 0.5
 
@@ -108,7 +116,16 @@ class View(NamedTuple):
         return self.slope * self.raw(x) + self.offset
 
 
-def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float) -> np.ndarray:
+class Pull(NamedTuple):
+    """Second-order form of more rows' likelihood around ``at``."""
+
+    at: np.ndarray
+    gradient: np.ndarray
+    curve: np.ndarray
+
+
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float,
+             pull: Pull | None = None) -> np.ndarray:
     """Weights and intercept by Newton's method with a ridge."""
     z = np.concatenate([x, np.ones((len(x), 1))], axis=1)
     w = np.zeros(z.shape[1])
@@ -118,6 +135,9 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float) ->
         p = sigmoid(z @ w)
         gradient = z.T @ (weight * (p - y)) + damp * w
         curve = (z * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ z + np.diag(damp)
+        if pull is not None:
+            gradient = gradient + pull.gradient + pull.curve @ (w - pull.at)
+            curve = curve + pull.curve
         step = np.linalg.solve(curve, gradient)
         w -= step
         if np.abs(step).max() < 1e-6:
@@ -125,14 +145,65 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float) ->
     return w
 
 
-def fit(x: np.ndarray, y: np.ndarray, ridge: float = 3.0) -> View:
+def fit(x: np.ndarray, y: np.ndarray, ridge: float = 3.0, sums: "list[Sums] | None" = None,
+        before: View | None = None) -> View:
+    """A view of labelled rows; ``sums`` are those of pseudo-labels 0 and 1 at
+    the weights of the view ``before``."""
     mean, scale = x.mean(axis=0), x.std(axis=0)
     scale = np.where(scale > 1e-9, scale, 1.0)
     z = np.clip((x - mean) / scale, -8, 8)
     # Both classes weigh the same, so that rare bad documents count.
     share = np.clip(y.mean(), 1e-3, 1 - 1e-3)
     weight = np.where(y > 0, 0.5 / share, 0.5 / (1 - share))
-    return View(mean, scale, logistic(z, y, weight, ridge), 1.0, 0.0)
+    pull = None
+    if sums is not None:
+        own = [min(1.0, INFLUENCE * (y == c).sum() / max(s.n, 1.0)) * (0.5 / (share if c else 1 - share))
+               for c, s in enumerate(sums)]
+        pull = Pull(before.weights, sum(w * s.gradient for w, s in zip(own, sums, strict=True)),
+                    sum(w * s.curve for w, s in zip(own, sums, strict=True)))
+    return View(mean, scale, logistic(z, y, weight, ridge, pull), 1.0, 0.0)
+
+
+class Sums(NamedTuple):
+    """Number, gradient and curvature of pseudo-labelled rows of one class."""
+
+    n: float
+    gradient: np.ndarray
+    curve: np.ndarray
+
+
+def pool_sums(history: list[tuple[View, View]], views: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Sums of some unlabelled rows, flat: by learning view, then by label."""
+    out = []
+    for v in range(2):
+        label = np.full(len(views[0]), -1)
+        for turn in history:   # the first confident label of the other view
+            p = sigmoid(turn[1 - v].log_odds(views[1 - v]))
+            new = np.where(p >= CONFIDENT, 1, np.where(p <= 1 - CONFIDENT, 0, -1))
+            label = np.where(label < 0, new, label)
+        own = history[-1][v]
+        for c in range(2):
+            x = views[v][label == c]
+            z = np.clip((x - own.mean) / own.scale, -8, 8)
+            z = np.concatenate([z, np.ones((len(z), 1))], axis=1)
+            p = sigmoid(z @ own.weights)
+            curve = (z * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ z
+            out += [np.array([float(len(x))]), z.T @ (p - c), curve.ravel()]
+    return np.concatenate(out)
+
+
+def unflat(flat: np.ndarray, history: list[tuple[View, View]]) -> list[list[Sums]]:
+    """Inverse of the layout of ``pool_sums``."""
+    out, at = [], 0
+    for v in range(2):
+        d, found = len(history[-1][v].weights), []
+        for _ in range(2):
+            n, gradient = flat[at], flat[at + 1:at + 1 + d]
+            at += 1 + d
+            found.append(Sums(float(n), gradient, flat[at:at + d * d].reshape(d, d)))
+            at += d * d
+        out.append(found)
+    return out
 
 
 def calibrate(view: View, x: np.ndarray, y: np.ndarray) -> View:
@@ -174,45 +245,37 @@ def meta_rows(sources: list, langs: list, sizes: list) -> np.ndarray:
 
 
 def co_train(words: dict[str, int], text: np.ndarray, meta: np.ndarray, y: np.ndarray,
-             pool_text: np.ndarray, pool_meta: np.ndarray, rounds: int = ROUNDS,
-             per_round: int = PER_ROUND) -> Model:
-    """Rounds of exchange between the views, then calibration."""
+             pool: Callable[[list[tuple[View, View]]], np.ndarray] | None,
+             rounds: int = ROUNDS) -> Model:
+    """Rounds of exchange between the views, each calibrated on held-out rows.
+
+    ``pool`` gives the sums of all unlabelled rows for a history of views.
+    """
     held = np.arange(len(y)) % round(1 / HELD_OUT) == 0
     if len(set(y[held].tolist())) < 2 or len(set(y[~held].tolist())) < 2:
         held = np.zeros(len(y), np.bool_)
     learn, check = ~held, held if held.any() else ~held
-    views, pools, rows = [None, None], (pool_text, pool_meta), (text, meta)
-    extra: list[dict[int, float]] = [{}, {}]   # pool row -> pseudo-label, by learning view
-    for turn in range(rounds + 1):
-        for v in range(2):
-            at = np.array(sorted(extra[v]), np.int64)
-            x = np.concatenate([rows[v][learn], pools[v][at]])
-            z = np.concatenate([y[learn], [extra[v][i] for i in at.tolist()]])
-            views[v] = calibrate(fit(x, z), rows[v][check], y[check])
-        if turn == rounds or not len(pool_text):
-            break
-        for v in range(2):
-            p = sigmoid(views[v].log_odds(pools[v]))
-            for label, sure in ((1.0, p), (0.0, 1 - p)):
-                best = np.argsort(-sure, kind="stable")
-                fresh = [i for i in best.tolist() if sure[i] >= CONFIDENT
-                         and i not in extra[1 - v]][:per_round]
-                extra[1 - v].update(dict.fromkeys(fresh, label))
+    rows = (text, meta)
+
+    def learned(sums: list, before: tuple) -> tuple[View, View]:
+        return tuple(calibrate(fit(x[learn], y[learn], sums=s, before=b), x[check], y[check])
+                     for x, s, b in zip(rows, sums, before, strict=True))
+
+    history = [learned([None, None], (None, None))]
+    for _ in range(rounds if pool else 0):
+        history.append(learned(unflat(pool(history), history), history[-1]))
     share = np.clip(y[check].mean(), 1e-3, 1 - 1e-3)
-    return Model(words, *views, float(np.log(share / (1 - share))))
+    return Model(words, *history[-1], float(np.log(share / (1 - share))))
 
 
-def sample_rows(docs: DataFrame, labels: DataFrame, sample: int, pool: int) -> DataFrame:
-    """(doc_id, y): labelled rows, and unlabelled ones with null ``y``; bounded."""
+def sample_rows(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
+    """(doc_id, y) of labelled rows; bounded."""
     judged = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL")
     judged = judged.groupBy("doc_id").agg(
         F.min(F.when((F.col("quality") == 1) & (F.col("toxic") == 0), 1.0).otherwise(0.0))
         .alias("y"))
     ids = docs.select("doc_id").where("doc_id IS NOT NULL").distinct()
-    labelled = least_hashed(ids.join(judged, "doc_id"), "doc_id", sample)
-    others = least_hashed(ids.join(judged, "doc_id", "left_anti"), "doc_id", pool).select(
-        "doc_id", F.lit(None).cast("double").alias("y"))
-    return labelled.union(others)
+    return least_hashed(ids.join(judged, "doc_id"), "doc_id", sample)
 
 
 def telling_words(rows: DataFrame, limit: int = WORDS) -> list[str]:
@@ -231,17 +294,12 @@ def telling_words(rows: DataFrame, limit: int = WORDS) -> list[str]:
     return [r.word for r in found.collect()]
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, pool: int = POOL) -> Model | None:
-    """The model of ``docs`` (doc_id, text, source, lang, n_chars); None without
-    labels of both kinds."""
-    spark = docs.sparkSession
-    python_ready(spark)
-    chosen = F.broadcast(sample_rows(docs, labels, sample, pool))
-    rows = docs.select("doc_id", whole_text().alias("text"), F.col("source").cast("string"),
-                       F.col("lang").cast("string"), F.col("n_chars").cast("long"))
-    rows = rows.join(chosen, "doc_id").persist()   # a bounded sample
-    words = {w: i for i, w in enumerate(telling_words(rows))}
+FEATURES = ("doc_id long, y double, source string, lang string, n_chars long, "
+            "shape array<double>, hits array<int>")
 
+
+def features(rows: DataFrame, words: dict[str, int]) -> DataFrame:
+    """``FEATURES`` of ``rows`` (doc_id, text, source, lang, n_chars, y)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen = [shape(t) for t in batch.column(1).to_pylist()]
@@ -249,24 +307,81 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, pool: int =
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(5), batch.column(2), batch.column(3),
                  batch.column(4), pa.array([s for s, _ in seen], pa.list_(pa.float64())),
-                 pa.array(hits, pa.list_(pa.int32()))],
-                ["doc_id", "y", "source", "lang", "n_chars", "shape", "hits"])
-
-    table = rows.select("doc_id", "text", "source", "lang", "n_chars", "y").mapInArrow(
-        run, "doc_id long, y double, source string, lang string, n_chars long, "
-             "shape array<double>, hits array<int>").toPandas()
-    rows.unpersist()
-    table = table.sort_values("doc_id", kind="stable")
-    y = table["y"].to_numpy(dtype=float)
+                 pa.array(hits, pa.list_(pa.int32()))], [f.split()[0] for f in FEATURES.split(", ")])
+
+    return rows.select("doc_id", "text", "source", "lang", "n_chars", "y").mapInArrow(run, FEATURES)
+
+
+def view_rows(words: dict[str, int], table: dict[str, list]) -> tuple[np.ndarray, np.ndarray]:
+    """Both views' rows of a table of features."""
     named = list(words)
-    text = text_rows(words, table["shape"].tolist(), [{named[i] for i in h} for h in table["hits"]])
-    meta = meta_rows([None if x is None or x != x else x for x in table["source"]],
-                     [None if x is None or x != x else x for x in table["lang"]],
-                     [None if x != x else int(x) for x in table["n_chars"]])
-    known = ~np.isnan(y)
-    if len(set(y[known].tolist())) < 2:
+    text = text_rows(words, table["shape"], [{named[i] for i in h} for h in table["hits"]])
+    return text, meta_rows(table["source"], table["lang"], table["n_chars"])
+
+
+def spark_pool(unlabelled: DataFrame, words: dict[str, int]):
+    """Sums of a written table of features, by tasks, then by pieces."""
+    spark = unlabelled.sparkSession
+
+    def sums(history: list[tuple[View, View]]) -> np.ndarray:
+        shared = spark.sparkContext.broadcast(history)   # some hundred weights a view
+
+        def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = None
+            for batch in batches:
+                if batch.num_rows:
+                    own = pool_sums(shared.value, view_rows(words, batch.to_pydict()))
+                    total = own if total is None else total + own
+            cut = [] if total is None else np.array_split(total, PIECES)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(range(len(cut)), pa.int32()),
+                 pa.array([c.tobytes() for c in cut], pa.binary())], ["piece", "part"])
+
+        def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: dict[int, np.ndarray] = {}
+            for batch in batches:
+                for i, p in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    own = np.frombuffer(p.as_buffer(), np.float64)
+                    held[i] = held[i] + own if i in held else own.copy()
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(held), pa.int32()),
+                 pa.array([v.tobytes() for v in held.values()], pa.binary())], ["piece", "part"])
+
+        kind = "piece int, part binary"
+        parts = unlabelled.select("source", "lang", "n_chars", "shape", "hits").mapInArrow(
+            partial, kind).repartition(PIECES, "piece").mapInArrow(reduce, kind)
+        found = sorted((r["piece"], r["part"]) for r in parts.collect())   # PIECES rows
+        if not found:
+            return np.zeros(sum(2 * (1 + len(w) + len(w) ** 2) for w in (
+                v.weights for v in history[-1])))
+        return np.concatenate([np.frombuffer(p, np.float64) for _, p in found])
+
+    return sums
+
+
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | None:
+    """The model of ``docs`` (doc_id, text, source, lang, n_chars); None without
+    labels of both kinds."""
+    python_ready(docs.sparkSession)
+    chosen = staged(sample_rows(docs, labels, sample), "labelled")
+    rows = docs.select("doc_id", whole_text().alias("text"), F.col("source").cast("string"),
+                       F.col("lang").cast("string"), F.col("n_chars").cast("long"))
+    judged = rows.join(F.broadcast(chosen), "doc_id").persist()   # a bounded sample
+    words = {w: i for i, w in enumerate(telling_words(judged))}
+    table = features(judged, words).toPandas().sort_values("doc_id", kind="stable")
+    judged.unpersist()
+    y = table["y"].to_numpy(dtype=float)
+    if len(set(y.tolist())) < 2:
         return None
-    return co_train(words, text[known], meta[known], y[known], text[~known], meta[~known])
+    lists = {c: table[c].tolist() for c in ("source", "lang", "n_chars", "shape", "hits")}
+    lists["source"], lists["lang"] = ([None if x is None or x != x else x for x in lists[c]]
+                                      for c in ("source", "lang"))
+    lists["n_chars"] = [None if x is None or x != x else int(x) for x in lists["n_chars"]]
+    text, meta = view_rows(words, lists)
+    others = rows.join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_anti").withColumn(
+        "y", F.lit(None).cast("double"))
+    unlabelled = staged(features(others, words), "unlabelled")
+    return co_train(words, text, meta, y, spark_pool(unlabelled, words))
 
 
 def score(df: DataFrame, model: Model | None) -> DataFrame:

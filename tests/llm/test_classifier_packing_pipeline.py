@@ -30,8 +30,8 @@ def test_views_teach_each_other():
     a = np.stack([y + 0.4 * rng.normal(size=600), rng.normal(size=600)], axis=1)
     b = np.stack([y + 0.4 * rng.normal(size=600)] + [rng.normal(size=600)] * 2, axis=1)
     few = slice(0, 24)
-    got = C.co_train({}, a[few], b[few], y[few], a[100:], b[100:])
-    alone = C.co_train({}, a[few], b[few], y[few], a[:0], b[:0])
+    got = C.co_train({}, a[few], b[few], y[few], lambda h: C.pool_sums(h, (a[100:], b[100:])))
+    alone = C.co_train({}, a[few], b[few], y[few], None)
 
     def right(m):
         odds = m.text.log_odds(a[100:]) + m.meta.log_odds(b[100:]) - m.prior
@@ -40,6 +40,25 @@ def test_views_teach_each_other():
     assert right(got) > 0.9 and right(got) >= right(alone) - 0.02
 
 
+def test_sums_of_all_unlabelled_rows(spark):
+    """The pass in Spark gives the sums of every row, whatever the partitions."""
+    docs = table(spark, SF_SMALL, "documents").select(
+        "doc_id", "text", "source", "lang", "n_chars", F.lit(None).cast("double").alias("y"))
+    words = {"the": 0, "la": 1, "und": 2}
+    written = staged(C.features(docs.repartition(5), words), "features")
+    views = C.view_rows(words, written.toPandas().replace({np.nan: None}).to_dict("list"))
+    rng = np.random.default_rng(3)
+    history = [tuple(C.calibrate(C.fit(x, y), x, y) for x in views)
+               for y in (rng.integers(0, 2, 200).astype(float) for _ in range(2))]
+    want = C.pool_sums(history, views)
+    assert C.spark_pool(written, words)(history) == pytest.approx(want, rel=1e-9, abs=1e-9)
+    sums = C.unflat(want, history)
+    p = C.sigmoid(history[0][1].log_odds(views[1]))
+    assert sum(s.n for s in sums[0]) >= ((p >= C.CONFIDENT) | (p <= 1 - C.CONFIDENT)).sum()
+    none = C.spark_pool(written.limit(0), words)(history)
+    assert none.shape == want.shape and not none.any()
+
+
 def test_held_out_accuracy(spark):
     docs, labels = (table(spark, SF_MID, t) for t in ("documents", "labels"))
     test = F.pmod(F.xxhash64("doc_id", F.lit("test")), F.lit(4)) == 0
