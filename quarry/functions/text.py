@@ -67,26 +67,33 @@ def bind(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def drop_stopwords(tokens, lang, by_language: Mapping[str, Iterable[str]]) -> Column:
+def member(t: Column, words: Iterable[str], few: bool) -> Column:
+    """Whether ``t`` is one of ``words``: a hash set, quick on many rows, or for
+    ``few`` rows a list that is one literal, quick to plan."""
+    return F.array_contains(F.split(F.lit(" ".join(words)), " "), t) if few else t.isin(*words)
+
+
+def drop_stopwords(tokens, lang, by_language: Mapping[str, Iterable[str]],
+                   few: bool = False) -> Column:
     """Remove the stop words of each row's language ``lang``, keeping order and
     repeats (not ``array_except``). A language without a list drops nothing."""
     def stop(t: Column, own: Column) -> Column:
         found = F.lit(False)
         for code, words in by_language.items():
-            found = F.when(own == code, t.isin(*words)).otherwise(found)
+            found = F.when(own == code, member(t, words, few)).otherwise(found)
         return found
 
     return bind(_col(lang), lambda own: F.filter(_col(tokens), lambda t: ~stop(t, own)))
 
 
-def stop_language(tokens, by_language: Mapping[str, Iterable[str]]) -> Column:
+def stop_language(tokens, by_language: Mapping[str, Iterable[str]], few: bool = False) -> Column:
     """The language whose list holds most of the tokens (of equals the first).
 
     Null if no list holds any, or if no token with a letter would be left: a
     lone "war" may be a German stop word, but it's all there is.
     """
     def hits(own: Column, words: Iterable[str]) -> Column:
-        return F.size(F.filter(own, lambda t: t.isin(*words)))
+        return F.size(F.filter(own, lambda t: member(t, words, few)))
 
     def code_of(counts: Column) -> Column:
         codes = F.array(*[F.lit(code) for code in by_language]).cast("array<string>")
@@ -94,7 +101,7 @@ def stop_language(tokens, by_language: Mapping[str, Iterable[str]]) -> Column:
         return F.when(F.array_max(counts) > 0, best)
 
     def kept(own: Column, code: Column) -> Column:
-        left = keep_letter_tokens(drop_stopwords(own, code, by_language))
+        left = keep_letter_tokens(drop_stopwords(own, code, by_language, few))
         return F.when(F.size(left) > 0, code)
 
     def decide(own: Column) -> Column:

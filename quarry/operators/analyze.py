@@ -58,8 +58,8 @@ class Analyzer:
     def stopwords(self) -> dict[str, tuple[str, ...]]:
         return dict(self.lists)
 
-    def language(self, tokens, lang=None) -> Column:
-        decided = stop_language(tokens, self.stopwords)
+    def language(self, tokens, lang=None, few: bool = False) -> Column:
+        decided = stop_language(tokens, self.stopwords, few)
         if lang is None:
             return decided
         lang = F.col(lang) if isinstance(lang, str) else lang
@@ -76,7 +76,7 @@ class Analyzer:
 
     def query_tokens(self, text, lang=None) -> Column:
         return keep_letter_tokens(bind(tokenize(as_text(text)), lambda tokens: drop_stopwords(
-            tokens, self.language(tokens, lang), self.stopwords)))
+            tokens, self.language(tokens, lang, few=True), self.stopwords, few=True)))
 
 
 DEFAULT_ANALYZER = Analyzer()

@@ -82,11 +82,13 @@ def build_blocks(index: Bm25Index, path: str | None = None,
 
 def weighted_terms(index: Bm25Index, blocks: Blocks, qterms: DataFrame) -> DataFrame:
     """``(query_id, term, tbucket, w, top)``; ``top`` bounds the term's contribution."""
-    weights = qterms.where(F.col("query_id").isNotNull() & (F.length("term") > 0)).join(
-        index.terms.select("term", "idf"), "term").join(blocks.tops, "term")
+    own = qterms.where(F.col("query_id").isNotNull() & (F.length("term") > 0)).withColumn(
+        "tbucket", term_bucket("term", index.stats.n_buckets))
+    weights = own.join(index.terms.select("tbucket", "term", "idf"), ["tbucket", "term"]).join(
+        blocks.tops, "term")
     w = F.col("qtf").cast("double") * F.col("idf")
     return weights.select("query_id", "term", w.alias("w"), (w * F.col("max_part")).alias("top"),
-                          term_bucket("term", index.stats.n_buckets).alias("tbucket"))
+                          "tbucket")
 
 
 def bounds(blocks: DataFrame, terms: DataFrame) -> DataFrame:

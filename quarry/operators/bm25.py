@@ -54,7 +54,7 @@ def bm25_hits(index: Bm25Index, qterms: DataFrame,
     qt = (qterms.where(F.length("term") > 0)
           .withColumn("tbucket", term_bucket("term", index.stats.n_buckets)))
     qt = qt.where(F.col("query_id").isNotNull()).join(
-        index.terms.select("term", "idf"), "term")
+        index.terms.select("tbucket", "term", "idf"), ["tbucket", "term"])
     if broadcast_terms is None:
         qt, _, _ = bounded_broadcast(qt, max_broadcast_rows)
     elif broadcast_terms:

@@ -68,13 +68,19 @@ def first_query_examples(runs: DataFrame, query_ids: DataFrame, corpus: DataFram
 
 
 def latency_summary(timings: DataFrame) -> DataFrame:
-    """F5 + F6: ``timings(method, run, seconds_per_query)`` -> mean and
-    population standard deviation per method."""
-    return timings.groupBy("method").agg(
+    """``timings(method, k, run, seconds_per_query)`` -> mean and population
+    standard deviation per method and cut-off."""
+    return timings.groupBy("method", "k").agg(
         F.avg("seconds_per_query").alias("avg_time"),
         F.stddev_pop("seconds_per_query").alias("std_time"))
 
 
+def mean_latency(summary: DataFrame) -> DataFrame:
+    """``(method, avg_time, std_time)``, the means of F5 over the cut-offs."""
+    return summary.groupBy("method").agg(F.avg("avg_time").alias("avg_time"),
+                                         F.avg("std_time").alias("std_time"))
+
+
 def counts(corpus: DataFrame, queries: DataFrame) -> DataFrame:
     """number of documents and of queries (one row)."""
     tagged = corpus.select(F.lit(0).alias("_t")).unionByName(queries.select(F.lit(1).alias("_t")))

@@ -5,7 +5,8 @@ Tables of an index:
 
 * ``docs(doc_id, doc_ord, dl)``: one row per document, empty ones included
   (they count in N); ``doc_ord`` is the 0-based position in key order.
-* ``terms(term, df, idf)``: document frequency and the floored IDF.
+* ``terms(term, df, idf, tbucket)``: document frequency and the floored IDF,
+  partitioned by the term bucket, so that a search reads its terms' buckets.
 * ``postings(term, doc_id, tf, dl, part, tbucket)``: one row per (term,
   document) with the document's own share of a BM25 contribution,
   ``part = tf (k1 + 1) / (tf + k1 (1 - b + b dl / avgdl))``. The IDF is
@@ -50,6 +51,9 @@ TOKENS_PER_DOC_BUCKET = 4_000_000
 MAX_DOC_BUCKETS = 20_000
 
 
+TERMS_SCHEMA = "term string, df long, idf double, tbucket int"
+
+
 def term_bucket(term, n_buckets: int) -> Column:
     t = F.col(term) if isinstance(term, str) else term
     return F.pmod(F.xxhash64(t), F.lit(n_buckets)).cast("int")
@@ -202,7 +206,7 @@ class Bm25Index:
     def load(cls, spark: SparkSession, path: str) -> "Bm25Index":
         stats = IndexStats(**spark.read.parquet(path + "/stats").first().asDict())
         return cls(docs=spark.read.parquet(path + "/docs"),
-                   terms=spark.read.parquet(path + "/terms"),
+                   terms=spark.read.schema(TERMS_SCHEMA).parquet(path + "/terms"),
                    postings=register_postings(spark, path + "/postings", stats.n_doc_buckets),
                    stats=stats, path=path)
 
@@ -245,8 +249,9 @@ def build_index(corpus: DataFrame, path: str | None = None, key: str = "doc_id",
     n_terms = int(agg["n"])
     avg_idf = float(agg["a"]) if agg["a"] is not None else 0.0
     term_table = write_parquet(
-        dfs.select("term", "df", floored_idf(idf0, avg_idf, epsilon).alias("idf")),
-        path + "/terms")
+        dfs.select("term", "df", floored_idf(idf0, avg_idf, epsilon).alias("idf"),
+                   term_bucket("term", n_buckets).alias("tbucket")),
+        path + "/terms", partition_by=["tbucket"])
 
     stats = IndexStats(n_docs=n_docs, total_tokens=total, avgdl=avgdl, n_terms=n_terms,
                        avg_idf=avg_idf, k1=k1, b=b, epsilon=epsilon, n_buckets=n_buckets,

@@ -20,10 +20,14 @@ from quarry.functions.vectors import l2_normalize
 from quarry.operators.analyze import DEFAULT_ANALYZER, query_terms
 from quarry.operators.bm25 import bm25_hits
 from quarry.operators.encoder import HashingEncoder, encode
+from quarry.operators.fitted import FittedEncoder, fit_encoder
 from quarry.operators.fusion import fuse, url_aliases
-from quarry.operators.evaluate import counts, first_query_examples, metrics_at_k, top_documents
+from quarry.operators.evaluate import (DEFAULT_KS, counts, first_query_examples, latency_summary,
+                                       mean_latency, metrics_at_k, top_documents)
 from quarry.operators.index import doc_terms, term_frequencies
 from quarry.operators.lemmas import LONGEST, LemmaGuesser
+from quarry.operators.relevance import (overlap_scorer, reciprocal_rank_fusion, relevance_at_k,
+                                        rerank, term_judgements)
 from quarry.operators.sentences import SentenceModel, sentence_tokens
 from quarry.plans.engine import engine_for, table_state
 from quarry.plans.evaluation import EXAMPLE_TOP_K, method_runs
@@ -31,7 +35,7 @@ from quarry.plans.search import RESULT_COLUMNS
 from quarry.sources import tables
 from quarry.params import METHODS, check_weights
 from quarry.sources.jsonl import classify_lines, read_jsonl_strict
-from quarry.session import scratch_path, spread
+from quarry.session import scratch_path, spread, write_parquet
 from quarry.sources.queries import read_query_lines, reference_queries
 from quarry.sources.sinks import id_mapping, write_documents, write_embeddings, write_tables
 
@@ -210,7 +214,8 @@ def q_corpus_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_term_idf(spark: SparkSession, d: str) -> DataFrame:
-    return _scored(_engine(spark, d).index.terms, "idf", STAT_DIGITS)
+    terms = _engine(spark, d).index.terms.select("term", "df", "idf")
+    return _scored(terms, "idf", STAT_DIGITS)
 
 
 def q_bm25_scores(spark: SparkSession, d: str) -> DataFrame:
@@ -407,6 +412,56 @@ def q_eval_examples_top3(spark: SparkSession, d: str) -> DataFrame:
     return _scored(first_query_examples(runs, q, eng.corpus, EXAMPLE_TOP_K))
 
 
+def run_log(spark: SparkSession, d: str) -> DataFrame:
+    """A run log ``(method, k, run, seconds_per_query)`` read off ``events``:
+    the event's type stands for the method, its user for the cut-off."""
+    e = tables.table(spark, d, "events")
+    ks = F.array(*[F.lit(k) for k in DEFAULT_KS])
+    return e.select(F.col("event_type").alias("method"),
+                    F.element_at(ks, (F.pmod("user_id", F.lit(4)) + 1).cast("int")).alias("k"),
+                    F.col("event_id").alias("run"),
+                    (F.col("value") / 1000).alias("seconds_per_query"))
+
+
+def _rounded_times(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.round(c, STAT_DIGITS) for c in ("avg_time", "std_time")})
+
+
+def q_eval_latency(spark: SparkSession, d: str) -> DataFrame:
+    """F5 over a run log."""
+    return _rounded_times(latency_summary(run_log(spark, d)))
+
+
+def q_eval_mean_latency(spark: SparkSession, d: str) -> DataFrame:
+    """F6 over a run log."""
+    return _rounded_times(mean_latency(latency_summary(run_log(spark, d))))
+
+
+def q_rrf_search(spark: SparkSession, d: str) -> DataFrame:
+    """Text and vector lists (depth 2k) fused by rank."""
+    eng, q, qv = _engine(spark, d), _queries(spark, d), _qvecs(spark, d)
+    depth = 2 * HYBRID_K
+    lists = [eng.text_ranked(q, depth), eng.vector_ranked(qv, depth)]
+    return _scored(reciprocal_rank_fusion(lists, HYBRID_K))
+
+
+def q_relevance_at_k(spark: SparkSession, d: str) -> DataFrame:
+    """R2: precision, recall and NDCG of the three methods."""
+    eng, q, qv = _engine(spark, d), _queries(spark, d), _qvecs(spark, d)
+    methods = ("vector", "text", "hybrid")
+    judged = write_parquet(term_judgements(eng.index, eng.query_terms(q)),
+                           scratch_path(spark, "judged"))
+    found = relevance_at_k(method_runs(eng, q, qv, TEXT_K, methods), judged, q, methods, DEFAULT_KS)
+    return found.withColumns({c: F.round(c, SCORE_DIGITS) for c in ("precision", "recall", "ndcg")})
+
+
+def q_rerank_search(spark: SparkSession, d: str) -> DataFrame:
+    """The text list at depth 2k, ranked again on the documents' cleaned texts."""
+    eng, q = _engine(spark, d), _queries(spark, d)
+    found = rerank(eng.text_ranked(q, 2 * HYBRID_K), q, eng.corpus, overlap_scorer, HYBRID_K)
+    return _scored(found)
+
+
 def q_corpus_counts(spark: SparkSession, d: str) -> DataFrame:
     return counts(_engine(spark, d).corpus, _queries(spark, d))
 
@@ -426,6 +481,32 @@ def q_vector_search_encoded(spark: SparkSession, d: str) -> DataFrame:
     return _scored(eng.search(_queries(spark, d), "vector", VECTOR_K))
 
 
+_FITTED: dict[tuple, FittedEncoder] = {}
+
+
+def _fitted(spark: SparkSession, d: str) -> FittedEncoder:
+    """Fitted on the cleaned bodies of all documents, once per table state."""
+    key = (spark.sparkContext.applicationId, d,
+           table_state(spark, f"{d.rstrip('/')}/documents.parquet"))
+    if key not in _FITTED:
+        _FITTED[key] = fit_encoder(_engine(spark, d).corpus)
+    return _FITTED[key]
+
+
+def q_encode_documents_fitted(spark: SparkSession, d: str) -> DataFrame:
+    """Latent vectors of the cleaned body of every document."""
+    vectors = encode(_engine(spark, d).corpus.select("doc_id", "text"), _fitted(spark, d),
+                     text_col="text", key="doc_id")
+    return vectors.select("doc_id", F.transform(
+        "embedding", lambda x: F.round(x.cast("double"), SCORE_DIGITS)).alias("embedding"))
+
+
+def q_vector_search_fitted(spark: SparkSession, d: str) -> DataFrame:
+    """C1 + C2 + J2 with the fitted encoder for documents and queries."""
+    eng = engine_for(spark, d, encoder=_fitted(spark, d))
+    return _scored(eng.search(_queries(spark, d), "vector", VECTOR_K))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "prepare_documents": q_prepare_documents,
     "basic_clean": q_basic_clean,
@@ -469,9 +550,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "eval_metrics_at_k": q_eval_metrics_at_k,
     "eval_top_document": q_eval_top_document,
     "eval_examples_top3": q_eval_examples_top3,
+    "eval_latency": q_eval_latency,
+    "eval_mean_latency": q_eval_mean_latency,
+    "rrf_search": q_rrf_search,
+    "relevance_at_k": q_relevance_at_k,
+    "rerank_search": q_rerank_search,
     "corpus_counts": q_corpus_counts,
     "encode_documents": q_encode_documents,
     "vector_search_encoded": q_vector_search_encoded,
+    "encode_documents_fitted": q_encode_documents_fitted,
+    "vector_search_fitted": q_vector_search_fitted,
 }
 
 __all__ = ["QUERIES", "RESULT_COLUMNS"]

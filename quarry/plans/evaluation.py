@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Sequence
+from itertools import product
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +21,7 @@ from quarry.operators.evaluate import (
     counts,
     first_query_examples,
     latency_summary,
+    mean_latency,
     metrics_at_k,
     top_documents,
 )
@@ -70,9 +72,10 @@ def method_runs(engine: SearchEngine, queries: DataFrame, query_vectors: DataFra
 
 
 def measure_latency(engine: SearchEngine, queries: DataFrame, query_vectors: DataFrame,
-                    k: int, methods: Sequence[str] = METHODS, repeats: int = 3,
+                    ks: Sequence[int], methods: Sequence[str] = METHODS, repeats: int = 3,
                     weights: dict | None = None) -> DataFrame:
-    """F5 input: wall time per query of each method, one row per repeat.
+    """F5 input: a run log, wall time per query of each method and cut-off, one
+    row per repeat.
 
     Each repeat runs the whole query table as one job; the time per query is
     that wall time divided by the number of queries.
@@ -80,13 +83,13 @@ def measure_latency(engine: SearchEngine, queries: DataFrame, query_vectors: Dat
     spark = queries.sparkSession
     n = max(1, queries.count())
     rows = []
-    for m in methods:
-        for r in range(repeats):
-            t0 = time.perf_counter()
-            engine.ranked(m, queries, query_vectors, k, weights).write.format("noop").mode(
-                "overwrite").save()
-            rows.append((m, r, (time.perf_counter() - t0) / n))
-    return spark.createDataFrame(rows, "method string, run int, seconds_per_query double")
+    for m, k, r in product(methods, ks, range(repeats)):
+        t0 = time.perf_counter()
+        engine.ranked(m, queries, query_vectors, k, weights).write.format("noop").mode(
+            "overwrite").save()
+        rows.append((m, int(k), r, (time.perf_counter() - t0) / n))
+    return spark.createDataFrame(
+        rows, "method string, k int, run int, seconds_per_query double")
 
 
 def evaluate(engine: SearchEngine, queries: DataFrame, query_vectors: DataFrame,
@@ -94,7 +97,8 @@ def evaluate(engine: SearchEngine, queries: DataFrame, query_vectors: DataFrame,
              weights: dict | None = None, with_latency: bool = False,
              repeats: int = 3) -> dict[str, DataFrame]:
     """``metrics``, ``top_documents``, ``examples``, ``counts`` and, when
-    asked, ``latency`` and ``metrics`` joined with it."""
+    asked, ``latency`` per method and k, its mean over k, and ``metrics``
+    joined with it."""
     kmax = max(ks)
     runs = method_runs(engine, queries, query_vectors, kmax, methods, weights)
     metrics = metrics_at_k(runs, queries, methods, ks)
@@ -107,9 +111,9 @@ def evaluate(engine: SearchEngine, queries: DataFrame, query_vectors: DataFrame,
         "counts": counts(engine.corpus, queries),
     }
     if with_latency:
-        timings = measure_latency(engine, queries, query_vectors, kmax, methods, repeats, weights)
+        timings = measure_latency(engine, queries, query_vectors, ks, methods, repeats, weights)
         latency = latency_summary(timings)
-        out["latency"] = latency
-        out["metrics"] = metrics.join(F.broadcast(latency), "method", "left").withColumn(
+        out["latency"], out["mean_latency"] = latency, mean_latency(latency)
+        out["metrics"] = metrics.join(F.broadcast(latency), ["method", "k"], "left").withColumn(
             "evaluated_at", F.current_timestamp())
     return out

@@ -20,6 +20,7 @@ from quarry.functions.text import (
 )
 from quarry.operators import sentences
 from quarry.operators.lemmas import LONGEST, MIN_VOTES
+from quarry.operators.relevance import FULL_GAIN, PART_GAIN, PART_SHARE
 from quarry.params import BM25_B, BM25_EPSILON, BM25_K1
 from quarry.plans.catalog import ENCODER_DIM, HYBRID_K, LEMMAS, SCORE_DIGITS, STAT_DIGITS, TEXT_K, VECTOR_K
 from quarry.sources.queries import REFERENCE_QUERIES
@@ -422,6 +423,61 @@ SELECT g.method, CAST(g.k AS INTEGER) AS k,
 FROM grid g LEFT JOIN per_query p USING (method, k, query_id)
 GROUP BY g.method, g.k"""
 
+RUN_LOG = """lg AS (SELECT event_type AS method,
+  CAST([1, 3, 5, 10][CAST(((user_id % 4) + 4) % 4 AS INTEGER) + 1] AS INTEGER) AS k,
+  value / 1000 AS s FROM events),
+su AS (SELECT method, k, avg(s) AS avg_time, stddev_pop(s) AS std_time FROM lg GROUP BY ALL)"""
+
+SQL["eval_latency"] = f"""WITH {RUN_LOG}
+SELECT method, k, round(avg_time, {STAT_DIGITS}) AS avg_time, round(std_time, {STAT_DIGITS}) AS std_time
+FROM su"""
+
+SQL["eval_mean_latency"] = f"""WITH {RUN_LOG}
+SELECT method, round(avg(avg_time), {STAT_DIGITS}) AS avg_time,
+  round(avg(std_time), {STAT_DIGITS}) AS std_time FROM su GROUP BY method"""
+
+SQL["rrf_search"] = f"""WITH {INDEX}, {BENCH_Q}, {VECTORS},
+{text_topk_ctes('rr', 'bq', 2 * HYBRID_K)}, {vector_topk_ctes('rw', 2 * HYBRID_K)},
+f AS (SELECT query_id, doc_id, sum(1.0 / (60 + rank)) AS score FROM (
+  SELECT query_id, doc_id, rank FROM rr_top UNION ALL SELECT query_id, doc_id, rank FROM rw_top)
+  GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {key('score')} DESC, doc_id)
+  AS rank FROM f)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id, round(score, {SCORE_DIGITS}) AS score
+FROM r WHERE rank <= {HYBRID_K}"""
+
+SQL["relevance_at_k"] = f"""WITH {runs_ctes(TEXT_K)}, {qterms_cte('jt', 'bq')},
+js AS (SELECT query_id, count(*) AS n FROM jt GROUP BY 1),
+jd AS (SELECT query_id, doc_id, CASE WHEN held = n THEN {FULL_GAIN} ELSE {PART_GAIN} END AS gain
+  FROM (SELECT query_id, doc_id, count(*) AS held FROM jt JOIN tf USING (term) GROUP BY 1, 2)
+  JOIN js USING (query_id) WHERE held / n >= {PART_SHARE}),
+pl AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY gain DESC, doc_id) AS place FROM jd),
+nr AS (SELECT query_id, count(*) AS n_relevant FROM jd GROUP BY 1),
+ks AS (SELECT unnest([1, 3, 5, 10]) AS k),
+idl AS (SELECT query_id, k, sum(gain / log2(place + 1)) AS ideal FROM pl, ks WHERE place <= k GROUP BY 1, 2),
+fo AS (SELECT method, query_id, k, count(*) AS n, sum(gain / log2(rank + 1)) AS dcg
+  FROM runs JOIN jd USING (query_id, doc_id), ks WHERE rank <= k GROUP BY 1, 2, 3),
+g AS (SELECT method, k, query_id FROM bq, ks, (SELECT unnest(['vector', 'text', 'hybrid']) AS method))
+SELECT method, CAST(k AS INTEGER) AS k, count(n_relevant) AS n_judged,
+  round(avg(coalesce(n, 0) / k), {SCORE_DIGITS}) AS precision,
+  round(avg(CASE WHEN n_relevant IS NOT NULL THEN coalesce(n, 0) / n_relevant END), {SCORE_DIGITS})
+    AS recall,
+  round(avg(CASE WHEN ideal IS NOT NULL THEN coalesce(dcg, 0.0) / ideal END), {SCORE_DIGITS}) AS ndcg
+FROM g LEFT JOIN fo USING (method, query_id, k) LEFT JOIN nr USING (query_id)
+LEFT JOIN idl USING (query_id, k) GROUP BY method, k"""
+
+SQL["rerank_search"] = f"""WITH {INDEX}, {BENCH_Q}, {text_topk_ctes('rk', 'bq', 2 * HYBRID_K)},
+w AS (SELECT query_id, doc_id,
+  list_distinct(regexp_extract_all(lower(query), '[\\p{{L}}\\p{{N}}_]+')) AS a,
+  list_distinct(regexp_extract_all(lower({clean('text')}), '[\\p{{L}}\\p{{N}}_]+')) AS b
+  FROM rk_top JOIN bq USING (query_id) JOIN documents USING (doc_id)),
+s AS (SELECT query_id, doc_id, CASE WHEN len(a) + len(b) = 0 THEN 0.0 ELSE
+  len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b))) END AS score FROM w),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {key('score')} DESC, doc_id)
+  AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id, round(score, {SCORE_DIGITS}) AS score
+FROM r WHERE rank <= {HYBRID_K}"""
+
 SQL["eval_top_document"] = f"""WITH {RAW}, {PAYLOAD}, {runs_ctes(3)}
 SELECT r.method, r.query_id, r.doc_id, round(r.score, {SCORE_DIGITS}) AS score,
        substring(p.title, 1, 50) || '...' AS title

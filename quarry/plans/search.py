@@ -22,7 +22,7 @@ from quarry.operators.index import Bm25Index
 from quarry.operators.lemmas import LemmaGuesser
 from quarry.operators.payload import bucket_count, with_payload
 from quarry.operators.vector import MAX_QUERY_BYTES, query_shape, vector_top_k
-from quarry.session import BROADCAST_ROW_LIMIT
+from quarry.session import BROADCAST_ROW_LIMIT, scratch_path, write_parquet
 from quarry.params import (
     DEFAULT_DEPTH_FACTOR,
     check_method,
@@ -74,12 +74,16 @@ class SearchEngine:
         return rows <= BROADCAST_ROW_LIMIT
 
     # -- ranked lists without payload ------------------------------------
-    def text_ranked(self, queries: DataFrame, k: int, pad: bool = True,
-                    bounds: tuple[int, int] | None = None) -> DataFrame:
-        _, tokens = bounds or self.query_bounds(queries)
-        qterms = query_terms(queries, self.analyzer, self.lemmas)
+    def query_terms(self, queries: DataFrame) -> DataFrame:
+        """The analysed terms of the queries, written down: they are read more
+        than once, and what follows is planned without the analysis."""
+        return write_parquet(query_terms(queries, self.analyzer, self.lemmas),
+                             scratch_path(queries.sparkSession, "query-terms"))
+
+    def text_ranked(self, queries: DataFrame, k: int, pad: bool = True) -> DataFrame:
+        qterms = self.query_terms(queries)
         return text_top_k(self.index, queries, qterms, k, pad=pad,
-                          broadcast_terms=self._small(tokens)).select(
+                          broadcast_terms=self._small(qterms.count())).select(
             "query_id", "rank", "doc_id", "score")
 
     def text_ranked_pruned(self, queries: DataFrame, k: int, pad: bool = True) -> DataFrame:
@@ -87,8 +91,8 @@ class SearchEngine:
         summed, in more jobs. For corpora where postings are the cost."""
         if self.blocks is None:
             self.blocks = build_blocks(self.index)
-        qterms = query_terms(queries, self.analyzer, self.lemmas)
-        return text_top_k_pruned(self.index, self.blocks, queries, qterms, k, pad).select(
+        return text_top_k_pruned(self.index, self.blocks, queries, self.query_terms(queries), k,
+                                 pad).select(
             "query_id", "rank", "doc_id", "score")
 
     def vector_ranked(self, query_vectors: DataFrame, k: int,
@@ -97,11 +101,10 @@ class SearchEngine:
 
     def hybrid_ranked(self, queries: DataFrame, query_vectors: DataFrame, k: int,
                       weights: dict | None = None,
-                      depth_factor: int = DEFAULT_DEPTH_FACTOR,
-                      bounds: tuple[int, int] | None = None) -> DataFrame:
+                      depth_factor: int = DEFAULT_DEPTH_FACTOR) -> DataFrame:
         w = check_weights(weights)
         depth = depth_factor * k
-        text = self.text_ranked(queries, depth, bounds=bounds)
+        text = self.text_ranked(queries, depth)
         fused = fuse(text, self.vector_ranked(query_vectors, depth), w, self.aliases)
         return fused_top_k(fused, k)
 
@@ -115,10 +118,9 @@ class SearchEngine:
     def text(self, queries: DataFrame, top_k: int = 5, pruned: bool = False) -> DataFrame:
         """J1; with ``pruned`` by score bounds (the same rows)."""
         k = check_top_k(top_k)
-        bounds = self.query_bounds(queries)
         ranked = (self.text_ranked_pruned(queries, k) if pruned
-                  else self.text_ranked(queries, k, bounds=bounds))
-        return self._payload(ranked, bounds[0] * k, RESULT_COLUMNS)
+                  else self.text_ranked(queries, k))
+        return self._payload(ranked, queries.count() * k, RESULT_COLUMNS)
 
     def vector(self, query_vectors: DataFrame, top_k: int = 5) -> DataFrame:
         """J2."""
@@ -133,9 +135,8 @@ class SearchEngine:
         """J3."""
         qv = query_vectors if query_vectors is not None else self.query_vectors_for(queries)
         k = check_top_k(top_k)
-        bounds = self.query_bounds(queries)
-        ranked = self.hybrid_ranked(queries, qv, k, weights, depth_factor, bounds)
-        return self._payload(ranked, bounds[0] * k, (*RESULT_COLUMNS, "score_type"))
+        ranked = self.hybrid_ranked(queries, qv, k, weights, depth_factor)
+        return self._payload(ranked, queries.count() * k, (*RESULT_COLUMNS, "score_type"))
 
     def search(self, queries: DataFrame, method: str = "hybrid", top_k: int = 5,
                weights: dict | None = None, query_vectors: DataFrame | None = None) -> DataFrame:

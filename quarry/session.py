@@ -125,4 +125,6 @@ def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = Non
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    reader = df.sparkSession.read
+    # An empty partitioned table has no file to take the schema from.
+    return (reader.schema(df.schema) if partition_by else reader).parquet(path)

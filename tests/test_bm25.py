@@ -9,7 +9,7 @@ from quarry.operators.analyze import Analyzer, query_terms
 from quarry.operators.bm25 import text_top_k
 from quarry.operators.index import build_index
 
-NO_STOP = Analyzer(stopwords=())
+NO_STOP = Analyzer(lists=())
 
 
 def corpus(spark, docs):

@@ -47,7 +47,9 @@ def test_entry_runs(spark):
 
 def test_every_sql_key_is_a_query():
     assert set(E.oracle_sql()) <= set(E.queries())
-    assert set(SQL) == set(QUERIES) <= set(E.queries())
+    assert set(SQL) <= set(QUERIES) <= set(E.queries())
+    # Vectors of a fitted encoder have no SQL form; see test_fitted.py.
+    assert set(QUERIES) - set(SQL) == {"encode_documents_fitted", "vector_search_fitted"}
 
 
 @pytest.mark.parametrize("name", sorted(SQL))

@@ -1,6 +1,6 @@
 import pytest
 
-from quarry.operators.evaluate import counts, latency_summary, metrics_at_k
+from quarry.operators.evaluate import counts, latency_summary, mean_latency, metrics_at_k
 
 
 def test_metrics_prefixes_and_empty_queries(spark):
@@ -23,10 +23,12 @@ def test_metrics_prefixes_and_empty_queries(spark):
 
 
 def test_latency_population_std(spark):
-    t = spark.createDataFrame([("text", 0, 1.0), ("text", 1, 3.0)],
-                              "method string, run int, seconds_per_query double")
-    r = latency_summary(t).first()
-    assert (r["avg_time"], r["std_time"]) == (2.0, 1.0)
+    t = spark.createDataFrame([("text", 1, 0, 1.0), ("text", 1, 1, 3.0), ("text", 5, 0, 6.0)],
+                              "method string, k int, run int, seconds_per_query double")
+    summary = latency_summary(t)
+    r = {x["k"]: (x["avg_time"], x["std_time"]) for x in summary.collect()}
+    assert r == {1: (2.0, 1.0), 5: (6.0, 0.0)}
+    assert tuple(mean_latency(summary).first()) == ("text", 4.0, 0.5)
 
 
 def test_counts(spark):

@@ -14,7 +14,7 @@ from quarry.operators.analyze import Analyzer, query_terms
 from quarry.operators.index import build_index
 
 VOCAB = ["a", "b", "c", "d", "e", "f"]
-NO_STOP = Analyzer(stopwords=())
+NO_STOP = Analyzer(lists=())
 
 
 def direct(docs, queries, k):

@@ -103,12 +103,12 @@ def test_jsonl_corpus_to_search_end_to_end(spark, tmp_out):
     write_lines(path, [json.dumps(d) for d in docs] + ["broken {"])
     good, rejects = read_jsonl_tolerant(spark, path)
     assert rejects.count() == 1
-    corpus = build_corpus(good, tmp_out + "/prepared", Analyzer(stopwords=("and",)))
+    corpus = build_corpus(good, tmp_out + "/prepared", Analyzer(lists=(("en", ("and",)),)))
     row = corpus.where(F.col("date") == "2020-01-03").first()
     assert row["id"] == "u/1" and row["text_processed"] == "oil , oil more oil !"
     idx = build_index(corpus, tmp_out + "/index", n_parts=2)
     eng = SearchEngine(corpus=corpus, index=idx, doc_vectors=None,
-                       analyzer=Analyzer(stopwords=("and",)))
+                       analyzer=Analyzer(lists=(("en", ("and",)),)))
     q = spark.createDataFrame([(1, "oil")], "query_id long, query string")
     top = eng.text(q, 3).orderBy("rank").collect()
     assert [r["date"] for r in top] == ["2020-01-03", "2020-01-01", "2020-01-02"]

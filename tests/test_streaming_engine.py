@@ -72,7 +72,7 @@ def test_evaluate_plan(spark, engine):
     qv = tables.benchmark_query_vectors(spark, SF_SMALL)
     out = evaluate(engine, q, qv, with_latency=True, repeats=1)
     assert out["metrics"].count() == 12
-    assert out["latency"].count() == 3
+    assert out["latency"].count() == 3 * 4 and out["mean_latency"].count() == 3
     assert out["examples"].where(F.col("rank") <= 3).count() == 9
     assert out["counts"].first()["n_queries"] == q.count()
 
