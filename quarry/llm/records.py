@@ -19,9 +19,9 @@ any order.
 The corpus moves once: whole texts are range-partitioned by document id, and
 every task sorts, encodes, frames and writes its range.
 
-Encoding: the tokenizers library encodes each chunk between white space (the
-vocabulary's rules never look across white space); workers keep a bounded memo
-of chunks.
+Encoding: ids are those of the tokenizers library for each chunk between white
+space (the vocabulary's rules never look across white space); workers keep a
+bounded memo of chunks, and new ones are encoded many at a time (``wordranks``).
 
 Defined results: null or empty text is a record of the end id alone; a null
 document id sorts first and comes back as null; repeated ids keep all their
@@ -45,9 +45,12 @@ from pyspark.sql import functions as F
 from quarry.llm.bpe import share
 from quarry.llm.common import documents, python_ready, whole_text
 from quarry.llm.wordbpe import Memo, Splitter, encode_pieces
+from quarry.llm.wordranks import WordRanks
 from quarry.session import scratch_path
 
 SHARD_BYTES = 16 << 20   # text bytes per file
+BLOCK_CHARS = 1 << 20    # characters whose new chunks are encoded together
+MEMO_CHUNKS = 100_000    # entries per generation of the chunk memo
 END_ID = 1
 
 # Fixed values of the frame.
@@ -95,7 +98,11 @@ def records(content: bytes) -> Iterator[tuple[int, int, int | None, np.ndarray]]
 
 
 class LibraryCoder:
-    """The tokenizers library behind a bounded memo of chunks."""
+    """The tokenizers library's ids, behind a bounded memo of chunks.
+
+    New chunks of a block of texts are encoded together (``wordranks``); what
+    that can't prove, and what has grown old between, goes to the library.
+    """
 
     def __init__(self, data: bytes):
         import json
@@ -106,14 +113,31 @@ class LibraryCoder:
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.splitter = Splitter(json.loads(data))
-        self.memo = Memo(self.chunk)
+        self.memo = Memo(self.chunk, MEMO_CHUNKS)
+        self.ranks = WordRanks(data, self.chunk)
 
     def chunk(self, chunk: str) -> bytes:
         ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
         return np.array(ids, dtype="<u4").tobytes()
 
-    def encode(self, text: str) -> np.ndarray:
-        return np.frombuffer(encode_pieces(self.splitter.pieces(text), self.memo), "<u4")
+    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """Ids of each text, block by block."""
+        start, held = 0, 0
+        for i, text in enumerate(texts):
+            held += len(text)
+            if held >= BLOCK_CHARS or i == len(texts) - 1:
+                yield from self.block(texts[start:i + 1])
+                start, held = i + 1, 0
+
+    def block(self, texts: list[str]) -> Iterator[np.ndarray]:
+        split = [list(self.splitter.pieces(t)) for t in texts]
+        distinct = {c for pieces in split for _, chunks in pieces if chunks for c in chunks}
+        new = [c for c in distinct if c not in self.memo and c not in self.memo.old]
+        made = dict(zip(new, self.ranks.encode(new), strict=True))
+        self.memo.encode = lambda c: made.get(c) or self.chunk(c)
+        for pieces in split:
+            yield np.frombuffer(encode_pieces(pieces, self.memo), "<u4")
+        self.memo.encode = self.chunk
 
 
 def coder(data: bytes) -> LibraryCoder:
@@ -140,8 +164,9 @@ def write_records(df: DataFrame, path: str, vocab_path: str, doc_id: str = "doc_
         own = coder(vocab.value)
         end = np.array([end_id], dtype="<u4")
         for batch in batches:
-            framed = [frame(i, np.concatenate([own.encode(t), end])) for i, t in zip(
-                batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            encoded = own.encode(batch.column(1).to_pylist())
+            framed = [frame(i, np.concatenate([ids, end])) for i, ids in zip(
+                batch.column(0).to_pylist(), encoded, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(framed, pa.binary())], ["record"])
 
     (rows.repartitionByRange(shards, F.col("doc_id").asc_nulls_first())

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from quarry.llm.bpe import decode, encode, op1_bpe
-from quarry.llm.records import (frame, masked, op4_token_records, read_at, read_index,
+import quarry.llm.records as R
+from quarry.llm.records import (LibraryCoder, frame, masked, op4_token_records, read_at, read_index,
                                 read_records, records, write_index, write_records)
 from quarry.llm.wordbpe import WordBpe
 from quarry.session import scratch_path
@@ -51,6 +52,26 @@ def test_every_token_string_encodes_alike(own, library):
         assert ids_of(own, t) == library.encode(t, add_special_tokens=False).ids
 
 
+def test_many_chunks_at_once(library, monkeypatch):
+    with open(VOCAB, "rb") as f:
+        coder = LibraryCoder(f.read())
+    rng = random.Random(9)
+    letters = "abcdefgh THE'stre.,!?0129éßñçΣσ漢字😀\t\ń \x1c" + chr(0xF8FF) + chr(0xF8C1)
+    cases = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) for _ in range(600)]
+    cases += ["", "<|endoftext|>a<|startoftext|> <|end", "a" * 5000, "ΑΣ ΑΣ.", "İI", "don't we'll"]
+    cases += [t.removesuffix("</w>") for t in sorted(library.get_vocab())[::29]]
+    want = [library.encode(t, add_special_tokens=False).ids for t in cases]
+    assert [x.tolist() for x in coder.encode(cases)] == want
+    coder.memo.size, coder.memo.longest = 3, 4
+    monkeypatch.setattr(R, "BLOCK_CHARS", 100)
+    assert [x.tolist() for x in coder.encode(cases)] == want
+    # Where the pair test proves nothing, the library is asked.
+    coder.memo.clear()
+    coder.memo.old = {}
+    monkeypatch.setattr(coder.ranks, "fits", lambda a, b: np.zeros(len(a), bool))
+    assert [x.tolist() for x in coder.encode(cases)] == want
+
+
 def test_memo_generations_do_not_change_ids(own, library):
     own.memo.size, own.memo.longest = 3, 4
     for t in ("one two three four five six one two", "fifteen letters"):
