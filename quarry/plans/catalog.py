@@ -298,11 +298,12 @@ def q_jsonl_scan(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_jsonl_rejects(spark: SparkSession, d: str) -> DataFrame:
-    """A1 + B1 + B12 where every line but one in five is broken, lacks a field,
-    is no object, or has a null and a number for strings; what became of them."""
+    """A1 + B1 + B12 where every line but one in seven is broken, lacks a field,
+    is no object, has a null and a number for strings, a key twice, or NaN; what
+    became of them."""
     raw = tables.raw_documents(spark, d)
     full = F.struct("url", "date", "title", "summary", "text")
-    kind = F.pmod("doc_id", F.lit(5))
+    kind = F.pmod("doc_id", F.lit(7))
     whole = F.to_json(full)
     line = (F.when(kind == 0, F.substring(whole, F.lit(1), F.length(whole) - 1))
             .when(kind == 1, F.to_json(F.struct("url", "date", "title", "summary")))
@@ -310,6 +311,8 @@ def q_jsonl_rejects(spark: SparkSession, d: str) -> DataFrame:
             .when(kind == 3, F.to_json(
                 F.struct("url", "date", F.lit(None).cast("string").alias("title"),
                          F.col("doc_id").alias("summary"), "text"), {"ignoreNullFields": "false"}))
+            .when(kind == 5, F.concat(F.lit('{"title":"first",'), F.substring(whole, 2, 1 << 30)))
+            .when(kind == 6, F.concat(F.lit('{"n":NaN,'), F.substring(whole, 2, 1 << 30)))
             .otherwise(whole))
     parsed = classify_lines(raw.select(line.alias("value")))
     return parsed.groupBy(F.coalesce("reason", F.lit("good")).alias("outcome")).agg(

@@ -635,14 +635,14 @@ SQL["text_search_guessed"] = with_results(
 
 
 SQL["jsonl_rejects"] = f"""WITH {RAW}, kinds AS (
-  SELECT doc_id % 5 AS kind, title, CASE WHEN doc_id % 5 = 3 THEN '' ELSE summary END AS summary, text
+  SELECT doc_id % 7 AS kind, title, CASE WHEN doc_id % 7 = 3 THEN '' ELSE summary END AS summary, text
   FROM raw)
 SELECT CASE kind WHEN 0 THEN 'malformed' WHEN 1 THEN 'missing field text'
             WHEN 2 THEN 'not an object' ELSE 'good' END AS outcome,
        count(*) AS n,
-       CAST(sum(CASE WHEN kind = 4 THEN len(title) ELSE 0 END) AS BIGINT) AS title_chars,
-       CAST(sum(CASE WHEN kind = 4 THEN len(summary) ELSE 0 END) AS BIGINT) AS summary_chars,
-       CAST(sum(CASE WHEN kind IN (3, 4) THEN len(text) ELSE 0 END) AS BIGINT) AS text_chars
+       CAST(sum(CASE WHEN kind >= 4 THEN len(title) ELSE 0 END) AS BIGINT) AS title_chars,
+       CAST(sum(CASE WHEN kind >= 4 THEN len(summary) ELSE 0 END) AS BIGINT) AS summary_chars,
+       CAST(sum(CASE WHEN kind >= 3 THEN len(text) ELSE 0 END) AS BIGINT) AS text_chars
 FROM kinds GROUP BY 1"""
 
 SQL["documents_round_trip"] = f"""WITH {RAW}

@@ -22,6 +22,10 @@ LINES = [
     "7",
     '{"url": "u5", "url": "u6", "date": "d", "title": "T", "summary": "S", "text": "X"}',
     '{"url": "u7", "date": "d", "title": "T", "summary": NaN, "text": "X"}',
+    '{"url": "u8", "date": "d", "summary": "S", "text": "X", "score": -Infinity}',
+    '{"url": "u9", "date": "d", "title": "T", "summary": "S", "text": "X", "text": null}',
+    "{'url': 'u10', 'date': 'd', 'title': 'T', 'summary': 'S', 'text': 'X'}",
+    '{"url": "u11", "date": NaN, "title": {"a": 1, "a": 2}, "summary": "S", "text": "X"}',
 ]
 
 
@@ -35,12 +39,13 @@ def test_tolerant_scan(spark, tmp_out):
     write_lines(path, LINES)
     good, rejects = read_jsonl_tolerant(spark, path)
     g = {r["url"]: r for r in good.collect()}
-    assert set(g) == {"u1", "u2"}
+    assert set(g) == {"u1", "u2", "u6", "u7", "u9"}
+    assert (g["u7"]["summary"], g["u7"]["text"], g["u9"]["text"]) == ("", "X", "")
     assert (g["u2"]["title"], g["u2"]["summary"]) == ("", "")
     assert g["u1"]["doc_id"] < g["u2"]["doc_id"]
     reasons = sorted(r["reason"] for r in rejects.collect())
     assert reasons == sorted(["missing field title", "malformed", "malformed", "malformed",
-                              "not an object", "malformed", "malformed"])
+                              "not an object", "missing field title", "malformed", "malformed"])
 
 
 def test_strict_scan_fails_on_bad_line(spark, tmp_out):
