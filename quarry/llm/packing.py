@@ -4,9 +4,10 @@ Documents are packed into sequences (bins) of ``capacity`` units, with no two
 documents of one source and no two of one duplicate cluster in a bin. Longer
 documents are cut: full pieces fill a bin each, the rest is packed.
 
-Items are dealt out evenly to shards by a hash of id and piece, so a hot
-source or cluster spreads over all of them, and a shard's size doesn't depend
-on the data. A shard packs its items from the longest down. Open bins are
+A duplicate cluster is a component of near duplicates (operator 6). Items, the
+pieces, are counted and dealt out evenly to shards by a hash of id and piece, so
+a hot source or cluster spreads over all of them, and a shard holds about
+``SHARD_ITEMS`` pieces whatever the texts' lengths. A shard packs its items from the longest down. Open bins are
 ordered by residual and carry a bitmap of the sources and clusters in them.
 The search starts at the smallest residual that holds the item and goes on to
 its successors until a bin without the item's bits turns up, which is the
@@ -15,8 +16,9 @@ clusters with many items in the shard, the residuals that have a bin without
 them are kept as a bit set, so that the search steps over full runs at once.
 
 Defined results: null or empty text has length 0 and takes a place in a bin; a
-null source never conflicts; rows of equal id are separate items (equal texts
-share a cluster, hence never a bin); an empty table gives an empty table.
+null source never conflicts, nor does a null cluster; rows of equal id are
+separate items (equal texts share a cluster, hence never a bin); an empty table
+gives an empty table.
 """
 
 from __future__ import annotations
@@ -29,7 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import collapse_space, documents, python_ready, whole_text
+from quarry.llm.common import collapse_space, documents, python_ready, staged, whole_text
+from quarry.llm.simhash import near_duplicates
 
 CAPACITY = 16_384      # characters of a sequence
 SHARD_ITEMS = 20_000   # items packed together
@@ -118,7 +121,7 @@ def pack_items(lengths: list[int], sources: list[str | None], clusters: list[int
                capacity: int) -> tuple[list[tuple[int, int]], list[int]]:
     """(bin, offset) of each item, given from the longest down; and bins' use."""
     counts = Counter(("s", s) for s in sources if s is not None)
-    counts.update(("c", c) for c in clusters)
+    counts.update(("c", c) for c in clusters if c is not None)
     bit = {k: i for i, k in enumerate(sorted(
         (k for k, n in counts.items() if n > 1), key=lambda k: (-counts[k], k)))}
     frequent = {i for k, i in bit.items() if counts[k] >= FREQUENT}
@@ -154,7 +157,8 @@ def pack(df: DataFrame, doc_id: str = "doc_id", length: str = "length", source:
     """The bin and place of every piece of every document."""
     python_ready(df.sparkSession)
     items = pieces(df, doc_id, length, source, cluster, capacity)
-    shards = max(1, math.ceil(df.count() / shard_items))
+    each = F.greatest(F.lit(1), F.ceil(F.coalesce(length, F.lit(0)) / F.lit(capacity)))
+    shards = max(1, math.ceil((df.agg(F.sum(each)).first()[0] or 0) / shard_items))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]   # a shard: a bounded number of narrow rows
@@ -184,12 +188,25 @@ def pack(df: DataFrame, doc_id: str = "doc_id", length: str = "length", source:
 
 def measured(docs: DataFrame) -> DataFrame:
     """(doc_id, length, source, cluster): characters, and a hash of the text
-    without its case and spacing."""
+    without its case and spacing, for documents without near duplicates."""
     text = whole_text()
     return docs.select("doc_id", F.char_length(text).cast("long").alias("length"), "source",
                        F.xxhash64(collapse_space(text)).alias("cluster"))
 
 
+def clustered(docs: DataFrame) -> DataFrame:
+    """(doc_id, length, source, cluster): the cluster is the fingerprint that
+    names the document's component of near duplicates."""
+    found = near_duplicates(docs.select("doc_id", "text")).groupBy("doc_id", "text_hash").agg(
+        F.min("root").alias("cluster")).toDF("_id", "_hash", "cluster")
+    text = whole_text()
+    rows = docs.select("doc_id", F.char_length(text).cast("long").alias("length"), "source",
+                       F.xxhash64(text).alias("_text"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_hash"))
+    # Written down: counted and packed from the same rows.
+    return staged(rows.join(found, same).select("doc_id", "length", "source", "cluster"), "clustered")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document packed into sequences."""
-    return pack(measured(documents(spark, sf_dir)))
+    return pack(clustered(documents(spark, sf_dir)))

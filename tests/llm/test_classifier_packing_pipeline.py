@@ -124,6 +124,57 @@ def test_packing_odd_rows_and_long_texts(spark):
     assert K.pack(K.measured(documents(spark, []))).count() == 0
 
 
+def replayed(rows, capacity):
+    """Each piece in packing order: its bin was the tightest compatible one."""
+    bins = defaultdict(lambda: (capacity, set(), set()))
+    for r in rows:
+        size, s, c = r["length"], r["source"], r["cluster"]
+        fits = {b: left for b, (left, ss, cs) in bins.items()
+                if left >= size and (s is None or s not in ss) and (c is None or c not in cs)}
+        left, ss, cs = bins[r["bin_id"]] if r["bin_id"] in bins else (capacity, set(), set())
+        assert r["bin_offset"] == capacity - left
+        if r["bin_id"] in bins:
+            assert r["bin_id"] in fits and left == min(fits.values())
+        else:
+            assert not fits
+        bins[r["bin_id"]] = (left - size, ss | {s}, cs | {c})
+    assert all(r["bin_used"] == capacity - bins[r["bin_id"]][0] for r in rows)
+
+
+def test_query_over_the_whole_table(spark):
+    got = K.op8_packing(spark, SF_SMALL)
+    assert got.columns == [f.split()[0] for f in K.SCHEMA.split(", ")]
+    order = got.withColumn("item", F.xxhash64("doc_id", "piece", "cluster")).orderBy(
+        F.col("length").desc(), "item", "start").collect()
+    replayed([r for r in order if r["length"] < K.CAPACITY], K.CAPACITY)
+    docs = table(spark, SF_SMALL, "documents")
+    lengths = {r["doc_id"]: len(r["text"] or "") for r in docs.collect()}
+    found = defaultdict(list)
+    for r in order:
+        found[r["doc_id"]].append((r["start"], r["length"]))
+    assert set(found) == set(lengths)
+    for doc_id, parts in found.items():
+        ends = [0]
+        for start, n in sorted(parts):
+            assert start == ends[-1]
+            ends.append(start + n)
+        assert ends[-1] == lengths[doc_id]
+    from quarry.llm.simhash import near_duplicates
+    groups = {r["doc_id"]: r["root"] for r in near_duplicates(docs).collect()}
+    assert all(r["cluster"] == groups[r["doc_id"]] for r in order)
+    assert len(set(groups.values())) < len(groups)
+
+
+def test_shards_follow_the_pieces(spark):
+    rows = [(i, 100_000 if i == 0 else 5, None, i) for i in range(11)]
+    df = spark.createDataFrame(rows, "doc_id long, length long, source string, cluster long")
+    got = K.pack(df, capacity=10, shard_items=1000).collect()
+    shards = defaultdict(int)
+    for r in got:
+        shards[r["bin_id"] >> 32] += 1
+    assert len(got) == 10_010 and len(shards) == 11 and max(shards.values()) < 1300
+
+
 def test_hot_source_and_cluster_stay_fast():
     import time
 
