@@ -30,6 +30,7 @@ import base64
 import datetime
 import hashlib
 import math
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -43,10 +44,12 @@ SHARD_BYTES = 16 << 20   # about so many bytes per archive file
 RUN_RANGE_ROWS = 100_000  # captures per range of the merged index
 MIN_REVISIT_BYTES = 0    # smaller payloads are always responses
 EPOCH = datetime.datetime(2020, 1, 1, tzinfo=datetime.timezone.utc)
+LAST_SECOND = 250 * 10**9   # of page ids told apart, some 7,900 years
 
 # Fixed values of the format.
 VERSION = "WARC/1.1"
 LINE_END = "\r\n"
+LINE_ENDS = re.compile("[\r\n]")
 CLOSE = LINE_END * 2
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -70,13 +73,14 @@ def url_key(url: str | None) -> str | None:
 
 
 def timestamp(page_id: int | None) -> str:
-    """Capture time of a table without one: one second per page id."""
-    at = EPOCH + datetime.timedelta(seconds=(page_id or 0) % 10**9)
+    """Capture time of a table without one: one second per page id, up to the
+    last year that a date can hold."""
+    at = EPOCH + datetime.timedelta(seconds=(page_id or 0) % LAST_SECOND)
     return at.strftime("%Y-%m-%dT%H:%M:%SZ")
 
 
 def header_line(value: str) -> str:
-    """A header value: its own line ends and percent signs are escaped."""
+    """A header value with line ends: these and percent signs are escaped."""
     return value.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A")
 
 
@@ -93,8 +97,10 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
              f"WARC-Date: {timestamp(page_id)}",
              f"WARC-Payload-Digest: sha1:{base32_sha1(payload)}",
              f"X-Payload-Length: {len(payload)}"]
-    if url is not None:
-        lines.append(f"WARC-Target-URI: {header_line(url)}")
+    if url is not None and LINE_ENDS.search(url):
+        lines += [f"WARC-Target-URI: {header_line(url)}", "X-Target-URI-Escaped: 1"]
+    elif url is not None:
+        lines.append(f"WARC-Target-URI: {url}")
     if revisit:
         lines += [f"WARC-Profile: {REVISIT_PROFILE}",
                   f"WARC-Refers-To: <urn:page:{'' if refers_to is None else refers_to}>"]
@@ -220,7 +226,7 @@ def read_captures(spark: SparkSession, path: str) -> DataFrame:
                     if not revisit and (base32_sha1(block), len(block)) != (digest, length):
                         raise ValueError(f"damaged payload at byte {at} of {file}")
                     url = h.get("WARC-Target-URI")
-                    url = None if url is None else unescaped(url)
+                    url = unescaped(url) if "X-Target-URI-Escaped" in h else url
                     rows.append((number.as_py(), url_key(url), h["WARC-Date"],
                                  page_of(h["WARC-Record-ID"]), h["WARC-Type"],
                                  page_of(h.get("WARC-Refers-To")), digest, length, url,
@@ -247,8 +253,8 @@ def capture_key(row: tuple) -> tuple:
 def merge_runs(runs: DataFrame, range_rows: int = RUN_RANGE_ROWS) -> DataFrame:
     """All captures in order of (URL key, timestamp, page id).
 
-    Partitions hold consecutive key ranges; ``history`` numbers the captures
-    of a URL key, which is what a replay tool walks. The range bounds include
+    Partitions hold consecutive key ranges, so that the files read one after
+    another are the capture histories of all URL keys. The range bounds include
     timestamp and page id, so one URL's captures may span partitions.
     """
     spark = runs.sparkSession

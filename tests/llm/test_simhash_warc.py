@@ -139,6 +139,15 @@ def test_archives_round_trip(spark):
     assert {r.record_type for r in empty} == {"response"}
 
 
+def test_urls_are_written_as_they_are():
+    for url in ("http://a.b/x%20y%0A", "a%25b", "", "u "):
+        headers = next(A.parse(A.record(1, url, b"", None, False) + A.CLOSE.encode()))[2]
+        assert headers["WARC-Target-URI"] == url and "X-Target-URI-Escaped" not in headers
+    headers = next(A.parse(A.record(1, "a\n%0A", b"", None, False) + A.CLOSE.encode()))[2]
+    assert A.unescaped(headers["WARC-Target-URI"]) == "a\n%0A" and "X-Target-URI-Escaped" in headers
+    assert A.timestamp(10**9 + 1) > A.timestamp(10**9) > A.timestamp(5)
+
+
 def test_archive_of_nothing_and_damage(spark):
     path = scratch_path(spark, "warc-empty")
     A.write_archives(spark.createDataFrame([], PAGES), path)
