@@ -146,7 +146,10 @@ def test_blocks_cover_all_texts():
         assert got == list(range(len(rows)))
 
 
-def test_counts_over_the_corpus(spark):
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_counts_over_the_corpus(spark, monkeypatch, broadcast):
+    if not broadcast:   # as for more pairs than a broadcast may hold
+        monkeypatch.setattr("quarry.llm.alignment.bounded_broadcast", lambda df: (df, 0, False))
     rows = documents(spark, odd_rows() + [(20 + i, t, "en", "a", 1)
                                           for i, t in enumerate(texts(5, 40))])
     frame = clashing(rows, "links", "n_a", "groups")
