@@ -13,7 +13,7 @@ from quarry.plans.catalog import QUERIES
 from quarry.plans.oracle import SQL
 from tests.conftest import SF_SMALL
 
-TABLES = ("documents embeddings pages benchmark labels").split()
+TABLES = ("documents embeddings pages benchmark labels events").split()
 
 
 def canon(cols, rows):
