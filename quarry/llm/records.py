@@ -35,6 +35,7 @@ import math
 import os
 import struct
 import zlib
+from collections import ChainMap
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,13 +45,13 @@ from pyspark.sql import functions as F
 
 from quarry.llm.bpe import share
 from quarry.llm.common import documents, python_ready, whole_text
-from quarry.llm.wordbpe import Memo, Splitter, encode_pieces
+from quarry.llm.wordbpe import MEMO_CHARS, Splitter, encode_pieces
 from quarry.llm.wordranks import WordRanks
 from quarry.session import scratch_path
 
 SHARD_BYTES = 16 << 20   # text bytes per file
 BLOCK_CHARS = 1 << 20    # characters whose new chunks are encoded together
-MEMO_CHUNKS = 100_000    # entries per generation of the chunk memo
+MEMO_CHUNKS = 150_000    # entries per generation of the chunk memo
 END_ID = 1
 
 # Fixed values of the frame.
@@ -101,7 +102,7 @@ class LibraryCoder:
     """The tokenizers library's ids, behind a bounded memo of chunks.
 
     New chunks of a block of texts are encoded together (``wordranks``); what
-    that can't prove, and what has grown old between, goes to the library.
+    that can't prove goes to the library.
     """
 
     def __init__(self, data: bytes):
@@ -113,7 +114,8 @@ class LibraryCoder:
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.splitter = Splitter(json.loads(data))
-        self.memo = Memo(self.chunk, MEMO_CHUNKS)
+        self.young: dict[str, bytes] = {}   # two generations of known chunks
+        self.old: dict[str, bytes] = {}
         self.ranks = WordRanks(data, self.chunk)
 
     def chunk(self, chunk: str) -> bytes:
@@ -131,13 +133,20 @@ class LibraryCoder:
 
     def block(self, texts: list[str]) -> Iterator[np.ndarray]:
         split = [list(self.splitter.pieces(t)) for t in texts]
-        distinct = {c for pieces in split for _, chunks in pieces if chunks for c in chunks}
-        new = [c for c in distinct if c not in self.memo and c not in self.memo.old]
-        made = dict(zip(new, self.ranks.encode(new), strict=True))
-        self.memo.encode = lambda c: made.get(c) or self.chunk(c)
+        distinct = set().union(*(chunks for pieces in split for _, chunks in pieces if chunks))
+        young, old = self.young, self.old
+        known = {c: old[c] for c in distinct if c in old and c not in young}
+        new = [c for c in distinct if c not in young and c not in known]
+        known.update(zip(new, self.ranks.encode(new), strict=True))
+        if len(young) + len(known) > MEMO_CHUNKS:
+            table = {c: young[c] for c in distinct if c in young} | known
+            self.old, self.young = young, {c: x for c, x in table.items() if len(c) <= MEMO_CHARS}
+        else:
+            young.update((c, x) for c, x in known.items() if len(c) <= MEMO_CHARS)
+            long = {c: x for c, x in known.items() if len(c) > MEMO_CHARS}
+            table = ChainMap(long, young) if long else young
         for pieces in split:
-            yield np.frombuffer(encode_pieces(pieces, self.memo), "<u4")
-        self.memo.encode = self.chunk
+            yield np.frombuffer(encode_pieces(pieces, table), "<u4")
 
 
 def coder(data: bytes) -> LibraryCoder:

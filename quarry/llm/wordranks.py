@@ -19,7 +19,10 @@ import numpy as np
 from quarry.llm.wordbpe import WORD, WordBpe, byte_alphabet, normalize
 
 MARK = chr(0xF8FF)                                     # private use
-LIKE_MARK = re.compile(f"[{chr(0xF8C0)}-{chr(0xF8FF)}]")   # all that share its first two bytes
+# Chunks left to the library: characters that share the mark's first two bytes,
+# and separators that the split pattern takes for white space.
+OTHER = re.compile(f"[{chr(0xF8C0)}-{chr(0xF8FF)}\x1c-\x1f]")
+LINE_FEED = 10
 
 
 class WordRanks:
@@ -43,7 +46,7 @@ class WordRanks:
             spelled[a + b] = spelled[a] + spelled[b]
             ids[len(ranks)] = vocab[a + b]
             ranks[spelled[a + b]] = len(ranks)
-        self.coder = tiktoken.Encoding("words", pat_str=f"[^{MARK}]*{MARK}", mergeable_ranks=ranks,
+        self.coder = tiktoken.Encoding("words", pat_str=rf"[^\n{MARK}]+{MARK}|\n", mergeable_ranks=ranks,
                                        special_tokens={})
         self.ids = np.zeros(len(ranks), np.uint32)
         self.ends = np.zeros(len(ranks), bool)
@@ -54,31 +57,33 @@ class WordRanks:
 
     def fits(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The pair test of neighbours, once for each distinct pair."""
+        if not len(left):
+            return np.zeros(0, bool)
         keys, at = np.unique(left.astype(np.int64) << 20 | right, return_inverse=True)
         known, remember = self.pairs.apart_memo, self.pairs.remember
         found = [remember(k) if (x := known.get(k)) is None else x for k in keys.tolist()]
         return np.array(found, bool)[at]
 
     def encode(self, chunks: list[str]) -> list[bytes]:
+        """Ids of chunks (without line feeds), each as it is alone."""
         if not chunks:
             return []
-        plain = [not LIKE_MARK.search(c) for c in chunks]
-        # Chunks hold no line feed, and nothing composes with one.
-        even = normalize("\n".join(chunks)).split("\n")
-        words = [WORD.findall(c) if ok else [] for c, ok in zip(even, plain, strict=True)]
-        line = "".join([w + MARK for own in words for w in own])
-        ranks = np.array(self.coder.encode_ordinary(line), np.int64)
+        own, line = chunks, "\n".join(chunks)
+        if OTHER.search(line):
+            own = ["" if OTHER.search(c) else c for c in chunks]
+            line = "\n".join(own)
+        # Nothing composes with a line feed; every other character is in a word.
+        marked = WORD.sub(rf"\g<0>{MARK}", normalize(line))
+        ranks = np.array(self.coder.encode_ordinary(marked), np.int64)
+        breaks = np.flatnonzero(ranks == LINE_FEED)
         ids, ends = self.ids[ranks], self.ends[ranks]
-        # Tokens of each chunk: up to the end of its last word.
-        last = np.append(-1, np.flatnonzero(ends)) + 1
-        cuts = last[np.cumsum([0] + [len(own) for own in words])]
-        good = np.array(plain, bool)
-        inner = np.flatnonzero(~ends)
-        bad = inner[~self.fits(ids[inner], ids[np.minimum(inner + 1, len(ids) - 1)])] \
-            if len(inner) else inner
-        good[np.searchsorted(cuts, bad, "right") - 1] = False
-        data = ids.astype("<u4").tobytes()
-        out = [data[4 * s:4 * e] for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
-        for i in np.flatnonzero(~good).tolist():
+        data, cuts = ids.astype("<u4").tobytes(), (4 * breaks).tolist()
+        out = [data[s:e] for s, e in zip([0, *(c + 4 for c in cuts)], [*cuts, len(data)], strict=True)]
+        inner = np.flatnonzero(~ends & (ranks != LINE_FEED))   # a word goes on
+        bad = inner[~self.fits(ids[inner], ids[inner + 1])]
+        asked = set(np.searchsorted(breaks, bad).tolist())
+        if own is not chunks:
+            asked.update(i for i, c in enumerate(own) if not c)
+        for i in asked:
             out[i] = self.library(chunks[i])
         return out

@@ -62,12 +62,13 @@ def test_many_chunks_at_once(library, monkeypatch):
     cases += [t.removesuffix("</w>") for t in sorted(library.get_vocab())[::29]]
     want = [library.encode(t, add_special_tokens=False).ids for t in cases]
     assert [x.tolist() for x in coder.encode(cases)] == want
-    coder.memo.size, coder.memo.longest = 3, 4
     monkeypatch.setattr(R, "BLOCK_CHARS", 100)
-    assert [x.tolist() for x in coder.encode(cases)] == want
+    for size, longest in ((3, 4), (40, 48)):
+        monkeypatch.setattr(R, "MEMO_CHUNKS", size)
+        monkeypatch.setattr(R, "MEMO_CHARS", longest)
+        assert [x.tolist() for x in coder.encode(cases)] == want
     # Where the pair test proves nothing, the library is asked.
-    coder.memo.clear()
-    coder.memo.old = {}
+    coder.young, coder.old = {}, {}
     monkeypatch.setattr(coder.ranks, "fits", lambda a, b: np.zeros(len(a), bool))
     assert [x.tolist() for x in coder.encode(cases)] == want
 
