@@ -12,9 +12,9 @@ A masked checksum is CRC-32 rotated right by 15 bits plus a constant, so that
 checksums of data that itself holds checksums stay sound. The files are
 written by Spark's text writer (raw bytes, line feed after each record), so
 task commits, retries and remote stores are Spark's. The offset index is a
-separate table made by walking the files' frames: (shard, file, place,
-offset, size, doc_id, n_tokens, start), from which ``read_at`` fetches any records in
-any order.
+separate table made by walking the files' frames once: (shard, file, place,
+offset, size, doc_id, n_tokens, ids_crc32, start), from which ``read_at`` fetches
+any records in any order. ``ids_crc32`` is that of the ids, four bytes each.
 
 The corpus moves once: whole texts are range-partitioned by document id, and
 every task sorts, encodes, frames and writes its range.
@@ -35,17 +35,17 @@ import math
 import os
 import struct
 import zlib
-from collections import ChainMap
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm.bpe import share
 from quarry.llm.common import documents, python_ready, whole_text
-from quarry.llm.wordbpe import MEMO_CHARS, Splitter, encode_pieces
+from quarry.llm.wordbpe import MEMO_CHARS, Splitter
 from quarry.llm.wordranks import WordRanks
 from quarry.session import scratch_path
 
@@ -62,7 +62,7 @@ BODY = struct.Struct("<Bq")
 CHECK = struct.Struct("<I")
 
 INDEX_SCHEMA = ("shard int, file string, place long, offset long, size long, doc_id long, "
-                "n_tokens long, local_start long")
+                "n_tokens long, ids_crc32 long, local_start long")
 
 _CODERS: dict[int, tuple] = {}
 
@@ -132,21 +132,52 @@ class LibraryCoder:
                 start, held = i + 1, 0
 
     def block(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """Runs of chunks are laid end to end, told apart once as a dictionary
+        array, and the ids of the distinct ones are dealt out by their indexes."""
         split = [list(self.splitter.pieces(t)) for t in texts]
-        distinct = set().union(*(chunks for pieces in split for _, chunks in pieces if chunks))
-        young, old = self.young, self.old
-        known = {c: old[c] for c in distinct if c in old and c not in young}
-        new = [c for c in distinct if c not in young and c not in known]
-        known.update(zip(new, self.ranks.encode(new), strict=True))
-        if len(young) + len(known) > MEMO_CHUNKS:
-            table = {c: young[c] for c in distinct if c in young} | known
-            self.old, self.young = young, {c: x for c, x in table.items() if len(c) <= MEMO_CHARS}
-        else:
-            young.update((c, x) for c, x in known.items() if len(c) <= MEMO_CHARS)
-            long = {c: x for c, x in known.items() if len(c) > MEMO_CHARS}
-            table = ChainMap(long, young) if long else young
+        runs = [chunks for pieces in split for _, chunks in pieces if chunks]
+        at = np.cumsum([0] + [len(r) for r in runs])
+        if runs:
+            line = "\n".join(["\n".join(r) for r in runs])
+            found = pc.split_pattern(pa.array([line]), "\n").values.dictionary_encode()
+            where = found.indices.to_numpy()
+            coded = self.known(found.dictionary.to_pylist())
+            size = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
+            start = np.cumsum(size) - size
+            each = size[where]
+            end = np.cumsum(each)
+            place = np.repeat(start[where] - (end - each), each) + np.arange(end[-1])
+            ids = np.frombuffer(b"".join(coded), "<u4")[place]
+            at = np.append(0, end)[at]
+        run = 0
         for pieces in split:
-            yield np.frombuffer(encode_pieces(pieces, table), "<u4")
+            parts = []
+            for special, chunks in pieces:
+                if chunks is None:
+                    parts.append(np.array([special], "<u4"))
+                elif chunks:
+                    parts.append(ids[at[run]:at[run + 1]])
+                    run += 1
+            yield np.concatenate(parts) if parts else np.zeros(0, "<u4")
+
+    def known(self, distinct: list[str]) -> list[bytes]:
+        """Ids of distinct chunks, from the memo or all new ones at once."""
+        coded = list(map(self.young.get, distinct))
+        missing = [i for i, x in enumerate(coded) if x is None]
+        before = {i: x for i in missing if (x := self.old.get(distinct[i])) is not None}
+        new = [i for i in missing if i not in before]
+        before.update(zip(new, self.ranks.encode([distinct[i] for i in new]), strict=True))
+        for i, x in before.items():
+            coded[i] = x
+        if len(self.young) + len(before) > MEMO_CHUNKS:
+            self.old, self.young = self.young, dict(zip(distinct, coded, strict=True))
+            added = distinct
+        else:
+            added = [distinct[i] for i in missing]
+            self.young.update(zip(added, map(before.__getitem__, missing), strict=True))
+        for c in [c for c in added if len(c) > MEMO_CHARS]:
+            del self.young[c]
+        return coded
 
 
 def coder(data: bytes) -> LibraryCoder:
@@ -201,14 +232,15 @@ def write_index(spark: SparkSession, path: str) -> DataFrame:
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("shard", pa.int32()), ("file", pa.string())] + [
             (n, pa.int64()) for n in ("place", "offset", "size", "doc_id", "n_tokens",
-                                      "local_start")])
+                                      "ids_crc32", "local_start")])
         for batch in batches:
             for shard, file, content in zip(*(c for c in batch.columns), strict=True):
                 data, rows, start = content.as_buffer().to_pybytes(), [], 0
                 for place, (at, size, doc, ids) in enumerate(records(data)):
-                    rows.append((place, at, size, doc, len(ids), start))
+                    rows.append((place, at, size, doc, len(ids),
+                                 zlib.crc32(ids.astype("<u4").tobytes()), start))
                     start += len(ids)
-                columns = list(zip(*rows, strict=True)) if rows else [()] * 6
+                columns = list(zip(*rows, strict=True)) if rows else [()] * 7
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([shard.as_py()] * len(rows), pa.int32()),
                      pa.array([file.as_py()] * len(rows), pa.string())]
@@ -294,17 +326,11 @@ def blocks(shard: int, rows, size: int = 1000) -> Iterator[pa.RecordBatch]:
 
 
 def op4_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document written as a record, indexed, and read back.
-
-    ``start`` comes from the index, the rest from the records; both are laid
-    out by (shard, place).
-    """
+    """Every document written as a record; all comes from the walk that reads
+    the files back for the index."""
     import public_tokenizers
 
     path = scratch_path(spark, "token-records")
     write_records(documents(spark, sf_dir), path, public_tokenizers.path("word_bpe_49k.json"))
-    index = write_index(spark, path).select("shard", "place", "start", "offset", "size")
-    back = read_records(spark, path).select(
-        "shard", "place", "doc_id", "n_tokens", F.crc32("ids").alias("ids_crc32"))
-    return back.join(index, ["shard", "place"]).select(
+    return write_index(spark, path).select(
         "doc_id", "start", "n_tokens", "ids_crc32", "shard", "offset", "size")

@@ -16,7 +16,7 @@ import re
 
 import numpy as np
 
-from quarry.llm.wordbpe import WORD, WordBpe, byte_alphabet, normalize
+from quarry.llm.wordbpe import MEMO_PAIRS, WORD, WordBpe, byte_alphabet, normalize
 
 MARK = chr(0xF8FF)                                     # private use
 # Chunks left to the library: characters that share the mark's first two bytes,
@@ -32,6 +32,8 @@ class WordRanks:
         import tiktoken
 
         self.library, self.pairs = library, WordBpe(data)
+        self.tested: set[int] = set()   # pairs, and those that failed
+        self.failed: set[int] = set()
         model = json.loads(data)["model"]
         vocab, suffix, mark = model["vocab"], model["end_of_word_suffix"], MARK.encode("utf-8")
         ranks = {bytes([b]): b for b in range(256)}
@@ -56,13 +58,17 @@ class WordRanks:
             self.ends[ranks[text]] = token.endswith(suffix)
 
     def fits(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """The pair test of neighbours, once for each distinct pair."""
-        if not len(left):
-            return np.zeros(0, bool)
-        keys, at = np.unique(left.astype(np.int64) << 20 | right, return_inverse=True)
-        known, remember = self.pairs.apart_memo, self.pairs.remember
-        found = [remember(k) if (x := known.get(k)) is None else x for k in keys.tolist()]
-        return np.array(found, bool)[at]
+        """The pair test of neighbours, made once for a pair."""
+        keys = left.astype(np.int64) << 20 | right
+        found = set(keys.tolist())
+        for key in found.difference(self.tested):
+            if not self.pairs.apart(key >> 20, key & 0xFFFFF):
+                self.failed.add(key)
+            self.tested.add(key)
+        if len(self.tested) > MEMO_PAIRS:
+            self.tested = set(self.failed)
+        failed = found & self.failed
+        return ~np.isin(keys, list(failed)) if failed else np.ones(len(keys), bool)
 
     def encode(self, chunks: list[str]) -> list[bytes]:
         """Ids of chunks (without line feeds), each as it is alone."""

@@ -68,7 +68,7 @@ def test_many_chunks_at_once(library, monkeypatch):
         monkeypatch.setattr(R, "MEMO_CHARS", longest)
         assert [x.tolist() for x in coder.encode(cases)] == want
     # Where the pair test proves nothing, the library is asked.
-    coder.young, coder.old = {}, {}
+    coder.young, coder.old = {}, {}   # nothing is known
     monkeypatch.setattr(coder.ranks, "fits", lambda a, b: np.zeros(len(a), bool))
     assert [x.tolist() for x in coder.encode(cases)] == want
 
