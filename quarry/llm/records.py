@@ -50,8 +50,8 @@ from quarry.llm.wordranks import WordRanks
 from quarry.session import scratch_path
 
 SHARD_BYTES = 16 << 20   # text bytes per file
-BLOCK_CHARS = 1 << 20    # characters whose new chunks are encoded together
-MEMO_CHUNKS = 150_000    # entries per generation of the chunk memo
+BLOCK_CHARS = 1 << 21    # characters whose new chunks are encoded together
+MEMO_CHUNKS = 250_000    # entries per generation of the chunk memo
 END_ID = 1
 
 # Fixed values of the frame.
