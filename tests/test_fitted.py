@@ -4,7 +4,7 @@ import regex
 
 from quarry.functions.text import TOKEN_PATTERN
 from quarry.operators.encoder import encode
-from quarry.operators.fitted import Rows, fit_encoder, hashed, words
+from quarry.operators.fitted import WORD_PATTERN, Rows, fit_encoder, hashed, weighted, words
 from quarry.plans.catalog import QUERIES
 from tests.conftest import SF_SMALL
 
@@ -84,3 +84,16 @@ def test_registered_queries(spark):
     assert norms <= {0.0, 1.0}
     found = QUERIES["vector_search_fitted"](spark, SF_SMALL).collect()
     assert {r["rank"] for r in found} == set(range(1, 11))
+
+
+def test_rows_are_hashed_once_for_all_rounds(spark):
+    texts = ["a b a", "", "c", "b c d e b"]
+    lists = [t.split() for t in texts]
+    df = spark.createDataFrame([(t,) for t in lists], "terms array<string>").coalesce(1)
+    plain = Rows(None, 8)
+    got = weighted(df, 8).collect()
+    for r, terms in zip(got, lists, strict=True):
+        at, weight = plain.weights(terms)
+        assert r["at"] == at.tolist() and r["weight"] == weight.tolist()
+    rows = regex.findall(TOKEN_PATTERN, "3.5 «a-b» ... x.y_1's 7 — é! 2,000.5.")
+    assert regex.findall(WORD_PATTERN, "3.5 «a-b» ... x.y_1's 7 — é! 2,000.5.") == words(rows)
