@@ -34,6 +34,10 @@ LETTER_PATTERN = r"\p{L}"
 WHITESPACE_CLASS = r"\s" + EXTRA_WHITESPACE
 CLEAN_PATTERN = r"[^\p{L}\p{N}_" + WHITESPACE_CLASS + KEPT_PUNCTUATION + "]+"
 SPACE_RUN_PATTERN = "[" + WHITESPACE_CLASS + "]+"
+# What Spark runs: the same runs without those that are one space already. ASCII is
+# told apart first, as Java would test it against every part of the class.
+QUICK_SPACE_PATTERN = (rf" [[^!-~]&&[{WHITESPACE_CLASS}]]+"
+                       rf"|[[^ -~]&&[{WHITESPACE_CLASS}]][[^!-~]&&[{WHITESPACE_CLASS}]]*")
 
 # Rank keys: scores are compared on a 1e-9 grid so that two engines that sum
 # in a different order still agree on ties.
@@ -53,7 +57,7 @@ def basic_clean(c) -> Column:
     """Drop everything but word characters, whitespace and ``. , ! ? - ' « »``;
     collapse whitespace runs into one space; strip."""
     cleaned = F.regexp_replace(as_text(c), CLEAN_PATTERN, " ")
-    collapsed = F.regexp_replace(cleaned, SPACE_RUN_PATTERN, " ")
+    collapsed = F.regexp_replace(cleaned, QUICK_SPACE_PATTERN, " ")
     return F.trim(collapsed)
 
 
@@ -77,13 +81,16 @@ def drop_stopwords(tokens, lang, by_language: Mapping[str, Iterable[str]],
                    few: bool = False) -> Column:
     """Remove the stop words of each row's language ``lang``, keeping order and
     repeats (not ``array_except``). A language without a list drops nothing."""
-    def stop(t: Column, own: Column) -> Column:
-        found = F.lit(False)
-        for code, words in by_language.items():
-            found = F.when(own == code, member(t, words, few)).otherwise(found)
-        return found
+    def without(own: Column, words: Iterable[str]) -> Column:
+        return F.filter(own, lambda t: ~member(t, words, few))
 
-    return bind(_col(lang), lambda own: F.filter(_col(tokens), lambda t: ~stop(t, own)))
+    def kept(code: Column, own: Column) -> Column:
+        left = own   # the language is looked up once a row, not once a token
+        for each, words in by_language.items():
+            left = F.when(code == each, without(own, words)).otherwise(left)
+        return left
+
+    return bind(_col(lang), lambda code: bind(_col(tokens), lambda own: kept(code, own)))
 
 
 def stop_language(tokens, by_language: Mapping[str, Iterable[str]], few: bool = False) -> Column:
