@@ -17,7 +17,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from itertools import repeat
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,6 +45,9 @@ from quarry.session import (
 )
 
 
+HELD_LEMMAS = 500_000   # forms and lemmas that a Python worker holds, some 100 MB at most
+
+
 @dataclass(frozen=True)
 class Analyzer:
     """Text analysis settings shared by documents and queries.
@@ -84,43 +89,73 @@ DEFAULT_ANALYZER = Analyzer()
 
 def lemmatize_columns(df: DataFrame, key: str, columns: list[str],
                       lemmas: DataFrame | LemmaGuesser,
-                      max_broadcast_rows: int = BROADCAST_ROW_LIMIT) -> DataFrame:
+                      max_broadcast_rows: int = BROADCAST_ROW_LIMIT,
+                      max_held_rows: int = HELD_LEMMAS) -> DataFrame:
     """Replace the tokens of several array columns by their lemmas from
     ``lemmas(form, lemma)``, or from a ``LemmaGuesser``, which is asked for the
     distinct tokens of ``df`` (a written table, as it is read twice).
 
-    Order and repeats are kept. Rows are partitioned by ``key`` once, the
-    tokens of all columns are exploded together with their column and
-    position, joined to the lemma table (broadcast when its size is within
-    bounds, which keeps the partitioning) and gathered once per ``key``.
-    Rows whose arrays are empty keep empty arrays.
+    Order and repeats are kept; empty arrays stay empty. Only lemmas that differ
+    from their forms are looked up. Within ``max_held_rows`` of them, every Python
+    worker holds them in a hash table and no row moves. Above that, the distinct
+    tokens of a row are joined to them and only those met cross the shuffle, by
+    ``key``, which is unique per row.
     """
     none = F.array().cast("array<string>")
     if isinstance(lemmas, LemmaGuesser):
         tokens = F.concat(*[F.coalesce(F.col(c), none) for c in columns])
         lemmas = write_parquet(lemmas.table_for(df.select(F.explode(tokens).alias("term"))),
                                scratch_path(df.sparkSession, "lemma-table"))
-    table = lemmas.select(F.col("form"), F.col("lemma")).dropDuplicates(["form"])
-    table, _, _ = bounded_broadcast(table, max_broadcast_rows)
-    df = df.repartition(key)
-
-    def marked(n: int, column: str) -> Column:
-        return F.transform(F.coalesce(F.col(column), none), lambda t, i: F.struct(
-            F.lit(n).alias("c"), i.alias("pos"), t.alias("form")))
-
-    def of(n: int) -> Column:
-        return F.transform(F.filter("_all", lambda x: x["c"] == n), lambda x: x["term"])
-
-    placed = F.concat(*[marked(n, c) for n, c in enumerate(columns)])
-    exploded = df.select(key, F.explode(placed).alias("t")).select(key, "t.*")
-    mapped = exploded.join(table, "form", "left").select(
-        key, "c", "pos", F.coalesce("lemma", "form").alias("term"))
-    gathered = mapped.groupBy(key).agg(
-        F.array_sort(F.collect_list(F.struct("c", "pos", "term"))).alias("_all"))
-    out = df.drop(*columns).join(gathered, key, "left")
-    for n, c in enumerate(columns):
-        out = out.withColumn(c, F.coalesce(of(n), none))
-    return out.drop("_all")
+    ship_package(df.sparkSession)
+    table = lemmas.select("form", "lemma").dropDuplicates(["form"]).where("form <> lemma")
+    table, rows, _ = bounded_broadcast(table, max_broadcast_rows)
+    if rows <= min(max_held_rows, max_broadcast_rows):
+        held = df.sparkSession.sparkContext.broadcast(
+            [c.to_pylist() for c in table.toArrow().columns])
+        listed = df.withColumns({c: F.coalesce(F.col(c), none) for c in columns})
+        return listed.mapInArrow(held_lemmas(held, columns), listed.schema)
+    every = F.array_distinct(F.concat(*[F.coalesce(F.col(c), none) for c in columns]))
+    met = df.select(key, F.explode(every).alias("form")).join(table, "form").groupBy(key).agg(
+        F.collect_list(F.struct("form", "lemma")).alias("_met"))
+    out = df.join(met, key, "left")
+    listed = out.withColumns({c: F.coalesce(F.col(c), none) for c in columns})
+    return listed.mapInArrow(met_lemmas(columns), listed.drop("_met").schema)
+
+
+def _with_lists(batch: pa.RecordBatch, columns: list[str], lemmas_of) -> pa.RecordBatch:
+    """A batch where each token of row ``i`` is replaced by its entry in
+    ``lemmas_of[i]``."""
+    names = [n for n in batch.schema.names if n != "_met"]
+
+    def put(name: str) -> pa.Array:
+        lists = batch.column(name)
+        if name not in columns:
+            return lists
+        return pa.array([[at.get(t, t) for t in own] for own, at in
+                         zip(lists.to_pylist(), lemmas_of)], lists.type)
+
+    return pa.RecordBatch.from_arrays([put(n) for n in names], names)
+
+
+def held_lemmas(held, columns: list[str]) -> Callable:
+    """Batches with the lemmas of a broadcast ``(forms, lemmas)``."""
+    def run(batches):
+        at = dict(zip(*held.value, strict=True))
+        for batch in batches:
+            yield _with_lists(batch, columns, repeat(at))
+
+    return run
+
+
+def met_lemmas(columns: list[str]) -> Callable:
+    """Batches with the lemmas that each row brings along as ``_met``."""
+    def run(batches):
+        for batch in batches:
+            yield _with_lists(batch, columns, [
+                {x["form"]: x["lemma"] for x in met or ()}
+                for met in batch.column("_met").to_pylist()])
+
+    return run
 
 
 def lemmatize_tokens(df: DataFrame, key: str, tokens: str, lemmas: DataFrame | LemmaGuesser,

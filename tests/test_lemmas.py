@@ -3,7 +3,7 @@ from collections import Counter, defaultdict
 import pytest
 
 from quarry.functions import inflections
-from quarry.operators.analyze import lemmatize_tokens
+from quarry.operators.analyze import lemmatize_columns, lemmatize_tokens
 from quarry.operators.lemmas import LONGEST, MIN_VOTES, LemmaGuesser
 
 
@@ -91,3 +91,16 @@ def test_empty_training_table_keeps_all(spark):
     found = {r["form"]: r["lemma"] for r in odd.table_for(
         spark.createDataFrame([("went",), ("x",), ("b",)], "term string")).collect()}
     assert found == {"went": "go", "x": "", "b": "b"}
+
+
+def test_only_changed_forms_cross_the_shuffle(spark):
+    rows = [(1, ["a", "b", "a", "c"], ["b"]), (2, [], None), (3, ["c", "c"], []), (4, ["b"], ["a"])]
+    df = spark.createDataFrame(rows, "id long, x array<string>, y array<string>")
+    lemmas = spark.createDataFrame([("a", "z"), ("b", "b"), ("c", None)], "form string, lemma string")
+    # Lemmas shuffled, broadcast, and held by the workers.
+    for limit, held in ((0, 0), (1000, 0), (1000, 1000)):
+        out = lemmatize_columns(df, "id", ["x", "y"], lemmas, limit, held)
+        assert {r["id"]: (r["x"], r["y"]) for r in out.collect()} == {
+            1: (["z", "b", "z", "c"], ["b"]), 2: ([], []), 3: (["c", "c"], []), 4: (["b"], ["z"])}
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert "array_sort" not in plan and ("array_distinct" in plan) == (held == 0)
