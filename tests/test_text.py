@@ -1,4 +1,7 @@
-from quarry.functions.text import basic_clean, snippet, split_tokens, tokenize
+from pyspark.sql import functions as F
+
+from quarry.functions.text import (QUICK_SPACE_PATTERN, SPACE_RUN_PATTERN, basic_clean, snippet,
+                                   split_tokens, tokenize)
 from quarry.operators.analyze import Analyzer, lemma_table, lemmatize_tokens, query_terms
 
 
@@ -101,3 +104,11 @@ def test_query_language(spark):
     assert got == [(1, "war"), (2, "hat"), (2, "maker"), (2, "son")]
     given = spark.createDataFrame([(1, "war the", "de")], "query_id long, query string, lang string")
     assert [r["term"] for r in query_terms(given).collect()] == ["the"]
+
+
+def test_quick_space_pattern_equals_the_plain_one(spark):
+    chars = [chr(c) for c in range(0x3100) if c not in (0xD800,)]
+    texts = [f"a{c}b {c} c{c}{c}{c} " for c in chars] + ["a  b", " \t a \u2003\n", "a b", ""]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    quick = F.regexp_replace("t", QUICK_SPACE_PATTERN, " ")
+    assert df.where(quick != F.regexp_replace("t", SPACE_RUN_PATTERN, " ")).count() == 0
