@@ -160,36 +160,41 @@ def q_text_search_guessed(spark: SparkSession, d: str) -> DataFrame:
     return _scored(engine_for(spark, d, lemmas=_guesser(spark)).text(_queries(spark, d), TEXT_K))
 
 
-_SENTENCES: dict[tuple, SentenceModel] = {}
+_SENTENCES: dict[tuple, tuple[DataFrame, SentenceModel]] = {}
 
 
-def _sentences(spark: SparkSession, d: str) -> SentenceModel:
-    """The tables of all documents, once per application and table state."""
+def _sentences(spark: SparkSession, d: str) -> tuple[DataFrame, SentenceModel]:
+    """``(doc_id, clean)`` of all documents, written down as every pass reads it,
+    and its tables; once per application and table state."""
     key = (spark.sparkContext.applicationId, d,
            table_state(spark, f"{d.rstrip('/')}/documents.parquet"))
     if key not in _SENTENCES:
-        _SENTENCES[key] = SentenceModel.fit(_documents(spark, d))
+        clean = write_parquet(
+            _documents(spark, d).select("doc_id", basic_clean("text").alias("clean")),
+            scratch_path(spark, "sentence-texts"))
+        _SENTENCES[key] = clean, SentenceModel.fit(clean, "clean", ready=True)
     return _SENTENCES[key]
 
 
 def q_sentence_abbreviations(spark: SparkSession, d: str) -> DataFrame:
     """Every type that occurs with a period, and its score."""
-    return _scored(_sentences(spark, d).abbreviations)
+    return _scored(_sentences(spark, d)[1].abbreviations)
 
 
 def q_sentence_starters(spark: SparkSession, d: str) -> DataFrame:
     """Every type after a clear sentence end, and its score."""
-    return _scored(_sentences(spark, d).starters)
+    return _scored(_sentences(spark, d)[1].starters)
 
 
 def q_sentence_collocations(spark: SparkSession, d: str) -> DataFrame:
     """Pairs across periods that may not end a sentence, and their score."""
-    return _scored(_sentences(spark, d).collocations)
+    return _scored(_sentences(spark, d)[1].collocations)
 
 
 def q_doc_sentences(spark: SparkSession, d: str) -> DataFrame:
     """Sentences and their tokens, of every document."""
-    found = sentence_tokens(_documents(spark, d), _sentences(spark, d))
+    clean, model = _sentences(spark, d)
+    found = sentence_tokens(clean, model, "doc_id", "clean", ready=True)
     lines = F.transform("sentences", lambda s: F.array_join(s, " "))
     return found.select("doc_id", F.size("sentences").cast("long").alias("n_sentences"),
                         F.aggregate("sentences", F.lit(0).cast("long"),

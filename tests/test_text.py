@@ -1,7 +1,8 @@
 from pyspark.sql import functions as F
 
-from quarry.functions.text import (QUICK_SPACE_PATTERN, SPACE_RUN_PATTERN, basic_clean, snippet,
-                                   split_tokens, tokenize)
+from quarry.functions.text import (CLEAN_PATTERN, QUICK_CLEAN_PATTERN, QUICK_SPACE_PATTERN,
+                                   SPACE_RUN_PATTERN, basic_clean, snippet, split_tokens,
+                                   tokenize)
 from quarry.operators.analyze import Analyzer, lemma_table, lemmatize_tokens, query_terms
 
 
@@ -112,3 +113,10 @@ def test_quick_space_pattern_equals_the_plain_one(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     quick = F.regexp_replace("t", QUICK_SPACE_PATTERN, " ")
     assert df.where(quick != F.regexp_replace("t", SPACE_RUN_PATTERN, " ")).count() == 0
+
+
+def test_quick_clean_pattern_equals_the_plain_one(spark):
+    chars = (chr(c) for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF)
+    df = spark.createDataFrame([(f"a{c}b{c}{c} {c}.",) for c in chars], "t string")
+    quick = F.regexp_replace("t", QUICK_CLEAN_PATTERN, "#")
+    assert df.where(quick != F.regexp_replace("t", CLEAN_PATTERN, "#")).count() == 0
