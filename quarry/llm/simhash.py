@@ -17,7 +17,10 @@ pair of slices is compared in a task of its own, so that every pair still
 meets.
 
 Components come from alternating large and small stars over the links, each
-round written to the shared folder. Nothing is collected but counts.
+round written to the shared folder. Nothing is collected but counts, and no
+join broadcasts: Spark sizes a table by its files, before a row is exploded into
+up to 210 keys and before repeated roots are unpacked, so that it would send the
+driver many times what it allows.
 
 Defined results: null text counts as empty; documents without words have
 fingerprint zero and link like any other; repeated ids and rows each get a
@@ -134,6 +137,11 @@ def bucket_links(buckets: DataFrame, differ: int) -> DataFrame:
     return buckets.mapInArrow(run, "a long, b long")
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join that must not be broadcast."""
+    return df.hint("merge")
+
+
 def near_links(classes: DataFrame, differ: int = MAX_BITS, bucket: int = BUCKET) -> DataFrame:
     """Links (a < b) whose components are those of all pairs within ``differ`` bits."""
     blocks = choose_blocks(classes.count(), differ)
@@ -142,7 +150,7 @@ def near_links(classes: DataFrame, differ: int = MAX_BITS, bucket: int = BUCKET)
     keyed = classes.select("fp", F.explode(choices).alias("key")).select("fp", "key.*")
     shared = (keyed.groupBy("choice", "part").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
               .withColumn("slices", F.ceil(F.col("n") / F.lit(bucket)).cast("int")).drop("n"))
-    met = keyed.join(shared, ["choice", "part"])
+    met = keyed.join(shuffled(shared), ["choice", "part"])
     own = F.pmod(F.xxhash64("fp"), F.col("slices")).cast("int")
     met = met.withColumn("own", own).withColumn(
         "other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
@@ -156,14 +164,14 @@ def large_star(edges: DataFrame) -> DataFrame:
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(
         edges.select("b", "a"))
     least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-    return both.join(least, "u").where("v > u").select(
+    return both.join(shuffled(least), "u").where("v > u").select(
         F.col("m").alias("a"), F.col("v").alias("b")).distinct()
 
 
 def small_star(edges: DataFrame) -> DataFrame:
     """``edges`` have a < b."""
     least = edges.groupBy("b").agg(F.min("a").alias("m"))
-    joined = edges.join(least, "b")
+    joined = edges.join(shuffled(least), "b")
     pulled = joined.where("a <> m").select("m", "a").union(least.select("m", "b"))
     return pulled.toDF("a", "b").distinct()
 
@@ -192,12 +200,12 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
     prints = staged(fingerprints(df, doc_id, text, shingle), "fingerprints")
     classes = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
     stars = components(near_links(classes.select("fp"), differ))
-    rooted = classes.join(stars.withColumnRenamed("node", "fp"), "fp", "left").select(
+    rooted = classes.join(shuffled(stars.withColumnRenamed("node", "fp")), "fp", "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root"))
     rooted = staged(rooted, "rooted")
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = staged(rooted.join(ids, "root").select("fp", "root", "component_id"), "named")
-    return prints.join(named, "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
+    named = staged(rooted.join(shuffled(ids), "root").select("fp", "root", "component_id"), "named")
+    return prints.join(shuffled(named), "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
 
 
 def keepers(found: DataFrame) -> DataFrame:

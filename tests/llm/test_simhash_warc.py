@@ -74,6 +74,18 @@ def test_links_have_the_components_of_all_pairs(spark, bucket):
     assert len(set(zip(roots, want))) == len(set(roots)) == len(set(want))
 
 
+def test_no_join_is_broadcast(spark):
+    """Spark takes the exploded keys for as small as the fingerprints' files."""
+    prints = spark.createDataFrame([(i * 0x9E3779B97F4A7C15 % (1 << 62),) for i in range(50)],
+                                   "fp long")
+    edges = spark.createDataFrame([(1, 2), (2, 3)], "a long, b long")
+    docs = documents(spark, odd_rows())
+    for df in (H.near_links(prints), H.large_star(edges), H.small_star(edges),
+               H.near_duplicates(docs)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "a long, b long")
     found = {r.node: r.root for r in H.components(edges).collect()}
