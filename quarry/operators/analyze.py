@@ -20,6 +20,7 @@ from dataclasses import dataclass
 from itertools import repeat
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,7 +36,7 @@ from quarry.functions.text import (
     stop_language,
     tokenize,
 )
-from quarry.operators.lemmas import LemmaGuesser
+from quarry.operators.lemmas import LemmaGuesser, guess
 from quarry.session import (
     BROADCAST_ROW_LIMIT,
     bounded_broadcast,
@@ -92,28 +93,39 @@ def lemmatize_columns(df: DataFrame, key: str, columns: list[str],
                       max_broadcast_rows: int = BROADCAST_ROW_LIMIT,
                       max_held_rows: int = HELD_LEMMAS) -> DataFrame:
     """Replace the tokens of several array columns by their lemmas from
-    ``lemmas(form, lemma)``, or from a ``LemmaGuesser``, which is asked for the
-    distinct tokens of ``df`` (a written table, as it is read twice).
-
-    Order and repeats are kept; empty arrays stay empty. Only lemmas that differ
-    from their forms are looked up. Within ``max_held_rows`` of them, every Python
-    worker holds them in a hash table and no row moves. Above that, the distinct
-    tokens of a row are joined to them and only those met cross the shuffle, by
-    ``key``, which is unique per row.
+    ``lemmas(form, lemma)``, or from a ``LemmaGuesser``.
+
+    Order and repeats are kept; empty arrays stay empty. Within ``max_held_rows``
+    rows of its own, every Python worker holds the guesser and no row moves,
+    however many distinct tokens ``df`` has; above that it is asked for a table of
+    them. Of a table only lemmas that differ from their forms are looked up.
+    Within ``max_held_rows`` of them, every Python worker holds them in a hash
+    table and no row moves. Above that, the distinct tokens of a row are joined to
+    them and only those met cross the shuffle, by ``key``, which is unique per row.
+    What reads ``df`` twice reads a written copy.
     """
+    spark = df.sparkSession
     none = F.array().cast("array<string>")
+    ship_package(spark)
+    written = False
     if isinstance(lemmas, LemmaGuesser):
+        model = lemmas.held(max_held_rows)
+        if model is not None:
+            listed = df.withColumns({c: F.coalesce(F.col(c), none) for c in columns})
+            return listed.mapInArrow(guessed_lemmas(spark.sparkContext.broadcast(model), columns),
+                                     listed.schema)
+        df, written = write_parquet(df, scratch_path(spark, "analysed")), True
         tokens = F.concat(*[F.coalesce(F.col(c), none) for c in columns])
         lemmas = write_parquet(lemmas.table_for(df.select(F.explode(tokens).alias("term"))),
-                               scratch_path(df.sparkSession, "lemma-table"))
-    ship_package(df.sparkSession)
+                               scratch_path(spark, "lemma-table"))
     table = lemmas.select("form", "lemma").dropDuplicates(["form"]).where("form <> lemma")
     table, rows, _ = bounded_broadcast(table, max_broadcast_rows)
     if rows <= min(max_held_rows, max_broadcast_rows):
-        held = df.sparkSession.sparkContext.broadcast(
-            [c.to_pylist() for c in table.toArrow().columns])
+        held = spark.sparkContext.broadcast([c.to_pylist() for c in table.toArrow().columns])
         listed = df.withColumns({c: F.coalesce(F.col(c), none) for c in columns})
         return listed.mapInArrow(held_lemmas(held, columns), listed.schema)
+    if not written:
+        df = write_parquet(df, scratch_path(spark, "analysed"))
     every = F.array_distinct(F.concat(*[F.coalesce(F.col(c), none) for c in columns]))
     met = df.select(key, F.explode(every).alias("form")).join(table, "form").groupBy(key).agg(
         F.collect_list(F.struct("form", "lemma")).alias("_met"))
@@ -147,6 +159,28 @@ def held_lemmas(held, columns: list[str]) -> Callable:
     return run
 
 
+def guessed_lemmas(held, columns: list[str]) -> Callable:
+    """Batches with the lemmas of a broadcast guesser, asked once for each distinct
+    token of a batch's column."""
+    def run(batches):
+        model = held.value
+        for batch in batches:
+            found = []
+            for name in batch.schema.names:
+                lists = batch.column(name)
+                if name in columns:
+                    tokens = lists.flatten().dictionary_encode()
+                    lemmas = pa.array([guess(t, *model) for t in tokens.dictionary.to_pylist()],
+                                      lists.type.value_type)
+                    starts = pc.subtract(lists.offsets, lists.offsets[0])
+                    lists = pa.ListArray.from_arrays(starts, lemmas.take(tokens.indices),
+                                                     type=lists.type)
+                found.append(lists)
+            yield pa.RecordBatch.from_arrays(found, batch.schema.names)
+
+    return run
+
+
 def met_lemmas(columns: list[str]) -> Callable:
     """Batches with the lemmas that each row brings along as ``_met``."""
     def run(batches):

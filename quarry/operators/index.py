@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.text import split_tokens
 from quarry.params import BM25_B, BM25_EPSILON, BM25_K1
-from quarry.session import scratch_path, write_parquet
+from quarry.session import scratch_path, shuffles_removed, write_parquet
 
 # Rough size of one compressed posting row, and the postings file size aimed at.
 POSTING_BYTES_PER_TOKEN = 10
@@ -166,9 +166,10 @@ def write_bucketed(rows: DataFrame, location: str, n_buckets: int, column: str)
     file per term bucket. A failed write raises.
     """
     name = _table_name()
-    (rows.write.mode("overwrite").format("parquet").option("path", location)
-     .partitionBy("tbucket").bucketBy(n_buckets, column).sortBy("term")
-     .saveAsTable(name))
+    with shuffles_removed(rows.sparkSession):
+        (rows.write.mode("overwrite").format("parquet").option("path", location)
+         .partitionBy("tbucket").bucketBy(n_buckets, column).sortBy("term")
+         .saveAsTable(name))
     return rows.sparkSession.table(name)
 
 
@@ -238,7 +239,9 @@ def build_index(corpus: DataFrame, path: str | None = None, key: str = "doc_id",
     n_doc_buckets = doc_bucket_count(spark, total)
     n_buckets = n_buckets or term_bucket_count(total, n_doc_buckets)
     part = bm25_part("tf", "dl", avgdl, k1, b) if avgdl > 0 else F.lit(0.0)
-    by_doc = terms.repartition(n_doc_buckets, "doc_id")
+    # The joined text is shuffled, not its tokens: they take more than twice the bytes.
+    by_doc = doc_terms(corpus.select(F.col(key).alias("doc_id"), text_col)
+                       .repartition(n_doc_buckets, "doc_id"), "doc_id", text_col)
     postings = write_postings(term_frequencies(by_doc).select(
         "term", "doc_id", "tf", "dl", part.alias("part"),
         term_bucket("term", n_buckets).alias("tbucket")), path + "/postings", n_doc_buckets)

@@ -14,9 +14,11 @@ then the first). Others take the rule of their longest known ending, which must
 leave a character of the term. Terms without a known ending, or without a
 letter, stay as they are.
 
-Everything runs over the *distinct* terms of a corpus as joins and aggregates:
+``table_for`` runs over the *distinct* terms of a corpus as joins and aggregates:
 six candidate rows per term at most, and the table of endings is broadcast
-where its count is within bounds.
+where its count is within bounds. ``held`` gives both tables as hash tables, so
+that the tokens of a row get their lemmas where they are: the distinct terms of a
+corpus grow with it, the guesser's tables don't.
 """
 
 from __future__ import annotations
@@ -72,6 +74,18 @@ def known_lemmas(pairs: DataFrame) -> DataFrame:
         F.min(F.struct((-F.col("n")).alias("fewer"), "lemma")).alias("b")).select("form", "b.lemma")
 
 
+def guess(form: str, known: dict[str, str], nodes: dict[str, tuple[int, str]],
+          longest: int) -> str:
+    """The lemma that ``table_for`` gives a form, from tables of ``held``."""
+    if form in known:
+        return known[form]
+    for n in range(min(longest, len(form) - 1), 0, -1):
+        if form[-n:] in nodes:
+            cut, addition = nodes[form[-n:]]
+            return form[:len(form) - cut] + addition
+    return form
+
+
 @dataclass
 class LemmaGuesser:
     """Known lemmas and the trie of endings, for terms seen or not."""
@@ -91,6 +105,20 @@ class LemmaGuesser:
     def semanticHash(self) -> int:   # noqa: N802 - as of a DataFrame, for the engine cache
         return hash((self.known.semanticHash(), self.nodes.semanticHash(), self.longest))
 
+    def held(self, max_rows: int) -> tuple[dict, dict, int] | None:
+        """``known``, ``nodes`` and ``longest`` of :func:`guess`, or None above
+        ``max_rows`` rows, or where an ending has no letter (a term that ends in
+        one with a letter needs no further test for letters)."""
+        if self.known.count() + self.nodes.count() > max_rows:
+            return None
+        forms, lemmas = (c.to_pylist() for c in self.known.select("form", "lemma").toArrow())
+        ending, cut, addition, lettered = (c.to_pylist() for c in self.nodes.select(
+            "ending", "cut", "addition", F.col("ending").rlike(LETTER_PATTERN)).toArrow())
+        if not all(lettered):
+            return None
+        return (dict(zip(forms, lemmas, strict=True)),
+                dict(zip(ending, zip(cut, addition, strict=True), strict=True)), self.longest)
+
     def table_for(self, terms: DataFrame, column: str = "term") -> DataFrame:
         """``(form, lemma, source)`` of the distinct terms; ``source`` is
         ``known``, ``guessed`` or ``kept``."""

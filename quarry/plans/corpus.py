@@ -35,8 +35,6 @@ def build_corpus(raw: DataFrame, path: str | None = None, analyzer: Analyzer = D
     prepared = prepare_documents(spread(raw, key), analyzer, key)
     if lemmas is not None:
         order = prepared.columns
-        # Analysed once, read for terms and lemmas.
-        prepared = write_parquet(prepared, scratch_path(spark, "analysed"))
         arrays = prepared.withColumns({c: split_tokens(c) for c in PROCESSED_COLUMNS})
         lemmatized = lemmatize_columns(arrays, key, list(PROCESSED_COLUMNS), lemmas)
         prepared = lemmatized.withColumns(

@@ -81,6 +81,31 @@ def test_order_and_repeats_stay(spark, fitted):
     assert got == {1: ["школа", "и", "школа", "42", "планета"], 2: [], 3: []}
 
 
+def test_held_guesser_equals_its_table(spark, fitted):
+    """However many distinct tokens there are, no row moves for a small guesser."""
+    _, guesser = fitted
+    many = ["".join(chr(97 + i // 26 ** n % 26) for n in range(3)) + "ing" for i in range(3000)]
+    odd = ["", "a", "42", "42ing", "ing", "я", "ﬁxing", "e\u0301s", "𝔘ing", "-ed", "школами", None]
+    rows = [(1, [*many, *odd, *odd], None), (2, [], ["ing", None]), (3, None, odd), (4, odd, many[:9])]
+    df = spark.createDataFrame(rows, "id long, x array<string>, y array<string>")
+    held = guesser.known.count() + guesser.nodes.count()
+    out = lemmatize_columns(df, "id", ["x", "y"], guesser, max_held_rows=held)
+    tabled = lemmatize_columns(df, "id", ["x", "y"], guesser, max_held_rows=held - 1)
+    plans = [x._jdf.queryExecution().optimizedPlan().toString() for x in (out, tabled)]
+    assert held < len(many) and "Join" not in plans[0] and "Join" in plans[1]
+    got = {r["id"]: r for r in out.collect()}
+    assert got == {r["id"]: r for r in tabled.collect()} and len(got) == 4
+    assert got[3]["x"] == [] and got[4]["y"] != many[:9]
+
+
+def test_endings_without_a_letter_are_not_held(spark):
+    guesser = LemmaGuesser.fit(spark.createDataFrame(
+        [("a12", "a"), ("b12", "b")], "form string, lemma string"))
+    assert guesser.held(1000) is None
+    df = spark.createDataFrame([(1, ["c12", "712"])], "id long, terms array<string>")
+    assert lemmatize_tokens(df, "id", "terms", guesser).first()["terms"] == ["c", "712"]
+
+
 def test_empty_training_table_keeps_all(spark):
     guesser = LemmaGuesser.fit(spark.createDataFrame([], "form string, lemma string"))
     got = guesser.table_for(spark.createDataFrame([("walked",)], "term string")).collect()
