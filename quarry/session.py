@@ -140,9 +140,12 @@ def shuffles_removed(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(SHUFFLE_CLEANUP, before)
 
 
-def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = None) -> DataFrame:
+def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = None,
+                  codec: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet (cutting the lineage) and read it back."""
     writer = df.write.mode("overwrite")
+    if codec:
+        writer = writer.option("compression", codec)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     with shuffles_removed(df.sparkSession):
