@@ -159,23 +159,43 @@ def held_lemmas(held, columns: list[str]) -> Callable:
     return run
 
 
+def lemmatize_joined(df: DataFrame, columns: list[str], lemmas: DataFrame | LemmaGuesser,
+                     max_held_rows: int = HELD_LEMMAS) -> DataFrame | None:
+    """:func:`lemmatize_columns` of columns of joined tokens, by a guesser that the
+    workers can hold; None for other lemmas."""
+    model = lemmas.held(max_held_rows) if isinstance(lemmas, LemmaGuesser) else None
+    if model is None:
+        return None
+    ship_package(df.sparkSession)
+    held = df.sparkSession.sparkContext.broadcast(model)
+    return df.mapInArrow(guessed_lemmas(held, columns), df.schema)
+
+
 def guessed_lemmas(held, columns: list[str]) -> Callable:
     """Batches with the lemmas of a broadcast guesser, asked once for each distinct
-    token of a batch's column."""
+    token of a batch's column: lists of tokens, or tokens joined by a space."""
+    def of_lists(lists, model):
+        tokens = lists.flatten().dictionary_encode()
+        lemmas = pa.array([guess(t, *model) for t in tokens.dictionary.to_pylist()],
+                          lists.type.value_type)
+        starts = pc.subtract(lists.offsets, lists.offsets[0])
+        return pa.ListArray.from_arrays(starts, lemmas.take(tokens.indices), type=lists.type)
+
+    def of_texts(texts, model):
+        parts = pc.split_pattern(pc.fill_null(texts, ""), " ")
+        joined = pc.binary_join(of_lists(parts, model), " ")
+        return pc.if_else(pc.equal(pc.fill_null(texts, ""), ""), "", joined).cast(texts.type)
+
     def run(batches):
         model = held.value
         for batch in batches:
             found = []
             for name in batch.schema.names:
-                lists = batch.column(name)
+                values = batch.column(name)
                 if name in columns:
-                    tokens = lists.flatten().dictionary_encode()
-                    lemmas = pa.array([guess(t, *model) for t in tokens.dictionary.to_pylist()],
-                                      lists.type.value_type)
-                    starts = pc.subtract(lists.offsets, lists.offsets[0])
-                    lists = pa.ListArray.from_arrays(starts, lemmas.take(tokens.indices),
-                                                     type=lists.type)
-                found.append(lists)
+                    listed = pa.types.is_list(values.type)
+                    values = (of_lists if listed else of_texts)(values, model)
+                found.append(values)
             yield pa.RecordBatch.from_arrays(found, batch.schema.names)
 
     return run

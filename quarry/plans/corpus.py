@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.text import join_tokens, split_tokens
-from quarry.operators.analyze import DEFAULT_ANALYZER, Analyzer, lemmatize_columns, prepare_documents
+from quarry.operators.analyze import (DEFAULT_ANALYZER, Analyzer, lemmatize_columns,
+                                      lemmatize_joined, prepare_documents)
 from quarry.operators.index import Bm25Index, build_index
 from quarry.operators.lemmas import LemmaGuesser
 from quarry.operators.vector import document_vectors
@@ -34,15 +35,22 @@ def build_corpus(raw: DataFrame, path: str | None = None, analyzer: Analyzer = D
     spark = raw.sparkSession
     prepared = prepare_documents(spread(raw, key), analyzer, key)
     if lemmas is not None:
-        order = prepared.columns
-        arrays = prepared.withColumns({c: split_tokens(c) for c in PROCESSED_COLUMNS})
-        lemmatized = lemmatize_columns(arrays, key, list(PROCESSED_COLUMNS), lemmas)
-        prepared = lemmatized.withColumns(
-            {c: join_tokens(c) for c in PROCESSED_COLUMNS}).select(*order)
+        prepared = with_lemmas(prepared, key, lemmas)
     # Texts, twice over, are most of what an engine writes: zstd takes a quarter off.
     return write_parquet(prepared, path or scratch_path(spark, "corpus"), codec="zstd")
 
 
+def with_lemmas(prepared: DataFrame, key: str, lemmas: DataFrame | LemmaGuesser) -> DataFrame:
+    """The prepared corpus with the lemmas of its analysed tokens."""
+    joined = lemmatize_joined(prepared, list(PROCESSED_COLUMNS), lemmas)
+    if joined is not None:
+        return joined
+    arrays = prepared.withColumns({c: split_tokens(c) for c in PROCESSED_COLUMNS})
+    lemmatized = lemmatize_columns(arrays, key, list(PROCESSED_COLUMNS), lemmas)
+    return lemmatized.withColumns({c: join_tokens(c) for c in PROCESSED_COLUMNS}).select(
+        *prepared.columns)
+
+
 def build_vectors(embeddings: DataFrame, corpus: DataFrame, path: str | None = None,
                   key: str = "doc_id") -> DataFrame:
     """Document vectors ``(doc_id, embedding)`` restricted to the corpus."""

@@ -3,7 +3,8 @@ from collections import Counter, defaultdict
 import pytest
 
 from quarry.functions import inflections
-from quarry.operators.analyze import lemmatize_columns, lemmatize_tokens
+from quarry.functions.text import split_tokens
+from quarry.operators.analyze import lemmatize_columns, lemmatize_joined, lemmatize_tokens
 from quarry.operators.lemmas import LONGEST, MIN_VOTES, LemmaGuesser
 
 
@@ -96,6 +97,15 @@ def test_held_guesser_equals_its_table(spark, fitted):
     got = {r["id"]: r for r in out.collect()}
     assert got == {r["id"]: r for r in tabled.collect()} and len(got) == 4
     assert got[3]["x"] == [] and got[4]["y"] != many[:9]
+    # Joined by spaces, as the corpus has them.
+    texts = spark.createDataFrame([(i, " ".join(t for t in r["x"] if t)) for i, r in
+                                   [(1, {"x": many + odd}), (2, {"x": []}), (3, {"x": ["ing"]})]],
+                                  "id long, x string")
+    joined = {r["id"]: r["x"] for r in lemmatize_joined(texts, ["x"], guesser).collect()}
+    lists = texts.withColumn("x", split_tokens("x"))
+    want = lemmatize_columns(lists, "id", ["x"], guesser, max_held_rows=0)
+    assert joined == {r["id"]: " ".join(r["x"]) for r in want.collect()}
+    assert lemmatize_joined(texts, ["x"], guesser, held - 1) is None
 
 
 def test_endings_without_a_letter_are_not_held(spark):
